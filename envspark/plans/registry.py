@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from envspark import config as C
@@ -258,3 +258,191 @@ def q_browser(spark, sf_dir):
     """M5 (first 500 rows is the feature)."""
     o = rollups.with_level(obs(spark, sf_dir), PROXY, C.target_config(PROXY))
     return rollups.data_browser(o, PROXY)
+
+
+# --- C / H: slices, splits, samples, top-k -----------------------------------
+
+from envspark.operators import evaluate as L  # noqa: E402
+from envspark.operators import prep as K  # noqa: E402
+from envspark.operators import slices as S  # noqa: E402
+
+SLICE_REGIONS = ["AFRICA", "EUROPE"]
+SLICE_YEARS = (1996, 1999)
+
+
+@register("slice_observations")
+def q_slice(spark, sf_dir):
+    """C1 + H2: region list and year range."""
+    s = S.slice_observations(obs(spark, sf_dir), SLICE_REGIONS, *SLICE_YEARS)
+    return s.select("identifiant", "date", "ville", "region", "annee", PROXY)
+
+
+@register("slice_city_risk")
+def q_slice_risk(spark, sf_dir):
+    """I1 recomputed on a slice (statistics follow the slice, the index does not)."""
+    return R.city_risk(S.slice_observations(obs(spark, sf_dir), SLICE_REGIONS, *SLICE_YEARS), PROXY)
+
+
+@register("filter_values")
+def q_filter_values(spark, sf_dir):
+    """C2 + H4."""
+    return S.filter_values(obs(spark, sf_dir), SLICE_REGIONS)
+
+
+@register("temporal_split")
+def q_temporal_split(spark, sf_dir):
+    """C3."""
+    return (S.temporal_split(obs(spark, sf_dir)).groupBy("split", "annee")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def model_frame(spark, sf_dir, target: str = PROXY) -> DataFrame:
+    """Rows with a target, tagged train/test by the temporal split (A7 + C3)."""
+    d = cleaning.drop_missing(obs(spark, sf_dir), [target])
+    return S.temporal_split(d)
+
+
+@register("validation_split")
+def q_validation_split(spark, sf_dir):
+    """C4: per city, rows that fit and rows that validate."""
+    tr = model_frame(spark, sf_dir).where(F.col("split") == "train")
+    v = S.validation_split(tr)
+    return v.groupBy("ville").agg(F.count_if(~F.col("is_validation")).alias("n_fit"),
+                                  F.count_if(F.col("is_validation")).alias("n_val"))
+
+
+@register("sample_rows")
+def q_sample(spark, sf_dir):
+    """C5 (rows-only check: the hash order is Spark's)."""
+    return S.sample_n(obs(spark, sf_dir), 2000, 42).select("identifiant", "ville", "date", PROXY)
+
+
+@register("top_cities")
+def q_top_cities(spark, sf_dir):
+    """H5 + H6: the 15 highest-risk cities with their rank."""
+    r = R.city_risk(obs(spark, sf_dir), PROXY)
+    top = S.top_k(r, 15, F.col("score_risque").desc_nulls_last(), F.col("pm25_moyen").desc_nulls_last(),
+                  F.col("ville"))
+    # rank inside the 15 kept rows (bounded window)
+    return top.select("ville", "score_risque", "pm25_moyen").withColumn(
+        "rang", F.row_number().over(Window.orderBy(
+            F.col("score_risque").desc_nulls_last(), F.col("pm25_moyen").desc_nulls_last(), F.col("ville"))))
+
+
+# --- K: preparation ----------------------------------------------------------
+
+def feature_lists(o: DataFrame) -> tuple[list[str], list[str]]:
+    return cleaning.select_features(o, PROXY)
+
+
+@register("feature_medians")
+def q_medians(spark, sf_dir):
+    """K1 fit (exact medians on training rows)."""
+    o = obs(spark, sf_dir)
+    nums, _ = feature_lists(o)
+    tr = model_frame(spark, sf_dir).where(F.col("split") == "train")
+    return K.medians_long(K.fit_medians(tr, nums), nums)
+
+
+@register("category_dictionary")
+def q_dictionary(spark, sf_dir):
+    """K2 fit (train U test distinct values, code-point order)."""
+    o = obs(spark, sf_dir)
+    _, cats = feature_lists(o)
+    both = model_frame(spark, sf_dir).where(F.col("split").isNotNull())
+    return K.fit_categories(both, cats)
+
+
+@register("scaler_params")
+def q_scaler(spark, sf_dir):
+    """K3 fit on imputed training rows (population std, zero -> 1)."""
+    o = obs(spark, sf_dir)
+    nums, cats = feature_lists(o)
+    mf = model_frame(spark, sf_dir)
+    tr = mf.where(F.col("split") == "train")
+    med = K.fit_medians(tr, nums)
+    dic = K.fit_categories(mf.where(F.col("split").isNotNull()), cats)
+    enc = K.encode(K.impute(tr, med, nums), dic, cats)
+    feats = nums + cats
+    return K.scaler_long(K.fit_scaler(enc, feats), feats)
+
+
+@register("encoded_test_features")
+def q_encoded(spark, sf_dir):
+    """K4: test rows encoded with the stored medians and dictionary."""
+    o = obs(spark, sf_dir)
+    nums, cats = feature_lists(o)
+    mf = model_frame(spark, sf_dir)
+    tr = mf.where(F.col("split") == "train")
+    med = K.fit_medians(tr, nums)
+    dic = K.fit_categories(mf.where(F.col("split").isNotNull()), cats)
+    te = mf.where(F.col("split") == "test").select("identifiant", *nums, *cats)
+    return K.encode_for_model(te, nums + cats, nums, cats, med, dic)
+
+
+# --- L: evaluation on the persistence predictor -------------------------------
+
+def persistence(spark, sf_dir) -> DataFrame:
+    return L.scored_persistence(obs(spark, sf_dir), PROXY)
+
+
+@register("predictions_persistence")
+def q_pred(spark, sf_dir):
+    """Actual, prediction, residual (persistence baseline on test rows)."""
+    return L.residuals(persistence(spark, sf_dir), PROXY, "prediction").select(
+        "date", "ville", "region", "saison", "annee", PROXY, "prediction", "residu")
+
+
+@register("regression_metrics")
+def q_reg_metrics(spark, sf_dir):
+    """L1."""
+    return L.regression_metrics(persistence(spark, sf_dir), PROXY, "prediction")
+
+
+@register("classification_metrics")
+def q_cls_metrics(spark, sf_dir):
+    """L2."""
+    return L.classification_metrics(persistence(spark, sf_dir), "alerte_pollution", "alerte_pred")
+
+
+@register("roc_auc")
+def q_auc(spark, sf_dir):
+    """L3."""
+    return L.roc_auc(persistence(spark, sf_dir), "alerte_pollution", "score_prediction")
+
+
+@register("roc_points")
+def q_roc(spark, sf_dir):
+    """L4."""
+    return L.roc_points(persistence(spark, sf_dir), "alerte_pollution", "score_prediction")
+
+
+@register("confusion_matrix")
+def q_confusion(spark, sf_dir):
+    """L5."""
+    return L.confusion_matrix(persistence(spark, sf_dir), "alerte_pollution", "alerte_pred")
+
+
+@register("group_metrics_regression")
+def q_groups_reg(spark, sf_dir):
+    """L6 (regression) by region and city."""
+    return L.evaluate_groups(persistence(spark, sf_dir), "regression", PROXY, "prediction")
+
+
+@register("group_metrics_classification")
+def q_groups_cls(spark, sf_dir):
+    """L6 (classification, with per-group AUC) by region and city."""
+    return L.evaluate_groups(persistence(spark, sf_dir), "classification", "alerte_pollution",
+                             "alerte_pred", "score_prediction")
+
+
+@register("residual_histogram")
+def q_hist(spark, sf_dir):
+    """G15 on the persistence residuals."""
+    return rollups.histogram(L.residuals(persistence(spark, sf_dir), PROXY, "prediction"), "residu")
+
+
+@register("class_counts")
+def q_class_counts(spark, sf_dir):
+    """G16."""
+    return rollups.class_counts(persistence(spark, sf_dir), "alerte_pollution", "alerte_pred")

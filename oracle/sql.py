@@ -358,3 +358,217 @@ SELECT date, ville, region, {r6('temp_max')} AS temp_max, {r6('temp_min')} AS te
        {r6('precipitation')} AS precipitation, {r6('proxy_pm25')} AS proxy_pm25,
        {bands('proxy_pm25', PROXY_LABELS)} AS niveau_target
 FROM obs ORDER BY ville ASC NULLS LAST, date ASC NULLS LAST, identifiant LIMIT 500"""
+
+
+# --- C / H -------------------------------------------------------------------
+
+SLICE = """,
+sl AS (SELECT * FROM obs WHERE annee BETWEEN 1996 AND 1999 AND region IN ('AFRICA', 'EUROPE'))"""
+
+SQL["slice_observations"] = PREP + SLICE + f"""
+SELECT identifiant, date, ville, region, {i64('annee')} AS annee, {r6('proxy_pm25')} AS proxy_pm25 FROM sl"""
+
+SQL["slice_city_risk"] = PREP + SLICE + CITY_RISK.replace("FROM obs", "FROM sl") + "\n" + CITY_RISK_SELECT
+
+SQL["filter_values"] = PREP + """
+SELECT DISTINCT 'region' AS kind, region AS value FROM obs WHERE region IS NOT NULL
+UNION ALL
+SELECT DISTINCT 'ville', ville FROM obs WHERE ville IS NOT NULL AND region IN ('AFRICA', 'EUROPE')
+UNION ALL
+SELECT DISTINCT 'annee', CAST(annee AS VARCHAR) FROM obs WHERE annee IS NOT NULL"""
+
+SQL["temporal_split"] = PREP + f""",
+c AS (SELECT max(annee) - 1 AS cut FROM obs)
+SELECT CASE WHEN annee <= cut THEN 'train' WHEN annee > cut THEN 'test' END AS split, {i64('annee')} AS annee,
+       {i64('count(*)')} AS n
+FROM obs CROSS JOIN c GROUP BY 1, 2"""
+
+MODEL_FRAME = """,
+mf0 AS (SELECT * FROM obs WHERE proxy_pm25 IS NOT NULL),
+mcut AS (SELECT max(annee) - 1 AS cut FROM mf0),
+mf AS (SELECT mf0.*, CASE WHEN annee <= cut THEN 'train' WHEN annee > cut THEN 'test' END AS split
+       FROM mf0 CROSS JOIN mcut)"""
+
+SQL["validation_split"] = PREP + MODEL_FRAME + f""",
+tr AS (SELECT * FROM mf WHERE split = 'train'),
+pos AS (SELECT ville, row_number() OVER (ORDER BY ville ASC NULLS LAST, date ASC NULLS LAST, identifiant) AS p FROM tr),
+k AS (SELECT greatest(CAST(floor(count(*) * 0.85) AS BIGINT), 1) AS k, count(*) AS tot FROM tr)
+SELECT ville, {i64('count(*) FILTER (WHERE NOT (tot - k > 20 AND p > k))')} AS n_fit,
+       {i64('count(*) FILTER (WHERE tot - k > 20 AND p > k)')} AS n_val
+FROM pos CROSS JOIN k GROUP BY ville"""
+
+SQL["top_cities"] = PREP + CITY_RISK + f""",
+t AS (SELECT ville, score_risque, pm25_moyen,
+             row_number() OVER (ORDER BY score_risque DESC NULLS LAST, pm25_moyen DESC NULLS LAST, ville) AS rang
+      FROM city_risk)
+SELECT ville, {r6('score_risque')} AS score_risque, {r6('pm25_moyen')} AS pm25_moyen, {i64('rang')} AS rang
+FROM t WHERE rang <= 15"""
+
+# --- K -----------------------------------------------------------------------
+
+NUMS = ["latitude", "longitude", "mois", "annee", "trimestre", "jour_semaine", "temp_min", "temp_moy",
+        "ressenti_max", "point_rosee_moy", "pression_mer_moy", "rafales_max", "direction_vent", "duree_jour",
+        "duree_ensoleillement", "jour_annee", "mois_sin", "mois_cos", "vent_sin", "vent_cos",
+        "ecart_point_rosee", "ratio_rafales", "pression_anomalie", "ecart_ressenti", "ratio_ensoleillement"]
+NUMS += [f"{v}_lag{k}" for k in (1, 7) for v in LAG_VARS] + [f"{v}_moy7j" for v in LAG_VARS]
+CATS = ["region", "zone_climatique", "saison", "categorie_meteo"]
+
+MEDIANS = ",\nmed AS (SELECT " + ", ".join(
+    f"median(CAST({c} AS DOUBLE)) AS {c}" for c in NUMS) + " FROM mf WHERE split = 'train')"
+
+DICT = ",\ndict AS (SELECT col, value, row_number() OVER (PARTITION BY col ORDER BY value) - 1 AS code FROM (" + \
+    " UNION ".join(f"SELECT DISTINCT '{c}' AS col, CAST({c} AS VARCHAR) AS value FROM mf "
+                   f"WHERE split IS NOT NULL AND {c} IS NOT NULL" for c in CATS) + "))"
+
+
+def _encoded(src: str) -> str:
+    nums = ", ".join(f"CAST(coalesce(CAST(s.{c} AS DOUBLE), med.{c}, 0.0) AS DOUBLE) AS {c}" for c in NUMS)
+    cats = ", ".join(f"CAST(coalesce(d_{c}.code, -1) AS DOUBLE) AS {c}" for c in CATS)
+    joins = " ".join(f"LEFT JOIN dict d_{c} ON d_{c}.col = '{c}' AND d_{c}.value = CAST(s.{c} AS VARCHAR)"
+                     for c in CATS)
+    return f"SELECT s.identifiant, {nums}, {cats} FROM {src} s CROSS JOIN med {joins}"
+
+
+SQL["feature_medians"] = PREP + MODEL_FRAME + MEDIANS + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, {r6(c)} AS median FROM med" for c in NUMS)
+
+SQL["category_dictionary"] = PREP + MODEL_FRAME + DICT + f"""
+SELECT col AS "column", value, {i64('code')} AS code FROM dict"""
+
+SQL["scaler_params"] = PREP + MODEL_FRAME + MEDIANS + DICT + f""",
+tr AS (SELECT * FROM mf WHERE split = 'train'),
+enc AS ({_encoded('tr')})
+""" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, {r6(f'avg({c})')} AS mean, "
+    f"{r6(f'CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END')} AS scale FROM enc"
+    for c in NUMS + CATS)
+
+SQL["encoded_test_features"] = PREP + MODEL_FRAME + MEDIANS + DICT + f""",
+te AS (SELECT * FROM mf WHERE split = 'test'),
+enc AS ({_encoded('te')})
+SELECT identifiant, """ + ", ".join(f"{r6(c)} AS {c}" for c in NUMS + CATS) + " FROM enc"
+
+# --- L -----------------------------------------------------------------------
+
+PERS = """,
+pers0 AS (SELECT o.*, lag(proxy_pm25) OVER w AS prediction, lag(alerte_pollution) OVER w AS alerte_pred
+          FROM obs o WINDOW w AS (PARTITION BY ville ORDER BY date ASC NULLS LAST, identifiant)),
+pers AS (SELECT date, ville, region, saison, annee, proxy_pm25, prediction, alerte_pollution, alerte_pred,
+                prediction / 100.0 AS score_prediction, proxy_pm25 - prediction AS residu
+         FROM pers0 WHERE annee > cutoff AND proxy_pm25 IS NOT NULL AND prediction IS NOT NULL)"""
+
+SQL["predictions_persistence"] = PREP + PERS + f"""
+SELECT date, ville, region, saison, {i64('annee')} AS annee, {r6('proxy_pm25')} AS proxy_pm25,
+       {r6('prediction')} AS prediction, {r6('residu')} AS residu FROM pers"""
+
+
+def _reg_metrics(src: str, by: str | None) -> str:
+    g = f"{by}, " if by else ""
+    grp = f"GROUP BY {by}" if by else ""
+    join = f"JOIN m ON {src}.{by} IS NOT DISTINCT FROM m.{by}" if by else "CROSS JOIN m"
+    return f"""m AS (SELECT {g}avg(proxy_pm25) AS ybar FROM {src} {grp}),
+agg AS (SELECT {f'{src}.{by} AS {by}, ' if by else ''}count(*) AS n, sum((proxy_pm25 - prediction) * (proxy_pm25 - prediction)) AS sse,
+               sum((proxy_pm25 - ybar) * (proxy_pm25 - ybar)) AS sst, avg(abs(proxy_pm25 - prediction)) AS mae
+        FROM {src} {join} {f'GROUP BY {src}.{by}' if by else ''})"""
+
+
+R2 = "CASE WHEN sst = 0 THEN (CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END) ELSE 1.0 - sse / sst END"
+
+SQL["regression_metrics"] = PREP + PERS + ",\n" + _reg_metrics("pers", None) + f"""
+SELECT {i64('n')} AS n, {r6(R2)} AS R2, {r6('sqrt(sse / n)')} AS RMSE, {r6('mae')} AS MAE FROM agg"""
+
+
+def _cls(src: str, by: str | None) -> str:
+    g = f"{by}, " if by else ""
+    grp = f"GROUP BY {by}" if by else ""
+    return f"""ca AS (SELECT {g}count(*) AS n, count(*) FILTER (WHERE alerte_pollution = alerte_pred) AS ok,
+       count(*) FILTER (WHERE alerte_pollution = 1 AND alerte_pred = 1) AS tp,
+       count(*) FILTER (WHERE alerte_pollution = 0 AND alerte_pred = 1) AS fp,
+       count(*) FILTER (WHERE alerte_pollution = 1 AND alerte_pred = 0) AS fn
+FROM {src} WHERE alerte_pollution IS NOT NULL AND alerte_pred IS NOT NULL {grp})"""
+
+
+def _sd(a: str, b: str) -> str:
+    return f"coalesce(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0.0), 0.0)"
+
+
+CLS_COLS = (f"{i64('n')} AS n, {r6('CAST(ok AS DOUBLE) / n')} AS Accuracy, {r6(_sd('2 * tp', '2 * tp + fp + fn'))} AS F1, "
+            f"{r6(_sd('tp', 'tp + fp'))} AS Precision, {r6(_sd('tp', 'tp + fn'))} AS Recall")
+
+SQL["classification_metrics"] = PREP + PERS + ",\n" + _cls("pers", None) + f"\nSELECT {CLS_COLS} FROM ca"
+
+
+def _auc(src: str, by: str | None) -> str:
+    g = f"{by}, " if by else ""
+    part = f"PARTITION BY {by} " if by else ""
+    grp = f"GROUP BY {by}" if by else ""
+    return f"""sc AS (SELECT {g}score_prediction AS s, count(*) FILTER (WHERE alerte_pollution = 1) AS pos,
+                  count(*) FILTER (WHERE alerte_pollution <> 1) AS neg
+           FROM {src} WHERE alerte_pollution IS NOT NULL AND score_prediction IS NOT NULL GROUP BY {g}s),
+cum AS (SELECT *, coalesce(sum(neg) OVER ({part}ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cneg
+        FROM sc),
+auc AS (SELECT {g}CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+                   THEN sum(pos * (cneg + neg / 2.0)) / CAST(sum(pos) * sum(neg) AS DOUBLE) END AS ROC_AUC
+        FROM cum {grp})"""
+
+
+SQL["roc_auc"] = PREP + PERS + ",\n" + _auc("pers", None) + f"\nSELECT {r6('ROC_AUC')} AS ROC_AUC FROM auc"
+
+SQL["roc_points"] = PREP + PERS + f""",
+sc AS (SELECT score_prediction AS s, count(*) FILTER (WHERE alerte_pollution = 1) AS pos,
+              count(*) FILTER (WHERE alerte_pollution <> 1) AS neg
+       FROM pers WHERE alerte_pollution IS NOT NULL AND score_prediction IS NOT NULL GROUP BY s),
+t AS (SELECT sum(pos) AS P, sum(neg) AS N FROM sc)
+SELECT {r6('s')} AS seuil,
+       {r6('sum(pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / CAST(P AS DOUBLE)')} AS tpr,
+       {r6('sum(neg) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / CAST(N AS DOUBLE)')} AS fpr
+FROM sc CROSS JOIN t"""
+
+SQL["confusion_matrix"] = PREP + PERS + f""",
+g AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(reel, predit)),
+c AS (SELECT alerte_pollution AS reel, alerte_pred AS predit, count(*) AS n FROM pers
+      WHERE alerte_pollution IS NOT NULL AND alerte_pred IS NOT NULL GROUP BY 1, 2)
+SELECT {i64('g.reel')} AS reel, {i64('g.predit')} AS predit, {i64('coalesce(c.n, 0)')} AS n
+FROM g LEFT JOIN c ON g.reel = c.reel AND g.predit = c.predit"""
+
+
+def _groups_reg() -> str:
+    parts = []
+    for gcol in ("region", "ville"):
+        parts.append(f"""SELECT groupe, {i64('n')} AS n, {r6(R2)} AS R2, {r6('sqrt(sse / n)')} AS RMSE, {r6('mae')} AS MAE,
+       '{gcol}' AS groupement FROM (
+  WITH pg AS (SELECT *, CAST({gcol} AS VARCHAR) AS groupe FROM pers),
+  {_reg_metrics('pg', 'groupe')}
+  SELECT * FROM agg) WHERE n >= 5""")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _groups_cls() -> str:
+    parts = []
+    for gcol in ("region", "ville"):
+        parts.append(f"""SELECT groupe, {CLS_COLS}, {r6('ROC_AUC')} AS ROC_AUC, '{gcol}' AS groupement FROM (
+  WITH pg AS (SELECT *, CAST({gcol} AS VARCHAR) AS groupe FROM pers),
+  {_cls('pg', 'groupe')},
+  {_auc('pg', 'groupe')}
+  SELECT ca.*, auc.ROC_AUC FROM ca LEFT JOIN auc ON ca.groupe IS NOT DISTINCT FROM auc.groupe) WHERE n >= 5""")
+    return "\nUNION ALL\n".join(parts)
+
+
+SQL["group_metrics_regression"] = PREP + PERS + "\n" + _groups_reg()
+SQL["group_metrics_classification"] = PREP + PERS + "\n" + _groups_cls()
+
+SQL["residual_histogram"] = PREP + PERS + f""",
+v AS (SELECT residu AS v FROM pers WHERE residu IS NOT NULL),
+st AS (SELECT CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo,
+              CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi FROM v),
+c AS (SELECT least(CAST(floor((v - lo) / ((hi - lo) / 50.0)) AS INTEGER), 49) AS bin, count(*) AS n
+      FROM v CROSS JOIN st GROUP BY 1),
+dim AS (SELECT CAST(range AS INTEGER) AS bin FROM range(50))
+SELECT {i64('dim.bin')} AS bin, {r6('lo + dim.bin * (hi - lo) / 50.0')} AS borne_basse,
+       {r6('lo + (dim.bin + 1) * (hi - lo) / 50.0')} AS borne_haute, {i64('coalesce(c.n, 0)')} AS n
+FROM dim CROSS JOIN st LEFT JOIN c ON dim.bin = c.bin"""
+
+SQL["class_counts"] = PREP + PERS + f"""
+SELECT serie, {i64('classe')} AS classe, {i64('count(*)')} AS n FROM (
+  SELECT 'reel' AS serie, alerte_pollution AS classe FROM pers
+  UNION ALL SELECT 'predit', alerte_pred FROM pers) GROUP BY 1, 2"""
