@@ -446,3 +446,70 @@ def q_hist(spark, sf_dir):
 def q_class_counts(spark, sf_dir):
     """G16."""
     return rollups.class_counts(persistence(spark, sf_dir), "alerte_pollution", "alerte_pred")
+
+
+# --- J / D7, D8, D10: forecasting ----------------------------------------------
+
+from envspark.operators import forecast as J  # noqa: E402
+
+HORIZON = 7
+
+
+def events(spark, sf_dir) -> DataFrame:
+    return observations_from_events(spark, sf_dir)
+
+
+@register("forecast_trend")
+def q_forecast_trend(spark, sf_dir):
+    """J1 for every city at once (proxy, horizon 7)."""
+    return J.forecast_trend(obs(spark, sf_dir), PROXY, HORIZON)
+
+
+@register("forecast_trend_events")
+def q_forecast_trend_events(spark, sf_dir):
+    """J1 on the dense events series (values up to 490: clamping exercised)."""
+    return J.forecast_trend(events(spark, sf_dir), "valeur", HORIZON)
+
+
+@register("forecast_trend_fixed_events")
+def q_forecast_trend_fixed(spark, sf_dir):
+    """Fixed proxy bands, always clamped."""
+    return J.forecast_trend_fixed(events(spark, sf_dir), "valeur", HORIZON)
+
+
+@register("forecast_worst_days")
+def q_worst(spark, sf_dir):
+    """The 3 worst forecast days per city."""
+    return J.worst_days(J.forecast_trend(obs(spark, sf_dir), PROXY, HORIZON))
+
+
+@register("densify_daily")
+def q_densify(spark, sf_dir):
+    """Full daily calendar with linear interpolation, every city."""
+    daily = R.daily_city_mean(obs(spark, sf_dir), PROXY).where(F.col(PROXY).isNotNull())
+    return J.densify_daily(daily, PROXY)
+
+
+@register("last_valid_values")
+def q_last_valid(spark, sf_dir):
+    """D10 for the projected columns."""
+    o = obs(spark, sf_dir)
+    return J.last_valid(o, J.projection_columns(o))
+
+
+@register("recent_slopes")
+def q_slopes(spark, sf_dir):
+    """D7 per (city, column) over the last 14 non-missing values."""
+    return J.recent_slopes(obs(spark, sf_dir))
+
+
+@register("covariate_projection")
+def q_covariates(spark, sf_dir):
+    """J3 for every city and projected column (horizon 7)."""
+    return J.project_covariates(obs(spark, sf_dir), HORIZON)
+
+
+@register("future_features")
+def q_future(spark, sf_dir):
+    """The future feature rows of every city (horizon 7)."""
+    return J.future_features(obs(spark, sf_dir), HORIZON)

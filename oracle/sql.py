@@ -15,7 +15,7 @@ def q(s: str) -> str:
 
 
 def pmod360(x: str) -> str:
-    return f"((({x}) % 360.0 + 360.0) % 360.0)"
+    return f"(CASE WHEN ({x}) % 360.0 < 0 THEN (({x}) % 360.0 + 360.0) % 360.0 ELSE ({x}) % 360.0 END)"
 
 
 def sector_ord(x: str) -> str:
@@ -572,3 +572,133 @@ SQL["class_counts"] = PREP + PERS + f"""
 SELECT serie, {i64('classe')} AS classe, {i64('count(*)')} AS n FROM (
   SELECT 'reel' AS serie, alerte_pollution AS classe FROM pers
   UNION ALL SELECT 'predit', alerte_pred FROM pers) GROUP BY 1, 2"""
+
+
+# --- J / D7, D8, D10 ----------------------------------------------------------
+
+def _trend_sql(series_cte: str, labels: list[str] | None, clamp: bool = True, horizon: int = 7) -> str:
+    """J1 oracle: series_cte defines d(ville, date, y) with one row per observed day."""
+    step = "greatest(0.0, least(100.0, {x}))" if clamp else "({x})"
+    lvl = bands("prediction", labels) if labels else "CAST(NULL AS VARCHAR)"
+    return series_cte + f""",
+st AS (SELECT ville, count(*) AS n, min(date) AS d0, max(date) AS d1 FROM d GROUP BY ville HAVING count(*) >= 7),
+cal AS (SELECT ville, d0, d1, CAST(unnest(generate_series(greatest(d0, d1 - 13), d1, INTERVAL 1 DAY)) AS DATE) AS date
+        FROM st),
+pv AS (SELECT c.ville, c.date, c.d0, c.d1, p.date AS pd, p.y AS pv
+       FROM cal c ASOF LEFT JOIN d p ON c.ville = p.ville AND c.date >= p.date),
+nx AS (SELECT c.*, n.date AS nd, n.y AS nv
+       FROM pv c ASOF LEFT JOIN d n ON c.ville = n.ville AND n.date >= c.date),
+iv AS (SELECT ville, date, d0, d1,
+              CASE WHEN pd = date THEN pv WHEN pv IS NULL THEN nv WHEN nv IS NULL THEN pv
+                   ELSE (nv - pv) / CAST(datediff('day', pd, nd) AS DOUBLE) * CAST(datediff('day', pd, date) AS DOUBLE) + pv
+              END AS y,
+              row_number() OVER (PARTITION BY ville ORDER BY date DESC) AS rk
+       FROM nx),
+tbase AS (SELECT ville, any_value(d1) AS d1,
+                sum(y) FILTER (WHERE rk <= 7) / 7.0 AS s0,
+                CASE WHEN datediff('day', any_value(d0), any_value(d1)) + 1 >= 14
+                     THEN sum(y) FILTER (WHERE rk > 7 AND rk <= 14) / 7.0
+                     ELSE sum(y) FILTER (WHERE rk <= 7) / 7.0 END AS p0
+         FROM iv GROUP BY ville),
+rec AS (
+  SELECT ville, d1, 1 AS k, (s0 - p0) / 7.0 AS drift, {step.format(x='s0 + (s0 - p0) / 7.0')} AS c FROM tbase
+  UNION ALL
+  SELECT ville, d1, k + 1, drift, {step.format(x='c + drift')} FROM rec WHERE k < {horizon}
+),
+fc AS (SELECT ville, CAST(d1 + k AS DATE) AS date, c AS prediction FROM rec)"""
+
+
+def _rec(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+OBS_SERIES = """,
+d AS (SELECT ville, date, avg(proxy_pm25) AS y FROM obs
+      WHERE date IS NOT NULL AND proxy_pm25 IS NOT NULL AND ville IS NOT NULL GROUP BY ville, date)"""
+
+EV_SERIES = """WITH d AS (SELECT CAST(user_id AS VARCHAR) AS ville, CAST(ts AS DATE) AS date, avg(value) AS y
+      FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2)"""
+
+FC_SELECT = "SELECT ville, date, {p} AS prediction, {lvl} AS niveau FROM fc"
+
+SQL["forecast_trend"] = _rec(PREP + _trend_sql(OBS_SERIES, PROXY_LABELS) + "\n" + FC_SELECT.format(
+    p=r6("prediction"), lvl=bands("prediction", PROXY_LABELS)))
+
+SQL["forecast_trend_events"] = _rec(_trend_sql(EV_SERIES, RISK_LABELS) + "\n" + FC_SELECT.format(
+    p=r6("prediction"), lvl=bands("prediction", RISK_LABELS)))
+
+SQL["forecast_trend_fixed_events"] = _rec(_trend_sql(EV_SERIES, PROXY_LABELS) + "\n" + FC_SELECT.format(
+    p=r6("prediction"), lvl=bands("prediction", PROXY_LABELS)))
+
+SQL["forecast_worst_days"] = _rec(PREP + _trend_sql(OBS_SERIES, PROXY_LABELS) + f""",
+w AS (SELECT *, row_number() OVER (PARTITION BY ville ORDER BY prediction DESC NULLS LAST, date) AS rang FROM fc)
+SELECT ville, date, {r6('prediction')} AS prediction, {bands('prediction', PROXY_LABELS)} AS niveau,
+       {i64('rang')} AS rang FROM w WHERE rang <= 3""")
+
+SQL["densify_daily"] = PREP + f""",
+d AS (SELECT ville, date, avg(proxy_pm25) AS y FROM obs
+      WHERE date IS NOT NULL AND ville IS NOT NULL GROUP BY ville, date HAVING avg(proxy_pm25) IS NOT NULL),
+st AS (SELECT ville, min(date) AS d0, max(date) AS d1 FROM d GROUP BY ville),
+cal AS (SELECT ville, CAST(unnest(generate_series(d0, d1, INTERVAL 1 DAY)) AS DATE) AS date FROM st),
+pv AS (SELECT c.ville, c.date, p.date AS pd, p.y AS pv
+       FROM cal c ASOF LEFT JOIN d p ON c.ville = p.ville AND c.date >= p.date),
+nx AS (SELECT c.*, n.date AS nd, n.y AS nv
+       FROM pv c ASOF LEFT JOIN d n ON c.ville = n.ville AND n.date >= c.date)
+SELECT ville, date,
+       {r6("CASE WHEN pd = date THEN pv WHEN pv IS NULL THEN nv WHEN nv IS NULL THEN pv ELSE (nv - pv) / CAST(datediff('day', pd, nd) AS DOUBLE) * CAST(datediff('day', pd, date) AS DOUBLE) + pv END")} AS proxy_pm25,
+       NOT (pd = date) AS interpole
+FROM nx"""
+
+PROJ = ["temp_max", "temp_min", "temp_moy", "ressenti_max", "point_rosee_moy", "humidite_moy", "pression_mer_moy",
+        "hauteur_couche_limite_moy", "vitesse_vent_max", "direction_vent", "rafales_max", "precipitation",
+        "rayonnement_court_total", "duree_jour", "duree_ensoleillement"]
+
+SQL["last_valid_values"] = PREP + "\nSELECT ville, " + ", ".join(
+    f"{r6(f'last({c} ORDER BY date ASC NULLS LAST, identifiant) FILTER (WHERE {c} IS NOT NULL)')} AS {c}"
+    for c in PROJ) + " FROM obs WHERE ville IS NOT NULL GROUP BY ville"
+
+LONG = f""",
+lg AS (SELECT ville, date, identifiant, colonne, CAST(valeur AS DOUBLE) AS valeur FROM (
+         UNPIVOT (SELECT ville, date, identifiant, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in PROJ)} FROM obs)
+         ON {", ".join(PROJ)} INTO NAME colonne VALUE valeur)),
+lr AS (SELECT *, row_number() OVER (PARTITION BY ville, colonne ORDER BY date DESC NULLS FIRST, identifiant DESC) AS rn
+       FROM lg),
+arrs AS (SELECT ville, colonne, list(valeur ORDER BY rn DESC) AS a FROM lr WHERE rn <= 14 GROUP BY ville, colonne)"""
+
+
+def _slope(a: str) -> str:
+    return (f"(CASE WHEN len({a}) >= 14 THEN (list_sum(list_slice({a}, len({a}) - 6, len({a}))) / 7.0 "
+            f"- list_sum(list_slice({a}, len({a}) - 13, len({a}) - 7)) / 7.0) / 7.0 "
+            f"WHEN len({a}) >= 2 THEN ({a}[len({a})] - {a}[1]) / (len({a}) - 1) ELSE 0.0 END)")
+
+
+SQL["recent_slopes"] = PREP + LONG + f"""
+SELECT ville, colonne, {r6(_slope('a'))} AS pente FROM arrs"""
+
+_RULES = {"humidite_moy": "percent", "direction_vent": "angle", "vitesse_vent_max": "nonneg", "rafales_max": "nonneg",
+          "precipitation": "nonneg", "rayonnement_court_total": "nonneg", "duree_jour": "nonneg",
+          "duree_ensoleillement": "nonneg", "hauteur_couche_limite_moy": "nonneg"}
+
+
+def _bound(v: str) -> str:
+    return (f"(CASE WHEN rule = 'percent' THEN greatest(0.0, least(100.0, {v})) "
+            f"WHEN rule = 'angle' THEN {pmod360(v)} WHEN rule = 'nonneg' THEN greatest(0.0, {v}) ELSE {v} END)")
+
+
+_NEXT = _bound(f"((CASE WHEN len(s) > 0 THEN s[len(s)] ELSE 0.0 END) + {_slope('s')})")
+
+SQL["covariate_projection"] = _rec(PREP + LONG + f""",
+elig AS (SELECT ville FROM obs WHERE ville IS NOT NULL GROUP BY ville HAVING count(*) >= 14),
+grid AS (SELECT e.ville, c.colonne,
+                CASE {" ".join(f"WHEN c.colonne = '{k}' THEN '{v}'" for k, v in _RULES.items())} ELSE 'none' END AS rule
+         FROM elig e CROSS JOIN (SELECT unnest([{", ".join(f"'{c}'" for c in PROJ)}]) AS colonne) c),
+g0 AS (SELECT grid.ville, grid.colonne, grid.rule, coalesce(arrs.a, CAST([] AS DOUBLE[])) AS s
+       FROM grid LEFT JOIN arrs ON grid.ville = arrs.ville AND grid.colonne = arrs.colonne),
+rec AS (
+  SELECT ville, colonne, rule, 0 AS pas, s, CAST(NULL AS DOUBLE) AS v FROM g0
+  UNION ALL
+  SELECT ville, colonne, rule, pas + 1,
+         list_slice(list_append(s, nv), greatest(len(s) - 12, 1), greatest(len(s) - 12, 1) + 13), nv
+  FROM (SELECT *, {_NEXT} AS nv FROM rec WHERE pas < 7)
+)
+SELECT ville, colonne, {i64('pas')} AS pas, {r6('v')} AS valeur FROM rec WHERE pas > 0""")
