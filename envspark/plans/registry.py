@@ -513,3 +513,77 @@ def q_covariates(spark, sf_dir):
 def q_future(spark, sf_dir):
     """The future feature rows of every city (horizon 7)."""
     return J.future_features(obs(spark, sf_dir), HORIZON)
+
+
+# --- K5-K13, L7, J5: models (rows-only checks: training is iterative) ----------
+
+import os as _os  # noqa: E402
+import tempfile as _tempfile  # noqa: E402
+
+from envspark.operators import models as M  # noqa: E402
+from envspark.plans import batch as B  # noqa: E402
+from envspark.session import checkpoint_dir  # noqa: E402
+
+_RUNS: dict = {}
+
+
+def _run(spark, sf_dir, target=PROXY, names=None):
+    key = (id(spark._jsparkSession), sf_dir.rstrip("/"), target, tuple(names or ()))
+    if key not in _RUNS:
+        _RUNS[key] = B.train_and_compare(prepared(spark, sf_dir), target, names)
+    return _RUNS[key]
+
+
+@register("ridge_model")
+def q_ridge(spark, sf_dir):
+    """K5 (+K1-K4, L1): ridge on scaled features, test metrics."""
+    r = _run(spark, sf_dir, PROXY, ["Ridge"])
+    return M.results_frame(spark, r.results, r.td.task)
+
+
+@register("model_comparison")
+def q_comparison(spark, sf_dir):
+    """K5, K7, K8, K11, K12, L7 for the regression target."""
+    return _run(spark, sf_dir).comparison
+
+
+@register("model_comparison_classification")
+def q_comparison_cls(spark, sf_dir):
+    """K6-K9, K11, K12, L7 for the alert flag (classification)."""
+    return _run(spark, sf_dir, "alerte_pollution").comparison
+
+
+@register("feature_importance")
+def q_importance(spark, sf_dir):
+    """K13 of the best regression model."""
+    return _run(spark, sf_dir).importance
+
+
+@register("model_group_metrics")
+def q_model_groups(spark, sf_dir):
+    """L6 on the best model's test predictions."""
+    return _run(spark, sf_dir).groups
+
+
+@register("model_forecast")
+def q_model_forecast(spark, sf_dir):
+    """J4 + J5 from the saved artefact of the best model (M3 round trip)."""
+    run = _run(spark, sf_dir)
+    p = prepared(spark, sf_dir)
+    base = checkpoint_dir(spark) or _tempfile.mkdtemp(prefix="envspark-")
+    path = _os.path.join(base, f"artefact-{abs(hash((sf_dir, run.best.name)))}")
+    M.save_artefact(path, run.best, run.td, None)
+    return B.model_forecast(p, path, HORIZON)
+
+
+@register("early_stopped_booster")
+def q_early_stopped(spark, sf_dir):
+    """K10 with the C4 validation split: test metrics of the booster."""
+    run = _run(spark, sf_dir, PROXY, ["Ridge"])
+    td = run.td
+    tr = td.train.select("*", F.col("_m_ville").alias("ville"), F.col("_m_date").alias("date"),
+                         F.col("_m_identifiant").alias("identifiant"))
+    val = S.validation_split(tr)
+    model = M._pipeline(td.features, M.early_stopped_booster(len(td.features))).fit(val)
+    pred = M.score(model, td.test, td.task)
+    return L.regression_metrics(pred, "label", "prediction")
