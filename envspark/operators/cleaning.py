@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from envspark import config as C
 from envspark.functions.exprs import nan_to_null, parse_date, to_number
+from envspark.functions.quantiles import exact_medians_wide, exact_quantiles
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -65,7 +66,8 @@ def fit_duration_medians(df: DataFrame, cols: Sequence[str] = C.DURATION_COLS) -
     present = [c for c in cols if c in df.columns]
     if not present:
         return df.sparkSession.range(1).select()
-    return df.agg(*[F.median(to_number(c)).alias(f"{c}__median") for c in present])
+    nums = df.select(*[to_number(c).alias(c) for c in present])
+    return exact_medians_wide(nums, present, suffix="__median")
 
 
 def seconds_to_hours(df: DataFrame, cols: Sequence[str] = C.DURATION_COLS,
@@ -102,13 +104,10 @@ def audit(df: DataFrame) -> DataFrame:
 def describe_exact(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, sample std, min, exact linear quartiles, max."""
     x = F.col(col)
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                  F.min(x).cast("double").alias("min"), q.alias("_q"),
-                  F.max(x).cast("double").alias("max")) \
-        .select("count", "mean", "std", "min",
-                F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"),
-                "max")
+    m = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+               F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max"))
+    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], names=["q25", "q50", "q75"])
+    return m.crossJoin(q).select("count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:

@@ -19,9 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from envspark import config as C
-from envspark.functions.joins import join_keys
+from envspark.functions.quantiles import cumulative_counts
+from envspark.functions.windows import halo_window_columns
 
-SCORE_BUCKETS = 64
 
 
 def scored_persistence(obs: DataFrame, target: str = "proxy_pm25", test_only: bool = True) -> DataFrame:
@@ -30,11 +30,12 @@ def scored_persistence(obs: DataFrame, target: str = "proxy_pm25", test_only: bo
     table (FIXTURES 1b) for the evaluation operators without ML.
     Regression: prediction = previous proxy.  Classification columns:
     ``alerte_pred`` = previous flag, ``score_prediction`` = previous proxy / 100."""
-    w = Window.partitionBy("ville").orderBy(F.col("date").asc_nulls_last(), F.col("identifiant"))
-    d = obs.withColumns({
-        "prediction": F.when(F.col("ville").isNotNull(), F.lag(target, 1).over(w)),
-        "alerte_pred": F.when(F.col("ville").isNotNull(), F.lag("alerte_pollution", 1).over(w)),
-    }).withColumn("score_prediction", F.col("prediction") / F.lit(100.0))
+    def build(w):
+        return {"prediction": F.when(F.col("ville").isNotNull(), F.lag(target, 1).over(w)),
+                "alerte_pred": F.when(F.col("ville").isNotNull(), F.lag("alerte_pollution", 1).over(w))}
+    # per (city, year) with a one-row halo: a hot city is split by year
+    d = halo_window_columns(obs, "ville", ["date", "identifiant"], [target, "alerte_pollution"], 1, build)
+    d = d.withColumn("score_prediction", F.col("prediction") / F.lit(100.0))
     if test_only:
         d = d.where(F.col("annee") > F.col("_cutoff"))
     return d.where(F.col(target).isNotNull() & F.col("prediction").isNotNull()).select(
@@ -94,48 +95,22 @@ def _score_counts(df: DataFrame, y: str, s: str, by: Sequence[str]) -> DataFrame
         F.count_if(F.col(y).cast("int") != 1).alias("_neg"))
 
 
-def cumulative_by_score(counts: DataFrame, by: Sequence[str] = (), descending: bool = False,
-                        buckets: int = SCORE_BUCKETS) -> DataFrame:
-    """Distributed prefix sums of _pos/_neg over ``_s`` within each key.
-
-    Adds ``_cpos``/``_cneg`` = totals over scores strictly before this one
-    in the chosen direction.  Scores are cut into ranges by approximate
-    quantiles (per key), range totals get offsets on the small (key, range)
-    table, and the in-range cumulative window is partitioned by (key, range)."""
-    keys = list(by)
-    sgn = F.lit(-1.0) if descending else F.lit(1.0)
-    c = counts.withColumn("_o", F.col("_s") * sgn)
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = (c.groupBy(*keys).agg(F.percentile_approx("_o", probs, 1000).alias("_cuts")) if keys
-            else c.agg(F.percentile_approx("_o", probs, 1000).alias("_cuts")))
-    if keys:
-        c = join_keys(c, cuts, keys)
-    else:
-        c = c.crossJoin(F.broadcast(cuts))
-    c = c.withColumn("_b", F.size(F.filter(F.col("_cuts"), lambda x: x < F.col("_o")))).drop("_cuts")
-    tot = c.groupBy(*keys, "_b").agg(F.sum("_pos").alias("_bp"), F.sum("_neg").alias("_bn"))
-    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1) if keys else \
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per (key, range): at most `buckets` rows per key
-    off = tot.withColumns({"_op": F.coalesce(F.sum("_bp").over(wb), F.lit(0)),
-                           "_on": F.coalesce(F.sum("_bn").over(wb), F.lit(0))}).drop("_bp", "_bn")
-    c = join_keys(c, off, [*keys, "_b"])
-    wi = Window.partitionBy(*keys, "_b").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
-    return c.withColumns({
-        "_cpos": F.col("_op") + F.coalesce(F.sum("_pos").over(wi), F.lit(0)),
-        "_cneg": F.col("_on") + F.coalesce(F.sum("_neg").over(wi), F.lit(0)),
-    }).drop("_op", "_on", "_o", "_b")
+def cumulative_by_score(counts: DataFrame, by: Sequence[str] = (), descending: bool = False) -> DataFrame:
+    """Distributed prefix sums of _pos/_neg over the distinct scores ``_s``
+    (see ``functions.quantiles.cumulative_counts``): adds ``_cpos``/``_cneg``,
+    the totals over scores strictly before this one."""
+    return cumulative_counts(counts, "_s", ["_pos", "_neg"], by, descending)
 
 
 def roc_auc(df: DataFrame, y: str, s: str, by: Sequence[str] = ()) -> DataFrame:
     """L3: Mann-Whitney AUC with ties counted half; NULL unless both classes occur."""
     keys = list(by)
     cum = cumulative_by_score(_score_counts(df, y, s, keys), keys)
-    contrib = F.col("_pos") * (F.col("_cneg") + F.col("_neg") / F.lit(2.0))
-    agg = [F.sum(contrib).alias("_u"), F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N")]
+    contrib = F.col("_pos") * (F.col("_c_neg") + F.col("_neg") / F.lit(2.0))
+    agg = [F.sum(contrib).alias("_u"), F.sum("_pos").alias("_tot_pos"), F.sum("_neg").alias("_tot_neg")]
     g = cum.groupBy(*keys).agg(*agg) if keys else cum.agg(*agg)
-    return g.select(*keys, F.when((F.col("_P") > 0) & (F.col("_N") > 0),
-                                  F.col("_u") / (F.col("_P") * F.col("_N"))).alias("ROC_AUC"))
+    return g.select(*keys, F.when((F.col("_tot_pos") > 0) & (F.col("_tot_neg") > 0),
+                                  F.col("_u") / (F.col("_tot_pos") * F.col("_tot_neg"))).alias("ROC_AUC"))
 
 
 def roc_points(df: DataFrame, y: str, s: str) -> DataFrame:
@@ -143,11 +118,11 @@ def roc_points(df: DataFrame, y: str, s: str) -> DataFrame:
     of the rule score >= threshold."""
     counts = _score_counts(df, y, s, [])
     cum = cumulative_by_score(counts, [], descending=True)
-    tot = counts.agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
+    tot = counts.agg(F.sum("_pos").alias("_tot_pos"), F.sum("_neg").alias("_tot_neg"))
     j = cum.crossJoin(F.broadcast(tot))
     return j.select(F.col("_s").alias("seuil"),
-                    ((F.col("_cpos") + F.col("_pos")) / F.col("_P")).alias("tpr"),
-                    ((F.col("_cneg") + F.col("_neg")) / F.col("_N")).alias("fpr"))
+                    ((F.col("_c_pos") + F.col("_pos")) / F.col("_tot_pos")).alias("tpr"),
+                    ((F.col("_c_neg") + F.col("_neg")) / F.col("_tot_neg")).alias("fpr"))
 
 
 def confusion_matrix(df: DataFrame, y: str, p: str) -> DataFrame:

@@ -4,9 +4,9 @@ All lag and trailing-mean columns share ONE window specification, so the
 physical plan has a single shuffle by city, a single sort and one
 ``Window`` node for the 15 columns.
 
-Scale: the grain is (city, day), so a city partition holds at most one row
-per calendar day per duplicate; its size is bounded by the calendar span,
-not by the size of the source data.
+Scale: the shared window is split per (city, year) with a halo of the
+preceding rows, so even a city holding a third of all rows is processed by
+one task per year, with values identical to the per-city window.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from envspark import config as C
 from envspark.functions.exprs import to_number
+from envspark.functions.windows import halo_window_columns
 
 
 def city_order_window(city: str = "ville", order_key: str | None = "identifiant"):
@@ -85,18 +86,12 @@ def add_derived(df: DataFrame) -> DataFrame:
     return df.withColumns(exprs) if exprs else df
 
 
-def lag_window_columns(df: DataFrame, lag_vars: Sequence[str] = C.LAG_VARS,
-                       lags: Sequence[int] = C.LAGS, rows: int = C.TRAILING_ROWS,
-                       city: str = "ville", order_key: str | None = "identifiant") -> dict[str, Column]:
+def lag_window_columns(w, vars_: Sequence[str], lags: Sequence[int] = C.LAGS, rows: int = C.TRAILING_ROWS,
+                       city: str = "ville") -> dict[str, Column]:
     """D2 + D3 expressions over one shared window (row based, T11/T12).
 
     Rows whose city is missing get missing values (pandas drops NULL keys
     from group-by; Spark would group them together)."""
-    vars_ = [c for c in lag_vars if c in df.columns]
-    if city not in df.columns or not vars_:
-        return {}
-    okey = order_key if order_key and order_key in df.columns else None
-    w = city_order_window(city, okey)
     has_city = F.col(city).isNotNull()
     out: dict[str, Column] = {}
     for k in lags:
@@ -108,6 +103,20 @@ def lag_window_columns(df: DataFrame, lag_vars: Sequence[str] = C.LAG_VARS,
     return out
 
 
-def add_lags_and_trailing(df: DataFrame, **kw) -> DataFrame:
-    exprs = lag_window_columns(df, **kw)
-    return df.withColumns(exprs) if exprs else df
+def add_lags_and_trailing(df: DataFrame, lag_vars: Sequence[str] = C.LAG_VARS, lags: Sequence[int] = C.LAGS,
+                          rows: int = C.TRAILING_ROWS, city: str = "ville",
+                          order_key: str | None = "identifiant", split_hot_cities: bool = True) -> DataFrame:
+    """D1-D3.  With ``split_hot_cities`` the window runs per (city, year)
+    with a halo of the preceding rows (functions.windows): identical values,
+    and a city holding a large share of the rows is spread over one task per
+    year instead of one task."""
+    vars_ = [c for c in lag_vars if c in df.columns]
+    if city not in df.columns or not vars_:
+        return df
+    okey = order_key if order_key and order_key in df.columns else None
+    order = ["date"] + ([okey] if okey else [])
+    look = max(max(lags), rows)
+    if split_hot_cities:
+        return halo_window_columns(df, city, order, vars_, look,
+                                   lambda w: lag_window_columns(w, vars_, lags, rows, city))
+    return df.withColumns(lag_window_columns(city_order_window(city, okey), vars_, lags, rows, city))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from envspark import config as C
 from envspark.functions.exprs import bound_rule, level_expr
 from envspark.functions.joins import join_keys
+from envspark.functions.windows import last_k, year_bucket
 from envspark.operators import features
 
 
@@ -179,9 +180,8 @@ def recent_values(df: DataFrame, cols: Sequence[str], city: str = "ville", keep:
     stack = "stack({n}, {items}) as (colonne, valeur)".format(
         n=len(cols), items=", ".join(f"'{c}', cast(`{c}` as double)" for c in cols))
     long = df.select(city, "date", "identifiant", F.expr(stack)).where(F.col("valeur").isNotNull())
-    w = Window.partitionBy(city, "colonne").orderBy(F.col("date").desc_nulls_first(),
-                                                     F.col("identifiant").desc())
-    last = long.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep)
+    last = last_k(long, [city, "colonne"], [F.col("date").desc_nulls_first(), F.col("identifiant").desc()],
+                  keep, year_bucket("date"))
     return last.groupBy(city, "colonne").agg(
         F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_rn")).alias("k"), F.col("valeur").alias("v")))),
                     lambda s: s["v"]).alias("_arr"))
@@ -246,8 +246,8 @@ def future_features(df: DataFrame, horizon: int = 7, city: str = "ville") -> Dat
     cols = projection_columns(df)
     cities = eligible_cities(df, city)
     hist = df.join(cities.select(city), city, "left_semi")
-    wlast = Window.partitionBy(city).orderBy(F.col("date").desc_nulls_last(), F.col("identifiant").desc())
-    ranked = hist.withColumn("_rn", F.row_number().over(wlast))
+    ranked = last_k(hist, [city], [F.col("date").desc_nulls_last(), F.col("identifiant").desc()],
+                    C.TRAILING_ROWS, F.coalesce(F.year("date"), F.lit(-1)))
     last_row = ranked.where(F.col("_rn") == 1).drop("_rn")
     proj = project_covariates(df, horizon, city)
     wide = proj.groupBy(city, "pas").pivot("colonne", cols).agg(F.first("valeur"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from envspark import config as C
 from envspark.functions.exprs import clip01
+from envspark.functions.quantiles import exact_quantiles
 
 
 def fit_cutoff(df: DataFrame, test_years: int = C.TEST_YEARS) -> DataFrame:
@@ -111,9 +112,9 @@ def fit_threshold(train: DataFrame, q: float = C.ALERT_QUANTILE, exact: bool = T
                   col: str = "proxy_pm25") -> DataFrame:
     """Exact linear-interpolated quantile on the training rows (T6);
     ``exact=False`` switches to percentile_approx for very large inputs."""
-    x = F.col(col)
-    agg = F.percentile(x, F.lit(q)) if exact else F.percentile_approx(x, F.lit(q), 100000)
-    return train.agg(agg.cast("double").alias("seuil"))
+    if exact:
+        return exact_quantiles(train, col, [q], names=["seuil"])
+    return train.agg(F.percentile_approx(F.col(col), F.lit(q), 100000).cast("double").alias("seuil"))
 
 
 def alert_flag(p: Column, threshold: Column) -> Column:

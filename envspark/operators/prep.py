@@ -12,10 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from envspark.functions.quantiles import exact_medians_wide
+
 
 def fit_medians(train: DataFrame, num_cols: Sequence[str]) -> DataFrame:
     """K1 fit: exact median of each numeric feature on the training rows (one row)."""
-    return train.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in num_cols])
+    return exact_medians_wide(train, list(num_cols))
 
 
 def impute(df: DataFrame, medians: DataFrame, num_cols: Sequence[str], default: float | None = None) -> DataFrame:

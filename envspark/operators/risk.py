@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from envspark import config as C
 from envspark.functions.exprs import band_label, clip, np_round
+from envspark.functions.windows import last_k
 
 
 def first_valid(c: str, order: tuple[str, ...] = ("date", "identifiant")) -> Column:
@@ -36,9 +37,9 @@ def recent_delta(daily: DataFrame, target: str = "proxy_pm25", city: str = "vill
     """Over the last 14 observed days of each city, mean of the last 7
     minus mean of the older ones when at least 8 days exist, else 0.0.
 
-    The window runs on the (city, day) grain, one partition per city."""
-    w = Window.partitionBy(city).orderBy(F.col("date").desc())
-    last = daily.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= window)
+    The last 14 days are selected in two phases (per city-year, then per
+    city), so no window sorts a whole city."""
+    last = last_k(daily, [city], [F.col("date").desc()], window, F.year("date"))
     recent = F.when(F.col("_rn") <= 7, F.col(target))
     older = F.when(F.col("_rn") > 7, F.col(target))
     return last.groupBy(city).agg(

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from envspark import config as C
 from envspark.functions.exprs import (band_ordinal, label_of, level_expr, month_label, np_round,
                                       safe_corr, wind_regime, wind_sector, wind_sector_ordinal)
+from envspark.functions.joins import join_keys
+from envspark.functions.quantiles import exact_quantiles
+from envspark.functions.windows import halo_window_columns, last_k
 from envspark.operators.risk import city_risk, first_valid
 
 
@@ -97,8 +100,9 @@ def alert_share_by_region(df: DataFrame) -> DataFrame:
 
 def region_median_order(df: DataFrame, target: str = "proxy_pm25", exact: bool = True) -> DataFrame:
     """Exact median per region (ordering key of the box plots)."""
-    m = F.median(target) if exact else F.percentile_approx(target, 0.5, 100000)
-    return df.groupBy("region").agg(m.cast("double").alias("mediane"))
+    if exact:
+        return exact_quantiles(df, target, [0.5], by=["region"], names=["mediane"])
+    return df.groupBy("region").agg(F.percentile_approx(target, 0.5, 100000).cast("double").alias("mediane"))
 
 
 def box_stats(df: DataFrame, group: str, value: str, exact: bool = True) -> DataFrame:
@@ -107,10 +111,14 @@ def box_stats(df: DataFrame, group: str, value: str, exact: bool = True) -> Data
     group, joined back) then conditional min/max/count."""
     x = F.col(value)
     base = df.where(x.isNotNull()).select(F.col(group).alias("groupe"), x.alias("v"))
-    pct = (F.percentile(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-           else F.percentile_approx(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100000))
-    q = base.groupBy("groupe").agg(pct.alias("_q"), F.count(F.lit(1)).alias("n")).select(
-        "groupe", "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("mediane"), F.col("_q")[2].alias("q3"))
+    n = base.groupBy("groupe").agg(F.count(F.lit(1)).alias("n"))
+    if exact:
+        qs = exact_quantiles(base, "v", [0.25, 0.5, 0.75], by=["groupe"], names=["q1", "mediane", "q3"])
+    else:
+        pct = F.percentile_approx(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100000)
+        qs = base.groupBy("groupe").agg(pct.alias("_q")).select(
+            "groupe", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("mediane"), F.col("_q")[2].alias("q3"))
+    q = join_keys(n, qs, ["groupe"])
     q = q.withColumns({"_lo": F.col("q1") - F.lit(1.5) * (F.col("q3") - F.col("q1")),
                        "_hi": F.col("q3") + F.lit(1.5) * (F.col("q3") - F.col("q1"))})
     q = q.withColumnRenamed("groupe", "_g")
@@ -222,19 +230,20 @@ def class_counts(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def daily_trend(df: DataFrame, target: str = "proxy_pm25") -> DataFrame:
     """Mean per date and the 7-row moving average including the current
-    row.  The window runs on the day grain (one row per calendar day), whose
-    size is bounded by the calendar span, not by the data volume."""
-    daily = df.where(F.col("date").isNotNull()).groupBy("date").agg(F.avg(target).alias(target))
-    w = Window.orderBy("date").rowsBetween(-6, 0)
-    return daily.withColumn("moyenne_mobile_7j", F.avg(target).over(w))
+    row, computed per year with the 6 preceding days as halo."""
+    daily = (df.where(F.col("date").isNotNull()).groupBy("date").agg(F.avg(target).alias(target))
+               .withColumn("_g", F.lit(0)))
+    # one row per day, split per year with a 6-row halo (no single-task window)
+    out = halo_window_columns(daily, "_g", ["date"], [target], 6,
+                              lambda w: {"moyenne_mobile_7j": F.avg(target).over(w.rowsBetween(-6, 0))})
+    return out.drop("_g")
 
 
 def history_tail(df: DataFrame, target: str = "proxy_pm25", days: int = 60) -> DataFrame:
     """Per city, daily mean over the last ``days`` observed dates."""
     daily = (df.where(F.col("date").isNotNull() & F.col(target).isNotNull() & F.col("ville").isNotNull())
                .groupBy("ville", "date").agg(F.avg(target).alias(target)))
-    w = Window.partitionBy("ville").orderBy(F.col("date").desc())
-    return daily.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= days).drop("_rn")
+    return last_k(daily, ["ville"], [F.col("date").desc()], days, F.year("date")).drop("_rn")
 
 
 def data_browser(df: DataFrame, target: str = "proxy_pm25", level_col: str | None = "niveau_target",

@@ -6,9 +6,10 @@ window) -> [lineage cut] -> index fit on training years (E1) -> proxy,
 stagnation, risk (E2, E5, E6) -> Q80 threshold (E3) -> flag (E4) -> level
 (F1) -> [lineage cut].
 
-The lineage cuts use ``DataFrame.checkpoint()`` into the shared
-``spark.checkpoint.dir`` (reliable, survives executor loss) because the
-prepared table feeds several global fits and many downstream queries.
+The lineage cuts write Parquet tables into the shared
+``spark.checkpoint.dir`` (``session.materialize``): the plan runs once, the
+files survive executor loss, and later scans prune columns and, for the
+prepared table partitioned by year, partitions (slices, temporal split).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from envspark import config as C
 from envspark.functions.exprs import level_expr
 from envspark.operators import cleaning, features, index
-from envspark.session import ensure_checkpoint_dir
+from envspark.session import materialize
 from envspark.sources.observations import observations_from_orders
 
 
@@ -62,13 +63,18 @@ def add_index(df: DataFrame, opts: C.PrepareOptions | None = None) -> tuple[Data
 
 def prepare(raw: DataFrame, opts: C.PrepareOptions | None = None, cut_lineage: bool = True) -> Prepared:
     spark = raw.sparkSession
-    feat = featurize(clean_observations(raw))
+    clean = clean_observations(raw)
     if cut_lineage:
-        ensure_checkpoint_dir(spark)
-        feat = feat.checkpoint()
+        # the source (star-schema adapter) is computed once; the global fits
+        # below (unit medians, index bounds, threshold) scan the written table
+        clean = materialize(clean, "observations_clean")
+    feat = featurize(clean)
+    if cut_lineage:
+        feat = materialize(feat, "observations_features")
     obs, params = add_index(feat, opts)
     if cut_lineage:
-        obs = obs.checkpoint()
+        params = materialize(params, "index_params")
+        obs = materialize(obs, "observations_prepared", partition_by=["annee"])
     return Prepared(obs, params)
 
 

@@ -56,3 +56,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="envspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d
+
+
+def materialize(df, name: str, partition_by: list[str] | None = None):
+    """Cut lineage by writing ``df`` as a Parquet table under the shared
+    ``spark.checkpoint.dir`` and reading it back.
+
+    Unlike an eager ``checkpoint()`` (which computes the plan twice unless it
+    is persisted) the plan runs once; the files live on shared storage, so a
+    lost executor does not lose them; and later scans get column pruning,
+    filter pushdown and, with ``partition_by``, partition pruning."""
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    out = spark.read.parquet(path)
+    if partition_by:
+        out = out.select(*df.columns)   # keep the original column order
+    return out

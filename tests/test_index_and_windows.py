@@ -73,3 +73,38 @@ def test_task_type(spark):
     df = spark.createDataFrame([(0, 1.5), (1, None), (None, 2.0)], "a int, b double")
     assert cleaning.task_type_of(df, "a") == "classification"
     assert cleaning.task_type_of(df, "b") == "regression"
+
+
+def test_distributed_quantiles_equal_spark_percentile(spark):
+    import random
+    from envspark.functions.quantiles import exact_quantiles
+    rnd = random.Random(11)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, float(rnd.randint(0, 300)) / 7]))
+            for _ in range(4000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.25, 0.5, 0.8, 1.0]
+    fast = exact_quantiles(df, "v", probs, by=["g"], buffer_limit=10 ** 9)
+    dist = exact_quantiles(df, "v", probs, by=["g"], buffer_limit=None)
+    a = {r["g"]: tuple(r[1:]) for r in fast.collect()}
+    b = {r["g"]: tuple(r[1:]) for r in dist.collect()}
+    assert a == b and set(a) == {"a", "b", None}
+    g1 = exact_quantiles(df, "v", [0.8], buffer_limit=None).first()[0]
+    g2 = df.agg(F.percentile("v", 0.8)).first()[0]
+    assert g1 == g2
+
+
+def test_halo_split_equals_plain_window(spark):
+    import random
+    rnd = random.Random(5)
+    rows = []
+    for i in range(600):
+        city = rnd.choice(["A", "A", "A", "B", None])
+        date = None if rnd.random() < 0.02 else dt.date(2019 + rnd.randint(0, 4), rnd.randint(1, 12), rnd.randint(1, 28))
+        rows.append((i, date, city, rnd.choice([None, float(rnd.randint(0, 50))])))
+    # a year with a single row forces halos that span several earlier years
+    rows.append((999, dt.date(2030, 1, 1), "B", 1.0))
+    df = spark.createDataFrame(rows, "identifiant long, date date, ville string, temp_max double")
+    a = features.add_lags_and_trailing(df, lag_vars=["temp_max"], split_hot_cities=True)
+    b = features.add_lags_and_trailing(df, lag_vars=["temp_max"], split_hot_cities=False)
+    cols = ["identifiant", "temp_max_lag1", "temp_max_lag7", "temp_max_moy7j"]
+    assert sorted(a.select(*cols).collect()) == sorted(b.select(*cols).collect())
