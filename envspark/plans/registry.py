@@ -587,3 +587,33 @@ def q_early_stopped(spark, sf_dir):
     model = M._pipeline(td.features, M.early_stopped_booster(len(td.features))).fit(val)
     pred = M.score(model, td.test, td.task)
     return L.regression_metrics(pred, "label", "prediction")
+
+
+
+# --- A1 landed file, M4 payload -------------------------------------------------
+
+from envspark import sinks as SK  # noqa: E402
+from envspark.session import ensure_checkpoint_dir  # noqa: E402
+from envspark.sources.observations import read_observations  # noqa: E402
+
+
+@register("landed_observations")
+def q_landed(spark, sf_dir):
+    """A1: the source table landed as CSV (header names padded with spaces
+    and nbsp) and read back with the declared schema."""
+    src = observations_from_orders(spark, sf_dir)
+    padded = src.toDF(*[f" {c}\xa0" for c in src.columns])
+    path = _os.path.join(ensure_checkpoint_dir(spark), "landed", f"obs-{abs(hash(sf_dir))}")
+    padded.write.mode("overwrite").option("header", True).csv(path)
+    return read_observations(spark, path, "csv", src.schema)
+
+
+@register("api_payload")
+def q_payload(spark, sf_dir):
+    """M4: payload KPIs (rounded to 2) with the 7-day trend forecast of the
+    first city in alphabetical order, one row per forecast record."""
+    p = prepared(spark, sf_dir)
+    fc = J.forecast_trend(p.obs, PROXY, HORIZON)
+    first = p.obs.where(F.col("ville").isNotNull()).agg(F.min("ville").alias("ville"))
+    fc = fc.join(F.broadcast(first), "ville", "left_semi")
+    return SK.payload_rows(p.obs, fc, p.params.select("seuil"), PROXY)

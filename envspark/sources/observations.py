@@ -32,15 +32,21 @@ FIXED_DIMENSION_ROWS = {"nation": 25, "region": 5}
 
 def read_observations(spark: SparkSession, path: str, fmt: str = "parquet",
                       schema: T.StructType | None = None) -> DataFrame:
-    """A1: one header row, whole-table scan; names trimmed and nbsp -> space."""
+    """A1: one header row, whole-table scan; header names trimmed and
+    nbsp -> space.  With a ``schema`` every present column is coerced to its
+    declared type (``try_cast``: unparsable -> NULL, never an error)."""
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True).option("mode", "PERMISSIVE")
-    if schema is not None:
-        reader = reader.schema(schema)
     df = reader.load(path)
     clean = [c.replace("\xa0", " ").strip() for c in df.columns]
-    return df.toDF(*clean) if clean != df.columns else df
+    if clean != df.columns:
+        df = df.toDF(*clean)
+    if schema is None:
+        return df
+    present = [f for f in schema.fields if f.name in df.columns]
+    return df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in present],
+                     *[c for c in df.columns if c not in schema.fieldNames()])
 
 
 def _per_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -702,3 +702,86 @@ rec AS (
   FROM (SELECT *, {_NEXT} AS nv FROM rec WHERE pas < 7)
 )
 SELECT ville, colonne, {i64('pas')} AS pas, {r6('v')} AS valeur FROM rec WHERE pas > 0""")
+
+
+SQL["landed_observations"] = SQL["source_observations"]
+
+SQL["api_payload"] = _rec(PREP + _trend_sql(OBS_SERIES, PROXY_LABELS) + f""",
+first_city AS (SELECT min(ville) AS ville FROM obs WHERE ville IS NOT NULL),
+k AS (SELECT strftime(max(date), '%Y-%m-%d') AS latest_data_date,
+             {rnd('avg(proxy_pm25)', 2)} AS proxy_pm25_mean,
+             {rnd('avg(alerte_pollution) * 100.0', 2)} AS alert_days_pct,
+             CAST(count(DISTINCT ville) AS BIGINT) AS cities, CAST(count(DISTINCT region) AS BIGINT) AS regions,
+             {rnd('avg(proxy_pm25)', 2)} AS target_mean FROM obs)
+SELECT k.latest_data_date, {r6('k.proxy_pm25_mean')} AS proxy_pm25_mean, {r6('k.alert_days_pct')} AS alert_days_pct,
+       k.cities, k.regions, {r6('k.target_mean')} AS target_mean, {r6(rnd('p.seuil', 2))} AS threshold_alert,
+       strftime(fc.date, '%Y-%m-%d') AS date, {r6('fc.prediction')} AS prediction,
+       {bands('fc.prediction', PROXY_LABELS)} AS niveau, 'projection_tendance' AS forecast_source,
+       'proxy_pm25' AS target_name, 'Proxy PM2.5' AS target_label, 'regression' AS task_type
+FROM fc JOIN first_city f ON fc.ville = f.ville CROSS JOIN k CROSS JOIN params p""")
+
+
+# --- J4: future feature rows ---------------------------------------------------
+
+_CARRIED = ["identifiant", "region", "latitude", "longitude", "zone_climatique", "categorie_meteo",
+            "cutoff", "proxy_pm25", "indice_stagnation", "score_risque", "alerte_pollution", "niveau_alerte"]
+_LAGV = LAG_VARS
+
+
+def _future_sql(horizon: int = 7) -> str:
+    proj_cols = ", ".join(f"max(v) FILTER (WHERE colonne = '{c}') AS {c}" for c in PROJ)
+    lag_exprs = ", ".join(
+        [f"lag({v}, 1) OVER w AS {v}_lag1" for v in _LAGV] + [f"lag({v}, 7) OVER w AS {v}_lag7" for v in _LAGV]
+        + [f"avg({v}) OVER w7 AS {v}_moy7j" for v in _LAGV])
+    cov = SQL["covariate_projection"]
+    cov_ctes = cov[cov.index("WITH RECURSIVE ") + len("WITH RECURSIVE "):cov.rindex("\nSELECT ville, colonne,")]
+    return "WITH RECURSIVE " + cov_ctes + f""",
+pw AS (SELECT ville, pas, {proj_cols} FROM rec WHERE pas > 0 GROUP BY ville, pas),
+hist AS (SELECT o.* FROM obs o WHERE o.ville IN (SELECT ville FROM elig)),
+hr AS (SELECT *, row_number() OVER (PARTITION BY ville ORDER BY date DESC NULLS LAST, identifiant DESC) AS rn FROM hist),
+lastrow AS (SELECT * FROM hr WHERE rn = 1),
+s_cm AS (SELECT ville, mois, saison, count(*) AS n FROM hist WHERE saison IS NOT NULL GROUP BY ville, mois, saison),
+s_bm AS (SELECT ville, mois, saison AS saison_mois FROM (
+           SELECT *, row_number() OVER (PARTITION BY ville, mois ORDER BY n DESC, saison) AS r FROM s_cm) WHERE r = 1),
+s_ov AS (SELECT ville, saison AS saison_mode FROM (
+           SELECT ville, saison, row_number() OVER (PARTITION BY ville ORDER BY sum(n) DESC, saison) AS r
+           FROM s_cm GROUP BY ville, saison) WHERE r = 1),
+s_la AS (SELECT ville, last(saison ORDER BY date ASC NULLS LAST, identifiant) AS saison_derniere
+         FROM hist WHERE saison IS NOT NULL GROUP BY ville),
+fut0 AS (
+  SELECT l.ville, pw.pas, CAST(l.date + CAST(pw.pas AS INTEGER) AS DATE) AS date,
+         {", ".join(f"l.{c}" for c in _CARRIED)}, {", ".join(f"pw.{c}" for c in PROJ)}
+  FROM lastrow l JOIN pw ON l.ville = pw.ville),
+fut1 AS (
+  SELECT f.*, CAST(year(f.date) AS INTEGER) AS annee, CAST(month(f.date) AS INTEGER) AS mois,
+         CAST(dayofyear(f.date) AS INTEGER) AS jour_annee, CAST(quarter(f.date) AS INTEGER) AS trimestre,
+         CAST(isodow(f.date) - 1 AS INTEGER) AS jour_semaine
+  FROM fut0 f),
+fut2 AS (
+  SELECT f.*, coalesce(bm.saison_mois, la.saison_derniere, ov.saison_mode) AS saison,
+         sin(2 * pi() * f.mois / 12.0) AS mois_sin, cos(2 * pi() * f.mois / 12.0) AS mois_cos,
+         sin(radians(f.direction_vent)) AS vent_sin, cos(radians(f.direction_vent)) AS vent_cos,
+         f.temp_moy - f.point_rosee_moy AS ecart_point_rosee,
+         f.rafales_max / (f.vitesse_vent_max + 0.1) AS ratio_rafales,
+         f.pression_mer_moy - 1013.25 AS pression_anomalie,
+         f.temp_max - f.ressenti_max AS ecart_ressenti,
+         f.duree_ensoleillement / (f.duree_jour + 0.01) AS ratio_ensoleillement
+  FROM fut1 f LEFT JOIN s_bm bm ON f.ville = bm.ville AND f.mois = bm.mois
+       LEFT JOIN s_la la ON f.ville = la.ville LEFT JOIN s_ov ov ON f.ville = ov.ville),
+sq AS (SELECT ville, date, 0 AS pas, {", ".join(_LAGV)} FROM hr WHERE rn <= 7
+       UNION ALL SELECT ville, date, pas, {", ".join(_LAGV)} FROM fut2),
+lg2 AS (SELECT ville, pas, {lag_exprs} FROM sq
+        WINDOW w AS (PARTITION BY ville ORDER BY date, pas),
+               w7 AS (PARTITION BY ville ORDER BY date, pas ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+fut AS (SELECT f.*, g.* EXCLUDE (ville, pas) FROM fut2 f JOIN lg2 g ON f.ville = g.ville AND f.pas = g.pas)"""
+
+
+_FUT_DBL = [c for c in OBS_DBL]
+_FUT_INT = ["mois", "annee", "trimestre", "jour_semaine", "jour_annee", "alerte_pollution"]
+
+SQL["future_features"] = _future_sql() + f"""
+SELECT f.identifiant, f.date, {", ".join(f"f.{c}" for c in OBS_STR)},
+       {", ".join(f"{i64(f'f.{c}')} AS {c}" for c in _FUT_INT)},
+       {", ".join(f"{r6(f'f.{c}')} AS {c}" for c in _FUT_DBL)},
+       {i64('f.cutoff')} AS _cutoff, {r6('p.seuil')} AS _seuil, {i64('f.pas')} AS pas
+FROM fut f CROSS JOIN params p"""
