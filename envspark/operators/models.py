@@ -147,12 +147,26 @@ def metrics_of(pred: DataFrame, task: str) -> dict:
     return {k: m[k] for k in ("R2", "RMSE", "MAE")}
 
 
+ROWS_PER_TRAINING_PARTITION = 500_000
+
+
+def training_partitions(spark: SparkSession, n_rows: int) -> int:
+    """Iterative learners pay a scheduling cost per partition on every pass
+    (one per tree level per tree), so training data is sized by rows, not by
+    the shuffle width: at least ``ROWS_PER_TRAINING_PARTITION`` rows per
+    partition, at most 4 partitions per core of the cluster."""
+    cap = max(1, 4 * spark.sparkContext.defaultParallelism)
+    return int(min(cap, max(1, -(-n_rows // ROWS_PER_TRAINING_PARTITION))))
+
+
 def train_candidates(td: TrainingData, names: list[str] | None = None) -> list[RunResult]:
     """Each candidate trained once on the persisted training rows;
     failures are isolated; at least one must succeed; wall time recorded."""
-    train = td.train.persist(StorageLevel.MEMORY_AND_DISK)
-    train_s = td.train_scaled.persist(StorageLevel.MEMORY_AND_DISK)
-    st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd")).first()
+    spark = td.train.sparkSession
+    st = td.train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd")).first()
+    parts = training_partitions(spark, st["n"])
+    train = td.train.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    train_s = td.train_scaled.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
     cands = candidates(td.task, len(td.features), st["n"], st["sd"] or 0.0)
     results: list[RunResult] = []
     for name, est in cands:

@@ -382,8 +382,17 @@ def q_encoded(spark, sf_dir):
 
 # --- L: evaluation on the persistence predictor -------------------------------
 
+_SCORED: dict = {}
+
+
 def persistence(spark, sf_dir) -> DataFrame:
-    return L.scored_persistence(obs(spark, sf_dir), PROXY)
+    """The persistence-scored test table, written once per session (it feeds
+    several aggregates per query: metrics, prefix sums, group evaluation)."""
+    from envspark.session import materialize
+    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    if key not in _SCORED:
+        _SCORED[key] = materialize(L.scored_persistence(obs(spark, sf_dir), PROXY), "scored_persistence")
+    return _SCORED[key]
 
 
 @register("predictions_persistence")

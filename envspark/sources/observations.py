@@ -138,9 +138,9 @@ def observations_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The region of a user is the event type of its lowest event id.  Both
     aggregates are computed per (user, day) with map-side partial
-    aggregation, then one window per user (user-days, at most one row per
-    calendar day per user) picks the region: no event-level shuffle beyond
-    the first aggregation, and a hot user is pre-aggregated before it moves.
+    aggregation, then a second aggregate over the user-day rows picks the
+    region: no event-level shuffle beyond the first aggregation, and a hot
+    user is pre-aggregated before it moves.
     """
     ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
     day = ev.groupBy("user_id", F.to_date("ts").alias("date")).agg(
