@@ -24,6 +24,15 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 NULL_BUCKET = 99999
+# A group up to this many rows is sorted by one task (the window spills);
+# beyond it the group is split per bucket with a halo.
+HOT_GROUP_ROWS = 1_000_000
+
+
+def largest_group_rows(df: DataFrame, group: str) -> int:
+    """Size check (one small aggregate): rows of the largest group."""
+    row = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_m")).first()
+    return int(row["_m"] or 0)
 
 
 def year_bucket(date_col: str = "date") -> Column:
@@ -36,11 +45,18 @@ def order_keys(order: Sequence[str]) -> list[Column]:
 
 def halo_window_columns(df: DataFrame, group: str, order: Sequence[str], needed: Sequence[str],
                         halo: int, build: Callable[[WindowSpec], dict[str, Column]],
-                        bucket: Column | None = None) -> DataFrame:
+                        bucket: Column | None = None, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
     """Adds the columns returned by ``build(window)`` where ``window`` is the
     (group, bucket) window ordered by ``order``; results equal the same
     expressions over the plain per-group window as long as they look back at
-    most ``halo`` rows.  Rows whose group is NULL form their own group."""
+    most ``halo`` rows.  Rows whose group is NULL form their own group.
+
+    With ``hot_rows`` set, the largest group is measured first and the plain
+    per-group window is used when no group exceeds it (same values, fewer
+    stages); ``hot_rows=None`` always splits."""
+    if hot_rows is not None and largest_group_rows(df, group) <= hot_rows:
+        w = Window.partitionBy(group).orderBy(*order_keys(order))
+        return df.withColumns(build(w))
     bk = bucket if bucket is not None else year_bucket(order[0])
     base = df.withColumn("_bk", bk).withColumn("_halo", F.lit(False))
     cols = list(dict.fromkeys([group, *order, *needed]))

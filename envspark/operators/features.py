@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from envspark import config as C
 from envspark.functions.exprs import to_number
-from envspark.functions.windows import halo_window_columns
+from envspark.functions.windows import HOT_GROUP_ROWS, halo_window_columns
 
 
 def city_order_window(city: str = "ville", order_key: str | None = "identifiant"):
@@ -105,18 +105,19 @@ def lag_window_columns(w, vars_: Sequence[str], lags: Sequence[int] = C.LAGS, ro
 
 def add_lags_and_trailing(df: DataFrame, lag_vars: Sequence[str] = C.LAG_VARS, lags: Sequence[int] = C.LAGS,
                           rows: int = C.TRAILING_ROWS, city: str = "ville",
-                          order_key: str | None = "identifiant", split_hot_cities: bool = True) -> DataFrame:
-    """D1-D3.  With ``split_hot_cities`` the window runs per (city, year)
-    with a halo of the preceding rows (functions.windows): identical values,
-    and a city holding a large share of the rows is spread over one task per
-    year instead of one task."""
+                          order_key: str | None = "identifiant", split_hot_cities: bool | None = None) -> DataFrame:
+    """D1-D3.  A city larger than ``functions.windows.HOT_GROUP_ROWS`` (or
+    every city with ``split_hot_cities=True``) is windowed per (city, year)
+    with a halo of the preceding rows: identical values, one task per year
+    instead of one task.  ``False`` forces the plain per-city window."""
     vars_ = [c for c in lag_vars if c in df.columns]
     if city not in df.columns or not vars_:
         return df
     okey = order_key if order_key and order_key in df.columns else None
     order = ["date"] + ([okey] if okey else [])
     look = max(max(lags), rows)
-    if split_hot_cities:
+    if split_hot_cities is not False:
         return halo_window_columns(df, city, order, vars_, look,
-                                   lambda w: lag_window_columns(w, vars_, lags, rows, city))
+                                   lambda w: lag_window_columns(w, vars_, lags, rows, city),
+                                   hot_rows=None if split_hot_cities else HOT_GROUP_ROWS)
     return df.withColumns(lag_window_columns(city_order_window(city, okey), vars_, lags, rows, city))

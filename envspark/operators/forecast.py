@@ -52,9 +52,11 @@ def densify_daily(daily: DataFrame, value: str, city: str = "ville",
     prev_v = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     prev_d = F.last(F.when(F.col("_v").isNotNull(), F.col("date")), ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, 0))
-    next_v = F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    next_d = F.first(F.when(F.col("_v").isNotNull(), F.col("date")), ignorenulls=True).over(
-        w.rowsBetween(0, Window.unboundedFollowing))
+    # "next" = last non-null in descending order: a running frame, not a
+    # current-to-end frame (which Spark recomputes for every row)
+    wr = Window.partitionBy(city).orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    next_v = F.last("_v", ignorenulls=True).over(wr)
+    next_d = F.last(F.when(F.col("_v").isNotNull(), F.col("date")), ignorenulls=True).over(wr)
     u = u.withColumns({"_pv": prev_v, "_pd": prev_d, "_nv": next_v, "_nd": next_d})
     gap = F.datediff(F.col("_nd"), F.col("_pd")).cast("double")
     slope = (F.col("_nv") - F.col("_pv")) / gap
@@ -126,12 +128,12 @@ def _dense_tail(daily: DataFrame, ok: DataFrame, city: str) -> DataFrame:
     u = cal.join(obs, [city, "date"], "full")
     w = Window.partitionBy(city).orderBy("date")
     up = w.rowsBetween(Window.unboundedPreceding, 0)
-    down = w.rowsBetween(0, Window.unboundedFollowing)
+    down = Window.partitionBy(city).orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, 0)
     u = u.withColumns({
         "_pv": F.last("_y", ignorenulls=True).over(up),
         "_pd": F.last(F.when(F.col("_y").isNotNull(), F.col("date")), ignorenulls=True).over(up),
-        "_nv": F.first("_y", ignorenulls=True).over(down),
-        "_nd": F.first(F.when(F.col("_y").isNotNull(), F.col("date")), ignorenulls=True).over(down),
+        "_nv": F.last("_y", ignorenulls=True).over(down),
+        "_nd": F.last(F.when(F.col("_y").isNotNull(), F.col("date")), ignorenulls=True).over(down),
     })
     slope = (F.col("_nv") - F.col("_pv")) / F.datediff(F.col("_nd"), F.col("_pd")).cast("double")
     val = (F.when(F.col("_y").isNotNull(), F.col("_y"))

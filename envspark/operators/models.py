@@ -147,15 +147,15 @@ def metrics_of(pred: DataFrame, task: str) -> dict:
     return {k: m[k] for k in ("R2", "RMSE", "MAE")}
 
 
-ROWS_PER_TRAINING_PARTITION = 500_000
+ROWS_PER_TRAINING_PARTITION = 5_000
 
 
 def training_partitions(spark: SparkSession, n_rows: int) -> int:
     """Iterative learners pay a scheduling cost per partition on every pass
     (one per tree level per tree), so training data is sized by rows, not by
-    the shuffle width: at least ``ROWS_PER_TRAINING_PARTITION`` rows per
-    partition, at most 4 partitions per core of the cluster."""
-    cap = max(1, 4 * spark.sparkContext.defaultParallelism)
+    the shuffle width: about ``ROWS_PER_TRAINING_PARTITION`` rows per
+    partition, at most one partition per core of the cluster (one wave)."""
+    cap = max(1, spark.sparkContext.defaultParallelism)
     return int(min(cap, max(1, -(-n_rows // ROWS_PER_TRAINING_PARTITION))))
 
 

@@ -104,7 +104,7 @@ def test_halo_split_equals_plain_window(spark):
     # a year with a single row forces halos that span several earlier years
     rows.append((999, dt.date(2030, 1, 1), "B", 1.0))
     df = spark.createDataFrame(rows, "identifiant long, date date, ville string, temp_max double")
-    a = features.add_lags_and_trailing(df, lag_vars=["temp_max"], split_hot_cities=True)
+    a = features.add_lags_and_trailing(df, lag_vars=["temp_max"], split_hot_cities=True)   # always split
     b = features.add_lags_and_trailing(df, lag_vars=["temp_max"], split_hot_cities=False)
     cols = ["identifiant", "temp_max_lag1", "temp_max_lag7", "temp_max_moy7j"]
     assert sorted(a.select(*cols).collect()) == sorted(b.select(*cols).collect())
