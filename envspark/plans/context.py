@@ -15,11 +15,17 @@ from pyspark.sql import types as T
 from envspark.functions.exprs import fin
 from envspark.plans.prepare import Prepared, prepared_observations
 
-_CACHE: dict[tuple[int, str], Prepared] = {}
+_CACHE: dict[tuple, Prepared] = {}
+
+
+def session_key(spark: SparkSession) -> tuple:
+    """Identity of a live session (application + JVM session object), so a
+    cached table is never reused across a restarted session."""
+    return (spark.sparkContext.applicationId, spark._jsparkSession.hashCode())
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> Prepared:
-    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    key = (*session_key(spark), sf_dir.rstrip("/"))
     hit = _CACHE.get(key)
     if hit is None:
         hit = prepared_observations(spark, sf_dir)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from envspark import config as C
 from envspark.operators import cleaning, rollups
 from envspark.operators import risk as R
-from envspark.plans.context import finish, prepared
+from envspark.plans.context import finish, prepared, session_key
 from envspark.sources.observations import observations_from_events, observations_from_orders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -389,7 +389,7 @@ def persistence(spark, sf_dir) -> DataFrame:
     """The persistence-scored test table, written once per session (it feeds
     several aggregates per query: metrics, prefix sums, group evaluation)."""
     from envspark.session import materialize
-    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    key = (*session_key(spark), sf_dir.rstrip("/"))
     if key not in _SCORED:
         _SCORED[key] = materialize(L.scored_persistence(obs(spark, sf_dir), PROXY), "scored_persistence")
     return _SCORED[key]
@@ -537,7 +537,7 @@ _RUNS: dict = {}
 
 
 def _run(spark, sf_dir, target=PROXY, names=None):
-    key = (id(spark._jsparkSession), sf_dir.rstrip("/"), target, tuple(names or ()))
+    key = (*session_key(spark), sf_dir.rstrip("/"), target, tuple(names or ()))
     if key not in _RUNS:
         _RUNS[key] = B.train_and_compare(prepared(spark, sf_dir), target, names)
     return _RUNS[key]
