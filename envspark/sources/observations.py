@@ -11,9 +11,12 @@ Scale notes for the adapter.  lineitem is the only large input.  It is
 first reduced to one row per order with decomposable aggregates (count,
 sum, min, max), which Spark computes map-side (partial aggregation) before
 the shuffle on ``l_orderkey``; the join with orders then reuses that hash
-partitioning.  customer is joined with a shuffle (never broadcast: it grows
-with the data); nation and region are TPC-H dimensions with a fixed size of
-25 and 5 rows, so broadcasting them is bounded.  The final group-by on
+partitioning.  orders and customer grow with the data and get no hint: the
+planner broadcasts them only below ``spark.sql.autoBroadcastJoinThreshold``
+(a size check on their statistics, small scale factors) and shuffle-joins
+them beyond it, with AQE splitting skewed join partitions; nation and region
+are TPC-H dimensions with a fixed size of 25 and 5 rows, so their explicit
+broadcast is bounded.  The final group-by on
 (nation, day) again aggregates map-side, so a hot nation or a hot day only
 produces one partial row per task before the shuffle.
 """
