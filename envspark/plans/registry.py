@@ -8,16 +8,27 @@ inventory row to its function and query.
 
 from __future__ import annotations
 
+import os as _os
+import tempfile as _tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from envspark import config as C
+from envspark import sinks as SK
 from envspark.operators import cleaning, rollups
+from envspark.operators import evaluate as L
+from envspark.operators import forecast as J
+from envspark.operators import models as M
+from envspark.operators import prep as K
 from envspark.operators import risk as R
+from envspark.operators import slices as S
+from envspark.plans import batch as B
 from envspark.plans.context import finish, prepared, session_key
-from envspark.sources.observations import observations_from_events, observations_from_orders
+from envspark.session import checkpoint_dir, ensure_checkpoint_dir, materialize
+from envspark.sources.observations import observations_from_events, observations_from_orders, read_observations
+from envspark.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -93,7 +104,6 @@ def q_task_type(spark, sf_dir):
 @register("task_type_labels")
 def q_task_type_labels(spark, sf_dir):
     """A12 on natural 0/1 data (labels.quality, labels.toxic)."""
-    from envspark.sources.tables import read_table
     lab = read_table(spark, sf_dir, "labels", "quality", "toxic")
     return (cleaning.detect_task_type(lab, "quality").select(F.lit("quality").alias("cible"), "task_type")
             .unionByName(cleaning.detect_task_type(lab, "toxic").select(F.lit("toxic").alias("cible"), "task_type")))
@@ -262,9 +272,6 @@ def q_browser(spark, sf_dir):
 
 # --- C / H: slices, splits, samples, top-k -----------------------------------
 
-from envspark.operators import evaluate as L  # noqa: E402
-from envspark.operators import prep as K  # noqa: E402
-from envspark.operators import slices as S  # noqa: E402
 
 SLICE_REGIONS = ["AFRICA", "EUROPE"]
 SLICE_YEARS = (1996, 1999)
@@ -388,7 +395,6 @@ _SCORED: dict = {}
 def persistence(spark, sf_dir) -> DataFrame:
     """The persistence-scored test table, written once per session (it feeds
     several aggregates per query: metrics, prefix sums, group evaluation)."""
-    from envspark.session import materialize
     key = (*session_key(spark), sf_dir.rstrip("/"))
     if key not in _SCORED:
         _SCORED[key] = materialize(L.scored_persistence(obs(spark, sf_dir), PROXY), "scored_persistence")
@@ -459,7 +465,6 @@ def q_class_counts(spark, sf_dir):
 
 # --- J / D7, D8, D10: forecasting ----------------------------------------------
 
-from envspark.operators import forecast as J  # noqa: E402
 
 HORIZON = 7
 
@@ -526,12 +531,7 @@ def q_future(spark, sf_dir):
 
 # --- K5-K13, L7, J5: models (rows-only checks: training is iterative) ----------
 
-import os as _os  # noqa: E402
-import tempfile as _tempfile  # noqa: E402
 
-from envspark.operators import models as M  # noqa: E402
-from envspark.plans import batch as B  # noqa: E402
-from envspark.session import checkpoint_dir  # noqa: E402
 
 _RUNS: dict = {}
 
@@ -601,9 +601,6 @@ def q_early_stopped(spark, sf_dir):
 
 # --- A1 landed file, M4 payload -------------------------------------------------
 
-from envspark import sinks as SK  # noqa: E402
-from envspark.session import ensure_checkpoint_dir  # noqa: E402
-from envspark.sources.observations import read_observations  # noqa: E402
 
 
 @register("landed_observations")
