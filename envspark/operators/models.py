@@ -105,10 +105,23 @@ def candidates(task: str, n_features: int, n_train: int, label_std: float) -> li
     ]
 
 
-def early_stopped_booster(n_features: int) -> GBTRegressor:
+def early_stopped_booster(n_features: int, validation: bool = True) -> GBTRegressor:
     """120 rounds, rate 0.06, 0.85 sampling, validation split column (C4)."""
+    kw = {"validationIndicatorCol": "is_validation"} if validation else {}
     return GBTRegressor(maxIter=120, stepSize=0.06, maxDepth=6, subsamplingRate=0.85,
-                        featureSubsetStrategy="0.85", seed=SEED, validationIndicatorCol="is_validation")
+                        featureSubsetStrategy="0.85", seed=SEED, **kw)
+
+
+def fit_early_stopped(td: TrainingData, fraction: float = 0.85, min_validation: int = 20):
+    """K10 + C4: the booster stops on the positional validation split when
+    more than ``min_validation`` rows validate; otherwise it trains on all
+    training rows without early stopping.  Returns (model, scored test rows)."""
+    tr = td.train.select("*", F.col("_m_ville").alias("ville"), F.col("_m_date").alias("date"),
+                         F.col("_m_identifiant").alias("identifiant"))
+    val = slices.validation_split(tr, fraction, min_validation)
+    has_val = val.agg(F.count_if("is_validation").alias("n")).first()["n"] > 0
+    model = _pipeline(td.features, early_stopped_booster(len(td.features), has_val)).fit(val)
+    return model, score(model, td.test, td.task)
 
 
 @dataclass

@@ -72,9 +72,9 @@ def validation_split(train: DataFrame, fraction: float = 0.85, min_validation: i
     split = tot.select(F.greatest(F.floor(F.col("_tot") * F.lit(fraction)).cast("long"), F.lit(1)).alias("_k"),
                        "_tot")
     w = Window.partitionBy(city).orderBy(F.col("date").asc_nulls_last(), F.col("identifiant"))
-    # offsets: one row per city, broadcast (bounded by the city count)
-    pos = join_keys(train.withColumn("_rn", F.row_number().over(w)),
-                    F.broadcast(offsets.select(city, "_off")), [city])
+    # offsets: one row per city -- it grows with the city count, so no hint:
+    # the planner / AQE broadcast it only under the size threshold
+    pos = join_keys(train.withColumn("_rn", F.row_number().over(w)), offsets.select(city, "_off"), [city])
     j = pos.crossJoin(F.broadcast(split))
     use = (F.col("_tot") - F.col("_k")) > F.lit(min_validation)
     return (j.withColumn("is_validation", use & ((F.col("_off") + F.col("_rn")) > F.col("_k")))

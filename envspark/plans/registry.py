@@ -589,12 +589,7 @@ def q_model_forecast(spark, sf_dir):
 def q_early_stopped(spark, sf_dir):
     """K10 with the C4 validation split: test metrics of the booster."""
     run = _run(spark, sf_dir, PROXY, ["Ridge"])
-    td = run.td
-    tr = td.train.select("*", F.col("_m_ville").alias("ville"), F.col("_m_date").alias("date"),
-                         F.col("_m_identifiant").alias("identifiant"))
-    val = S.validation_split(tr)
-    model = M._pipeline(td.features, M.early_stopped_booster(len(td.features))).fit(val)
-    pred = M.score(model, td.test, td.task)
+    _, pred = M.fit_early_stopped(run.td)
     return L.regression_metrics(pred, "label", "prediction")
 
 
