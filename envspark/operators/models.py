@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 from dataclasses import dataclass, field
 
@@ -192,7 +193,7 @@ def train_candidates(td: TrainingData, names: list[str] | None = None) -> list[R
             pred = score(model, td.test_scaled if scaled else td.test, td.task)
             met = metrics_of(pred, td.task)
         except Exception as e:  # noqa: BLE001 -- one failing candidate must not stop the run
-            print(f"candidate {name} failed: {e}")
+            print(f"candidate {name} failed: {e}", file=sys.stderr)
             continue
         results.append(RunResult(name, model, scaled, pred, met, time.time() - t0))
     if not results:
