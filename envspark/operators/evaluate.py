@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from envspark import config as C
@@ -169,9 +169,10 @@ def comparison_table(results: DataFrame, task: str) -> DataFrame:
     for thr, text in rules:
         cond = F.col(key) > F.lit(thr)
         verdict = F.when(cond, F.lit(text)) if verdict is None else verdict.when(cond, F.lit(text))
-    best = F.max(F.col(key)).over(Window.partitionBy(F.lit(1)))
-    return (results.withColumn("temps_secondes", F.round(F.col("temps_secondes"), 3))
-            .withColumn("meilleur", F.col(key) == best)
+    best = results.agg(F.max(F.col(key)).alias("_best"))          # one row
+    return (results.crossJoin(F.broadcast(best))
+            .withColumn("temps_secondes", F.round(F.col("temps_secondes"), 3))
+            .withColumn("meilleur", F.col(key) == F.col("_best")).drop("_best")
             .withColumn("verdict", verdict.otherwise(F.lit("")))
             .orderBy(F.col(key).desc_nulls_last(), F.col("ordre")))
 

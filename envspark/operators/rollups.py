@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from envspark import config as C
 from envspark.functions.exprs import (band_ordinal, label_of, level_expr, month_label, np_round,
-                                      safe_corr, wind_regime, wind_sector, wind_sector_ordinal)
+                                      safe_corr, wind_regime, wind_sector_ordinal)
 from envspark.functions.joins import join_keys
 from envspark.functions.quantiles import exact_quantiles
 from envspark.functions.windows import halo_window_columns, last_k

@@ -9,7 +9,6 @@ inventory row to its function and query.
 from __future__ import annotations
 
 import os as _os
-import tempfile as _tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,7 +25,7 @@ from envspark.operators import risk as R
 from envspark.operators import slices as S
 from envspark.plans import batch as B
 from envspark.plans.context import finish, prepared, session_key
-from envspark.session import checkpoint_dir, ensure_checkpoint_dir, materialize
+from envspark.session import ensure_checkpoint_dir, materialize
 from envspark.sources.observations import observations_from_events, observations_from_orders, read_observations
 from envspark.sources.tables import read_table
 
@@ -579,8 +578,8 @@ def q_model_forecast(spark, sf_dir):
     """J4 + J5 from the saved artefact of the best model (M3 round trip)."""
     run = _run(spark, sf_dir)
     p = prepared(spark, sf_dir)
-    base = checkpoint_dir(spark) or _tempfile.mkdtemp(prefix="envspark-")
-    path = _os.path.join(base, f"artefact-{abs(hash((sf_dir, run.best.name)))}")
+    # the artefact goes to the shared folder named by spark.checkpoint.dir
+    path = _os.path.join(ensure_checkpoint_dir(spark), f"artefact-{abs(hash((sf_dir, run.best.name)))}")
     M.save_artefact(path, run.best, run.td, None)
     return B.model_forecast(p, path, HORIZON)
 
