@@ -222,6 +222,14 @@ def histogram(df: DataFrame, col: str, bins: int = C.HIST_BINS) -> DataFrame:
                     F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 
 
+def outcome_counts(df: DataFrame, y: str, p: str) -> DataFrame:
+    """G15 for classification: number of correct and wrong predictions
+    (both rows always present)."""
+    d = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+    g = d.agg(F.count_if(F.col(y) == F.col(p)).alias("correct"), F.count_if(F.col(y) != F.col(p)).alias("wrong"))
+    return g.selectExpr("stack(2, 'correct', correct, 'wrong', wrong) as (resultat, n)")
+
+
 def class_counts(df: DataFrame, y: str, p: str) -> DataFrame:
     """Count of each class among true labels and among predictions."""
     st = df.select(F.expr(f"stack(2, 'reel', `{y}`, 'predit', `{p}`) as (serie, classe)"))

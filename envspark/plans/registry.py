@@ -456,6 +456,12 @@ def q_hist(spark, sf_dir):
     return rollups.histogram(L.residuals(persistence(spark, sf_dir), PROXY, "prediction"), "residu")
 
 
+@register("outcome_counts")
+def q_outcomes(spark, sf_dir):
+    """G15 (classification): correct vs wrong predictions."""
+    return rollups.outcome_counts(persistence(spark, sf_dir), "alerte_pollution", "alerte_pred")
+
+
 @register("class_counts")
 def q_class_counts(spark, sf_dir):
     """G16."""

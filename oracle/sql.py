@@ -785,3 +785,10 @@ SELECT f.identifiant, f.date, {", ".join(f"f.{c}" for c in OBS_STR)},
        {", ".join(f"{r6(f'f.{c}')} AS {c}" for c in _FUT_DBL)},
        {i64('f.cutoff')} AS _cutoff, {r6('p.seuil')} AS _seuil, {i64('f.pas')} AS pas
 FROM fut f CROSS JOIN params p"""
+
+SQL["outcome_counts"] = PREP + PERS + f"""
+SELECT 'correct' AS resultat, {i64("count(*) FILTER (WHERE alerte_pollution = alerte_pred)")} AS n FROM pers
+WHERE alerte_pollution IS NOT NULL AND alerte_pred IS NOT NULL
+UNION ALL
+SELECT 'wrong', {i64("count(*) FILTER (WHERE alerte_pollution <> alerte_pred)")} FROM pers
+WHERE alerte_pollution IS NOT NULL AND alerte_pred IS NOT NULL"""
