@@ -48,12 +48,20 @@ def featurize(df: DataFrame) -> DataFrame:
     return features.add_lags_and_trailing(df)
 
 
-def add_index(df: DataFrame, opts: C.PrepareOptions | None = None) -> tuple[DataFrame, DataFrame]:
+def add_index(df: DataFrame, opts: C.PrepareOptions | None = None,
+              cut_lineage: bool = False) -> tuple[DataFrame, DataFrame]:
+    """E1-E6 + F1.  With ``cut_lineage`` each one-row parameter table is
+    written once and the later steps read it, so the index fit and the
+    threshold are not recomputed by the final write."""
     opts = opts or C.PrepareOptions()
     params = index.fit_index(df, opts.test_years)
+    if cut_lineage:
+        params = materialize(params, "index_params")
     scored = index.apply_index(df, params)
     train = scored.where(F.col("annee") <= F.col("cutoff"))
     thr = index.fit_threshold(train, opts.alert_quantile, opts.exact_quantiles)
+    if cut_lineage:
+        thr = materialize(thr, "alert_threshold")
     out = (scored.crossJoin(F.broadcast(thr))
            .withColumn("alerte_pollution", index.alert_flag(F.col("proxy_pm25"), F.col("seuil")))
            .withColumn("niveau_alerte", level_expr(F.col("proxy_pm25"), C.target_config("proxy_pm25")))
@@ -71,9 +79,8 @@ def prepare(raw: DataFrame, opts: C.PrepareOptions | None = None, cut_lineage: b
     feat = featurize(clean)
     if cut_lineage:
         feat = materialize(feat, "observations_features")
-    obs, params = add_index(feat, opts)
+    obs, params = add_index(feat, opts, cut_lineage)
     if cut_lineage:
-        params = materialize(params, "index_params")
         obs = materialize(obs, "observations_prepared", partition_by=["annee"])
     return Prepared(obs, params)
 
