@@ -50,6 +50,26 @@ def np_round(x: Column, n: int) -> Column:
     return F.rint(x * F.lit(s)) / F.lit(s) + F.lit(0.0)
 
 
+def py_round(x: Column, n: int) -> Column:
+    """Python's ``round(x, n)`` on a double: half-even on the EXACT binary
+    value.  p = x * 10^n is rounded by the multiplication; its exact error e
+    comes from an error-free product (Veltkamp split of x, exact partial
+    products with the small integer 10^n).  Only when p lands exactly on a
+    half can the rounding direction be wrong; the sign of e then decides,
+    and an exact tie (e = 0) goes to even."""
+    s = F.lit(float(10 ** n))
+    p = x * s
+    c = F.lit(134217729.0) * x                 # 2^27 + 1
+    hi = c - (c - x)
+    lo = x - hi
+    e = (hi * s - p) + lo * s
+    half = (p - F.floor(p)) == F.lit(0.5)
+    r = (F.when(half & (e > 0), F.ceil(p).cast("double"))
+          .when(half & (e < 0), F.floor(p).cast("double"))
+          .otherwise(F.rint(p)))
+    return F.when(x.isNotNull(), r / s + F.lit(0.0))
+
+
 def fin(x: Column, n: int = 6) -> Column:
     """Hash-safe final rounding of float outputs (6 decimals, half-even)."""
     return np_round(x.cast("double"), n)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envspark import config as C
-from envspark.functions.exprs import np_round
+from envspark.functions.exprs import py_round
 
 
 def export_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
@@ -47,18 +47,18 @@ def run_summary(spark: SparkSession, target: str, task: str, n_train: int, n_tes
 
 def payload_rows(df: DataFrame, forecast: DataFrame, threshold: DataFrame, target: str = "proxy_pm25",
                  cfg: C.TargetConfig | None = None) -> DataFrame:
-    """M4 as rows: the payload KPIs (rounded to 2) repeated on each forecast
+    """M4 as rows: the payload KPIs (Python ``round(x, 2)``) repeated on each forecast
     record (date as yyyy-MM-dd).  ``threshold`` is a one-row table ``seuil``.
     The forecast source defaults to the trend projection."""
     cfg = cfg or C.target_config(target)
     k = df.agg(
         F.date_format(F.max("date"), "yyyy-MM-dd").alias("latest_data_date"),
-        np_round(F.avg("proxy_pm25"), 2).alias("proxy_pm25_mean"),
-        np_round(F.avg("alerte_pollution") * F.lit(100.0), 2).alias("alert_days_pct"),
+        py_round(F.avg("proxy_pm25"), 2).alias("proxy_pm25_mean"),
+        py_round(F.avg("alerte_pollution") * F.lit(100.0), 2).alias("alert_days_pct"),
         F.count_distinct("ville").alias("cities"),
         F.count_distinct("region").alias("regions"),
-        (np_round(F.avg(target), 2) if target in df.columns else F.lit(None).cast("double")).alias("target_mean"),
-    ).crossJoin(threshold.select(np_round(F.col("seuil"), 2).alias("threshold_alert")))
+        (py_round(F.avg(target), 2) if target in df.columns else F.lit(None).cast("double")).alias("target_mean"),
+    ).crossJoin(threshold.select(py_round(F.col("seuil"), 2).alias("threshold_alert")))
     src = "source_prevision" if "source_prevision" in forecast.columns else None
     fc = forecast.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "prediction", "niveau",
                          (F.col(src) if src else F.lit(C.TREND_SOURCE)).alias("forecast_source"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.base import (ADAPTER, PREP, PROXY_LABELS, REGION_LABELS, RISK_LABELS, band_ord, bands, clip,
+from oracle.base import (ADAPTER, PREP, pyround, PROXY_LABELS, REGION_LABELS, RISK_LABELS, band_ord, bands, clip,
                          clip01, i64, r6, rnd)
 
 MONTHS = ["Jan", "Fév", "Mar", "Avr", "Mai", "Juin", "Juil", "Aoû", "Sep", "Oct", "Nov", "Déc"]
@@ -709,12 +709,12 @@ SQL["landed_observations"] = SQL["source_observations"]
 SQL["api_payload"] = _rec(PREP + _trend_sql(OBS_SERIES, PROXY_LABELS) + f""",
 first_city AS (SELECT min(ville) AS ville FROM obs WHERE ville IS NOT NULL),
 k AS (SELECT strftime(max(date), '%Y-%m-%d') AS latest_data_date,
-             {rnd('avg(proxy_pm25)', 2)} AS proxy_pm25_mean,
-             {rnd('avg(alerte_pollution) * 100.0', 2)} AS alert_days_pct,
+             {pyround('CAST(avg(proxy_pm25) AS DOUBLE)', 2)} AS proxy_pm25_mean,
+             {pyround('CAST(avg(alerte_pollution) AS DOUBLE) * 100.0', 2)} AS alert_days_pct,
              CAST(count(DISTINCT ville) AS BIGINT) AS cities, CAST(count(DISTINCT region) AS BIGINT) AS regions,
-             {rnd('avg(proxy_pm25)', 2)} AS target_mean FROM obs)
+             {pyround('CAST(avg(proxy_pm25) AS DOUBLE)', 2)} AS target_mean FROM obs)
 SELECT k.latest_data_date, {r6('k.proxy_pm25_mean')} AS proxy_pm25_mean, {r6('k.alert_days_pct')} AS alert_days_pct,
-       k.cities, k.regions, {r6('k.target_mean')} AS target_mean, {r6(rnd('p.seuil', 2))} AS threshold_alert,
+       k.cities, k.regions, {r6('k.target_mean')} AS target_mean, {r6(pyround('p.seuil', 2))} AS threshold_alert,
        strftime(fc.date, '%Y-%m-%d') AS date, {r6('fc.prediction')} AS prediction,
        {bands('fc.prediction', PROXY_LABELS)} AS niveau, 'projection_tendance' AS forecast_source,
        'proxy_pm25' AS target_name, 'Proxy PM2.5' AS target_label, 'regression' AS task_type

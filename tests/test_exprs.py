@@ -71,3 +71,14 @@ def test_parse_helpers(spark):
     got = df.select(X.parse_date("d"), X.to_number("v")).collect()
     assert got[0][0] == dt.date(2020, 1, 5) and got[0][1] == 3.5
     assert got[1][0] is None and got[1][1] is None
+
+
+def test_python_round_exact(spark):
+    vals = [55.555, 2.675, 0.125, 0.375, 1.005, 2.5, -0.125, 1234.5678, 0.285, None]
+    got = [r[0] for r in col(spark, vals).select(X.py_round(F.col("x"), 2)).collect()]
+    assert got == [None if v is None else round(v, 2) for v in vals]
+    import random
+    rnd = random.Random(3)
+    many = [rnd.randint(0, 10 ** 6) / 1000 for _ in range(2000)] + [k / 8 for k in range(-400, 400)]
+    got = [r[0] for r in col(spark, many).select(X.py_round(F.col("x"), 2)).collect()]
+    assert got == [round(v, 2) for v in many]
