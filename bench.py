@@ -63,7 +63,7 @@ def main() -> None:
         td.train.persist().count()
         td.train_scaled.persist().count()
         times["ml_prepare"] = round(time.time() - t, 3)
-        for r in M.train_candidates(td):
+        for r in M.train_candidates(td):          # one after the other
             times[f"ml_{r.name}"] = round(r.seconds, 3)
 
     total = round(sum(times.values()), 3)
