@@ -101,3 +101,19 @@ def last_k(df: DataFrame, group: Sequence[str], order_desc: Sequence[Column], k:
     cand = pre.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1", "_b")
     w2 = Window.partitionBy(*g).orderBy(*order_desc)
     return cand.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= k)
+
+
+def global_row_index(df: DataFrame, order: Sequence[Column], col: str = "_idx") -> DataFrame:
+    """1-based position of every row in a total ``order`` without a
+    single-partition window: a range-partitioned sort spreads the rows over
+    partitions in order, each partition numbers its rows, and partition
+    offsets come from the per-partition counts (one row per partition).
+    ``order`` must be a total order (end it with a unique key)."""
+    s = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid").orderBy(*order)
+    s = s.withColumn("_rn", F.row_number().over(w))
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
+    offsets = counts.select("_pid", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
+    return (s.join(F.broadcast(offsets), "_pid")
+             .withColumn(col, F.col("_off") + F.col("_rn")).drop("_pid", "_rn", "_off"))

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from envspark.functions.joins import join_keys
+from envspark.functions.windows import global_row_index
 
 
 def slice_observations(df: DataFrame, regions: Sequence[str] | DataFrame, year_from: int, year_to: int,
@@ -62,23 +62,16 @@ def validation_split(train: DataFrame, fraction: float = 0.85, min_validation: i
     """C4: the first int(fraction * n) training rows in (city, date) order fit,
     the rest validate (only if more than ``min_validation`` rows validate).
 
-    No global window: per-city counts (one row per city) get cumulative
-    offsets with a window over the city table, then each row's position is
-    offset + row_number within its city."""
-    per_city = train.groupBy(city).agg(F.count(F.lit(1)).alias("_n"))
-    wc = Window.orderBy(F.col(city).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_city.withColumn("_off", F.coalesce(F.sum("_n").over(wc), F.lit(0)))
-    tot = per_city.agg(F.sum("_n").alias("_tot"))
-    split = tot.select(F.greatest(F.floor(F.col("_tot") * F.lit(fraction)).cast("long"), F.lit(1)).alias("_k"),
-                       "_tot")
-    w = Window.partitionBy(city).orderBy(F.col("date").asc_nulls_last(), F.col("identifiant"))
-    # offsets: one row per city -- it grows with the city count, so no hint:
-    # the planner / AQE broadcast it only under the size threshold
-    pos = join_keys(train.withColumn("_rn", F.row_number().over(w)), offsets.select(city, "_off"), [city])
-    j = pos.crossJoin(F.broadcast(split))
+    The position comes from a distributed global row index (range-partitioned
+    sort + per-partition offsets): no per-city window (a hot city is spread
+    over several partitions) and no single-partition window over the data."""
+    order = [F.col(city).asc_nulls_last(), F.col("date").asc_nulls_last(), F.col("identifiant").asc_nulls_last()]
+    idx = global_row_index(train, order, "_pos")
+    split = train.agg(F.count(F.lit(1)).alias("_tot")).select(
+        F.greatest(F.floor(F.col("_tot") * F.lit(fraction)).cast("long"), F.lit(1)).alias("_k"), "_tot")
+    j = idx.crossJoin(F.broadcast(split))
     use = (F.col("_tot") - F.col("_k")) > F.lit(min_validation)
-    return (j.withColumn("is_validation", use & ((F.col("_off") + F.col("_rn")) > F.col("_k")))
-             .drop("_rn", "_off", "_k", "_tot"))
+    return j.withColumn("is_validation", use & (F.col("_pos") > F.col("_k"))).drop("_pos", "_k", "_tot")
 
 
 def sample_n(df: DataFrame, n: int = 2000, seed: int = 42, key: str = "identifiant") -> DataFrame:

@@ -59,3 +59,15 @@ def test_densify_interpolates_linearly(spark):
     df = spark.createDataFrame(rows, "ville string, date date, v double")
     got = {r["date"].day: (r["v"], r["interpole"]) for r in J.densify_daily(df, "v").collect()}
     assert got == {1: (0.0, False), 2: (2.0, True), 3: (4.0, True), 4: (6.0, True), 5: (8.0, False), 6: (2.0, False)}
+
+
+def test_global_row_index_matches_sorted_order(spark):
+    import random
+    from envspark.functions.windows import global_row_index
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["A", "B", "C", None]), rnd.randint(0, 50), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v int, k long").repartition(7)
+    order = [F.col("g").asc_nulls_last(), F.col("v"), F.col("k")]
+    got = {r["k"]: r["_idx"] for r in global_row_index(df, order).collect()}
+    exp = sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1], r[2]))
+    assert got == {r[2]: i + 1 for i, r in enumerate(exp)}
