@@ -71,3 +71,23 @@ def test_global_row_index_matches_sorted_order(spark):
     got = {r["k"]: r["_idx"] for r in global_row_index(df, order).collect()}
     exp = sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1], r[2]))
     assert got == {r[2]: i + 1 for i, r in enumerate(exp)}
+
+
+def test_read_observations_trims_headers_and_coerces(spark):
+    import os
+    import tempfile
+    from pyspark.sql import types as T
+    from envspark.sources.observations import read_observations
+    d = tempfile.mkdtemp(prefix="envspark-csv-")
+    path = os.path.join(d, "obs.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(" city\xa0, date ,temp_max,Unnamed: 3\n")
+        f.write("A,2024-01-02,31.5,x\nB,not a date,hot,y\n")
+    schema = T.StructType([T.StructField("city", T.StringType()), T.StructField("date", T.DateType()),
+                           T.StructField("temp_max", T.DoubleType())])
+    df = read_observations(spark, path, "csv", schema)
+    assert df.columns == ["city", "date", "temp_max", "Unnamed: 3"]
+    rows = {r["city"]: (r["date"], r["temp_max"]) for r in df.collect()}
+    assert rows == {"A": (dt.date(2024, 1, 2), 31.5), "B": (None, None)}
+    from envspark.operators.cleaning import drop_columns
+    assert "Unnamed: 3" not in drop_columns(df).columns
