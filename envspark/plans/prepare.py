@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from envspark import config as C
 from envspark.functions.exprs import level_expr
 from envspark.operators import cleaning, features, index
-from envspark.session import materialize
+from envspark.session import materialize, one_row
 from envspark.sources.observations import observations_from_orders
 
 
@@ -56,12 +56,12 @@ def add_index(df: DataFrame, opts: C.PrepareOptions | None = None,
     opts = opts or C.PrepareOptions()
     params = index.fit_index(df, opts.test_years)
     if cut_lineage:
-        params = materialize(params, "index_params")
+        params = one_row(materialize(params, "index_params"))
     scored = index.apply_index(df, params)
     train = scored.where(F.col("annee") <= F.col("cutoff"))
     thr = index.fit_threshold(train, opts.alert_quantile, opts.exact_quantiles)
     if cut_lineage:
-        thr = materialize(thr, "alert_threshold")
+        thr = one_row(materialize(thr, "alert_threshold"))
     out = (scored.crossJoin(F.broadcast(thr))
            .withColumn("alerte_pollution", index.alert_flag(F.col("proxy_pm25"), F.col("seuil")))
            .withColumn("niveau_alerte", level_expr(F.col("proxy_pm25"), C.target_config("proxy_pm25")))

@@ -79,3 +79,11 @@ def materialize(df, name: str, partition_by: list[str] | None = None):
     if partition_by:
         out = out.select(*df.columns)   # keep the original column order
     return out
+
+
+def one_row(df):
+    """A one-row parameter table read back from storage, re-derived through a
+    global aggregate so the plan PROVES it has one row (Catalyst maxRows = 1):
+    cross joins with it are then bounded by construction."""
+    from pyspark.sql import functions as F
+    return df.agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in df.columns])
