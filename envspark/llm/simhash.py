@@ -59,15 +59,18 @@ def fingerprint_of(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), one row per input row."""
+    """doc_id, key (of id and text), fp (the 64 bits as a signed long), one row
+    per input row."""
     C.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint_of(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64), pa.int64())], names=["doc_id", "fp"])
+            fp = np.array([fingerprint_of(t, shingle) for t in b.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64), pa.int64())],
+                                             names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.row_key("doc_id", "text").alias("key"), "text") \
+        .mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _segments(max_bits: int) -> list[tuple[int, int]]:
@@ -168,8 +171,8 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable by links), one row
-    per input row."""
+    """doc_id, key, fp, root (number of the component) and component_id
+    (smallest doc_id reachable by links), one row per input row."""
     spark = docs.sparkSession
     rows = C.materialize(fingerprints(docs, shingle), "fingerprints")
     classes = C.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
@@ -177,5 +180,16 @@ def simhash_dedup(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataF
     placed = classes.join(comp, classes["fp"] == comp["id"], "left") \
         .select("fp", "least", F.coalesce("component_id", "fp").alias("root"))
     roots = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(roots, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = placed.join(roots, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component one row, that of the
+    smallest doc_id (a null id comes last, rows equal in id and text are one)."""
+    least = simhash_dedup(docs, shingle, max_bits).groupBy("root") \
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
+    stay = C.materialize(least.select(F.col("least.doc_id").alias("_stay"), F.col("least.key").alias("_stay_key")), "kept-documents")
+    rows = docs.select("*", C.row_key("doc_id", "text").alias("_key"))
+    return rows.join(stay, (rows["_key"] == stay["_stay_key"]) & rows["doc_id"].eqNullSafe(stay["_stay"]), "left_semi") \
+        .dropDuplicates(["_key", "doc_id"]).select(*docs.columns)
