@@ -38,6 +38,38 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: Fixed value: the byte-level word pattern, white space written out.
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
+#: Code points that became letters or numbers after Unicode 16,
+#: which is what the tokenizer's pattern knows.
+LATER = [
+    (0x558, 0x558), (0x58b, 0x58c), (0x88f, 0x88f), (0xc5c, 0xc5c), (0xcdc, 0xcdc), (0x208f, 0x208f), (0x209d, 0x209f),
+    (0xa7ce, 0xa7cf), (0xa7d2, 0xa7d2), (0xa7d4, 0xa7d4), (0xa7dd, 0xa7dd), (0xa7e2, 0xa7e2), (0xa7f1, 0xa7f1), (0xab6c, 0xab6d),
+    (0x107bb, 0x107bf), (0x10940, 0x10959), (0x10ec5, 0x10ec7), (0x10ed9, 0x10eee), (0x11b0a, 0x11b0a), (0x11db0, 0x11ddb),
+    (0x11de0, 0x11de9), (0x11df1, 0x11df1), (0x1246f, 0x1246f), (0x12475, 0x1247f), (0x12550, 0x12686), (0x16ea0, 0x16eb8),
+    (0x16ebb, 0x16ed3), (0x16ff2, 0x16ff6), (0x187f8, 0x187ff), (0x18cd6, 0x18cda), (0x18d09, 0x18d20), (0x18d80, 0x18df2),
+    (0x18e00, 0x19191), (0x191a0, 0x191d2), (0x1b123, 0x1b128), (0x1b168, 0x1b168), (0x1d6a6, 0x1d6a6), (0x1df1f, 0x1df24),
+    (0x1df2b, 0x1df81), (0x1df90, 0x1df96), (0x1dfcd, 0x1dfff), (0x1e6c0, 0x1e6de), (0x1e6e0, 0x1e6e2), (0x1e6e4, 0x1e6e5),
+    (0x1e6e7, 0x1e6ed), (0x1e6f0, 0x1e6f4), (0x1e6fe, 0x1e6ff), (0x2b73a, 0x2b73f), (0x2b81e, 0x2b81e), (0x2cea2, 0x2cead),
+    (0x323b0, 0x33479), (0x3d000, 0x3fc3f),
+]
+_LATER_SET = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in LATER)
+_FIND = regex.compile(WORD).findall
+_FIND_CAREFULLY = regex.compile("(?V1)" + WORD.replace(f"[^{SPACE}\\p{{L}}\\p{{N}}]", f"[{_LATER_SET}||[^{SPACE}\\p{{L}}\\p{{N}}]]")
+                                .replace(" ?\\p{L}+", f" ?[\\p{{L}}--[{_LATER_SET}]]+").replace(" ?\\p{N}+", f" ?[\\p{{N}}--[{_LATER_SET}]]+")).findall
+_LATER = regex.compile(f"[{_LATER_SET}]").search
+
+
+def split_words(text: str) -> list[str]:
+    """The words of a text, as the pattern with Unicode 16 classes has them."""
+    if text.isascii():
+        return _FIND(text)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        if _LATER(text):
+            return _FIND_CAREFULLY(text)
+    return _FIND(text)
+
+
 SHIFT = np.int64(17)
 NONE = np.int64(1) << 40
 CACHE_WORDS = 200_000
@@ -157,7 +189,6 @@ class _Words(dict):
 class Encoder:
     def __init__(self, t: Tables) -> None:
         self.t = t
-        self.find = regex.compile(WORD).findall
         self.added = dict(t.added)
         self.split = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")").split \
             if t.added else None
@@ -177,13 +208,13 @@ class Encoder:
 
     def _pieces(self, text: str) -> list:
         if self.split is None or not any(x in text for x in self.added):
-            return self.find(text)
+            return split_words(text)
         out = []
         for i, part in enumerate(self.split(text)):
             if i % 2:
                 out.append(("added", part))
             else:
-                out += self.find(part)
+                out += split_words(part)
         return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +276,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(load_tables(path))
     names = [c for c in encoded.columns if c != "decoded"]
     src = encoded.select(*names)
-    schema = src.schema.add("decoded", "string")
+    schema = T.StructType([*src.schema.fields, T.StructField("decoded", T.StringType())])
     at = names.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,7 +72,7 @@ def _budgets(dim: int, block_dims: int, cosine: float) -> list[tuple[int, int, f
 
 def _slabs(x: np.ndarray, block_dims: int, cosine: float) -> np.ndarray:
     """Slab of every vector in every block."""
-    return np.stack([np.floor(x[:, lo] / max(np.sqrt(t) * (1 + SLACK), 1e-6)).astype(np.int64)
+    return np.stack([np.floor(x[:, lo] / (np.sqrt(t + SLACK) * (1 + SLACK))).astype(np.int64)
                      for lo, _, t in _budgets(x.shape[1], block_dims, cosine)], axis=1)
 
 
@@ -119,15 +119,30 @@ def _deal(seed: int, block_dims: int, cosine: float, parts: dict[tuple[int, int,
                             out.append((dim, k, s - 1, 1, j, me, -2, *own))
                     if len(out) > 8000 or r == len(x) - 1:
                         cols = list(zip(*out, strict=True))
-                        cell = [hash(c) for c in zip(*cols[:6], strict=True)]     # of integers: the same everywhere
+                        cell = _cell_key(*[np.array(c, np.int64) for c in cols[:6]])
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(cell, pa.int64()), *[pa.array(c, pa.int32()) for c in cols[:7]],
+                            [pa.array(cell), *[pa.array(c, pa.int32()) for c in cols[:7]],
                              pa.array(cols[7], pa.int64()), pa.array(cols[8], pa.int64()), pa.array(cols[9], pa.binary())],
                             names=["cell", "dim", "block", "slab", "guest", "x", "y", "role", "cls", "n", "raw"])
                         out = []
     return run
 
 
+def _cell_key(*cols: np.ndarray) -> np.ndarray:
+    """Shuffle key of a cell; cells that should share one are told apart later."""
+    h = np.zeros(len(cols[0]), np.uint64)
+    for c in cols:
+        h = C.mix64(h * np.uint64(31) + c.view(np.uint64) + np.uint64(1))
+    return h.view(np.int64)
+
+
+def _cells(t: pa.Table) -> Iterator[pa.Table]:
+    _, inv = np.unique(np.stack([t[c].to_numpy() for c in ("dim", "block", "slab", "guest", "x", "y")]), axis=1, return_inverse=True)
+    inv = inv.reshape(-1)
+    for k in range(int(inv.max()) + 1):
+        yield t if not inv.any() else t.filter(pa.array(inv == k))
+
+
 def _verified(a: np.ndarray, b: np.ndarray, block: int, budgets: list, cosine: float, same: bool):
     """Index pairs (row of a, row of b) linked in this block first."""
     lo, hi, budget = budgets[block]
@@ -156,7 +171,7 @@ def _link_cells(block_dims: int, cosine: float):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in C.key_runs(batches, "cell"):
+        for t in (cell for _, rows in C.key_runs(batches, "cell") for cell in _cells(rows)):
             dim, block, same = t["dim"][0].as_py(), t["block"][0].as_py(), t["guest"][0].as_py() == 0
             x = np.frombuffer(b"".join(t["raw"].to_pylist()), float).reshape(-1, dim)
             cls, n, role = t["cls"].to_numpy(), t["n"].to_numpy(), t["role"].to_numpy()

@@ -126,10 +126,10 @@ def _occurrences(width: int):
 
 # ---------------------------------------------------------- run-length index
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffix array of small non-negative symbols (9 bits) by prefix doubling;
+    """Suffix array of small symbols (0 to 510) by prefix doubling;
     only suffixes that are still tied are sorted again."""
     n = len(s)
-    pad = np.concatenate([s.astype(np.int64), np.zeros(7, np.int64)])
+    pad = np.concatenate([s.astype(np.int64) + 1, np.zeros(7, np.int64)])     # the end comes before every symbol
     key = np.zeros(n, np.int64)
     for j in range(7):
         key = key << 9 | pad[j:j + n]
