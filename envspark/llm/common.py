@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -53,10 +54,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames that are no longer used
-    (its cleaner acts when the driver's JVM collects garbage)."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of frames that are no longer used: its
+    cleaner acts when the driver's JVM collects garbage.  The first round lets
+    go of the JVM objects that Python held, the second finds them gone."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -208,16 +212,6 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - counts), counts)
 
 
-def union_runs(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal intervals covered by [s, s + width) for ascending starts."""
-    if not len(starts):
-        return starts, starts
-    new = np.flatnonzero(np.diff(starts) > width) + 1
-    lo = starts[np.concatenate([[0], new])]
-    hi = starts[np.concatenate([new - 1, [len(starts) - 1]])] + width
-    return lo, hi
-
-
 def text_batches(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text") -> Iterator[pa.Table]:
     """Groups Arrow batches into tables of at least ``limit`` bytes of text."""
     held, size = [], 0
