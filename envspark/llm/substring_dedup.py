@@ -36,8 +36,9 @@ from envspark.llm import common as C
 BATCH_TEXT = 8 << 20
 LOCAL = -1
 
-_PACK = "bucket int, ids binary, keys binary, counts binary, hashes binary, steps binary, wide binary"
-_MARK = "key long, id long, starts binary"
+_PACK = "bucket int, ids binary, keys binary, counts binary, steps binary, wide binary, hashes binary"
+_NAMES = ["bucket", "ids", "keys", "counts", "steps", "wide", "hashes"]
+_SCHEMA = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in _NAMES[1:]]])
 
 
 def _hash_batch(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,10 +51,49 @@ def _hash_batch(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndar
     return hashes, doc, at - first[:-1][doc]
 
 
+def _pack(bucket: int, ids, keys, doc, pos, hashes=None) -> tuple:
+    """One row for windows in order of (document, position): ids and keys once
+    per document, positions as steps of two bytes (wider ones apart)."""
+    lead = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1])
+    step = np.diff(pos, prepend=0)
+    step[lead] = pos[lead]
+    wide = np.flatnonzero(step >= 65535)
+    small = step.astype(np.uint16)
+    small[wide] = 65535
+    return (bucket, ids[doc[lead]].tobytes(), keys[doc[lead]].tobytes(), np.diff(np.append(lead, len(doc))).astype(np.uint32).tobytes(),
+            small.tobytes(), step[wide].astype(np.uint32).tobytes(), b"" if hashes is None else hashes.tobytes())
+
+
+def _unpack(t: pa.Table):
+    """ids, keys (per document) and (document ordinal, start) per window."""
+    def col(c, dtype):
+        return np.concatenate([np.frombuffer(x, dtype) for x in t[c].to_pylist()])
+    ids, keys = col("ids", np.int64), col("keys", np.int64)
+    counts = col("counts", np.uint32).astype(np.int64)
+    step = col("steps", np.uint16).astype(np.int64)
+    step[step == 65535] = col("wide", np.uint32).astype(np.int64)
+    doc = np.repeat(np.arange(len(ids)), counts)
+    total = np.cumsum(step)
+    lead = np.cumsum(counts) - counts
+    return ids, keys, doc, total - (total[lead] - step[lead])[doc]
+
+
+def _by(part: np.ndarray, n: int):
+    """(number, its indices in order) for every part that has any."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(n + 1))
+    for k in np.flatnonzero(np.diff(cuts)):
+        yield int(k), order[cuts[k]:cuts[k + 1]]
+
+
+def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 16):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i:i + 16], strict=True), _SCHEMA, strict=True)],
+                                         schema=_SCHEMA)
+
+
 def _windows(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in
-                            ("ids", "keys", "counts", "hashes", "steps", "wide")]])
         for t in C.text_batches(batches, BATCH_TEXT):
             ids = t["_id"].to_numpy()
             keys = t["_key"].to_numpy()
@@ -64,80 +104,31 @@ def _windows(width: int, buckets: int):
             sh = h[order]
             head = np.flatnonzero(np.concatenate([[True], sh[1:] != sh[:-1]]))
             owner = ids[doc[order]]
-            least = np.minimum.reduceat(owner, head)
-            least = np.repeat(least, np.diff(np.append(head, len(sh))))
+            least = np.repeat(np.minimum.reduceat(owner, head), np.diff(np.append(head, len(sh))))
             sent = np.empty(len(h), bool)
             sent[order] = owner == least
-            rows: dict[str, list] = {f.name: [] for f in schema}
-
-            def put(b, idx):
-                # idx ascends, so documents ascend: one count per document, positions as steps
-                d = doc[idx]
-                cut = np.flatnonzero(np.diff(d)) + 1
-                lead = np.concatenate([[0], cut])
-                step = np.diff(pos[idx], prepend=0)
-                step[lead] = pos[idx][lead]
-                wide = np.flatnonzero(step >= 65535)
-                small = step.astype(np.uint16)
-                small[wide] = 65535
-                rows["bucket"].append(b)
-                rows["ids"].append(ids[d[lead]].tobytes())
-                rows["keys"].append(keys[d[lead]].tobytes())
-                rows["counts"].append(np.diff(np.append(lead, len(d))).astype(np.uint32).tobytes())
-                rows["hashes"].append(b"" if b == LOCAL else h[idx].tobytes())
-                rows["steps"].append(small.tobytes())
-                rows["wide"].append(step[wide].astype(np.uint32).tobytes())
-
-            local = np.flatnonzero(~sent)
-            if len(local):
-                put(LOCAL, local)
-            out = np.flatnonzero(sent)
-            b = (h[out] % np.uint64(buckets)).astype(np.int32)
-            by = np.argsort(b, kind="stable")
-            cuts = np.searchsorted(b[by], np.arange(buckets + 1))
-            for k in range(buckets):
-                if cuts[k] < cuts[k + 1]:
-                    put(k, out[by[cuts[k]:cuts[k + 1]]])
-            for i in range(0, len(rows["bucket"]), 16):
-                yield pa.RecordBatch.from_pydict({c: v[i:i + 16] for c, v in rows.items()}, schema=schema)
+            del order, sh, owner, least
+            local, out = np.flatnonzero(~sent), np.flatnonzero(sent)
+            rows = [_pack(LOCAL, ids, keys, doc[local], pos[local])] if len(local) else []
+            for b, idx in _by((h[out] % np.uint64(buckets)).astype(np.int32), buckets):
+                idx = out[idx]
+                rows.append(_pack(b, ids, keys, doc[idx], pos[idx], h[idx]))
+            yield from _rows(rows)
     return run
 
 
-def _unpack(t: pa.Table):
-    """ids, keys (per document) and (document ordinal, start) per window."""
-    def col(c, dtype):
-        return [np.frombuffer(x, dtype) for x in t[c].to_pylist()]
-    ids, keys = np.concatenate(col("ids", np.int64)), np.concatenate(col("keys", np.int64))
-    counts = np.concatenate(col("counts", np.uint32)).astype(np.int64)
-    step = np.concatenate(col("steps", np.uint16)).astype(np.int64)
-    wide = np.concatenate(col("wide", np.uint32)).astype(np.int64)
-    step[step == 65535] = wide
-    doc = np.repeat(np.arange(len(ids)), counts)
-    total = np.cumsum(step)
-    lead = np.cumsum(counts) - counts
-    return ids, keys, doc, total - (total[lead] - step[lead])[doc]
-
-
-def _marks(ids, keys, doc, pos) -> pa.RecordBatch:
-    cut = np.flatnonzero(np.diff(doc)) + 1
-    groups = np.split(pos.astype(np.uint32), cut)
-    lead = np.concatenate([[0], cut]).astype(int)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys[doc[lead]]), pa.array(ids[doc[lead]]), pa.array([g.tobytes() for g in groups], pa.binary())],
-        names=["key", "id", "starts"])
-
-
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks the windows of a bucket that a smaller document also holds."""
-    for bucket, t in C.key_runs(batches, "bucket"):
+def _judged(buckets: Iterator[pa.Table]) -> Iterator[tuple]:
+    """ids, keys, documents and starts of the windows of a bucket that a
+    smaller document also holds; local decisions pass through."""
+    for t in buckets:
         ids, keys, doc, pos = _unpack(t)
+        if t["bucket"][0].as_py() == LOCAL:
+            yield ids, keys, doc, pos
+            continue
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()])
-        del t
         order = np.argsort(h)
         sh = h[order]
-        again = np.empty(len(sh), bool)
-        again[0] = False
-        again[1:] = sh[1:] == sh[:-1]
+        again = np.concatenate([[False], sh[1:] == sh[:-1]])
         both = again.copy()
         both[:-1] |= again[1:]
         order, again = order[both], again[both]
@@ -149,51 +140,61 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = np.repeat(np.minimum.reduceat(owner, head), np.diff(np.append(head, len(order))))
         hit = np.sort(order[owner > least])
         if len(hit):
-            yield _marks(ids, keys, doc[hit], pos[hit])
+            yield ids, keys, doc[hit], pos[hit]
 
 
-def _local_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            yield _marks(*_unpack(pa.Table.from_batches([b])))
+def _judge(parts: int):
+    """Marks of a partition's buckets, packed by the part that their documents belong to."""
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        for bucket, t in C.key_runs(batches, "bucket"):
+            if bucket == LOCAL:
+                yield from (t.slice(i, 16) for i in range(0, t.num_rows, 16))
+            else:
+                yield t
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, keys, doc, pos in _judged(tables(batches)):
+            yield from _rows([_pack(k, ids, keys, doc[idx], pos[idx]) for k, idx in _by(np.mod(keys[doc], parts), parts)])
+    return run
 
 
-def removal_spans(docs: DataFrame, width: int = 13) -> DataFrame:
-    """(id, key, starts): per row key, packed start words of removed windows."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document, its marked windows as runs (first, last start)."""
+    got = [_unpack(pa.Table.from_batches([b])) for b in batches if b.num_rows]
+    if not got:
+        return
+    key = np.concatenate([k[d] for _, k, d, _ in got])
+    ident = np.concatenate([i[d] for i, _, d, _ in got])
+    pos = np.concatenate([p for *_, p in got])
+    del got
+    order = np.lexsort((pos, ident, key))
+    key, ident, pos = key[order], ident[order], pos[order]
+    other = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
+    # repeated rows mark the same windows: steps of zero stay in the run
+    first = np.flatnonzero(np.concatenate([[True], other | (np.diff(pos) > 1)]))
+    last = np.append(first[1:], len(pos)) - 1
+    pairs = np.stack([pos[first], pos[last]], axis=1).astype(np.uint32)
+    docs = np.flatnonzero(np.concatenate([[True], other]))
+    cuts = np.append(np.searchsorted(first, docs), len(first))
+    for i in range(0, len(docs), 4096):
+        j = min(i + 4096, len(docs))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ident[docs[i:j]]), pa.array(key[docs[i:j]]),
+             pa.array([pairs[a:b].tobytes() for a, b in zip(cuts[i:j], cuts[i + 1:j + 1], strict=True)], pa.binary())],
+            names=["id", "key", "runs"])
+
+
+def removal_runs(docs: DataFrame, width: int = 13) -> DataFrame:
+    """(id, key, runs): per row key, packed (first, last) starts of removed windows."""
     spark = docs.sparkSession
     C.small_batches(spark)
     n = C.n_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), C.row_key("doc_id", "text").alias("_key"), "text") \
         .where("_id IS NOT NULL AND text IS NOT NULL")
-    packed = rows.mapInArrow(_windows(width, n), _PACK)
-    dealt = packed.repartitionById(n, F.when(F.col("bucket") == LOCAL, F.pmod(F.xxhash64("keys"), F.lit(n)))
-                                   .otherwise(F.col("bucket")).cast("int")).sortWithinPartitions("bucket")
-
-    def judge(batches):
-        def split(it):
-            for b in it:
-                k = b.column(0).to_numpy()
-                local = int(np.searchsorted(k, LOCAL, side="right"))
-                if local:
-                    yield from ((LOCAL, x) for x in _local_marks([b.slice(0, local)]))
-                if local < len(k):
-                    yield (0, b.slice(local))
-        rest = []
-
-        def dealt_rows():
-            for kind, x in split(batches):
-                if kind == LOCAL:
-                    rest.append(x)
-                else:
-                    yield x
-        for out in _judge(dealt_rows()):
-            yield from rest
-            rest.clear()
-            yield out
-        yield from rest
-
-    marks = dealt.mapInArrow(judge, _MARK)
-    return marks.groupBy("id", "key").agg(F.collect_list("starts").alias("starts"))
+    part = F.when(F.col("bucket") == LOCAL, F.pmod(F.xxhash64("keys"), F.lit(n))).otherwise(F.col("bucket")).cast("int")
+    marks = rows.mapInArrow(_windows(width, n), _PACK).repartitionById(n, part).sortWithinPartitions("bucket") \
+        .mapInArrow(_judge(n), _PACK)
+    return marks.repartitionById(n, F.col("bucket")).mapInArrow(_runs, "id long, key long, runs binary")
 
 
 def _cut(width: int):
@@ -204,19 +205,16 @@ def _cut(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {f.name: [] for f in schema}
-            for doc_id, text, packs in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc_id, text, runs in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 words = (text or "").encode().split()
-                spans = []
-                kept = words
-                if packs:
-                    at = np.unique(np.concatenate([np.frombuffer(p, np.uint32) for p in packs])).astype(np.int64)
-                    lo, hi = C.union_runs(at, width)
-                    spans = list(zip(lo.tolist(), hi.tolist(), strict=True))
-                    kept, last = [], 0
-                    for s, e in spans:
-                        kept += words[last:s]
-                        last = e
-                    kept += words[last:]
+                spans: list[list[int]] = []
+                for first, last in np.frombuffer(runs or b"", np.uint32).reshape(-1, 2).tolist():
+                    if spans and first <= spans[-1][1]:
+                        spans[-1][1] = last + width
+                    else:
+                        spans.append([first, last + width])
+                cuts = [0, *[x for s in spans for x in s], len(words)]
+                kept = [w for i in range(0, len(cuts), 2) for w in words[cuts[i]:cuts[i + 1]]] if spans else words
                 out["doc_id"].append(doc_id)
                 out["n_words"].append(len(words))
                 out["n_removed"].append(len(words) - len(kept))
@@ -230,9 +228,9 @@ def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, spans (word intervals), kept (text of the
     kept words joined by one space); one row per input row."""
     spark = docs.sparkSession
-    spans = C.materialize(removal_spans(docs, width), "word-windows")
+    runs = C.materialize(removal_runs(docs, width), "word-windows")
     C.release(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", C.row_key("doc_id", "text").alias("_key"))
-    joined = rows.join(spans, (rows["_key"] == spans["key"]) & (rows["doc_id"] == spans["id"]), "left")
-    return joined.select("doc_id", "text", "starts").mapInArrow(
+    joined = rows.join(runs, (rows["_key"] == runs["key"]) & (rows["doc_id"] == runs["id"]), "left")
+    return joined.select("doc_id", "text", "runs").mapInArrow(
         _cut(width), "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
