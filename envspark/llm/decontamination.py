@@ -142,7 +142,7 @@ def benchmark_blocks(benchmark: DataFrame) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.6,
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.5,
                   keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, ``coverage`` (of the best covered item), ``items``
     (ids of the items covered to ``threshold``) and ``contaminated``."""
