@@ -153,23 +153,6 @@ def bound_rule(name: str) -> str:
     return "none"
 
 
-def bound_value(rule: str | Column, v: Column) -> Column:
-    """Physical bound of a projected value (rule decided on the driver
-    from the column name, or a string column holding the rule)."""
-    if isinstance(rule, str):
-        if rule == "percent":
-            return clip(v, 0, 100)
-        if rule == "angle":
-            return F.pmod(v, F.lit(360.0))
-        if rule == "nonneg":
-            return F.when(v.isNotNull(), F.greatest(F.lit(0.0), v))
-        return v
-    return (F.when(rule == "percent", clip(v, 0, 100))
-             .when(rule == "angle", F.pmod(v, F.lit(360.0)))
-             .when(rule == "nonneg", F.when(v.isNotNull(), F.greatest(F.lit(0.0), v)))
-             .otherwise(v))
-
-
 def safe_corr(a: Column, b: Column) -> Column:
     """Pearson correlation, pairwise complete, NULL for a constant side."""
     both = a.isNotNull() & b.isNotNull()

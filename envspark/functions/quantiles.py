@@ -8,9 +8,8 @@ window partitioned by (group, range).
 
 ``exact_quantiles``: exact linear-interpolated quantiles (the same
 definition and arithmetic as Spark's ``percentile``) for one or many
-groups.  Values are first counted (a hot value becomes one row), then the
-prefix sums locate the two order statistics around each position.  No
-aggregation buffer ever holds a whole group.
+groups: approximate quantiles bracket each position, and only the values
+inside the bracket are put in order.  No aggregation buffer holds a group.
 """
 
 from __future__ import annotations
@@ -22,15 +21,15 @@ from pyspark.sql import functions as F
 
 from envspark.functions.joins import join_keys
 
-RANGES = 64
-
 
 def cumulative_counts(counts: DataFrame, order: str, cols: Sequence[str], by: Sequence[str] = (),
-                      descending: bool = False, ranges: int = RANGES) -> DataFrame:
+                      descending: bool = False) -> DataFrame:
     """Adds ``_c<col>`` = sum of ``col`` over rows strictly before this one in
     ``order`` (ascending, or descending) within each ``by`` group.  ``order``
-    values must be distinct within a group (count them first)."""
+    values must be distinct within a group (count them first).  There are
+    as many ranges as the shuffle has partitions."""
     keys = list(by)
+    ranges = max(2, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sgn = F.lit(-1.0) if descending else F.lit(1.0)
     c = counts.withColumn("_o", F.col(order).cast("double") * sgn)
     probs = [i / ranges for i in range(1, ranges)]
@@ -52,68 +51,58 @@ def cumulative_counts(counts: DataFrame, order: str, cols: Sequence[str], by: Se
                           for x in cols}).drop("_o", "_b", *[f"_off{x}" for x in cols])
 
 
-# Spark's exact ``percentile`` merges one value->count map per group into a
-# single task; it is used only when the largest group provably holds at most
-# this many distinct values (checked with an approximate distinct count).
-BUFFER_LIMIT = 1_000_000
-
-
-def distinct_values_bounded(df: DataFrame, value: str, by: Sequence[str], limit: int) -> bool:
-    """Size check (one small aggregate): the largest group's approximate
-    distinct count of ``value`` is within ``limit``."""
-    d = F.approx_count_distinct(F.col(value), 0.05)
-    row = (df.groupBy(*by).agg(d.alias("_d")).agg(F.max("_d").alias("_m")) if by
-           else df.agg(d.alias("_m"))).first()
-    return (row["_m"] or 0) <= limit
+# Rank error of the approximate quantiles that bracket an exact one, as a
+# share of the rows.
+ACCURACY = 10_000
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    names: Sequence[str] | None = None, buffer_limit: int | None = BUFFER_LIMIT) -> DataFrame:
+                    names: Sequence[str] | None = None) -> DataFrame:
     """One row per group with one column per probability (default names
     ``q0``, ``q1``...).  NULL values are ignored; an empty group gives NULL.
 
-    Both paths give the same exact value (Spark's percentile definition):
-    the single-buffer aggregate when the distinct values are provably few,
-    the distributed prefix-sum path otherwise (or when ``buffer_limit`` is
-    None)."""
+    Two passes for every size.  Approximate quantiles (mergeable, with a
+    guaranteed rank error) bracket each position; then the rows below a
+    bracket are only counted, and the values inside, about 6 / ACCURACY of the
+    rows, are counted by value and put in order.  The position is looked up
+    in the exact counts, so the result is Spark's exact ``percentile``."""
     keys = list(by)
     names = list(names or [f"q{i}" for i in range(len(probs))])
-    if buffer_limit is not None and distinct_values_bounded(df, value, keys, buffer_limit):
-        pct = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
-        g = df.groupBy(*keys).agg(pct.alias("_q")) if keys else df.agg(pct.alias("_q"))
-        return g.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    counts = (df.where(F.col(value).isNotNull())
-                .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-                .agg(F.count(F.lit(1)).alias("_n")))
-    cum = cumulative_counts(counts, "_v", ["_n"], keys)
-    tot = counts.groupBy(*keys).agg(F.sum("_n").alias("_tot"))
-    j = join_keys(cum, tot, keys) if keys else cum.crossJoin(F.broadcast(tot))
+    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    edges = [min(max(p + s * 2 / ACCURACY, 0.0), 1.0) for p in probs for s in (-1, 1)]
+    brackets = F.percentile_approx("_v", edges, ACCURACY).alias("_e")
+    b = (v.groupBy(*keys) if keys else v).agg(brackets, F.count(F.lit(1)).alias("_tot"))
+    j = join_keys(v, b, keys) if keys else v.crossJoin(F.broadcast(b))
+    place = [F.struct(F.lit(i).alias("i"),
+                      F.when(F.col("_v") < F.col("_e")[2 * i], -1).when(F.col("_v") > F.col("_e")[2 * i + 1], 1).otherwise(0).alias("side"))
+             for i in range(len(probs))]
+    rows = j.select(*keys, "_tot", "_v", F.explode(F.array(*place)).alias("_p")).select(*keys, "_tot", "_v", "_p.i", "_p.side")
+    # one row below and one above the bracket (their largest and least value can hold the rank next to it)
+    cell = rows.groupBy(*keys, "i", "side", F.when(F.col("side") == 0, F.col("_v")).alias("_in")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.first("_tot").alias("_tot"))
+    w = Window.partitionBy(*keys, "i").orderBy("side", "_in")
+    cum = cell.withColumn("_c", F.sum("_n").over(w) - F.col("_n")).withColumn(
+        "_val", F.when(F.col("side") < 0, F.col("_max")).otherwise(F.col("_min")))
     aggs = []
     for i, p in enumerate(probs):
         pos = (F.col("_tot") - 1).cast("double") * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        # the value holding 0-based rank r satisfies _c_n <= r < _c_n + _n
-        has = lambda r: (F.col("_c_n") <= r) & (r < F.col("_c_n") + F.col("_n"))
-        aggs += [F.max(F.when(has(lo), F.col("_v"))).alias(f"_lo{i}"),
-                 F.max(F.when(has(hi), F.col("_v"))).alias(f"_hi{i}"),
-                 F.first(pos).alias(f"_pos{i}")]
-    g = j.groupBy(*keys).agg(*aggs) if keys else j.agg(*aggs)
+        # the value holding 0-based rank r satisfies _c <= r < _c + _n
+        def has(r, i=i):
+            return (F.col("i") == i) & (F.col("_c") <= r) & (r < F.col("_c") + F.col("_n"))
+        aggs += [F.max(F.when(has(F.floor(pos)), F.col("_val"))).alias(f"_lo{i}"),
+                 F.max(F.when(has(F.ceil(pos)), F.col("_val"))).alias(f"_hi{i}"),
+                 F.max(pos).alias(f"_pos{i}")]
+    g = cum.groupBy(*keys).agg(*aggs) if keys else cum.agg(*aggs)
     out = []
     for i, name in enumerate(names):
         pos, lo_v, hi_v = F.col(f"_pos{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")
         lo, hi = F.floor(pos), F.ceil(pos)
         interp = (hi - pos) * lo_v + (pos - lo) * hi_v
         out.append(F.when((hi == lo) | (lo_v == hi_v), lo_v).otherwise(interp).alias(name))
-    res = g.select(*keys, *out)
-    if keys:
-        return res
-    # a global quantile over an empty input still returns one (NULL) row
-    return res.unionByName(df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(n) for n in names])) \
-        .agg(*[F.max(n).alias(n) for n in names])
+    return g.select(*keys, *out)
 
 
-def exact_medians_wide(df: DataFrame, cols: Sequence[str], suffix: str = "",
-                       buffer_limit: int | None = BUFFER_LIMIT) -> DataFrame:
+def exact_medians_wide(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
     """One row with the exact median of each column: the columns are stacked
     to (column, value) so ONE distributed quantile job, keyed by column,
     serves all of them; the result is pivoted back with fixed column values."""
@@ -122,6 +111,6 @@ def exact_medians_wide(df: DataFrame, cols: Sequence[str], suffix: str = "",
     stack = "stack({n}, {items}) as (_col, _val)".format(
         n=len(cols), items=", ".join(f"'{c}', cast(`{c}` as double)" for c in cols))
     long = df.select(F.expr(stack))
-    q = exact_quantiles(long, "_val", [0.5], by=["_col"], names=["_med"], buffer_limit=buffer_limit)
+    q = exact_quantiles(long, "_val", [0.5], by=["_col"], names=["_med"])
     wide = q.groupBy().pivot("_col", list(cols)).agg(F.first("_med"))
     return wide.select(*[F.col(f"`{c}`").cast("double").alias(f"{c}{suffix}") for c in cols])

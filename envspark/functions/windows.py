@@ -3,14 +3,15 @@ the rows.
 
 ``halo_window_columns``: lag / trailing-row expressions normally computed
 over ``Window.partitionBy(group).orderBy(...)``.  Rows are instead
-partitioned by (group, bucket) -- the bucket is the year of the date, NULL
-dates last -- and every (group, bucket) partition receives a *halo*: the
-``halo`` rows that precede it in the group's order.  Halo rows are taken
-from a tail table holding the last ``halo`` rows of every (group, bucket)
-(bounded: halo x buckets per group); each tail row is sent to at most
-``halo`` following buckets.  A group holding a third of all rows is thus
-split into one task per year, and lags of up to ``halo`` rows and trailing
-windows of up to ``halo`` rows are identical to the unsplit window.
+partitioned by (group, bucket), where a bucket is a range of days that holds
+about rows / shuffle-partitions rows, and every (group, bucket) partition
+receives a *halo*: the ``halo`` rows that precede it in the group's order.
+Halo rows are taken from a tail table holding the last ``halo`` rows of every
+(group, bucket); each tail row is sent to at most ``halo`` following buckets.
+A group is so split into as many tasks as its share of the rows asks for,
+also when all its rows lie in one year, and lags of up to ``halo`` rows and
+trailing windows of up to ``halo`` rows are identical to the unsplit window.
+There is one plan for every size.
 
 ``last_k``: the last k rows per group in two phases (k per (group, bucket),
 then k among those candidates), so no single window sorts a whole group.
@@ -23,16 +24,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-NULL_BUCKET = 99999
-# A group up to this many rows is sorted by one task (the window spills);
-# beyond it the group is split per bucket with a halo.
-HOT_GROUP_ROWS = 1_000_000
-
-
-def largest_group_rows(df: DataFrame, group: str) -> int:
-    """Size check (one small aggregate): rows of the largest group."""
-    row = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_m")).first()
-    return int(row["_m"] or 0)
+NULL_BUCKET = 1 << 30
 
 
 def year_bucket(date_col: str = "date") -> Column:
@@ -43,22 +35,33 @@ def order_keys(order: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in order]
 
 
+def range_starts(df: DataFrame, group: str, date: str, parts: int) -> DataFrame:
+    """Per group, the first days of its buckets but the first (``_starts``,
+    ascending).  Rows are counted per (group, day) with map-side combining;
+    a bucket ends once it holds a ``parts``-th of all rows, so there are at
+    most ``parts`` starts over all groups."""
+    days = df.where(F.col(date).isNotNull()).groupBy(F.col(group), F.to_date(date).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    per = days.agg(F.greatest(F.ceil(F.sum("_n") / F.lit(parts)), F.lit(1)).alias("_per"))
+    w = Window.partitionBy(group).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)    # one row per day
+    cut = days.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).crossJoin(F.broadcast(per)) \
+        .groupBy(group, F.floor(F.col("_before") / F.col("_per")).alias("_k")).agg(F.min("_d").alias("_d"))
+    return cut.groupBy(group).agg(F.slice(F.sort_array(F.collect_list("_d")), F.lit(2), F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).cast("int"))
+                                  .alias("_starts"))
+
+
 def halo_window_columns(df: DataFrame, group: str, order: Sequence[str], needed: Sequence[str],
-                        halo: int, build: Callable[[WindowSpec], dict[str, Column]],
-                        bucket: Column | None = None, hot_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
+                        halo: int, build: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
     """Adds the columns returned by ``build(window)`` where ``window`` is the
-    (group, bucket) window ordered by ``order``; results equal the same
-    expressions over the plain per-group window as long as they look back at
-    most ``halo`` rows.  Rows whose group is NULL form their own group.
-
-    With ``hot_rows`` set, the largest group is measured first and the plain
-    per-group window is used when no group exceeds it (same values, fewer
-    stages); ``hot_rows=None`` always splits."""
-    if hot_rows is not None and largest_group_rows(df, group) <= hot_rows:
-        w = Window.partitionBy(group).orderBy(*order_keys(order))
-        return df.withColumns(build(w))
-    bk = bucket if bucket is not None else year_bucket(order[0])
-    base = df.withColumn("_bk", bk).withColumn("_halo", F.lit(False))
+    (group, bucket) window ordered by ``order`` (a date first); results equal
+    the same expressions over the plain per-group window as long as they look
+    back at most ``halo`` rows.  Rows whose group is NULL form their own group;
+    rows without a date are a group's last bucket."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    starts = range_starts(df, group, order[0], parts)
+    day = F.to_date(order[0])
+    bucket = F.when(day.isNull(), F.lit(NULL_BUCKET)).otherwise(
+        F.coalesce(F.size(F.filter("_starts", lambda x: x <= day)), F.lit(0)))
+    base = _join_null_safe(df, starts, group).withColumn("_bk", bucket).drop("_starts").withColumn("_halo", F.lit(False))
     cols = list(dict.fromkeys([group, *order, *needed]))
     # last `halo` rows of every (group, bucket)
     wt = Window.partitionBy(group, "_bk").orderBy(*[F.col(c).desc_nulls_first() for c in order])
@@ -101,19 +104,3 @@ def last_k(df: DataFrame, group: Sequence[str], order_desc: Sequence[Column], k:
     cand = pre.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1", "_b")
     w2 = Window.partitionBy(*g).orderBy(*order_desc)
     return cand.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= k)
-
-
-def global_row_index(df: DataFrame, order: Sequence[Column], col: str = "_idx") -> DataFrame:
-    """1-based position of every row in a total ``order`` without a
-    single-partition window: a range-partitioned sort spreads the rows over
-    partitions in order, each partition numbers its rows, and partition
-    offsets come from the per-partition counts (one row per partition).
-    ``order`` must be a total order (end it with a unique key)."""
-    s = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid").orderBy(*order)
-    s = s.withColumn("_rn", F.row_number().over(w))
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
-    wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
-    offsets = counts.select("_pid", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
-    return (s.join(F.broadcast(offsets), "_pid")
-             .withColumn(col, F.col("_off") + F.col("_rn")).drop("_pid", "_rn", "_off"))

@@ -51,19 +51,17 @@ def _r2(sse: Column, sst: Column) -> Column:
 
 def regression_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """L1 (and per group for L6): R2 = 1 - SSE/SST (sklearn convention when
-    SST = 0), RMSE, MAE; two passes so SST uses the exact mean."""
-    d = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+    SST = 0), RMSE, MAE in one pass: SST is n times the population variance,
+    which Spark merges from central moments."""
     keys = list(by)
-    if keys:
-        d = join_keys(d, d.groupBy(*keys).agg(F.avg(y).alias("_ybar")), keys)
-    else:
-        d = d.crossJoin(F.broadcast(d.agg(F.avg(y).alias("_ybar"))))
-    err = F.col(y).cast("double") - F.col(p).cast("double")
-    agg = [F.count(F.lit(1)).alias("n"), F.sum(err * err).alias("_sse"),
-           F.sum((F.col(y) - F.col("_ybar")) * (F.col(y) - F.col("_ybar"))).alias("_sst"),
-           F.avg(F.abs(err)).alias("MAE")]
+    d = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()) \
+        .select(*keys, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p"))
+    err = F.col("_y") - F.col("_p")
+    agg = [F.count(F.lit(1)).alias("n"), F.sum(err * err).alias("_sse"), F.var_pop("_y").alias("_var"),
+           F.avg(F.abs(err)).alias("MAE"), (F.min("_y") == F.max("_y")).alias("_flat")]
     g = d.groupBy(*keys).agg(*agg) if keys else d.agg(*agg)
-    return g.select(*keys, "n", _r2(F.col("_sse"), F.col("_sst")).alias("R2"),
+    sst = F.when(F.col("_flat"), F.lit(0.0)).otherwise(F.col("_var") * F.col("n"))
+    return g.select(*keys, "n", _r2(F.col("_sse"), sst).alias("R2"),
                     F.sqrt(F.col("_sse") / F.col("n")).alias("RMSE"), "MAE")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from envspark import config as C
 from envspark.functions.exprs import to_number
-from envspark.functions.windows import HOT_GROUP_ROWS, halo_window_columns
+from envspark.functions.windows import halo_window_columns
 
 
 def city_order_window(city: str = "ville", order_key: str | None = "identifiant"):
@@ -42,12 +42,6 @@ def with_calendar(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def quarter_weekday(df: DataFrame) -> DataFrame:
-    """B2: quarter ((m-1)//3)+1 and weekday with Monday = 0."""
-    d = F.col("date")
-    return df.withColumns({"trimestre": F.quarter(d), "jour_semaine": F.weekday(d)})
-
-
 def month_cyclic(m: Column) -> tuple[Column, Column]:
     a = F.lit(2 * math.pi) * m / F.lit(12.0)
     return F.sin(a), F.cos(a)
@@ -105,19 +99,14 @@ def lag_window_columns(w, vars_: Sequence[str], lags: Sequence[int] = C.LAGS, ro
 
 def add_lags_and_trailing(df: DataFrame, lag_vars: Sequence[str] = C.LAG_VARS, lags: Sequence[int] = C.LAGS,
                           rows: int = C.TRAILING_ROWS, city: str = "ville",
-                          order_key: str | None = "identifiant", split_hot_cities: bool | None = None) -> DataFrame:
-    """D1-D3.  A city larger than ``functions.windows.HOT_GROUP_ROWS`` (or
-    every city with ``split_hot_cities=True``) is windowed per (city, year)
-    with a halo of the preceding rows: identical values, one task per year
-    instead of one task.  ``False`` forces the plain per-city window."""
+                          order_key: str | None = "identifiant") -> DataFrame:
+    """D1-D3.  Every city is windowed per range of days with a halo of the
+    preceding rows (``functions.windows``): the values of the per-city window,
+    in as many tasks as the city's share of the rows asks for."""
     vars_ = [c for c in lag_vars if c in df.columns]
     if city not in df.columns or not vars_:
         return df
     okey = order_key if order_key and order_key in df.columns else None
     order = ["date"] + ([okey] if okey else [])
-    look = max(max(lags), rows)
-    if split_hot_cities is not False:
-        return halo_window_columns(df, city, order, vars_, look,
-                                   lambda w: lag_window_columns(w, vars_, lags, rows, city),
-                                   hot_rows=None if split_hot_cities else HOT_GROUP_ROWS)
-    return df.withColumns(lag_window_columns(city_order_window(city, okey), vars_, lags, rows, city))
+    return halo_window_columns(df, city, order, vars_, max(max(lags), rows),
+                               lambda w: lag_window_columns(w, vars_, lags, rows, city))

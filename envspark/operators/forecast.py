@@ -87,17 +87,8 @@ def forecast_trend(df: DataFrame, target: str = "proxy_pm25", horizon: int = 7,
     clamp = (not cfg.is_classification) if clamp is None else clamp
     daily = (df.where(F.col("date").isNotNull() & F.col(target).isNotNull() & F.col(city).isNotNull())
                .groupBy(city, "date").agg(F.avg(target).alias("_y")))
-    stats = daily.groupBy(city).agg(F.count(F.lit(1)).alias("_n"), F.min("date").alias("_first"),
-                                    F.max("date").alias("_last"))
-    ok = stats.where(F.col("_n") >= C.MIN_HISTORY_TREND)
-    d = daily.join(ok.select(city), city, "left_semi")
-    dense = _dense_tail(d, ok, city)
-    tail = dense.groupBy(city).agg(
-        F.array_sort(F.collect_list(F.struct("date", "_y"))).alias("_s"))  # <= 14 elements
-    base = tail.join(ok, city).select(
-        city, "_last",
-        F.transform("_s", lambda s: s["_y"]).alias("_arr"),
-        (F.datediff("_last", "_first") + 1).alias("_len"))
+    base = _series_end(daily, city).where(F.col("_n") >= C.MIN_HISTORY_TREND).select(
+        city, "_last", _dense_tail().alias("_arr"), (F.datediff("_last", "_first") + 1).alias("_len"))
     n = "size(_arr)"
     last7 = _mean_sql("_arr", f"{n} - 6", 7)
     prev7 = f"(CASE WHEN _len >= 14 THEN {_mean_sql('_arr', f'{n} - 13', 7)} ELSE {last7} END)"
@@ -112,37 +103,32 @@ def forecast_trend(df: DataFrame, target: str = "proxy_pm25", horizon: int = 7,
                     level_expr(F.col("prediction"), cfg).alias("niveau"))
 
 
-def _dense_tail(daily: DataFrame, ok: DataFrame, city: str) -> DataFrame:
-    """The last 14 calendar days of each city (D8 restricted to the window
-    J1 reads), interpolated from the nearest observations around them."""
-    start = F.date_sub(F.col("_last"), 13)
-    d = daily.join(ok.select(city, "_last"), city)
-    # observations inside the window plus the last one before it (left anchor)
-    inside = d.where(F.col("date") >= start).drop("_last")
-    before = (d.where(F.col("date") < start).groupBy(city)
-                .agg(F.max_by(F.struct("date", "_y"), "date").alias("_a"))
-                .select(city, F.col("_a.date").alias("date"), F.col("_a._y").alias("_y")))
-    obs = inside.unionByName(before)
-    span = ok.select(city, F.greatest(F.col("_first"), F.date_sub(F.col("_last"), 13)).alias("_d0"), "_last")
-    cal = span.select(city, F.explode(F.sequence("_d0", "_last", F.expr("INTERVAL 1 DAY"))).alias("date"))
-    u = cal.join(obs, [city, "date"], "full")
-    w = Window.partitionBy(city).orderBy("date")
-    up = w.rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(city).orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumns({
-        "_pv": F.last("_y", ignorenulls=True).over(up),
-        "_pd": F.last(F.when(F.col("_y").isNotNull(), F.col("date")), ignorenulls=True).over(up),
-        "_nv": F.last("_y", ignorenulls=True).over(down),
-        "_nd": F.last(F.when(F.col("_y").isNotNull(), F.col("date")), ignorenulls=True).over(down),
-    })
-    slope = (F.col("_nv") - F.col("_pv")) / F.datediff(F.col("_nd"), F.col("_pd")).cast("double")
-    val = (F.when(F.col("_y").isNotNull(), F.col("_y"))
-            .when(F.col("_pv").isNull(), F.col("_nv"))
-            .when(F.col("_nv").isNull(), F.col("_pv"))
-            .otherwise(slope * F.datediff(F.col("date"), F.col("_pd")).cast("double") + F.col("_pv")))
-    return (u.join(span.select(city, "_d0"), city)
-             .where(F.col("date") >= F.col("_d0"))
-             .select(city, "date", val.alias("_y")))
+def _series_end(daily: DataFrame, city: str, keep: int = 15) -> DataFrame:
+    """Per city: number of observed days, first and last day, and its last
+    ``keep`` observations (``_s``, oldest first) -- all that the last 14
+    calendar days and their left neighbour need.  One pass over the days: lists
+    of at most a year's days per (city, year), then of ``keep`` per year."""
+    def latest(lists):
+        return F.slice(F.sort_array(lists, asc=False), 1, keep)
+    year = daily.groupBy(city, F.year("date")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("date").alias("_first"), F.max("date").alias("_last"),
+        latest(F.collect_list(F.struct("date", "_y"))).alias("_s"))
+    return year.groupBy(city).agg(
+        F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.max("_last").alias("_last"),
+        F.reverse(latest(F.flatten(F.collect_list("_s")))).alias("_s"))
+
+
+def _dense_tail() -> Column:
+    """The last 14 calendar days of a series (D8 restricted to the window J1
+    reads), interpolated between the observations in ``_s``."""
+    def value(day):
+        before = F.element_at(F.filter("_s", lambda o: o["date"] <= day), -1)
+        after = F.get(F.filter("_s", lambda o: o["date"] >= day), 0)
+        slope = (after["_y"] - before["_y"]) / F.datediff(after["date"], before["date"]).cast("double")
+        return F.when(before["date"] == day, before["_y"]).otherwise(
+            slope * F.datediff(day, before["date"]).cast("double") + before["_y"])
+    start = F.greatest(F.col("_first"), F.date_sub(F.col("_last"), 13))
+    return F.transform(F.sequence(start, F.col("_last"), F.expr("INTERVAL 1 DAY")), value)
 
 
 def forecast_trend_fixed(df: DataFrame, target: str = "proxy_pm25", horizon: int = 7,

@@ -108,13 +108,9 @@ def apply_index(df: DataFrame, params: DataFrame) -> DataFrame:
     return j.select(*base_cols, "cutoff", *out.keys(), "score_risque")
 
 
-def fit_threshold(train: DataFrame, q: float = C.ALERT_QUANTILE, exact: bool = True,
-                  col: str = "proxy_pm25") -> DataFrame:
-    """Exact linear-interpolated quantile on the training rows (T6);
-    ``exact=False`` switches to percentile_approx for very large inputs."""
-    if exact:
-        return exact_quantiles(train, col, [q], names=["seuil"])
-    return train.agg(F.percentile_approx(F.col(col), F.lit(q), 100000).cast("double").alias("seuil"))
+def fit_threshold(train: DataFrame, q: float = C.ALERT_QUANTILE, col: str = "proxy_pm25") -> DataFrame:
+    """Exact linear-interpolated quantile on the training rows."""
+    return exact_quantiles(train, col, [q], names=["seuil"])
 
 
 def alert_flag(p: Column, threshold: Column) -> Column:

@@ -30,6 +30,8 @@ from pyspark import StorageLevel
 from envspark import config as C
 from envspark.functions.exprs import clip, level_expr
 from envspark.operators import cleaning, evaluate, prep, slices
+from envspark.operators.index import alert_flag
+from envspark.session import materialize, one_row
 
 SEED = 42
 SCALED_MODELS = {"Ridge", "LogisticRegression", "MLP"}
@@ -70,13 +72,15 @@ def training_data(obs: DataFrame, target: str = "proxy_pm25", task: str | None =
     base = split.where(F.col("split").isNotNull()).select(
         *[F.col(c).alias(f"_m_{c}") for c in meta], *key, *num_cols, *cat_cols, label, "split")
     tr = base.where(F.col("split") == "train")
-    medians = prep.fit_medians(tr, num_cols)
-    dictionary = prep.fit_categories(base, cat_cols)  # train U test (H3)
+    # fitted tables and the encoded rows are written once; every candidate reads them
+    medians = one_row(materialize(prep.fit_medians(tr, num_cols), "medians"))
+    dictionary = materialize(prep.fit_categories(base, cat_cols), "categories")  # train U test (H3)
     enc = prep.encode(prep.impute(base, medians, num_cols), dictionary, cat_cols)
     enc = enc.select(*[F.col(c) for c in enc.columns if c not in num_cols + cat_cols],
                      *[F.col(c).cast("double").alias(c) for c in num_cols + cat_cols])
+    enc = materialize(enc, "encoded", partition_by=["split"])
     tr_enc = enc.where(F.col("split") == "train")
-    scaler = prep.fit_scaler(tr_enc, num_cols + cat_cols)
+    scaler = one_row(materialize(prep.fit_scaler(tr_enc, num_cols + cat_cols), "scaler"))
     sc = prep.scale(enc, scaler, num_cols + cat_cols)
     return TrainingData(target, task, num_cols, cat_cols,
                         tr_enc, enc.where(F.col("split") == "test"),
@@ -119,7 +123,7 @@ def fit_early_stopped(td: TrainingData, fraction: float = 0.85, min_validation:
     training rows without early stopping.  Returns (model, scored test rows)."""
     tr = td.train.select("*", F.col("_m_ville").alias("ville"), F.col("_m_date").alias("date"),
                          F.col("_m_identifiant").alias("identifiant"))
-    val = slices.validation_split(tr, fraction, min_validation)
+    val = materialize(slices.validation_split(tr, fraction, min_validation), "validation-split")
     has_val = val.agg(F.count_if("is_validation").alias("n")).first()["n"] > 0
     model = _pipeline(td.features, early_stopped_booster(len(td.features), has_val)).fit(val)
     return model, score(model, td.test, td.task)
@@ -164,13 +168,11 @@ def metrics_of(pred: DataFrame, task: str) -> dict:
 ROWS_PER_TRAINING_PARTITION = 5_000
 
 
-def training_partitions(spark: SparkSession, n_rows: int) -> int:
+def training_partitions(n_rows: int) -> int:
     """Iterative learners pay a scheduling cost per partition on every pass
     (one per tree level per tree), so training data is sized by rows, not by
-    the shuffle width: about ``ROWS_PER_TRAINING_PARTITION`` rows per
-    partition, at most one partition per core of the cluster (one wave)."""
-    cap = max(1, spark.sparkContext.defaultParallelism)
-    return int(min(cap, max(1, -(-n_rows // ROWS_PER_TRAINING_PARTITION))))
+    the shuffle width."""
+    return max(1, -(-n_rows // ROWS_PER_TRAINING_PARTITION))
 
 
 def train_candidates(td: TrainingData, names: list[str] | None = None,
@@ -184,7 +186,7 @@ def train_candidates(td: TrainingData, names: list[str] | None = None,
     candidates save, so candidates are fitted one after the other by default."""
     spark = td.train.sparkSession
     st = td.train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd")).first()
-    parts = training_partitions(spark, st["n"])
+    parts = training_partitions(st["n"])
     train = td.train.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
     train_s = td.train_scaled.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
     train.count(), train_s.count()
@@ -211,6 +213,8 @@ def train_candidates(td: TrainingData, names: list[str] | None = None,
         from concurrent.futures import ThreadPoolExecutor
         with ThreadPoolExecutor(max_workers=workers) as pool:
             out = list(pool.map(fit_one, cands))
+    train.unpersist()
+    train_s.unpersist()
     results = [r for r in out if r is not None]
     if not results:
         raise RuntimeError("no candidate model could be trained")
@@ -241,8 +245,9 @@ def select_best(results: list[RunResult], task: str) -> RunResult:
     return best
 
 
-def feature_importance(spark: SparkSession, result: RunResult, features: list[str], k: int = 20) -> DataFrame:
-    """Tree importances, else |coefficients|, else none; descending."""
+def feature_importance(spark: SparkSession, result: RunResult, features: list[str], k: int | None = 20) -> DataFrame:
+    """Tree importances, else |coefficients|, else none; descending; the
+    first ``k`` (all if None)."""
     m = result.model.stages[-1]
     if hasattr(m, "featureImportances"):
         vals = m.featureImportances.toArray().tolist()
@@ -251,7 +256,8 @@ def feature_importance(spark: SparkSession, result: RunResult, features: list[st
     else:
         return spark.createDataFrame([], "variable string, importance double")
     df = spark.createDataFrame(list(zip(features, [float(v) for v in vals])), "variable string, importance double")
-    return df.orderBy(F.col("importance").desc(), F.col("variable")).limit(k)
+    df = df.orderBy(F.col("importance").desc(), F.col("variable"))
+    return df if k is None else df.limit(k)
 
 
 # --- M3: artefact --------------------------------------------------------------
@@ -291,6 +297,18 @@ def load_artefact(spark: SparkSession, path: str) -> Artefact:
                     spark.read.parquet(os.path.join(path, "scaler")))
 
 
+def apply_artefact(obs: DataFrame, art: Artefact) -> DataFrame:
+    """M3 override: a loaded artefact's stored alert threshold replaces the
+    fitted one, and the flag and the level of its target follow."""
+    thr, target = art.meta.get("threshold_alert"), art.meta["target"]
+    out = obs
+    if thr is not None and "proxy_pm25" in obs.columns:
+        out = out.withColumn("alerte_pollution", alert_flag(F.col("proxy_pm25"), F.lit(float(thr))))
+    if target in out.columns:
+        out = out.withColumn("niveau_alerte", level_expr(F.col(target), C.target_config(target, art.meta["task_type"])))
+    return out
+
+
 # --- J5: model forecast ------------------------------------------------------------
 
 def forecast_model(future: DataFrame, art: Artefact, city: str = "ville") -> DataFrame:

@@ -42,27 +42,23 @@ def fit_categories(df: DataFrame, cat_cols: Sequence[str]) -> DataFrame:
     """K2 fit: per column, sorted distinct non-missing values of train and
     test (H3 union), code = rank - 1 (T16).  Returns (column, value, code).
     The window is partitioned by column over distinct values only."""
-    parts = None
-    for c in cat_cols:
-        p = df.where(F.col(c).isNotNull()).select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-        parts = p if parts is None else parts.unionByName(p)
-    d = parts.distinct()
+    stack = "stack({n}, {items}) as (column, value)".format(
+        n=len(cat_cols), items=", ".join(f"'{c}', cast(`{c}` as string)" for c in cat_cols))
+    d = df.select(F.expr(stack)).where("value IS NOT NULL").distinct()
     w = Window.partitionBy("column").orderBy("value")
     return d.withColumn("code", F.row_number().over(w) - 1)
 
 
 def encode(df: DataFrame, dictionary: DataFrame, cat_cols: Sequence[str]) -> DataFrame:
-    """K2 apply: value -> code by left join (the dictionary is bounded by the
-    number of distinct category values; AQE broadcasts it when small);
-    missing or unseen -> -1."""
-    out = df
-    for c in cat_cols:
-        dc = dictionary.where(F.col("column") == c).select(F.col("value").alias(f"__v_{c}"),
-                                                             F.col("code").alias(f"__code_{c}"))
-        out = (out.join(dc, F.col(c).cast("string") == F.col(f"__v_{c}"), "left")
-               .withColumn(c, F.coalesce(F.col(f"__code_{c}"), F.lit(-1)).cast("int"))
-               .drop(f"__v_{c}", f"__code_{c}"))
-    return out
+    """K2 apply: value -> code, missing or unseen -> -1.  The dictionary (one
+    entry per distinct category value) becomes one row of maps, and all columns
+    are looked up in one projection: no row is shuffled on a category."""
+    maps = dictionary.agg(*[F.map_from_entries(F.collect_list(F.when(F.col("column") == c, F.struct("value", "code")))).alias(f"__map_{c}")
+                            for c in cat_cols])
+    j = df.crossJoin(F.broadcast(maps))
+    codes = {c: F.coalesce(F.when(F.col(c).isNotNull(), F.try_element_at(F.col(f"__map_{c}"), F.col(c).cast("string"))), F.lit(-1)).cast("int")
+             for c in cat_cols}
+    return j.withColumns(codes).drop(*[f"__map_{c}" for c in cat_cols])
 
 
 def fit_scaler(train: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from envspark import config as C
-from envspark.functions.exprs import band_label, clip, np_round
+from envspark.functions.exprs import band_label, clip, np_round, py_round
 from envspark.functions.windows import last_k
 
 
@@ -86,13 +86,8 @@ def city_risk(df: DataFrame, target: str = "proxy_pm25") -> DataFrame:
         np_round(F.col("tendance_7j"), 1).alias("tendance_7j"),
         np_round(score, 1).alias("score_risque"),
     )
-    return out.withColumn("niveau_risque", band_label(F.col("score_risque"), C.RISK_BAND_LABELS))
-
-
-def rank_cities(risk: DataFrame) -> DataFrame:
-    """H6 order of the risk table: score desc, mean desc, missing last, city."""
-    return risk.orderBy(F.col("score_risque").desc_nulls_last(), F.col("pm25_moyen").desc_nulls_last(),
-                        F.col("ville"))
+    return out.withColumn("niveau_risque", band_label(F.col("score_risque"), C.RISK_BAND_LABELS)) \
+        .orderBy(F.col("score_risque").desc_nulls_last(), F.col("pm25_moyen").desc_nulls_last(), F.col("ville"))
 
 
 def region_alerts(df: DataFrame, target: str = "proxy_pm25") -> DataFrame:
@@ -110,12 +105,7 @@ def region_alerts(df: DataFrame, target: str = "proxy_pm25") -> DataFrame:
     return reg.withColumns({
         "niveau": band_label(F.col("score_sanitaire"), C.REGION_BAND_LABELS),
         "message": msg.otherwise(F.lit(C.REGION_MESSAGE_DEFAULT)),
-    })
-
-
-def region_alert_of(alerts: DataFrame, region: str) -> DataFrame:
-    """I2 lookup of one region by filter."""
-    return alerts.where(F.col("region") == F.lit(region))
+    }).orderBy(F.col("score_sanitaire").desc_nulls_last(), "region")
 
 
 def _py_float_str(x: Column) -> Column:
@@ -171,7 +161,7 @@ def recommendations(df: DataFrame, risk: DataFrame, threshold: DataFrame,
         # a NaN threshold is truthy in the reference and prints as "nan"
         (8, F.when(seuil.isNull() | (seuil != 0), F.format_string(
             C.RECO_THRESHOLD.replace("{label}", "%s").replace("{seuil}", "%s"),
-            F.lit(label), F.coalesce(np_round(seuil, 1).cast("string"), F.lit("nan"))))),
+            F.lit(label), F.coalesce(py_round(seuil, 1).cast("string"), F.lit("nan"))))),
     ]
     arr = F.array(*[F.struct(F.lit(code).alias("code"), txt.alias("text")) for code, txt in cands])
     return (j.select(F.posexplode(F.filter(arr, lambda s: s["text"].isNotNull())).alias("pos", "r"))

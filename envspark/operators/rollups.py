@@ -4,15 +4,14 @@ A9/A10 summaries and the M5 data browser.
 Every rollup is a ``groupBy`` with map-side partial aggregation; group-wise
 statistics that need a second pass (box whiskers, histogram) join a small
 per-group statistics table back (broadcast when its size is bounded by the
-group count).  Exact quantiles keep a value->count map per group; for a
-single global quantile over billions of rows use ``exact=False``.
+group count).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from envspark import config as C
@@ -20,7 +19,7 @@ from envspark.functions.exprs import (band_ordinal, label_of, level_expr, month_
                                       safe_corr, wind_regime, wind_sector_ordinal)
 from envspark.functions.joins import join_keys
 from envspark.functions.quantiles import exact_quantiles
-from envspark.functions.windows import halo_window_columns, last_k
+from envspark.functions.windows import last_k
 from envspark.operators.risk import city_risk, first_valid
 
 
@@ -93,31 +92,26 @@ def level_counts(df: DataFrame, col: str = "niveau_alerte",
 
 
 def alert_share_by_region(df: DataFrame) -> DataFrame:
-    """Mean alert flag per region and its percent rounded to 1."""
+    """Mean alert flag per region and its percent rounded to 1, highest first."""
     return (df.groupBy("region").agg(F.avg("alerte_pollution").alias("alerte_pollution"))
-              .withColumn("pct", np_round(F.col("alerte_pollution") * F.lit(100.0), 1)))
+              .withColumn("pct", np_round(F.col("alerte_pollution") * F.lit(100.0), 1))
+              .orderBy(F.col("alerte_pollution").desc_nulls_last(), "region"))
 
 
-def region_median_order(df: DataFrame, target: str = "proxy_pm25", exact: bool = True) -> DataFrame:
-    """Exact median per region (ordering key of the box plots)."""
-    if exact:
-        return exact_quantiles(df, target, [0.5], by=["region"], names=["mediane"])
-    return df.groupBy("region").agg(F.percentile_approx(target, 0.5, 100000).cast("double").alias("mediane"))
+def region_median_order(df: DataFrame, target: str = "proxy_pm25") -> DataFrame:
+    """Exact median per region, in the order of the box plots (highest first)."""
+    return exact_quantiles(df, target, [0.5], by=["region"], names=["mediane"]) \
+        .orderBy(F.col("mediane").desc_nulls_last(), "region")
 
 
-def box_stats(df: DataFrame, group: str, value: str, exact: bool = True) -> DataFrame:
+def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles (linear), whiskers at the last datum inside 1.5 IQR,
     outlier count, per group.  Two passes: per-group quartiles (one row per
     group, joined back) then conditional min/max/count."""
     x = F.col(value)
     base = df.where(x.isNotNull()).select(F.col(group).alias("groupe"), x.alias("v"))
     n = base.groupBy("groupe").agg(F.count(F.lit(1)).alias("n"))
-    if exact:
-        qs = exact_quantiles(base, "v", [0.25, 0.5, 0.75], by=["groupe"], names=["q1", "mediane", "q3"])
-    else:
-        pct = F.percentile_approx(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100000)
-        qs = base.groupBy("groupe").agg(pct.alias("_q")).select(
-            "groupe", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("mediane"), F.col("_q")[2].alias("q3"))
+    qs = exact_quantiles(base, "v", [0.25, 0.5, 0.75], by=["groupe"], names=["q1", "mediane", "q3"])
     q = join_keys(n, qs, ["groupe"])
     q = q.withColumns({"_lo": F.col("q1") - F.lit(1.5) * (F.col("q3") - F.col("q1")),
                        "_hi": F.col("q3") + F.lit(1.5) * (F.col("q3") - F.col("q1"))})
@@ -238,13 +232,10 @@ def class_counts(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def daily_trend(df: DataFrame, target: str = "proxy_pm25") -> DataFrame:
     """Mean per date and the 7-row moving average including the current
-    row, computed per year with the 6 preceding days as halo."""
-    daily = (df.where(F.col("date").isNotNull()).groupBy("date").agg(F.avg(target).alias(target))
-               .withColumn("_g", F.lit(0)))
-    # one row per day, split per year with a 6-row halo (no single-task window)
-    out = halo_window_columns(daily, "_g", ["date"], [target], 6,
-                              lambda w: {"moyenne_mobile_7j": F.avg(target).over(w.rowsBetween(-6, 0))})
-    return out.drop("_g")
+    row.  The window runs over one row per calendar day, however many
+    observations there are."""
+    daily = df.where(F.col("date").isNotNull()).groupBy("date").agg(F.avg(target).alias(target))
+    return daily.withColumn("moyenne_mobile_7j", F.avg(target).over(Window.orderBy("date").rowsBetween(-6, 0)))
 
 
 def history_tail(df: DataFrame, target: str = "proxy_pm25", days: int = 60) -> DataFrame:

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from envspark.functions.windows import global_row_index
+from envspark.session import one_row
 
 
 def slice_observations(df: DataFrame, regions: Sequence[str] | DataFrame, year_from: int, year_to: int,
@@ -57,27 +57,58 @@ def temporal_split(df: DataFrame, test_years: int = 1) -> DataFrame:
                         .when(F.col("annee") > F.col("_cut"), F.lit("test"))).drop("_cut")
 
 
+def validation_boundary(train: DataFrame, fraction: float = 0.85, min_validation: int = 20,
+                        city: str = "ville", key: str = "identifiant") -> DataFrame:
+    """One row: where the first int(fraction * n) rows in (city, date, key)
+    order end -- the city, the date and the number of rows inside that
+    (city, date) cell that still fit -- and whether validation is used.
+
+    Rows are counted per city, then per date of the boundary city: two small
+    aggregates with map-side combining.  Nothing depends on how rows are
+    partitioned and the data are not sorted."""
+    n = F.count(F.lit(1)).alias("_n")
+    cities = train.groupBy(F.col(city).alias("_city")).agg(n)
+    by_city = Window.orderBy(F.col("_city").asc_nulls_last())                    # one row per city
+    placed = cities.withColumn("_upto", F.sum("_n").over(by_city)).crossJoin(
+        F.broadcast(cities.agg(F.sum("_n").alias("_tot"))))
+    k = F.greatest(F.floor(F.col("_tot") * F.lit(fraction)).cast("long"), F.lit(1))
+    edge_city = one_row(placed.where((F.col("_upto") - F.col("_n") < k) & (k <= F.col("_upto"))).select(
+        "_city", (k - F.col("_upto") + F.col("_n")).alias("_rest"), (F.col("_tot") - k > min_validation).alias("_use")))
+    dates = train.join(F.broadcast(edge_city), F.col(city).eqNullSafe(F.col("_city"))) \
+        .groupBy("_city", "_rest", "_use", F.col("date").alias("_date")).agg(n)
+    by_date = Window.partitionBy("_city").orderBy(F.col("_date").asc_nulls_last())     # one row per date of one city
+    days = dates.withColumn("_upto", F.sum("_n").over(by_date))
+    return one_row(days.where((F.col("_upto") - F.col("_n") < F.col("_rest")) & (F.col("_rest") <= F.col("_upto")))
+                   .select("_city", "_date", (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("_in_cell"), "_use"))
+
+
 def validation_split(train: DataFrame, fraction: float = 0.85, min_validation: int = 20,
-                     city: str = "ville") -> DataFrame:
-    """C4: the first int(fraction * n) training rows in (city, date) order fit,
-    the rest validate (only if more than ``min_validation`` rows validate).
-
-    The position comes from a distributed global row index (range-partitioned
-    sort + per-partition offsets): no per-city window (a hot city is spread
-    over several partitions) and no single-partition window over the data."""
-    order = [F.col(city).asc_nulls_last(), F.col("date").asc_nulls_last(), F.col("identifiant").asc_nulls_last()]
-    idx = global_row_index(train, order, "_pos")
-    split = train.agg(F.count(F.lit(1)).alias("_tot")).select(
-        F.greatest(F.floor(F.col("_tot") * F.lit(fraction)).cast("long"), F.lit(1)).alias("_k"), "_tot")
-    j = idx.crossJoin(F.broadcast(split))
-    use = (F.col("_tot") - F.col("_k")) > F.lit(min_validation)
-    return j.withColumn("is_validation", use & (F.col("_pos") > F.col("_k"))).drop("_pos", "_k", "_tot")
+                     city: str = "ville", key: str = "identifiant") -> DataFrame:
+    """C4: the first int(fraction * n) training rows in (city, date, key) order
+    fit, the rest validate (only if more than ``min_validation`` rows would).
+
+    A row is compared with the one boundary row; only the rows of the boundary
+    (city, date) cell are numbered."""
+    edge = validation_boundary(train, fraction, min_validation, city, key)
+    j = train.crossJoin(F.broadcast(edge))
+    own, day = F.col(city), F.col("date")
+    same_city, same_day = own.eqNullSafe(F.col("_city")), day.eqNullSafe(F.col("_date"))
+    # nulls are last
+    later_city = F.col("_city").isNotNull() & (own.isNull() | (own > F.col("_city")))
+    later_day = F.col("_date").isNotNull() & (day.isNull() | (day > F.col("_date")))
+    in_cell = same_city & same_day
+    cell = j.where(in_cell).withColumn("_rn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col(key).asc_nulls_last()))) \
+        .withColumn("is_validation", F.col("_use") & (F.col("_rn") > F.col("_in_cell"))).drop("_rn")
+    rest = j.where(~in_cell).withColumn(
+        "is_validation", F.coalesce(F.col("_use") & (later_city | (same_city & later_day)), F.lit(False)))
+    drop = ["_city", "_date", "_in_cell", "_use"]
+    return rest.drop(*drop).unionByName(cell.drop(*drop))
 
 
 def sample_n(df: DataFrame, n: int = 2000, seed: int = 42, key: str = "identifiant") -> DataFrame:
-    """Exactly min(n, rows) rows without replacement, reproducible:
-    order by a seeded hash of the row key (TakeOrderedAndProject, no full sort)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """Exactly min(n, rows) rows without replacement, reproducible: ordered
+    by the MD5 of row key and seed (TakeOrderedAndProject, no full sort)."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), F.col(key)).limit(n)
 
 
 def top_k(df: DataFrame, k: int, *order) -> DataFrame:

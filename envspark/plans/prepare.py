@@ -8,8 +8,8 @@ stagnation, risk (E2, E5, E6) -> Q80 threshold (E3) -> flag (E4) -> level
 
 The lineage cuts write Parquet tables into the shared
 ``spark.checkpoint.dir`` (``session.materialize``): the plan runs once, the
-files survive executor loss, and later scans prune columns and, for the
-prepared table partitioned by year, partitions (slices, temporal split).
+files survive executor loss, and later scans prune columns and, for slices of
+the prepared table (partitioned by year), partitions.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def add_index(df: DataFrame, opts: C.PrepareOptions | None = None,
         params = one_row(materialize(params, "index_params"))
     scored = index.apply_index(df, params)
     train = scored.where(F.col("annee") <= F.col("cutoff"))
-    thr = index.fit_threshold(train, opts.alert_quantile, opts.exact_quantiles)
+    thr = index.fit_threshold(train, opts.alert_quantile)
     if cut_lineage:
         thr = one_row(materialize(thr, "alert_threshold"))
     out = (scored.crossJoin(F.broadcast(thr))

@@ -9,6 +9,7 @@ inventory row to its function and query.
 from __future__ import annotations
 
 import os as _os
+import uuid as _uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -289,6 +290,16 @@ def q_slice_risk(spark, sf_dir):
     return R.city_risk(S.slice_observations(obs(spark, sf_dir), SLICE_REGIONS, *SLICE_YEARS), PROXY)
 
 
+@register("filtered_export")
+def q_filtered_export(spark, sf_dir):
+    """M1: the selected slice written as CSV and read back."""
+    o = rollups.with_level(S.slice_observations(obs(spark, sf_dir), SLICE_REGIONS, *SLICE_YEARS), PROXY, C.target_config(PROXY))
+    path = _os.path.join(ensure_checkpoint_dir(spark), f"filtered-{_uuid.uuid4().hex}")
+    SK.export_filtered(o, path, PROXY)
+    cols = [c for c in C.BROWSER_COLS + [PROXY, "niveau_target"] if c in o.columns]
+    return spark.read.schema(o.select(*cols).schema).option("header", True).csv(path)
+
+
 @register("filter_values")
 def q_filter_values(spark, sf_dir):
     """C2 + H4."""
@@ -317,9 +328,16 @@ def q_validation_split(spark, sf_dir):
                                   F.count_if(F.col("is_validation")).alias("n_val"))
 
 
+@register("validation_rows")
+def q_validation_rows(spark, sf_dir):
+    """C4: every training row with its side of the split, all columns read."""
+    tr = model_frame(spark, sf_dir).where(F.col("split") == "train")
+    return S.validation_split(tr).select("identifiant", "ville", "date", PROXY, "is_validation")
+
+
 @register("sample_rows")
 def q_sample(spark, sf_dir):
-    """C5 (rows-only check: the hash order is Spark's)."""
+    """C5."""
     return S.sample_n(obs(spark, sf_dir), 2000, 42).select("identifiant", "ville", "date", PROXY)
 
 
@@ -443,6 +461,16 @@ def q_groups_reg(spark, sf_dir):
     return L.evaluate_groups(persistence(spark, sf_dir), "regression", PROXY, "prediction")
 
 
+@register("comparison_of_fixed_results")
+def q_comparison_fixed(spark, sf_dir):
+    """K12 + L7 on results that SQL can compute too: the persistence metrics
+    of each region stand for the candidates."""
+    m = L.regression_metrics(persistence(spark, sf_dir).where("region IS NOT NULL"), PROXY, "prediction", ["region"])
+    ordered = m.withColumn("ordre", F.row_number().over(Window.orderBy("region")))     # one row per region
+    results = ordered.select("ordre", F.col("region").alias("modele"), (F.col("ordre") * 0.5).alias("temps_secondes"), "R2", "RMSE", "MAE")
+    return L.comparison_table(results, "regression")
+
+
 @register("group_metrics_classification")
 def q_groups_cls(spark, sf_dir):
     """L6 (classification, with per-group AUC) by region and city."""
@@ -586,7 +614,7 @@ def q_model_forecast(spark, sf_dir):
     p = prepared(spark, sf_dir)
     # the artefact goes to the shared folder named by spark.checkpoint.dir
     path = _os.path.join(ensure_checkpoint_dir(spark), f"artefact-{abs(hash((sf_dir, run.best.name)))}")
-    M.save_artefact(path, run.best, run.td, None)
+    M.save_artefact(path, run.best, run.td, p.params.select("seuil").first()["seuil"])
     return B.model_forecast(p, path, HORIZON)
 
 
@@ -616,10 +644,7 @@ def q_landed(spark, sf_dir):
 
 @register("api_payload")
 def q_payload(spark, sf_dir):
-    """M4: payload KPIs (rounded to 2) with the 7-day trend forecast of the
-    first city in alphabetical order, one row per forecast record."""
+    """M4: payload KPIs (rounded to 2) with the 7-day trend forecast, one row
+    per city and forecast record."""
     p = prepared(spark, sf_dir)
-    fc = J.forecast_trend(p.obs, PROXY, HORIZON)
-    first = p.obs.where(F.col("ville").isNotNull()).agg(F.min("ville").alias("ville"))
-    fc = fc.join(F.broadcast(first), "ville", "left_semi")
-    return SK.payload_rows(p.obs, fc, p.params.select("seuil"), PROXY)
+    return SK.payload_rows(p.obs, J.forecast_trend(p.obs, PROXY, HORIZON), p.params.select("seuil"), PROXY)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -50,6 +51,8 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set our own only when unset
     and the master is local (tests)."""
+    if spark.sparkContext.getCheckpointDir():
+        return spark.sparkContext.getCheckpointDir()
     d = checkpoint_dir(spark)
     if not d:
         if not spark.sparkContext.master.startswith("local"):
@@ -59,6 +62,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or d
 
 
+_WRITTEN: list[tuple[str, str]] = []
+
+
+def record_path(spark: SparkSession, path: str) -> str:
+    """Remember a table written to the shared folder, for ``drop_tables``."""
+    _WRITTEN.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Remove the tables that this session wrote to the shared folder; called
+    at its end, when nothing reads them any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    app = spark.sparkContext.applicationId
+    for owner, path in list(_WRITTEN):
+        if owner == app:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+            _WRITTEN.remove((owner, path))
+
+
 def materialize(df, name: str, partition_by: list[str] | None = None):
     """Cut lineage by writing ``df`` as a Parquet table under the shared
     ``spark.checkpoint.dir`` and reading it back.
@@ -67,10 +91,9 @@ def materialize(df, name: str, partition_by: list[str] | None = None):
     is persisted) the plan runs once; the files live on shared storage, so a
     lost executor does not lose them; and later scans get column pruning,
     filter pushdown and, with ``partition_by``, partition pruning."""
-    import uuid
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = record_path(spark, f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}")
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)

@@ -22,6 +22,12 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
     return path
 
 
+def export_filtered(df: DataFrame, path: str, target: str = "proxy_pm25", level_col: str | None = "niveau_target") -> str:
+    """M1: the selected slice with the data browser's columns that exist, all rows."""
+    cols = [c for c in C.BROWSER_COLS + [target] + ([level_col] if level_col else []) if c in df.columns]
+    return export_csv(df.select(*dict.fromkeys(cols)), path)
+
+
 def run_summary(spark: SparkSession, target: str, task: str, n_train: int, n_test: int, n_features: int,
                 best: str, best_score: float, best_metrics: dict, comparison: DataFrame,
                 files: dict, path: str | None = None) -> DataFrame:
@@ -48,11 +54,12 @@ def run_summary(spark: SparkSession, target: str, task: str, n_train: int, n_tes
 def payload_rows(df: DataFrame, forecast: DataFrame, threshold: DataFrame, target: str = "proxy_pm25",
                  cfg: C.TargetConfig | None = None) -> DataFrame:
     """M4 as rows: the payload KPIs (Python ``round(x, 2)``) repeated on each forecast
-    record (date as yyyy-MM-dd).  ``threshold`` is a one-row table ``seuil``.
-    The forecast source defaults to the trend projection."""
+    record (date as yyyy-MM-dd, latest data date as an ISO timestamp).
+    ``threshold`` is a one-row table ``seuil``; the forecast may be of one city
+    or, with a column ``ville``, of many.  Its source defaults to the trend projection."""
     cfg = cfg or C.target_config(target)
     k = df.agg(
-        F.date_format(F.max("date"), "yyyy-MM-dd").alias("latest_data_date"),
+        F.date_format(F.max("date"), "yyyy-MM-dd'T'HH:mm:ss").alias("latest_data_date"),
         py_round(F.avg("proxy_pm25"), 2).alias("proxy_pm25_mean"),
         py_round(F.avg("alerte_pollution") * F.lit(100.0), 2).alias("alert_days_pct"),
         F.count_distinct("ville").alias("cities"),
@@ -60,7 +67,8 @@ def payload_rows(df: DataFrame, forecast: DataFrame, threshold: DataFrame, targe
         (py_round(F.avg(target), 2) if target in df.columns else F.lit(None).cast("double")).alias("target_mean"),
     ).crossJoin(threshold.select(py_round(F.col("seuil"), 2).alias("threshold_alert")))
     src = "source_prevision" if "source_prevision" in forecast.columns else None
-    fc = forecast.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "prediction", "niveau",
+    city = ["ville"] if "ville" in forecast.columns else []
+    fc = forecast.select(*city, F.date_format("date", "yyyy-MM-dd").alias("date"), "prediction", "niveau",
                          (F.col(src) if src else F.lit(C.TREND_SOURCE)).alias("forecast_source"))
     return k.crossJoin(fc).withColumns({
         "target_name": F.lit(target), "target_label": F.lit(cfg.label), "task_type": F.lit(cfg.task_type)})
@@ -68,7 +76,7 @@ def payload_rows(df: DataFrame, forecast: DataFrame, threshold: DataFrame, targe
 
 def payload_json(df: DataFrame, forecast: DataFrame, threshold: DataFrame, target: str = "proxy_pm25",
                  cfg: C.TargetConfig | None = None) -> DataFrame:
-    """M4: the nested payload as one JSON string (NULL fields kept, T29).
+    """M4: the nested payload of one city's forecast as one JSON string (NULL fields kept, T29).
     ``generated_at`` is the run time and is kept out of compared outputs."""
     rows = payload_rows(df, forecast, threshold, target, cfg)
     rec = F.struct("date", "prediction", "niveau")

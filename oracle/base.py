@@ -20,17 +20,8 @@ def rnd(x: str, n: int) -> str:
 
 
 def pyround(x: str, n: int) -> str:
-    """Python round(x, n): exact-binary half-even via an error-free product."""
-    s = f"{float(10 ** n)!r}"
-    p = f"(({x}) * {s})"
-    c = f"(134217729.0 * ({x}))"
-    hi = f"({c} - ({c} - ({x})))"
-    lo = f"(({x}) - {hi})"
-    e = f"(({hi} * {s} - {p}) + {lo} * {s})"
-    half = f"({p} - floor({p}) = 0.5)"
-    return (f"(CASE WHEN ({x}) IS NULL THEN NULL WHEN {half} AND {e} > 0 THEN ceil({p}) / {s} "
-            f"WHEN {half} AND {e} < 0 THEN floor({p}) / {s} "
-            f"ELSE round_even({p}, 0) / {s} END + 0.0)")
+    """Python round(x, n): the decimal text of the exact binary value, read back."""
+    return f"(CASE WHEN ({x}) IS NOT NULL THEN CAST(printf('%.{n}f', CAST({x} AS DOUBLE)) AS DOUBLE) + 0.0 END)"
 
 
 def i64(x: str) -> str:

@@ -346,7 +346,7 @@ cand AS (
   UNION ALL SELECT 7, '🏙️ **Top 3 villes à suivre** : ' || string_agg(ville, ', ' ORDER BY r) || '.'
             FROM top WHERE r <= 3 HAVING count(*) >= 3
   UNION ALL SELECT 8, '📏 **Seuil opérationnel actuel** : considérer les journées avec **Proxy PM2.5** >= **'
-                      || coalesce(CAST({rnd('seuil', 1)} AS VARCHAR), 'nan') || '** comme prioritaires.'
+                      || coalesce(printf('%.1f', seuil), 'nan') || '** comme prioritaires.'
             FROM params WHERE seuil IS NULL OR seuil <> 0
 )
 SELECT CAST(row_number() OVER (ORDER BY code) AS BIGINT) AS rang, CAST(code AS BIGINT) AS code, texte
@@ -368,6 +368,16 @@ sl AS (SELECT * FROM obs WHERE annee BETWEEN 1996 AND 1999 AND region IN ('AFRIC
 SQL["slice_observations"] = PREP + SLICE + f"""
 SELECT identifiant, date, ville, region, {i64('annee')} AS annee, {r6('proxy_pm25')} AS proxy_pm25 FROM sl"""
 
+SQL["filtered_export"] = PREP + SLICE + f"""
+SELECT date, ville, region, {r6('temp_max')} AS temp_max, {r6('temp_min')} AS temp_min,
+       {r6('humidite_moy')} AS humidite_moy, {r6('vitesse_vent_max')} AS vitesse_vent_max,
+       {r6('precipitation')} AS precipitation, {r6('proxy_pm25')} AS proxy_pm25,
+       {bands('proxy_pm25', PROXY_LABELS)} AS niveau_target FROM sl"""
+
+SQL["sample_rows"] = PREP + f"""
+SELECT identifiant, ville, date, {r6('proxy_pm25')} AS proxy_pm25 FROM obs
+ORDER BY md5(CAST(identifiant AS VARCHAR) || ':42'), identifiant LIMIT 2000"""
+
 SQL["slice_city_risk"] = PREP + SLICE + CITY_RISK.replace("FROM obs", "FROM sl") + "\n" + CITY_RISK_SELECT
 
 SQL["filter_values"] = PREP + """
@@ -397,6 +407,13 @@ SELECT ville, {i64('count(*) FILTER (WHERE NOT (tot - k > 20 AND p > k))')} AS n
        {i64('count(*) FILTER (WHERE tot - k > 20 AND p > k)')} AS n_val
 FROM pos CROSS JOIN k GROUP BY ville"""
 
+SQL["validation_rows"] = PREP + MODEL_FRAME + f""",
+tr AS (SELECT * FROM mf WHERE split = 'train'),
+pos AS (SELECT *, row_number() OVER (ORDER BY ville ASC NULLS LAST, date ASC NULLS LAST, identifiant) AS p FROM tr),
+k AS (SELECT greatest(CAST(floor(count(*) * 0.85) AS BIGINT), 1) AS k, count(*) AS tot FROM tr)
+SELECT identifiant, ville, date, {r6('proxy_pm25')} AS proxy_pm25, (tot - k > 20 AND p > k) AS is_validation
+FROM pos CROSS JOIN k"""
+
 SQL["top_cities"] = PREP + CITY_RISK + f""",
 t AS (SELECT ville, score_risque, pm25_moyen,
              row_number() OVER (ORDER BY score_risque DESC NULLS LAST, pm25_moyen DESC NULLS LAST, ville) AS rang
@@ -554,6 +571,13 @@ def _groups_cls() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+SQL["comparison_of_fixed_results"] = PREP + PERS + ",\n" + _reg_metrics("pers", "region") + f""",
+res AS (SELECT row_number() OVER (ORDER BY region) AS ordre, region AS modele, {R2} AS r2, sqrt(sse / n) AS rmse, mae FROM agg WHERE region IS NOT NULL)
+SELECT {i64('ordre')} AS ordre, modele, {r6('ordre * 0.5')} AS temps_secondes, {r6('r2')} AS R2, {r6('rmse')} AS RMSE, {r6('mae')} AS MAE,
+       r2 = max(r2) OVER () AS meilleur,
+       CASE WHEN r2 > 0.99 THEN 'possible_leak' WHEN r2 > 0.8 THEN 'very_good' WHEN r2 > 0.65 THEN 'good' ELSE '' END AS verdict
+FROM res"""
+
 SQL["group_metrics_regression"] = PREP + PERS + "\n" + _groups_reg()
 SQL["group_metrics_classification"] = PREP + PERS + "\n" + _groups_cls()
 
@@ -707,18 +731,17 @@ SELECT ville, colonne, {i64('pas')} AS pas, {r6('v')} AS valeur FROM rec WHERE p
 SQL["landed_observations"] = SQL["source_observations"]
 
 SQL["api_payload"] = _rec(PREP + _trend_sql(OBS_SERIES, PROXY_LABELS) + f""",
-first_city AS (SELECT min(ville) AS ville FROM obs WHERE ville IS NOT NULL),
-k AS (SELECT strftime(max(date), '%Y-%m-%d') AS latest_data_date,
+k AS (SELECT strftime(max(date), '%Y-%m-%dT%H:%M:%S') AS latest_data_date,
              {pyround('CAST(avg(proxy_pm25) AS DOUBLE)', 2)} AS proxy_pm25_mean,
              {pyround('CAST(avg(alerte_pollution) AS DOUBLE) * 100.0', 2)} AS alert_days_pct,
              CAST(count(DISTINCT ville) AS BIGINT) AS cities, CAST(count(DISTINCT region) AS BIGINT) AS regions,
              {pyround('CAST(avg(proxy_pm25) AS DOUBLE)', 2)} AS target_mean FROM obs)
-SELECT k.latest_data_date, {r6('k.proxy_pm25_mean')} AS proxy_pm25_mean, {r6('k.alert_days_pct')} AS alert_days_pct,
+SELECT fc.ville, k.latest_data_date, {r6('k.proxy_pm25_mean')} AS proxy_pm25_mean, {r6('k.alert_days_pct')} AS alert_days_pct,
        k.cities, k.regions, {r6('k.target_mean')} AS target_mean, {r6(pyround('p.seuil', 2))} AS threshold_alert,
        strftime(fc.date, '%Y-%m-%d') AS date, {r6('fc.prediction')} AS prediction,
        {bands('fc.prediction', PROXY_LABELS)} AS niveau, 'projection_tendance' AS forecast_source,
        'proxy_pm25' AS target_name, 'Proxy PM2.5' AS target_label, 'regression' AS task_type
-FROM fc JOIN first_city f ON fc.ville = f.ville CROSS JOIN k CROSS JOIN params p""")
+FROM fc CROSS JOIN k CROSS JOIN params p""")
 
 
 # --- J4: future feature rows ---------------------------------------------------

@@ -47,7 +47,7 @@ def test_payload_json_keeps_nulls(spark):
     fc = spark.createDataFrame([(dt.date(2024, 1, 3), 41.0, None)], "date date, prediction double, niveau string")
     thr = spark.createDataFrame([(55.5549,)], "seuil double")
     payload = json.loads(sinks.payload_json(obs, fc, thr).first()["payload"])
-    assert payload["latest_data_date"] == "2024-01-02"
+    assert payload["latest_data_date"] == "2024-01-02T00:00:00"
     assert payload["kpis"]["proxy_pm25_mean"] == 40.0 and payload["kpis"]["alert_days_pct"] == 50.0
     assert payload["kpis"]["threshold_alert"] == 55.55 and payload["kpis"]["cities"] == 2
     assert payload["forecast_next_days"] == [{"date": "2024-01-03", "prediction": 41.0, "niveau": None}]
@@ -61,16 +61,19 @@ def test_densify_interpolates_linearly(spark):
     assert got == {1: (0.0, False), 2: (2.0, True), 3: (4.0, True), 4: (6.0, True), 5: (8.0, False), 6: (2.0, False)}
 
 
-def test_global_row_index_matches_sorted_order(spark):
-    import random
-    from envspark.functions.windows import global_row_index
-    rnd = random.Random(9)
-    rows = [(rnd.choice(["A", "B", "C", None]), rnd.randint(0, 50), i) for i in range(3000)]
-    df = spark.createDataFrame(rows, "g string, v int, k long").repartition(7)
-    order = [F.col("g").asc_nulls_last(), F.col("v"), F.col("k")]
-    got = {r["k"]: r["_idx"] for r in global_row_index(df, order).collect()}
-    exp = sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1], r[2]))
-    assert got == {r[2]: i + 1 for i, r in enumerate(exp)}
+def test_validation_split_of_wide_rows(spark):
+    """A million rows, all columns kept: exactly int(0.85 n) fit, whatever the partitions."""
+    n = 1_000_000
+    df = spark.range(n, numPartitions=13).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 11 == 1, None).otherwise(F.concat(F.lit("c"), F.col("id") % 40)).alias("ville"),
+        F.when(F.col("id") % 97 != 0, F.date_add(F.lit("2020-01-01").cast("date"), (F.xxhash64("id") % 50).cast("int"))).alias("date"),
+        F.col("id").alias("identifiant"), *[F.rand(i).alias(f"x{i}") for i in range(12)])
+    v = S.validation_split(df)
+    got = v.groupBy("is_validation").agg(F.count(F.lit(1)).alias("n"), F.sum("x3")).collect()
+    assert {r["is_validation"]: r["n"] for r in got} == {False: int(0.85 * n), True: n - int(0.85 * n)}
+    key = F.struct(F.col("ville").isNull(), "ville", F.col("date").isNull(), "date", "identifiant")
+    edge = v.agg(F.max(F.when(~F.col("is_validation"), key)) < F.min(F.when(F.col("is_validation"), key))).first()[0]
+    assert edge
 
 
 def test_read_observations_trims_headers_and_coerces(spark):

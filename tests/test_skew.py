@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from envspark.functions.quantiles import exact_quantiles
-from envspark.functions.windows import last_k
+from envspark import config as C
+from envspark.functions.windows import last_k, range_starts
 from envspark.operators import features
 from envspark.plans.prepare import clean_observations
 from envspark.sources.observations import observations_from_orders
@@ -26,22 +27,47 @@ def test_hot_city_share(spark):
     assert share > 0.25
 
 
+def plain_lags(df):
+    return df.withColumns(features.lag_window_columns(features.city_order_window(), C.LAG_VARS))
+
+
 def test_split_lags_equal_plain_on_hot_city(spark):
     df = skewed(spark)
     cols = ["identifiant", "temp_max_lag1", "temp_max_lag7", "humidite_moy_moy7j", "precipitation_moy7j"]
-    a = features.add_lags_and_trailing(df, split_hot_cities=True).select(*cols)
-    b = features.add_lags_and_trailing(df, split_hot_cities=False).select(*cols)
+    a = features.add_lags_and_trailing(df).select(*cols)
+    b = plain_lags(df).select(*cols)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_hot_city_in_one_year_is_split(spark):
+    df = skewed(spark).withColumn("date", F.when(F.col("ville") == "HOT", F.date_add(F.lit("1995-01-01").cast("date"), F.dayofyear("date") - 1))
+                                  .otherwise(F.col("date")))
+    cols = ["identifiant", "temp_max_lag1", "temp_max_lag7", "humidite_moy_moy7j"]
+    a = features.add_lags_and_trailing(df).select(*cols)
+    b = plain_lags(df).select(*cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    starts = range_starts(df, "ville", "date", 16).where("ville = 'HOT'").first()["_starts"]
+    assert len(starts) >= 3
+
+
 def test_distributed_quantiles_on_hot_group(spark):
     df = skewed(spark)
-    a = exact_quantiles(df, "temp_max", [0.25, 0.5, 0.8], by=["ville"], buffer_limit=None)
+    a = exact_quantiles(df, "temp_max", [0.25, 0.5, 0.8], by=["ville"])
     b = df.groupBy("ville").agg(F.percentile("temp_max", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.8))).alias("q"))
     b = b.select("ville", *[F.col("q")[i].alias(f"q{i}") for i in range(3)])
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_exact_quantiles_of_many_distinct_values(spark):
+    df = spark.range(200_000).select((F.col("id") % 7).alias("g"), F.exp(F.randn(3) * 4).alias("v"))
+    probs = [0.0, 0.001, 0.25, 0.5, 0.9999, 1.0]
+    for by in ([], ["g"]):
+        a = exact_quantiles(df, "v", probs, by=by).collect()
+        q = F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")
+        b = (df.groupBy(*by) if by else df).agg(q).collect()
+        assert sorted(tuple(r) for r in a) == sorted((*r[:-1], *r[-1]) for r in b)
+
+
 def test_two_phase_last_k_equals_window(spark):
     df = skewed(spark)
     a = last_k(df, ["ville"], [F.col("date").desc(), F.col("identifiant").desc()], 14, F.year("date"))
