@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from envspark.session import record_path
+
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
 
@@ -42,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    return record_path(spark, f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
