@@ -260,6 +260,41 @@ def feature_importance(spark: SparkSession, result: RunResult, features: list[st
     return df if k is None else df.limit(k)
 
 
+def model_checks(result: RunResult, td: TrainingData) -> DataFrame:
+    """One row on a trained candidate, computed from its scores: test rows,
+    whether it predicts more than one value, whether it beats the training
+    mean (the majority class), and whether tree importances sum to one."""
+    if td.task == "classification":
+        base = td.train.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1).select(F.col("label").alias("_base"))
+        def hits(c):
+            return F.sum((F.col("label") == F.col(c)).cast("long"))
+        better = hits("prediction") >= hits("_base")
+    else:
+        base = td.train.agg(F.avg("label").alias("_base"))
+        def miss(c):
+            return F.sum((F.col("label") - F.col(c)) * (F.col("label") - F.col(c)))
+        better = miss("prediction") < miss("_base")
+    m = result.model.stages[-1]
+    total = float(sum(m.featureImportances.toArray())) if hasattr(m, "featureImportances") else None
+    return result.predictions.crossJoin(F.broadcast(base)).agg(
+        F.count(F.lit(1)).alias("n_test"), (F.min("prediction") < F.max("prediction")).alias("varies"), better.alias("better")) \
+        .select(F.lit(result.name).alias("modele"), "n_test", "varies", "better",
+                F.lit(None if total is None else round(total, 6)).cast("double").alias("importance_sum"))
+
+
+def ridge_residuals(result: RunResult, td: TrainingData) -> DataFrame:
+    """K5: the normal equation of each feature, sum x (y' - y) + w, as a share
+    of sum |x y| (zero for the exact ridge solution)."""
+    weights = result.model.stages[-1].coefficients.toArray().tolist()
+    scored = result.model.transform(td.train_scaled)
+    gap = F.col("prediction") - F.col("label")
+    sums = scored.agg(*[e for f in td.features for e in (
+        F.sum(F.col(f) * gap).alias(f"{f}__g"), F.sum(F.abs(F.col(f) * F.col("label"))).alias(f"{f}__s"))])
+    rows = ", ".join(f"'{f}', (`{f}__g` + {w!r}D) / greatest(`{f}__s`, 1D)" for f, w in zip(td.features, weights, strict=True))
+    return sums.selectExpr(f"stack({len(weights)}, {rows}) as (feature, residual)") \
+        .select("feature", F.round("residual", 5).alias("residual"))
+
+
 # --- M3: artefact --------------------------------------------------------------
 
 def save_artefact(path: str, result: RunResult, td: TrainingData, threshold: float | None,

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os as _os
 import uuid as _uuid
+from functools import reduce as _reduce
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -595,6 +596,29 @@ def q_comparison_cls(spark, sf_dir):
     return _run(spark, sf_dir, "alerte_pollution").comparison
 
 
+@register("model_checks")
+def q_model_checks(spark, sf_dir):
+    """What the scores of the regression candidates show."""
+    run = _run(spark, sf_dir)
+    out = [M.model_checks(r, run.td) for r in run.results]
+    return _reduce(DataFrame.unionByName, out)
+
+
+@register("model_checks_classification")
+def q_model_checks_cls(spark, sf_dir):
+    """K6-K9: what the scores of the classification candidates show."""
+    run = _run(spark, sf_dir, "alerte_pollution")
+    out = [M.model_checks(r, run.td) for r in run.results]
+    return _reduce(DataFrame.unionByName, out)
+
+
+@register("ridge_normal_equations")
+def q_ridge_equations(spark, sf_dir):
+    """K5: the normal equation of every feature on the encoded training rows."""
+    run = _run(spark, sf_dir, PROXY, ["Ridge"])
+    return M.ridge_residuals(run.best, run.td)
+
+
 @register("feature_importance")
 def q_importance(spark, sf_dir):
     """K13 of the best regression model."""

