@@ -41,6 +41,7 @@ END = "\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"                # pages carry no fetch time
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE = 6000
+FILE_BYTES = 32 << 20
 READ_STEP = 1 << 20
 
 
@@ -90,8 +91,10 @@ def _to_records(run_id: str):
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write ``pages`` (page_id, url, html) as gzipped WARC files under ``path``."""
-    C.small_batches(pages.sparkSession)
+    """Write ``pages`` (page_id, url, html) as gzipped WARC files under
+    ``path``, each of about ``FILE_BYTES`` before compression."""
+    spark = pages.sparkSession
+    C.small_batches(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("html")))
@@ -99,7 +102,10 @@ def write_archives(pages: DataFrame, path: str) -> None:
     marked = rows.join(shared.select("digest", "first"), "digest", "left") \
         .select("page_id", "url", "html", "first",
                 (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("again"))
-    marked.mapInArrow(_to_records(str(uuid.uuid4())), "value string").write.mode("overwrite") \
+    # however finely the join is dealt out, a file (and its compressor) per FILE_BYTES and two per core are enough
+    total = rows.agg(F.sum(F.octet_length("html") + 1000)).first()[0] or 0
+    files = max(2 * spark.sparkContext.defaultParallelism, -(-total // FILE_BYTES))
+    marked.coalesce(files).mapInArrow(_to_records(str(uuid.uuid4())), "value string").write.mode("overwrite") \
         .option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
