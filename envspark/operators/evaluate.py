@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from envspark import config as C
 from envspark.functions.joins import join_keys
 from envspark.functions.quantiles import cumulative_counts
-from envspark.functions.windows import halo_window_columns
+from envspark.functions.windows import halo_window_columns, last_k
 
 
 
@@ -34,11 +34,18 @@ def scored_persistence(obs: DataFrame, target: str = "proxy_pm25", test_only: bo
     def build(w):
         return {"prediction": F.when(F.col("ville").isNotNull(), F.lag(target, 1).over(w)),
                 "alerte_pred": F.when(F.col("ville").isNotNull(), F.lag("alerte_pollution", 1).over(w))}
-    # per (city, year) with a one-row halo: a hot city is split by year
+    cut = obs.agg(F.max("_cutoff")).first()[0] if test_only else None
+    if cut is not None:
+        # the test years, and of the earlier ones (in few columns) each city's last row
+        cols = ["identifiant", "date", "ville", "region", "saison", "annee", target, "alerte_pollution"]
+        earlier = last_k(obs.where(F.col("annee") <= cut).select(*cols), ["ville"],
+                         [F.col("date").desc(), F.col("identifiant").desc()], 1, F.col("annee")).select(*cols)
+        obs = obs.where(F.col("annee") > cut).select(*cols).unionByName(earlier)
+    # per range of days with a one-row halo: a hot city is split
     d = halo_window_columns(obs, "ville", ["date", "identifiant"], [target, "alerte_pollution"], 1, build)
     d = d.withColumn("score_prediction", F.col("prediction") / F.lit(100.0))
-    if test_only:
-        d = d.where(F.col("annee") > F.col("_cutoff"))
+    if cut is not None:
+        d = d.where(F.col("annee") > cut)
     return d.where(F.col(target).isNotNull() & F.col("prediction").isNotNull()).select(
         "date", "ville", "region", "saison", "annee", target, "prediction",
         "alerte_pollution", "alerte_pred", "score_prediction")

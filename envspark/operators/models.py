@@ -65,13 +65,15 @@ def training_data(obs: DataFrame, target: str = "proxy_pm25", task: str | None =
     d = cleaning.drop_missing(obs, [target])
     task = task or cleaning.task_type_of(d, target)
     num_cols, cat_cols = cleaning.select_features(d, target, exclude_components)
-    split = slices.temporal_split(d)
+    cut = slices.year_cutoff(d)
+    side = F.lit(None).cast("string") if cut is None else F.when(F.col("annee") <= cut, "train").when(F.col("annee") > cut, "test")
+    split = d.where(F.col("annee").isNotNull()).withColumn("split", side)
     meta = [c for c in ["date", "ville", "region", "saison", "annee"] if c in d.columns]
     label = F.col(target).cast("int" if task == "classification" else "double").alias("label")
     key = [F.col("identifiant").alias("_m_identifiant")] if "identifiant" in d.columns else []
     base = split.where(F.col("split").isNotNull()).select(
         *[F.col(c).alias(f"_m_{c}") for c in meta], *key, *num_cols, *cat_cols, label, "split")
-    tr = base.where(F.col("split") == "train")
+    tr = slices.train_rows(d, cut).select(*num_cols)
     # fitted tables and the encoded rows are written once; every candidate reads them
     medians = one_row(materialize(prep.fit_medians(tr, num_cols), "medians"))
     dictionary = materialize(prep.fit_categories(base, cat_cols), "categories")  # train U test (H3)

@@ -57,6 +57,23 @@ def temporal_split(df: DataFrame, test_years: int = 1) -> DataFrame:
                         .when(F.col("annee") > F.col("_cut"), F.lit("test"))).drop("_cut")
 
 
+def year_cutoff(df: DataFrame, test_years: int = 1) -> int | None:
+    """The last training year, one number read from the year column."""
+    last = df.agg(F.max("annee")).first()[0]
+    return None if last is None else last - test_years
+
+
+def train_rows(df: DataFrame, cutoff: int | None) -> DataFrame:
+    """Training rows; the year is a literal, so a table partitioned by
+    year is read for these years only."""
+    return df.where(F.lit(False) if cutoff is None else F.col("annee") <= cutoff)
+
+
+def test_rows(df: DataFrame, cutoff: int | None) -> DataFrame:
+    """Test rows, with the same pruning."""
+    return df.where(F.lit(False) if cutoff is None else F.col("annee") > cutoff)
+
+
 def validation_boundary(train: DataFrame, fraction: float = 0.85, min_validation: int = 20,
                         city: str = "ville", key: str = "identifiant") -> DataFrame:
     """One row: where the first int(fraction * n) rows in (city, date, key)

@@ -314,16 +314,17 @@ def q_temporal_split(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def model_frame(spark, sf_dir, target: str = PROXY) -> DataFrame:
-    """Rows with a target, tagged train/test by the temporal split (A7 + C3)."""
+def model_frame(spark, sf_dir, target: str = PROXY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with a target (A7) and their training and test sides."""
     d = cleaning.drop_missing(obs(spark, sf_dir), [target])
-    return S.temporal_split(d)
+    cut = S.year_cutoff(d)
+    return d.where(F.col("annee").isNotNull()), S.train_rows(d, cut), S.test_rows(d, cut)
 
 
 @register("validation_split")
 def q_validation_split(spark, sf_dir):
     """C4: per city, rows that fit and rows that validate."""
-    tr = model_frame(spark, sf_dir).where(F.col("split") == "train")
+    _, tr, _ = model_frame(spark, sf_dir)
     v = S.validation_split(tr)
     return v.groupBy("ville").agg(F.count_if(~F.col("is_validation")).alias("n_fit"),
                                   F.count_if(F.col("is_validation")).alias("n_val"))
@@ -332,7 +333,7 @@ def q_validation_split(spark, sf_dir):
 @register("validation_rows")
 def q_validation_rows(spark, sf_dir):
     """C4: every training row with its side of the split, all columns read."""
-    tr = model_frame(spark, sf_dir).where(F.col("split") == "train")
+    _, tr, _ = model_frame(spark, sf_dir)
     return S.validation_split(tr).select("identifiant", "ville", "date", PROXY, "is_validation")
 
 
@@ -365,7 +366,7 @@ def q_medians(spark, sf_dir):
     """K1 fit (exact medians on training rows)."""
     o = obs(spark, sf_dir)
     nums, _ = feature_lists(o)
-    tr = model_frame(spark, sf_dir).where(F.col("split") == "train")
+    _, tr, _ = model_frame(spark, sf_dir)
     return K.medians_long(K.fit_medians(tr, nums), nums)
 
 
@@ -374,7 +375,7 @@ def q_dictionary(spark, sf_dir):
     """K2 fit (train U test distinct values, code-point order)."""
     o = obs(spark, sf_dir)
     _, cats = feature_lists(o)
-    both = model_frame(spark, sf_dir).where(F.col("split").isNotNull())
+    both, _, _ = model_frame(spark, sf_dir)
     return K.fit_categories(both, cats)
 
 
@@ -383,10 +384,9 @@ def q_scaler(spark, sf_dir):
     """K3 fit on imputed training rows (population std, zero -> 1)."""
     o = obs(spark, sf_dir)
     nums, cats = feature_lists(o)
-    mf = model_frame(spark, sf_dir)
-    tr = mf.where(F.col("split") == "train")
+    both, tr, _ = model_frame(spark, sf_dir)
     med = K.fit_medians(tr, nums)
-    dic = K.fit_categories(mf.where(F.col("split").isNotNull()), cats)
+    dic = K.fit_categories(both, cats)
     enc = K.encode(K.impute(tr, med, nums), dic, cats)
     feats = nums + cats
     return K.scaler_long(K.fit_scaler(enc, feats), feats)
@@ -397,11 +397,10 @@ def q_encoded(spark, sf_dir):
     """K4: test rows encoded with the stored medians and dictionary."""
     o = obs(spark, sf_dir)
     nums, cats = feature_lists(o)
-    mf = model_frame(spark, sf_dir)
-    tr = mf.where(F.col("split") == "train")
+    both, tr, te = model_frame(spark, sf_dir)
     med = K.fit_medians(tr, nums)
-    dic = K.fit_categories(mf.where(F.col("split").isNotNull()), cats)
-    te = mf.where(F.col("split") == "test").select("identifiant", *nums, *cats)
+    dic = K.fit_categories(both, cats)
+    te = te.select("identifiant", *nums, *cats)
     return K.encode_for_model(te, nums + cats, nums, cats, med, dic)
 
 
