@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from envspark.llm import common as C
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALPHABET = 257           # symbols of the uniform model: bytes and the end
 Rule = tuple[str, str, str]      # verdict, host, path
@@ -54,9 +56,11 @@ def with_rule(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def _grams(text: Column, order: int) -> Column:
     """Every character of the text, and its end, with the ``order`` characters before it."""
-    chars = F.split(F.concat(F.lit("\x02" * order), text, F.lit("\x03")), "")
-    return F.transform(F.sequence(F.lit(0), F.length(text)),
-                       lambda p: F.concat(*[F.get(chars, p + i) for i in range(order + 1)]))
+    padded = F.split(F.concat(F.lit("\x02" * order), text, F.lit("\x03")), "")
+    # the outer transform binds the characters, so that they are split once per text
+    return F.flatten(F.transform(F.array(padded), lambda chars: F.transform(
+        F.sequence(F.lit(0), F.size(chars) - (order + 1)),
+        lambda p: F.concat(*[F.get(chars, p + i) for i in range(order + 1)]))))
 
 
 def gram_ratios(grams: DataFrame, order: int) -> DataFrame:
@@ -105,8 +109,9 @@ def url_filter(pages: DataFrame, rules: list[Rule], order: int = 4) -> DataFrame
     """page_id, url, host, path, rule, score, threshold, verdict per input row."""
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = with_rule(rows, rules)
-    urls = rows.where("url IS NOT NULL").select("url", "rule_verdict").distinct()
-    scored = urls.join(url_scores(urls, order), "url")
+    # URLs are short but become many grams: spread by the shuffle width, not by their bytes
+    urls = rows.where("url IS NOT NULL").select("url", "rule_verdict").distinct().repartition(C.n_partitions(pages.sparkSession), "url")
+    scored = C.materialize(urls.join(url_scores(urls, order), "url"), "url-scores")
     # a global aggregate: one row whatever the data
     judged = rows.join(scored.select("url", "score"), "url", "left").crossJoin(F.broadcast(threshold_of(scored)))
     own = F.when(F.col("score") >= F.col("threshold"), "allow").when(F.col("score").isNull(), "block") \
