@@ -25,6 +25,10 @@ def test_ridge_artefact_roundtrip_and_forecast(spark):
     models.save_artefact(path, best, td, 70.0)
     art = models.load_artefact(spark, path)
     assert art.meta["model_name"] == "Ridge" and art.meta["scaler_required"] is True
+    # the stored threshold replaces the fitted one, and the flag follows
+    over = models.apply_artefact(p.obs, art)
+    assert over.where("proxy_pm25 >= 70 AND alerte_pollution <> 1 OR (proxy_pm25 < 70 OR proxy_pm25 IS NULL) AND alerte_pollution <> 0").count() == 0
+    assert over.where("alerte_pollution = 1").count() != p.obs.where("alerte_pollution = 1").count()
     # the reloaded model scores the test rows exactly like the fitted one
     a = models.score(best.model, td.test_scaled, td.task).select("prediction").collect()
     b = models.score(art.model, td.test_scaled, td.task).select("prediction").collect()
