@@ -146,7 +146,8 @@ def fit(labelled: DataFrame, sample_per_language: int = 400, cost: float = 10.0,
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", C.row_key("doc_id", "text").alias("_h"))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     pick = (F.pmod("_h", F.lit(1 << 40)) / float(1 << 40)) * F.col("_n") < sample_per_language
-    sample = C.materialize(rows.join(counts, "lang").where(pick).select("lang", "text").mapInArrow(
+    # one row per language, like the model itself: the texts are not shuffled on a language; repeated rows count once
+    sample = C.materialize(rows.join(F.broadcast(counts), "lang").where(pick).dropDuplicates(["lang", "_h"]).select("lang", "text").mapInArrow(
         _profiles, "lang string, idx binary, val binary"), "language-sample")
     means = sorted(sample.groupBy("lang").applyInPandas(_centroid, "lang string, mean binary").collect())
     if not means:
