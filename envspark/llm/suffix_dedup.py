@@ -330,8 +330,9 @@ def repeated_spans(docs: DataFrame, width: int = 400) -> DataFrame:
     rows = docs.where("text IS NOT NULL").select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), C.row_key("doc_id", "text").alias("_key"), "text")
     occ = C.materialize(rows.where(F.octet_length("text") >= width).mapInArrow(_occurrences(width), _OCC), "contexts")
-    known = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("c1") != F.max("c1")).alias("mixed")) \
-        .where("n > 1").select("anchor", "mixed")
+    # written, so that the join below reads it by a plain shuffle and adaptive execution can split a hot k-mer
+    known = C.materialize(occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("c1") != F.max("c1")).alias("mixed"))
+                          .where("n > 1").select("anchor", "mixed"), "repeated-kmers")
     occ = C.materialize(occ.join(known, "anchor"), "repeated-contexts")
     C.release(spark)
     ctx = C.materialize(
