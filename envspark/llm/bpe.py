@@ -72,8 +72,8 @@ def split_words(text: str) -> list[str]:
 
 SHIFT = np.int64(17)
 NONE = np.int64(1) << 40
-CACHE_WORDS = 200_000
-TEXT_STEP = 4 << 20
+CACHE_WORDS = 150_000
+TEXT_STEP = 1 << 20
 
 
 def _byte_chars() -> dict[str, int]:
@@ -257,7 +257,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
                     yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], arr], names=[*keep, "ids"])
                     lo, size = i + 1, 0
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(C.tidy(run), schema)
 
 
 def decode_ids(ids: np.ndarray, offs: np.ndarray, t: Tables) -> list[str]:
@@ -288,7 +288,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decode_ids(ids, offs, shared.value), pa.string())],
                                              names=[*names, "decoded"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(C.tidy(run), schema)
 
 
 def with_digests(tokens: DataFrame) -> DataFrame:

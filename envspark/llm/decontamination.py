@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from envspark.llm import common as C
 
 BLOCK_BYTES = 4 << 20
-TEXT_STEP = 2 << 20
+TEXT_STEP = 1 << 20
 FILTER_BITS = 20
 _SEPARATES = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -175,6 +175,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, thr
     for block in benchmark_blocks(benchmark):
         items = sorted(((r["item_id"], r["text"]) for r in block.collect()), key=lambda r: (r[0] is not None, r[0], r[1]))
         shared = spark.sparkContext.broadcast(seeds_of(items, min_match))
-        cur = cur.mapInArrow(pass_over(shared), cur.schema)
+        cur = cur.mapInArrow(C.tidy(pass_over(shared)), cur.schema)
     return cur.select(*[F.col("_text" if c == "text" else f"_k{held.index(c)}").alias(c) for c in keep], "coverage", "items",
                       (F.size("items") > 0).alias("contaminated"))

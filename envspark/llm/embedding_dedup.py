@@ -219,12 +219,12 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.9, block_dims: int = 1
         .select(F.coalesce("least", -1 - F.pmod(F.xxhash64("vec"), F.lit((1 << 62) - 1))).alias("cls"), "least", "n", "vec"),
         "vector-classes")
     slim = classes.select("cls", "n", "vec")
-    sizes = slim.mapInArrow(_count_slabs(seed, block_dims, cosine), "dim int, block int, slab int, n long") \
+    sizes = slim.mapInArrow(C.tidy(_count_slabs(seed, block_dims, cosine)), "dim int, block int, slab int, n long") \
         .groupBy("dim", "block", "slab").agg(F.sum("n").alias("n")).collect()
     parts = {(r["dim"], r["block"], r["slab"]): -(-r["n"] // CHUNK) for r in sizes}
-    cells = slim.mapInArrow(_deal(seed, block_dims, cosine, parts),
+    cells = slim.mapInArrow(C.tidy(_deal(seed, block_dims, cosine, parts)),
                             "cell long, dim int, block int, slab int, guest int, x int, y int, role int, cls long, n long, raw binary")
-    found = C.materialize(C.by_key(cells, "cell").mapInArrow(_link_cells(block_dims, cosine), "kind int, a long, b long"), "vector-links")
+    found = C.materialize(C.by_key(cells, "cell").mapInArrow(C.tidy(_link_cells(block_dims, cosine)), "kind int, a long, b long"), "vector-links")
     C.release(spark)
     links = found.where("kind = 0").groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("links"))
     comp = components(found.where("kind = 1").select("a", "b"))

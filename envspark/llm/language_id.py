@@ -148,7 +148,7 @@ def fit(labelled: DataFrame, sample_per_language: int = 400, cost: float = 10.0,
     pick = (F.pmod("_h", F.lit(1 << 40)) / float(1 << 40)) * F.col("_n") < sample_per_language
     # one row per language, like the model itself: the texts are not shuffled on a language; repeated rows count once
     sample = C.materialize(rows.join(F.broadcast(counts), "lang").where(pick).dropDuplicates(["lang", "_h"]).select("lang", "text").mapInArrow(
-        _profiles, "lang string, idx binary, val binary"), "language-sample")
+        C.tidy(_profiles), "lang string, idx binary, val binary"), "language-sample")
     means = sorted(sample.groupBy("lang").applyInPandas(_centroid, "lang string, mean binary").collect())
     if not means:
         return None
@@ -226,7 +226,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
                 [*b.columns[:len(keep)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
                 names=[*keep, "lang_pred", "score"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(C.tidy(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

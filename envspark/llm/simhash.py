@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
                                              names=["doc_id", "key", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.row_key("doc_id", "text").alias("key"), "text") \
-        .mapInArrow(run, "doc_id long, key long, fp long")
+        .mapInArrow(C.tidy(run), "doc_id long, key long, fp long")
 
 
 def _segments(max_bits: int) -> list[tuple[int, int]]:
@@ -167,7 +167,7 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
 
-    return cells.select("cell", "seg", "val", "x", "y", "part", "fp").mapInArrow(run, "a long, b long")
+    return cells.select("cell", "seg", "val", "x", "y", "part", "fp").mapInArrow(C.tidy(run), "a long, b long")
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:

@@ -19,7 +19,9 @@ Defined results: null text has no words; a null ``doc_id`` is no smaller
 document and loses nothing; rows with equal doc_id do not affect each other;
 repeated rows each come back; a document shorter than the window is kept;
 empty tables give empty results; extra columns of the input are ignored.
-Two windows are taken as equal when their 64-bit hashes are.
+Two windows are taken as equal when their 64-bit hashes are.  The input should
+come from storage: map batches follow its row order, which a recomputed task
+has to meet again.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from envspark.llm import common as C
 
-BATCH_TEXT = 8 << 20
+BATCH_TEXT = 4 << 20
 LOCAL = -1
 
 _PACK = "bucket int, ids binary, keys binary, counts binary, steps binary, wide binary, hashes binary"
@@ -192,9 +194,9 @@ def removal_runs(docs: DataFrame, width: int = 13) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), C.row_key("doc_id", "text").alias("_key"), "text") \
         .where("_id IS NOT NULL AND text IS NOT NULL")
     part = F.when(F.col("bucket") == LOCAL, F.pmod(F.xxhash64("keys"), F.lit(n))).otherwise(F.col("bucket")).cast("int")
-    marks = rows.mapInArrow(_windows(width, n), _PACK).repartitionById(n, part).sortWithinPartitions("bucket") \
-        .mapInArrow(_judge(n), _PACK)
-    return marks.repartitionById(n, F.col("bucket")).mapInArrow(_runs, "id long, key long, runs binary")
+    marks = rows.mapInArrow(C.tidy(_windows(width, n)), _PACK).repartitionById(n, part).sortWithinPartitions("bucket") \
+        .mapInArrow(C.tidy(_judge(n)), _PACK)
+    return marks.repartitionById(n, F.col("bucket")).mapInArrow(C.tidy(_runs), "id long, key long, runs binary")
 
 
 def _cut(width: int):
@@ -233,4 +235,4 @@ def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", C.row_key("doc_id", "text").alias("_key"))
     joined = rows.join(runs, (rows["_key"] == runs["key"]) & (rows["doc_id"] == runs["id"]), "left")
     return joined.select("doc_id", "text", "runs").mapInArrow(
-        _cut(width), "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
+        C.tidy(_cut(width)), "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")

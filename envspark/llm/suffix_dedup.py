@@ -46,8 +46,8 @@ from pyspark.sql import types as T
 from envspark.llm import common as C
 
 KMER = 16
-SEGMENT = 1 << 20        # window starts handled at once
-BLOCK = 1 << 20          # bytes of contexts in one index (whole k-mer groups)
+SEGMENT = 1 << 19        # window starts handled at once
+BLOCK = 1 << 19          # bytes of contexts in one index (whole k-mer groups)
 CROWD = 4000             # contexts of one k-mer beyond which they are cut into pieces
 STEP = 48                # windows of a piece
 _LOW = np.uint64(28)
@@ -329,7 +329,7 @@ def repeated_spans(docs: DataFrame, width: int = 400) -> DataFrame:
     C.small_batches(spark)
     rows = docs.where("text IS NOT NULL").select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), C.row_key("doc_id", "text").alias("_key"), "text")
-    occ = C.materialize(rows.where(F.octet_length("text") >= width).mapInArrow(_occurrences(width), _OCC), "contexts")
+    occ = C.materialize(rows.where(F.octet_length("text") >= width).mapInArrow(C.tidy(_occurrences(width)), _OCC), "contexts")
     # written, so that the join below reads it by a plain shuffle and adaptive execution can split a hot k-mer
     known = C.materialize(occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("c1") != F.max("c1")).alias("mixed"))
                           .where("n > 1").select("anchor", "mixed"), "repeated-kmers")
@@ -345,8 +345,8 @@ def repeated_spans(docs: DataFrame, width: int = 400) -> DataFrame:
     need = mixed.join(crowds, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))) \
         .groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "c1", "c2", "lo", "wins", "lead", "crowded")).alias("reps"))
     texts = rows.join(need, (rows["_id"] == need["id"]) & (rows["_key"] == need["key"])).select("text", "reps")
-    frags = texts.mapInArrow(_fragments(width), _FRAG)
-    found = C.by_key(frags, "grp").mapInArrow(_mark_windows(width), _MARK)
+    frags = texts.mapInArrow(C.tidy(_fragments(width)), _FRAG)
+    found = C.by_key(frags, "grp").mapInArrow(C.tidy(_mark_windows(width)), _MARK)
     copies = ctx.where("n > 1").select("anchor", "c1", "c2", F.lit(0).alias("first"), (F.col("wins") - 1).alias("last"))
     hits = C.materialize(copies.union(found), "repeated-windows")
     C.release(spark)
@@ -393,7 +393,7 @@ def suffix_dedup(docs: DataFrame, width: int = 400, keep: tuple[str, ...] = ("do
     src = joined.select(*[f"_k{i}" for i in range(len(keep))], "_text", "runs")
     schema = src.drop("_text", "runs").schema.add("n_bytes", "long").add("n_removed", "long") \
         .add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary")
-    return src.mapInArrow(_cut(width, len(keep)), schema).select(
+    return src.mapInArrow(C.tidy(_cut(width, len(keep))), schema).select(
         *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "n_removed", "spans", "kept")
 
 

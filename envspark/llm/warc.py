@@ -8,8 +8,9 @@ record is one line and the four bytes that end every WARC record are the line
 separator, so any store that Spark can write holds them.
 
 ``read_records`` parses archives by ``Content-Length`` and gives one row per
-record.  ``assemble`` joins the records of a capture through their
-concurrent-to identifiers: one nested row per capture.
+record.  ``assemble`` brings the records of a capture together by the
+identifier that they are concurrent to, in one grouped shuffle instead of two
+joins: one nested row per capture.
 
 Payloads are deduplicated by SHA-1 before any page moves: only digests that
 occur more than once take part in the join that finds the first page.
@@ -105,7 +106,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     # however finely the join is dealt out, a file (and its compressor) per FILE_BYTES and two per core are enough
     total = rows.agg(F.sum(F.octet_length("html") + 1000)).first()[0] or 0
     files = max(2 * spark.sparkContext.defaultParallelism, -(-total // FILE_BYTES))
-    marked.coalesce(files).mapInArrow(_to_records(str(uuid.uuid4())), "value string").write.mode("overwrite") \
+    marked.coalesce(files).mapInArrow(C.tidy(_to_records(str(uuid.uuid4()))), "value string").write.mode("overwrite") \
         .option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
@@ -207,7 +208,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(held, schema=_RECORD)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "record_id string, concurrent_to string, type string, uri string, refers_to long, page_id long, "
+    return files.mapInArrow(C.tidy(run), "record_id string, concurrent_to string, type string, uri string, refers_to long, page_id long, "
                                  "digest string, length long, http_head string, payload binary, digest_ok boolean")
 
 
