@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling (operator 4).
 
-Texts and benchmark items are token sequences (lower-cased runs of letters,
-digits and non-ASCII bytes).  Karp-Rabin hashes of every ``min_match``
+Texts and benchmark items are token sequences: lower-cased runs of Unicode
+letters, digits and marks, and in scripts written without spaces each letter
+with its marks.  Karp-Rabin hashes of every ``min_match``
 consecutive tokens of the items are the seeds; document windows that share a
 seed are extended to maximal matches.  Greedy tiling then takes the longest
 match first and marks its tokens in both texts; what later matches share with
@@ -14,19 +15,22 @@ follows from its measured size).  Each block is broadcast in its turn and every
 document meets every block in one pass without a shuffle, so neither a hot
 passage nor a hot item gathers rows anywhere.
 
-Defined results: null text or no token: coverage 0; null items, and items of
-fewer tokens than ``min_match``, never match (too short to judge); repeated
-items count once each; an empty benchmark leaves all documents clean; null and
+Defined results: null text or no token: coverage 0; null items and items
+without a token never match; an item of fewer tokens than ``min_match`` matches
+a text of exactly its tokens (inside a longer text it is too short to judge);
+repeated items count once each; an empty benchmark leaves all documents clean; null and
 repeated ids are fine; extra columns are ignored or kept on request.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,31 @@ BLOCK_BYTES = 4 << 20
 TEXT_STEP = 1 << 20
 FILTER_BITS = 20
 _SEPARATES = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_GAP, _WORD, _SOLO, _MARK = range(4)
+_PARTS = regex.compile(r"(\p{M}+)|([[\p{L}\p{N}]&&[\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Yi}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+                       r"\p{Tai_Le}\p{New_Tai_Lue}\p{Tai_Tham}\p{Tai_Viet}\p{Balinese}\p{Javanese}ー々〆]]+)|([\p{L}\p{N}]+)", regex.V1)
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """What every code point is: no part of a token, part of a word, a token
+    of its own, or a mark of the character before it."""
+    out = np.full(0x110000, _GAP, np.uint8)
+    # a space stands for each surrogate, so that places are code points
+    for m in _PARTS.finditer("".join(" " if 0xD800 <= c < 0xE000 else chr(c) for c in range(0x110000))):
+        out[m.start():m.end()] = (_MARK, _SOLO, _WORD)[m.lastindex - 1]
+    return out
+
+
+def _code_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code point, number of bytes) of the non-ASCII characters at ``at``."""
+    lead = data[at].astype(np.int64)
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    cp = lead & (0x7F >> size)
+    for j in range(1, 4):
+        more = size > j
+        cp[more] = cp[more] << 6 | data[at[more] + j] & 0x3F
+    return cp, size
 
 
 def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -43,8 +72,25 @@ def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [x.lower().encode() for x in texts]
     offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
-    starts, ends, first = C.words_of(data, offs, _SEPARATES[data])
-    return C.span_hashes(data, starts, ends), first
+    gap = _SEPARATES[data]
+    at = np.flatnonzero(data >= 0xC0)
+    if not len(at):
+        starts, ends, first = C.words_of(data, offs, gap)
+        return C.span_hashes(data, starts, ends), first
+    cp, size = _code_points(data, at)
+    kind = _kinds()[cp]
+    none = kind == _GAP
+    gap[C.ragged(at[none], size[none])] = True
+    border = np.zeros(len(data) + 1, bool)
+    border[offs] = True
+    # a mark belongs to the character just before it, in the same text
+    joins = np.zeros(len(at), bool)
+    joins[1:] = (kind[1:] == _MARK) & (at[:-1] + size[:-1] == at[1:]) & ~border[at[1:]]
+    solo = (kind == _SOLO)[np.maximum.accumulate(np.where(joins, 0, np.arange(len(at))))]
+    border[at[kind == _SOLO]] = True
+    border[(at + size)[solo & ~np.append(joins[1:], False)]] = True
+    starts, ends, _ = C.words_of(data, np.flatnonzero(border), gap)
+    return C.span_hashes(data, starts, ends), np.searchsorted(starts, offs)
 
 
 class Seeds(NamedTuple):
@@ -55,6 +101,7 @@ class Seeds(NamedTuple):
     at: np.ndarray             # token position of each seed
     item: np.ndarray           # item of each seed
     some: np.ndarray           # which low hash bits occur
+    short: dict                # token hashes of items below min_match: their numbers
 
 
 def seeds_of(items: list[tuple], min_match: int) -> Seeds:
@@ -65,7 +112,10 @@ def seeds_of(items: list[tuple], min_match: int) -> Seeds:
     some = np.zeros(1 << FILTER_BITS, bool)
     some[(h & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
     item = np.searchsorted(first, at, side="right") - 1
-    return Seeds([i for i, _ in items], tokens, first, h[order], at[order], item[order], some)
+    short: dict[bytes, list[int]] = {}
+    for i in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < min_match)).tolist():
+        short.setdefault(tokens[first[i]:first[i + 1]].tobytes(), []).append(i)
+    return Seeds([i for i, _ in items], tokens, first, h[order], at[order], item[order], some, short)
 
 
 def _maximal(p: np.ndarray, q: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
@@ -111,6 +161,8 @@ def coverages(texts: list[str], s: Seeds, min_match: int) -> list[list[tuple[int
     """Per text: (item number, share of the item's tokens covered by tiles)."""
     out: list[list[tuple[int, float]]] = [[] for _ in texts]
     tokens, first = tokens_of(texts)
+    for d in np.flatnonzero(np.diff(first) < min_match).tolist() if s.short else ():
+        out[d] += [(i, 1.0) for i in s.short.get(tokens[first[d]:first[d + 1]].tobytes(), ())]
     h = C.window_hashes(tokens, min_match)
     if not len(h) or not len(s.hashes):
         return out

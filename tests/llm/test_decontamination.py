@@ -1,6 +1,7 @@
 import random
 
 import pytest
+import regex
 
 import envspark.llm.decontamination as M
 
@@ -74,3 +75,45 @@ def test_empty_tables_and_kept_columns(spark, frame):
     empty = spark.createDataFrame([], "doc_id long, text string, items int, coverage string")
     full = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert M.decontaminate(empty, full).count() == 0
+
+
+def literal_tokens(text):
+    """Character by character: words, letters of scripts without spaces with their marks."""
+    out, glue = [], False
+    for c in text.lower():
+        mark, solo = regex.match(r"\p{M}", c), regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}ー]", c)
+        if mark and out and glue != "gap":
+            out[-1] += c
+        elif solo and c.isalnum():
+            out.append(c)
+            glue = "solo"
+        elif c.isalnum() or mark:
+            out[-1:] = [out[-1] + c] if out and glue == "word" else [*out[-1:], c]
+            glue = "word"
+        else:
+            glue = "gap"
+    return out
+
+
+def test_tokens_of_every_script():
+    rng = random.Random(4)
+    letters = list("aZ1_ .é— “”中文。、かなカー々กิน้ำนำहिन्दी한국어Жß😀́")
+    texts = ["", "中", "́", "กิ", "́a", *("".join(rng.choices(letters, k=rng.randrange(0, 30))) for _ in range(400))]
+    got, first = M.tokens_of(texts)
+    want = [literal_tokens(t) for t in texts]
+    raw = [w.encode() for ws in want for w in ws]
+    ends = M.np.cumsum([len(w) for w in raw])
+    hashes = M.C.span_hashes(M.np.frombuffer(b"".join(raw), M.np.uint8), M.np.concatenate([[0], ends[:-1]]), ends)
+    assert M.np.diff(first).tolist() == [len(ws) for ws in want]
+    assert got.tolist() == hashes.tolist()
+
+
+def test_scripts_without_spaces_and_unicode_separators(spark, frame):
+    items = [(1, "春眠不觉晓，处处闻啼鸟。夜来风雨声，花落知多少。"), (2, "ภาษาไทยเป็นภาษาที่มีเสียงวรรณยุกต์"),
+             (3, "吾輩は猫である。名前はまだ無い。"), (4, "one two—three four five “six” seven eight"), (5, "中文"), (6, "two words")]
+    docs = [(1, "前面的话" + items[0][1] + "后面的话"), (2, "คำนำ" + items[1][1] + "ต่อ"), (3, "昔々" + items[2][1] + "と言う"),
+            (4, "x one two three – four “five” six seven… eight y"), (5, "中文。"), (6, "Two words!"), (7, "我说中文 and two words more here"),
+            (8, "今天天气很好，我们去公园散步吧。"), (9, "花落知多少 is a line")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in M.decontaminate(frame(docs), bench).collect()}
+    assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [5], 6: [6], 7: [], 8: [], 9: []}
