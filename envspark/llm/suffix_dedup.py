@@ -22,8 +22,10 @@ anywhere else in the corpus (same document included).
 
 A k-mer with very many different contexts is cut into pieces of ``STEP``
 windows keyed by the bytes that all windows of the piece contain, so its
-contexts spread over tasks; a piece that is still crowded is decided window by
-window (128-bit hashes) instead of by an index.  Everything is judged on the input.
+contexts spread over tasks.  Pieces of a key that is still crowded never meet:
+their windows are counted by 128-bit hash, packed per batch, so no task holds
+more than ``CROWD`` contexts or pieces of one key.  Everything is judged on the
+input.
 
 Defined results: null text is empty; texts shorter than ``width`` lose
 nothing; exact copies lose all of it; null and repeated ids are fine (rows are
@@ -39,7 +41,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +50,7 @@ from envspark.llm import common as C
 KMER = 16
 SEGMENT = 1 << 19        # window starts handled at once
 BLOCK = 1 << 19          # bytes of contexts in one index (whole k-mer groups)
-CROWD = 4000             # contexts of one k-mer beyond which they are cut into pieces
+CROWD = 4000             # contexts of one k-mer (pieces of one key) beyond which they are cut into pieces (windows)
 STEP = 48                # windows of a piece
 _LOW = np.uint64(28)
 
@@ -320,7 +322,62 @@ def _mark_windows(width: int):
     return run
 
 
+_SEEN = "w1 long, w2 long, n long"
+_HELD = "w1 long, w2 long, held array<struct<anchor:long,c1:long,c2:long,at:int>>"
+
+
+def _piece_windows(width: int, holders: bool):
+    """Per batch of pieces and distinct window (128-bit hash): how often it
+    occurs, or where."""
+    place = pa.struct([("anchor", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("at", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for b in batches:
+            if not b.num_rows:
+                continue
+            pieces = b.column(b.schema.get_field_index("data")).to_pylist()
+            wins = np.fromiter((len(p) - width + 1 for p in pieces), np.int64, len(pieces))
+            h = np.frombuffer(b"".join(digest(p[i:i + width]) for p in pieces for i in range(len(p) - width + 1)), np.int64).reshape(-1, 2)
+            order = np.lexsort((h[:, 1], h[:, 0]))
+            h = h[order]
+            head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]).any(1)]))
+            names, first = ["w1", "w2"], [pa.array(h[head, 0]), pa.array(h[head, 1])]
+            if not holders:
+                yield pa.RecordBatch.from_arrays([*first, pa.array(np.diff(np.append(head, len(h))))], names=[*names, "n"])
+                continue
+            row = np.repeat(np.arange(len(pieces)), wins)[order]
+            off = b.column(b.schema.get_field_index("off")).to_numpy().astype(np.int64)
+            at = (C.ragged(off, wins)[order]).astype(np.int32)
+            own = [pa.array(b.column(b.schema.get_field_index(c)).to_numpy()[row]) for c in ("anchor", "c1", "c2")]
+            held = pa.StructArray.from_arrays([*own, pa.array(at)], fields=list(place))
+            ends = pa.array(np.append(head, len(h)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*first, pa.ListArray.from_arrays(ends, held)], names=[*names, "held"])
+    return run
+
+
 # ------------------------------------------------------------------- Spark
+def _crowded_marks(pieces: DataFrame, width: int) -> DataFrame:
+    """Marks of the pieces of crowded k-mers, where neither a hot core nor a
+    hot window gathers pieces in a task."""
+    pieces = C.materialize(pieces, "crowded-pieces")
+    C.release(pieces.sparkSession)
+    cores = C.materialize(pieces.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWD).select("grp"), "crowded-cores")
+    hot = F.broadcast(cores)                                              # one row per CROWD pieces at most
+    found = C.by_key(pieces.join(hot, "grp", "left_anti").select(pieces.columns), "grp").mapInArrow(C.tidy(_mark_windows(width)), _MARK)
+    if cores.isEmpty():
+        return found
+    many = pieces.join(hot, "grp").select("anchor", "c1", "c2", "off", "data")
+    known = C.materialize(many.mapInArrow(C.tidy(_piece_windows(width, False)), _SEEN).groupBy("w1", "w2").agg(F.sum("n").alias("n"))
+                          .where("n > 1").select("w1", "w2"), "crowded-windows")
+    one = Window.partitionBy("anchor", "c1", "c2").orderBy("at")          # the windows of one context
+    marks = many.mapInArrow(C.tidy(_piece_windows(width, True)), _HELD).join(known, ["w1", "w2"]) \
+        .select(F.explode("held").alias("held")).select("held.*") \
+        .withColumn("_run", F.col("at") - F.row_number().over(one)) \
+        .groupBy("anchor", "c1", "c2", "_run").agg(F.min("at").alias("first"), F.max("at").alias("last")).drop("_run")
+    return found.union(marks)
+
+
 def repeated_spans(docs: DataFrame, width: int = 400) -> DataFrame:
     """(id, key, runs): runs of window starts (first, last) that repeat."""
     if width < 2 * KMER:
@@ -340,13 +397,19 @@ def repeated_spans(docs: DataFrame, width: int = 400) -> DataFrame:
                                                        F.min(F.struct("id", "key", "lo", "wins", "lead")).alias("rep"))
         .select("anchor", "c1", "c2", "mixed", "n", "rep.*"), "distinct-contexts")
     mixed = ctx.where("mixed")
-    crowds = mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWD) \
-        .select("anchor", F.lit(True).alias("crowded"))
-    need = mixed.join(crowds, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))) \
-        .groupBy("id", "key").agg(F.collect_list(F.struct("anchor", "c1", "c2", "lo", "wins", "lead", "crowded")).alias("reps"))
-    texts = rows.join(need, (rows["_id"] == need["id"]) & (rows["_key"] == need["key"])).select("text", "reps")
-    frags = texts.mapInArrow(C.tidy(_fragments(width)), _FRAG)
-    found = C.by_key(frags, "grp").mapInArrow(C.tidy(_mark_windows(width)), _MARK)
+    crowds = C.materialize(mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWD).select("anchor"), "crowded-kmers")
+
+    def pieces(chosen: DataFrame, crowded: bool) -> DataFrame:
+        need = chosen.groupBy("id", "key").agg(F.collect_list(F.struct(
+            "anchor", "c1", "c2", "lo", "wins", "lead", F.lit(crowded).alias("crowded"))).alias("reps"))
+        texts = rows.join(need, (rows["_id"] == need["id"]) & (rows["_key"] == need["key"])).select("text", "reps")
+        return texts.mapInArrow(C.tidy(_fragments(width)), _FRAG)
+
+    # one row per CROWD contexts at most
+    found = C.by_key(pieces(mixed.join(F.broadcast(crowds), "anchor", "left_anti"), False), "grp") \
+        .mapInArrow(C.tidy(_mark_windows(width)), _MARK)
+    if not crowds.isEmpty():
+        found = found.union(_crowded_marks(pieces(mixed.join(F.broadcast(crowds), "anchor", "left_semi"), True), width))
     copies = ctx.where("n > 1").select("anchor", "c1", "c2", F.lit(0).alias("first"), (F.col("wins") - 1).alias("last"))
     hits = C.materialize(copies.union(found), "repeated-windows")
     C.release(spark)

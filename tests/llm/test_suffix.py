@@ -92,3 +92,21 @@ def test_empty_and_extra_columns(spark):
     rows = [(1, "k" * 500, 3, "z"), (2, "k" * 399, 3, "z")]
     got = {r.doc_id: r.n_removed for r in M.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string, runs int, id string")).collect()}
     assert got == {1: 500, 2: 0}
+
+
+def test_pieces_of_a_shared_passage_do_not_gather(spark, frame, monkeypatch):
+    monkeypatch.setattr(M, "CROWD", 30)
+    monkeypatch.setattr(M, "STEP", 7)
+    rng = random.Random(6)
+    core, longer = ("".join(rng.choices("abcdefgh", k=k)) for k in (37, 90))
+    texts = ["".join(rng.choices("pqrstuv", k=30)) + (core if i % 2 else longer) + "".join(rng.choices("pqrstuv", k=30)) for i in range(300)]
+    largest, by_key = [], M.C.by_key
+
+    def watched(df, key, n=None):
+        largest.append(df.groupBy(key).count().agg({"count": "max"}).first()[0] or 0)
+        return by_key(df, key, n)
+    monkeypatch.setattr(M.C, "by_key", watched)
+    raw, gone = brute(texts, 40)
+    got = {r.doc_id: ([tuple(s) for s in r.spans], bytes(r.kept)) for r in M.suffix_dedup(frame(list(enumerate(texts))), width=40).collect()}
+    assert got == {i: (spans_of(g), bytes(b for k, b in enumerate(r) if k not in g)) for i, (r, g) in enumerate(zip(raw, gone, strict=True))}
+    assert any(gone) and max(largest) <= 30, largest
