@@ -6,8 +6,8 @@ last return the columns of ``documents``.  ``run`` applies them one after the
 other, each written as Parquet and read again.
 
 * language_id: learns from the labelled rows of its input that are not held
-  out; documents without a language (``und``: null text or no letter) go, a
-  null ``lang`` is filled with the prediction.
+  out; documents of null text or without a letter go, a null ``lang`` is filled
+  with the prediction.  Where nothing could be learned the others stay as they are.
 * simhash_near_dedup: of each group of documents within 4 bits, one stays.
 * suffix_array_dedup: bytes of repeated 400-byte strings go from the text (and
   with them the rest of a character that a cut divides); ``n_chars`` follows.
@@ -31,9 +31,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
-    out = language_id.predict(docs, model, keep=COLUMNS)
-    return out.where(F.col("lang_pred") != language_id.UNKNOWN) \
-        .withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    docs = docs.where(language_id.has_letter("text"))
+    if model is None:
+        return docs.select(*COLUMNS)
+    return language_id.predict(docs, model, keep=COLUMNS).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def stage_simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

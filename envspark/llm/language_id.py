@@ -32,6 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from envspark.llm import common as C
 
@@ -229,6 +230,12 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
     return src.mapInArrow(C.tidy(run), schema)
 
 
+@F.pandas_udf(T.BooleanType())
+def has_letter(text: pd.Series) -> pd.Series:
+    """What a language can be told of at all, whatever was learned."""
+    return text.map(lambda x: bool(x and _LETTER(x))).astype(bool)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that nothing is learned from: crc32 of the id's text mod 3 is 1."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))

@@ -78,3 +78,16 @@ def test_empty_table(spark, frame, tmp_path):
     frame([]).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_documents_stay_where_no_language_was_learned(spark, frame):
+    from envspark.llm.language_id import held_out
+    rows = [(i, f"clean text number {i}", None) for i in range(20)] + [(90, None, None), (91, "12 !", None), (92, "", None)]
+    got = P.stage_language_id(spark, frame(rows), "").collect()
+    assert sorted((r.doc_id, r.text, r.lang) for r in got) == [r[:3] for r in rows[:20]]
+    out = frame([(i,) for i in range(60)]).where(held_out(P.F.col("doc_id"))).collect()
+    held = [(r.doc_id, f"texte {r.doc_id}", "fr") for r in out] + [(None, "no id", None), (None, "1", None)]
+    got = P.stage_language_id(spark, frame(held), "").collect()
+    assert sorted(((r.doc_id, r.text, r.lang) for r in got), key=repr) == sorted(held[:-1], key=repr)
+    named = [(i, f"some words {i}", "und") for i in range(20)]
+    assert P.stage_language_id(spark, frame(named), "").count() == 20
