@@ -6,10 +6,11 @@ tokens of A and of B.
 
 *Divide and conquer.*  An interval that starts and ends at shared cuts is
 divided at a common end near its middle: from A's middle end the search
-leapfrogs to both sides, each leap a bisect in the other side's ends, until an
-end of A is an end of B.  Both halves go on; an interval without such an end
-becomes a leaf group.  All intervals of a batch of texts are searched at once
-(``shared_groups``), so the recursion is a few dozen rounds of numpy.
+leapfrogs to the right, and where there is none to the left, each leap a bisect
+in the other side's ends, until an end of A is an end of B.  Both halves go on;
+an interval without such an end becomes a leaf group.  All intervals of a batch
+of texts are searched at once (``shared_groups``), so the recursion is a few
+dozen rounds of numpy.
 
 *Links* are the pairs of an A and a B token whose bytes overlap.  How often an
 id pair is linked in the whole corpus is counted from one row per distinct pair
@@ -32,7 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,30 +41,51 @@ from pyspark.sql import types as T
 
 from envspark.llm import bpe
 from envspark.llm import common as C
-from envspark.llm.units import UnitEncoder
+from envspark.llm.units import Remembered, flat_lists, per_text, text_steps, words_of_texts
 
-BATCH = 4 << 20              # bytes of text whose pairs are combined
+BATCH = 2 << 20              # bytes of text whose pairs are combined
 SHIFT = np.int64(32)
 
 
 # ------------------------------------------------------------- tokenizers
 class Side:
-    """A tokenizer's ids of texts and the bytes of its tokens."""
+    """A tokenizer: (ids, ids of each text) of texts or of words without spaces,
+    the bytes of its tokens, and whether a text with single spaces is the
+    concatenation of a space and each word."""
 
-    def __init__(self, encode: Callable, pieces: list[bytes]) -> None:
-        self.encode = encode
-        self.offs = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
+    def __init__(self, encode: Callable[[list[str], bool], tuple[np.ndarray, np.ndarray]], pieces: list[bytes], by_word: bool) -> None:
+        self.encode, self.by_word = encode, by_word
+        self.size = np.array([len(p) for p in pieces], np.int64)
+        self.offs = np.cumsum(self.size) - self.size
         self.table = np.frombuffer(b"".join(pieces), np.uint8)
-
-    def lengths(self, ids: np.ndarray) -> np.ndarray:
-        return self.offs[ids + 1] - self.offs[ids]
-
-    def joined(self, ids: np.ndarray) -> np.ndarray:
-        return self.table[C.ragged(self.offs[ids], self.lengths(ids))]
+        self.words = Remembered(self._words)
+
+    def faithful(self, raw: np.ndarray, size: np.ndarray, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Whether the joined bytes of each text's ids are its ``size`` bytes of ``raw``."""
+        good = per_text(self.size[ids], count) == size
+        mine = ids[np.repeat(good, count)]
+        have = self.table[C.ragged(self.offs[mine], self.size[mine])]
+        wrong = np.flatnonzero(have != (raw if good.all() else raw[np.repeat(good, size)]))
+        at = np.flatnonzero(good)
+        good[at[np.unique(np.searchsorted(np.cumsum(size[at]), wrong, side="right"))]] = False
+        return good
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a space and each word; -1 alone for a word that they do not reproduce."""
+        ids, count = self.encode(words, True)
+        raw = np.frombuffer((" " + " ".join(words)).encode(), np.uint8)
+        bad = ~self.faithful(raw, np.diff(np.append(np.flatnonzero(raw == 32), len(raw))), ids, count)
+        if bad.any():
+            ids = ids[~np.repeat(bad, count)]
+            count = np.where(bad, 0, count)
+            ids = np.insert(ids, np.cumsum(count)[bad], -1)
+            count = np.where(bad, 1, count)
+        return ids, count
 
 
 def byte_level_side(path: str) -> Callable[[], Side]:
-    """Byte-level BPE on a space and the text, without special tokens."""
+    """Byte-level BPE on a space and the text, without special tokens.  Its
+    words start at a space, so single spaces part them."""
     tables = bpe.load_tables(path)._replace(added=[])       # read on the driver, travels with the function
 
     def make() -> Side:
@@ -71,20 +93,28 @@ def byte_level_side(path: str) -> Callable[[], Side]:
         cuts = tables.offs.tolist()
         raw = tables.table.tobytes()
 
-        def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-            return enc.encode([" " + x if x else None for x in texts])
-        return Side(encode, [raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
+        def merge(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            parts = [bpe.merge_words([w.encode() for w in pieces[i:i + (1 << 17)]], tables) for i in range(0, len(pieces), 1 << 17)]
+            return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        pieces = Remembered(merge)
+
+        def encode(texts: list[str], words: bool) -> tuple[np.ndarray, np.ndarray]:
+            if not words:
+                ids, offs = enc.encode([" " + x for x in texts])
+                return ids, np.diff(offs)
+            # of a word with its space, only the first piece starts with a space
+            found = bpe.split_words(" " + " ".join(texts))
+            ids, count = pieces.gather(pieces.numbers(found))
+            word = np.cumsum(np.fromiter((p[0] == " " for p in found), bool, len(found))) - 1
+            return ids, np.bincount(word, count, len(texts)).astype(np.int64)
+        return Side(encode, [raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], True)
     return make
 
 
-_RUNS = regex.compile(" +[^ ]*").findall
-
-
 def piece_side(path: str) -> Callable[[], Side]:
     """SentencePiece, which adds the leading space itself.  Where no piece has a
     space after another character, and spaces are neither dropped nor merged,
-    no merge crosses from a word into the next space: then a text is encoded as
-    its runs of spaces with the word behind them, each distinct one once."""
+    no merge crosses into the space before the next word."""
     with open(path, "rb") as f:
         proto = f.read()
 
@@ -93,49 +123,52 @@ def piece_side(path: str) -> Callable[[], Side]:
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         names = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
         pieces = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-
-        def library(texts: list[str]) -> list[list[int]]:
-            return sp.encode(texts, num_threads=1)
-        lone = sp.piece_to_id("▁")          # a last space; the library has nothing for an empty text
-        by_word = names[lone] == "▁" and not any(a != "▁" == b for p in names for a, b in zip(p, p[1:], strict=False)) and all(
+        by_word = not any(a != "▁" == b for p in names for a, b in zip(p, p[1:], strict=False)) and all(
             "".join(names[i] for i in sp.encode(x)) == "▁" + x.replace(" ", "▁") for x in ("a  b ", " a", "a"))
-        if by_word:
-            enc = UnitEncoder(lambda x: _RUNS(" " + x),
-                              lambda units: [ids if u != " " else [lone] for u, ids in zip(units, library([u[1:] for u in units]), strict=True)])
-        else:
-            enc = UnitEncoder(lambda x: [x], library)
-        return Side(enc.encode, pieces)
+        return Side(lambda texts, _: flat_lists(sp.encode(texts, num_threads=1)), pieces, by_word)
     return make
 
 
-def checked(a: Side, b: Side, texts: list[str | None]):
+def _put(n: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Ids in the order of the texts, from (texts, their ids) parts."""
+    ids = np.zeros(int(n.sum()), np.int64)
+    first = np.cumsum(n) - n
+    for at, values in parts:
+        ids[C.ragged(first[at], n[at])] = values
+    return ids
+
+
+def checked(a: Side, b: Side, texts: pa.Array) -> list[np.ndarray]:
     """Ids and offsets of both sides; texts that either does not reproduce have none."""
-    data = np.frombuffer("".join(" " + x for x in texts if x).encode(), np.uint8)
-    size = np.array([len(x.encode()) + 1 if x else 0 for x in texts], np.int64)
-    out = []
-    good = size > 0
-    for side in (a, b):
-        ids, offs = side.encode(texts)
-        ids = ids.astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(side.lengths(ids))])[offs]
-        good &= np.diff(ends) == size
-        out.append((ids, offs))
-    first = np.cumsum(size) - size
-    for k, side in enumerate((a, b)):
-        ids, offs = out[k]
-        n = np.diff(offs)
-        have = side.joined(ids[C.ragged(offs[:-1][good], n[good])])
-        want = data[C.ragged(first[good], size[good])]
-        wrong = np.flatnonzero(have != want)
-        if len(wrong):
-            at = np.flatnonzero(good)
-            good_now = good.copy()
-            good_now[at[np.unique(np.searchsorted(np.cumsum(size[at]), wrong, side="right"))]] = False
-            good = good_now
+    some = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
+    simple = pc.invert(pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " "))))
+    easy = pc.fill_null(pc.and_(some, simple), False).to_numpy(zero_copy_only=False) & a.by_word & b.by_word
+    some = some.to_numpy(zero_copy_only=False)
+    fast = np.flatnonzero(easy)
+    words = words_of_texts(texts.take(pa.array(fast)))
+    got = [side.words.gather(side.words.numbers(words.distinct)[words.code]) for side in (a, b)]
+    # texts with a word that does not come back are looked at whole, like those with more than single spaces
+    count = [per_text(c, words.count) for _, c in got]
+    odd = np.zeros(len(fast), bool)
+    for (ids, _), c in zip(got, count, strict=True):
+        odd |= per_text((ids < 0).astype(np.int64), c) > 0
+    slow = np.flatnonzero(some & ~easy)
+    if odd.any():
+        slow = np.union1d(slow, fast[odd])
+    whole = texts.take(pa.array(slow)).to_pylist()
+    late = [side.encode(whole, False) if whole else (np.zeros(0, np.int32), np.zeros(0, np.int64)) for side in (a, b)]
+    raw = [b" " + x.encode() for x in whole]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    good = np.ones(len(whole), bool)
+    for side, (ids, c) in zip((a, b), late, strict=True):
+        good &= side.faithful(np.frombuffer(b"".join(raw), np.uint8), size, ids, c)
     result = []
-    for ids, offs in out:
-        n = np.where(good, np.diff(offs), 0)
-        result += [ids[C.ragged(offs[:-1], n)], np.concatenate([[0], np.cumsum(n)])]
+    for (ids, _), c, (ids_late, c_late) in zip(got, count, late, strict=True):
+        n = np.zeros(len(texts), np.int64)
+        n[fast[~odd]] = c[~odd]
+        n[slow[good]] = c_late[good]
+        result += [_put(n, [(fast[~odd], ids[np.repeat(~odd, c)]), (slow[good], ids_late[np.repeat(good, c_late)])]),
+                   np.concatenate([[0], np.cumsum(n)])]
     return result
 
 
@@ -156,35 +189,39 @@ def shared_groups(ends_a: np.ndarray, ends_b: np.ndarray, offs_a: np.ndarray, of
     some = np.flatnonzero(np.diff(offs_a) > 0)
     a0, a1, b0, b1 = offs_a[some], offs_a[some + 1], offs_b[some], offs_b[some + 1]
     done: list[np.ndarray] = []
-    # candidates that go right and left from A's middle end; -1: this side has no common end
-    right = left = (a0 + a1 - 2) // 2
+    # A's candidate end of each interval, and whether the search still goes right from the middle
+    at, right = (a0 + a1 - 2) // 2, np.ones(len(a0), bool)
     while len(a0):
-        leaf = (a1 - a0 == 1) | (b1 - b0 == 1) | ((right < 0) & (left < 0))
+        leaf = (a1 - a0 == 1) | (b1 - b0 == 1) | (at < a0)
         if leaf.any():
             done.append(np.stack([a1[leaf], b1[leaf]]))
-            a0, a1, b0, b1, right, left = (x[~leaf] for x in (a0, a1, b0, b1, right, left))
+            a0, a1, b0, b1, at, right = (x[~leaf] for x in (a0, a1, b0, b1, at, right))
             if not len(a0):
                 break
-        # the next end of B at or after the candidate of A, and the next of A from there
-        x = ends_a[right]
-        j = np.searchsorted(ends_b, x)
-        hit_r = (right >= 0) & (ends_b[j] == x)
-        step = np.searchsorted(ends_a, ends_b[j])
-        step_r = np.where((right < 0) | (step > a1 - 2), -1, step)
-        y = ends_a[left]
-        k = np.searchsorted(ends_b, y, side="right") - 1
-        hit_l = (left >= 0) & (k >= b0) & (ends_b[k] == y)
-        step = np.searchsorted(ends_a, ends_b[np.maximum(k, 0)], side="right") - 1
-        step_l = np.where((left < 0) | (k < b0) | (step < a0), -1, step)
-        hit = hit_r | hit_l
-        at, bt = np.where(hit_r, right, left)[hit] + 1, np.where(hit_r, j, k)[hit] + 1
-        go = ~hit
-        na0, na1 = np.concatenate([a0[hit], at, a0[go]]), np.concatenate([at, a1[hit], a1[go]])
-        nb0, nb1 = np.concatenate([b0[hit], bt, b0[go]]), np.concatenate([bt, b1[hit], b1[go]])
-        n = 2 * int(hit.sum())
-        middle = (na0[:n] + na1[:n] - 2) // 2
-        right, left = np.concatenate([middle, step_r[go]]), np.concatenate([middle, step_l[go]])
-        a0, a1, b0, b1 = na0, na1, nb0, nb1
+        j = np.searchsorted(ends_b, ends_a[at])
+        hit = ends_b[j] == ends_a[at]
+        # no common end here: leap to the next end of B and from there to the next of A; at the border turn left
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            m_at, m_right, m_j = at[miss], right[miss], j[miss]
+            step = np.searchsorted(ends_a, ends_b[m_j])
+            turn = m_right & (step > a1[miss] - 2)
+            middle = (a0[miss] + a1[miss] - 2) // 2
+            back = np.flatnonzero(turn | ~m_right)
+            if len(back):
+                k = np.where(turn[back], np.searchsorted(ends_b, ends_a[middle[back]]), m_j[back]) - 1
+                prior = np.searchsorted(ends_a, ends_b[np.maximum(k, 0)], side="right") - 1
+                step[back] = np.where(k < b0[miss][back], -1, prior)
+                m_right[back] = False
+            at[miss], right[miss] = step, m_right
+        # both halves of the divided intervals, in the place of the whole
+        new = np.repeat(np.arange(len(a0)), 1 + hit)
+        second = np.cumsum(1 + hit)[hit] - 1
+        cut_a, cut_b = at[hit] + 1, j[hit] + 1
+        a0, a1, b0, b1, at, right = (x[new] for x in (a0, a1, b0, b1, at, right))
+        a0[second], a1[second - 1], b0[second], b1[second - 1] = cut_a, cut_a, cut_b, cut_b
+        for half in (second, second - 1):
+            at[half], right[half] = (a0[half] + a1[half] - 2) // 2, True
     if not done:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ga, gb = np.concatenate(done, axis=1)
@@ -234,13 +271,13 @@ def _tokens(make_a: Callable, make_b: Callable, keep: tuple[str, ...], width: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = make_a(), make_b()
         batch = TaskContext.get().partitionId() << 32
-        for t in C.text_batches(batches, BATCH):
-            ia, oa, ib, ob = checked(a, b, t["text"].to_pylist())
+        for t in (x for b in batches for x in text_steps(b, len(keep), BATCH)):
+            ia, oa, ib, ob = checked(a, b, t.column(len(keep)))
             n = t.num_rows
             none = pa.nulls(n, pa.int32())
-            yield from pa.table([*t.select(list(keep)).columns, pa.array(np.full(n, batch)), _column(ia, oa, width), _column(ib, ob, width),
+            yield from pa.table([*t.columns[:len(keep)], pa.array(np.full(n, batch)), _column(ia, oa, width), _column(ib, ob, width),
                                  none, none, pa.nulls(n, pa.int64()), pa.array(np.zeros(n, np.int32))], names=names).to_batches(max_chunksize=1 << 14)
-            keys, count = np.unique(links_of(ia, np.cumsum(a.lengths(ia)), ib, np.cumsum(b.lengths(ib)))[0], return_counts=True)
+            keys, count = np.unique(links_of(ia, np.cumsum(a.size[ia]), ib, np.cumsum(b.size[ib]))[0], return_counts=True)
             m = len(keys)
             yield from pa.table([*[pa.nulls(m, t.schema.field(c).type) for c in keep], pa.array(np.full(m, batch)), pa.nulls(m, pa.binary()),
                                  pa.nulls(m, pa.binary()), pa.array((keys >> SHIFT).astype(np.int32)),
@@ -250,13 +287,12 @@ def _tokens(make_a: Callable, make_b: Callable, keep: tuple[str, ...], width: in
     return run
 
 
-def _align(make_a: Callable, make_b: Callable, keep: tuple[str, ...], width: int):
+def _align(size_a: np.ndarray, size_b: np.ndarray, keep: tuple[str, ...], width: int):
     """The rows of a batch with the batch's row of pair counts -> results."""
     names = [*keep, *_ADDED.fieldNames()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = make_a(), make_b()
-        digits = Digits(max(len(a.offs), len(b.offs)))
+        digits = Digits(max(len(size_a), len(size_b)))
         for _, t in C.key_runs(batches, "batch"):
             t = t.combine_chunks()
             is_doc = t["pairs"].is_null()
@@ -269,19 +305,16 @@ def _align(make_a: Callable, make_b: Callable, keep: tuple[str, ...], width: int
             (ra, oa), (rb, ob) = C.utf8_view(t["a"]), C.utf8_view(t["b"])
             ia, oa = ra.view(f"<u{width}").astype(np.int64), oa // width
             ib, ob = rb.view(f"<u{width}").astype(np.int64), ob // width
-            ea, eb = np.cumsum(a.lengths(ia)), np.cumsum(b.lengths(ib))
+            ea, eb = np.cumsum(size_a[ia]), np.cumsum(size_b[ib])
             link, end = links_of(ia, ea, ib, eb)
             at = np.searchsorted(keys, link)
             text_end = np.concatenate([[0], ea])[oa[1:]]
-            upto = np.concatenate([[0], np.searchsorted(end, text_end, side="right")])
-
-            def per_text(values: np.ndarray, upto: np.ndarray = upto) -> np.ndarray:
-                return np.diff(np.concatenate([[0], np.cumsum(values)])[upto])
+            n_links = np.diff(np.concatenate([[0], np.searchsorted(end, text_end, side="right")]))
             ga, gb = shared_groups(ea, eb, oa, ob)
             n_groups = np.diff(np.concatenate([[0], np.searchsorted(ga, oa[1:], side="right")]))
             text = groups_text(ia, ib, ga, gb, n_groups, digits)
             yield from pa.table([*t.select(list(keep)).columns, *map(pa.array, (
-                np.diff(oa), np.diff(ob), n_groups, np.diff(upto), per_text(best[at].astype(np.int64)), per_text(total[at]))),
+                np.diff(oa), np.diff(ob), n_groups, n_links, per_text(best[at].astype(np.int64), n_links), per_text(total[at], n_links))),
                 pa.array(text, pa.string())], names=names).to_batches(max_chunksize=1 << 12)
     return run
 
@@ -316,4 +349,4 @@ def align(docs: DataFrame, make_a: Callable[[], Side], make_b: Callable[[], Side
     met = texts.withColumn("pairs", nothing.cast(info.schema["pairs"].dataType)).unionByName(
         info.select(*[nothing.cast(f.dataType).alias(f.name) for f in fields], "batch", nothing.cast("binary").alias("a"),
                     nothing.cast("binary").alias("b"), "pairs"))
-    return C.by_key(met, "batch").mapInArrow(C.tidy(_align(make_a, make_b, keep, width)), T.StructType([*fields, *_ADDED.fields]))
+    return C.by_key(met, "batch").mapInArrow(C.tidy(_align(make_a().size, make_b().size, keep, width)), T.StructType([*fields, *_ADDED.fields]))

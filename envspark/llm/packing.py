@@ -28,6 +28,7 @@ empty in, empty out.  ``keep`` may not hold a name that the result adds.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,11 +39,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from envspark.llm import common as C
-from envspark.llm.units import UnitEncoder
+from envspark.llm.units import Remembered, flat_lists, per_text, text_steps, words_of_texts
 
 GROUP = 1 << 21              # tokens packed at once
 SPARE = 16                   # padding a closed window may have
-TEXT_STEP = 1 << 20
+TEXT_STEP = 4 << 20          # bytes of text encoded at once
 SECOND = 1 << 62             # sequence ids of the second step start here
 
 
@@ -172,21 +173,15 @@ def _first(tokenize: Callable[[], Callable], keep: tuple[str, ...], window: int,
                 yield from _rows(tab, doc, start, size, n[doc], _binary(ids, first[doc] + start, size), seq, offset)
 
         for b in batches:
-            texts = b.column(len(keep)).to_pylist()
-            lo = size = 0
-            for i, x in enumerate(texts):
-                size += len(x or "")
-                if size < TEXT_STEP and i < len(texts) - 1:
-                    continue
-                ids, offs = encode(texts[lo:i + 1])
-                n = np.diff(offs)
+            for part in text_steps(b, len(keep), TEXT_STEP):
+                ids, n = encode(part.column(len(keep)))
+                ends = np.cumsum(n)
                 out = np.full(len(ids) + len(n), end_id, np.uint32)
-                out[C.ragged(offs[:-1] + np.arange(len(n)), n)] = ids
-                docs.append(pa.Table.from_batches([b.slice(lo, i + 1 - lo)]).select(list(range(len(keep)))))
+                out[C.ragged(ends - n + np.arange(len(n)), n)] = ids
+                docs.append(pa.Table.from_batches([part]).select(list(range(len(keep)))))
                 flat.append(out)
                 count.append(n + 1)
                 held += len(out)
-                lo, size = i + 1, 0
                 if held >= GROUP:
                     yield from flush()
                     docs, flat, count = [], [], []
@@ -234,7 +229,7 @@ def pack(docs: DataFrame, tokenize: Callable[[], Callable], window: int = 4096,
          keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per piece: ``keep``, start, length, doc_tokens, ids (little-endian
     32-bit, binary), sequence_id, offset.  ``tokenize()`` is called in a task and
-    gives a function from texts to (ids, offsets of the texts)."""
+    gives a function from an Arrow array of texts to (ids, ids of each text)."""
     spark = docs.sparkSession
     C.small_batches(spark)
     src = docs.select(*keep, "text")
@@ -250,14 +245,62 @@ def pack(docs: DataFrame, tokenize: Callable[[], Callable], window: int = 4096,
     return placed.where("sequence_id IS NOT NULL").unionByName(again)
 
 
+#: The model's word pattern on lower-cased Latin-1 text, classes
+#: written out, and the space that parts words here.
+LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+| ").findall
+
+
 def word_tokenizer(path: str) -> Callable[[], Callable]:
-    """The tokenizers library on the units between ASCII spaces, which no token
-    of a model that drops white space crosses."""
+    """The tokenizers library on single words of a model that lower-cases and
+    drops white space, so that no token crosses a space.  Latin-1 words (which
+    Unicode composition leaves alone) without a special token are lower-cased
+    and cut by the model's own pattern here; the library then merges each
+    distinct piece once.  It gets all other words whole."""
     def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark runs the tasks side by side
-        from tokenizers import Tokenizer
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        return UnitEncoder(lambda x: x.split(" "), lambda units: [e.ids for e in tok.encode_batch(units, add_special_tokens=False)]).encode
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        whole, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for tok in (whole, bare):
+            tok.no_truncation()
+            tok.no_padding()
+        special = tuple(t.content for t in whole.get_added_tokens_decoder().values())
+        bare.normalizer = normalizers.Sequence([])
+        bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+        def by(tok) -> Callable:
+            return lambda words: flat_lists([e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)])
+        pieces = Remembered(by(bare))
+
+        def latin(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            # all words in one string; the spaces between them come out as pieces of their own
+            found = LATIN(" ".join(words).lower())
+            at = pieces.numbers(found)
+            ids, count = pieces.gather(at)
+            gap = at == pieces.words[" "] if len(words) > 1 else np.zeros(len(at), bool)
+            word = np.cumsum(gap)
+            if gap.any():
+                ids, count = ids[~np.repeat(gap, count)], np.where(gap, 0, count)
+            return ids, np.bincount(word, count, len(words)).astype(np.int64)
+
+        def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            def plain(x: str) -> bool:
+                return (x.isascii() or max(x) <= "ÿ") and not any(t in x for t in special)
+            if plain(" ".join(words)):
+                return latin(words)
+            easy = np.fromiter(map(plain, words), bool, len(words))
+            out_ids, out_count = [None] * 2, np.zeros(len(words), np.int64)
+            for k, (how, who) in enumerate(((latin, easy), (by(whole), ~easy))):
+                out_ids[k], out_count[who] = how([w for w, x in zip(words, who.tolist(), strict=True) if x]) if who.any() else (np.zeros(0, np.int32), 0)
+            ids = np.zeros(int(out_count.sum()), np.int32)
+            first = np.cumsum(out_count) - out_count
+            for part, who in zip(out_ids, (easy, ~easy), strict=True):
+                ids[C.ragged(first[who], out_count[who])] = part
+            return ids, out_count
+        words = Remembered(encode_words)
+
+        def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            seen = words_of_texts(texts)
+            ids, count = words.gather(words.numbers(seen.distinct)[seen.code])
+            return ids, per_text(count, seen.count)
+        return encode
     return make

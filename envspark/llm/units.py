@@ -1,67 +1,94 @@
-"""Token ids of texts that a tokenizer encodes unit by unit.
+"""Token ids of texts that a tokenizer encodes word by word.
 
-Where a tokenizer never merges across some cut (white space, for instance), a
-text is the concatenation of its units' ids.  ``UnitEncoder`` encodes every
-distinct unit once per task and puts texts together by numpy gathers.
+Where a tokenizer never merges across a space, a text is the concatenation of
+its words' ids.  ``words_of_texts`` cuts texts at single spaces and numbers the
+distinct words of a batch in Arrow; ``Remembered`` holds, per task, the ids of
+the words seen so far.  So Python handles distinct words and numpy the rest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from envspark.llm import common as C
 
-CACHE_UNITS = 300_000        # distinct units held by a task before it starts anew
-STEP = 1 << 20               # characters of text handled at once
+CACHE = 400_000              # distinct words that a task remembers before it starts anew
+
+
+class Words(NamedTuple):
+    distinct: list[str]
+    code: np.ndarray         # of each word, into ``distinct``
+    count: np.ndarray        # words of each text
+
+
+def words_of_texts(texts: pa.Array) -> Words:
+    """Words between single spaces (two spaces in a row hold an empty word);
+    null texts have none."""
+    lists = pc.split_pattern(texts, " ")
+    flat = lists.flatten().dictionary_encode()
+    return Words(flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64),
+                 pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
 
 
 class _Numbers(dict):
-    def __missing__(self, unit):
-        n = self[unit] = len(self)
+    def __missing__(self, word):
+        n = self[word] = len(self)
         return n
 
 
-class UnitEncoder:
-    """``split`` gives the units of a non-empty text, ``encode`` the ids of
-    each unit of a list."""
+class Remembered:
+    """``encode`` gives (ids of all words of a list, number of ids of each)."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]]) -> None:
-        self.split, self.encode_units = split, encode
-        self.clear()
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
+        self.encode = encode
+        self._clear()
 
-    def clear(self) -> None:
-        self.units = _Numbers()
+    def _clear(self) -> None:
+        self.words = _Numbers()
         self.flat, self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _some(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.units) > CACHE_UNITS:
-            self.clear()
-        known = len(self.units)
-        lists = [self.split(x) if x else [] for x in texts]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        at = np.fromiter(map(self.units.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
-        if len(self.units) > known:
-            ids = self.encode_units(list(self.units)[known:])
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum()))
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words, valid until the next call."""
+        if len(self.words) > CACHE:
+            self._clear()
+        known = len(self.words)
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        if len(self.words) > known:
+            ids, count = self.encode(list(self.words)[known:])
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
-            self.flat, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.count, count])
+            self.flat, self.count = np.concatenate([self.flat, ids.astype(np.int32)]), np.concatenate([self.count, count])
+        return at
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the numbered words one after the other, ids of each)."""
         count = self.count[at]
-        total = np.concatenate([[0], np.cumsum(count)])
-        return self.flat[C.ragged(self.start[at], count)], total[np.concatenate([[0], np.cumsum(sizes)])]
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, offsets of the texts)."""
-        ids, offs = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        lo = size = 0
-        for i, x in enumerate(texts):
-            size += len(x or "")
-            if size >= STEP or i == len(texts) - 1:
-                part, o = self._some(texts[lo:i + 1])
-                ids.append(part)
-                offs.append(offs[-1][-1] + o[1:])
-                lo, size = i + 1, 0
-        return np.concatenate(ids), np.concatenate(offs)
+        return self.flat[C.ragged(self.start[at], count)], count
+
+
+def per_text(count: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Sums of ``count`` over the words of each text."""
+    return np.diff(np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(words)])])
+
+
+def flat_lists(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    count = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(count.sum())), count
+
+
+def text_steps(b: pa.RecordBatch, column: int, step: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that end once they hold ``step`` bytes of text."""
+    if not b.num_rows:
+        return
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < b.num_rows:
+        before = size[lo - 1] if lo else 0
+        hi = min(int(np.searchsorted(size, before + step)) + 1, b.num_rows)
+        yield b.slice(lo, hi - lo)
+        lo = hi
