@@ -17,8 +17,8 @@ id pair is linked in the whole corpus is counted from one row per distinct pair
 of a batch (a batch holds ``BATCH`` bytes of text), combined before the shuffle.
 The counts go back the same way: one row per distinct pair of a batch, gathered
 to one row per batch, which meets the batch's token ids (two bytes each for
-vocabularies below 65,536).  Neither links nor texts are shuffled, nothing is
-collected, and a frequent pair is one row per batch.
+vocabularies below 65,536, compressed).  Neither links nor texts are shuffled,
+nothing is collected, and a frequent pair is one row per batch.
 
 Defined results: null and empty texts, and texts whose joined token bytes of A
 or of B differ from a space and the text (control characters that B lacks, a
@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from envspark.llm import bpe
 from envspark.llm import common as C
-from envspark.llm.units import Remembered, flat_lists, per_text, text_steps, words_of_texts
+from envspark.llm.units import Remembered, flat_lists, kept, per_text, text_steps, words_of_texts
 
 BATCH = 2 << 20              # bytes of text whose pairs are combined
 SHIFT = np.int64(32)
@@ -88,7 +88,7 @@ def byte_level_side(path: str) -> Callable[[], Side]:
     words start at a space, so single spaces part them."""
     tables = bpe.load_tables(path)._replace(added=[])       # read on the driver, travels with the function
 
-    def make() -> Side:
+    def build() -> Side:
         enc = bpe.Encoder(tables)
         cuts = tables.offs.tolist()
         raw = tables.table.tobytes()
@@ -108,7 +108,7 @@ def byte_level_side(path: str) -> Callable[[], Side]:
             word = np.cumsum(np.fromiter((p[0] == " " for p in found), bool, len(found))) - 1
             return ids, np.bincount(word, count, len(texts)).astype(np.int64)
         return Side(encode, [raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], True)
-    return make
+    return lambda: kept((path, "bytes"), build)
 
 
 def piece_side(path: str) -> Callable[[], Side]:
@@ -118,7 +118,7 @@ def piece_side(path: str) -> Callable[[], Side]:
     with open(path, "rb") as f:
         proto = f.read()
 
-    def make() -> Side:
+    def build() -> Side:
         import sentencepiece
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         names = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
@@ -126,7 +126,7 @@ def piece_side(path: str) -> Callable[[], Side]:
         by_word = not any(a != "▁" == b for p in names for a, b in zip(p, p[1:], strict=False)) and all(
             "".join(names[i] for i in sp.encode(x)) == "▁" + x.replace(" ", "▁") for x in ("a  b ", " a", "a"))
         return Side(lambda texts, _: flat_lists(sp.encode(texts, num_threads=1)), pieces, by_word)
-    return make
+    return lambda: kept((path, "pieces"), build)
 
 
 def _put(n: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -146,7 +146,8 @@ def checked(a: Side, b: Side, texts: pa.Array) -> list[np.ndarray]:
     some = some.to_numpy(zero_copy_only=False)
     fast = np.flatnonzero(easy)
     words = words_of_texts(texts.take(pa.array(fast)))
-    got = [side.words.gather(side.words.numbers(words.distinct)[words.code]) for side in (a, b)]
+    distinct = words.distinct.to_pylist()
+    got = [side.words.gather(side.words.numbers(distinct)[words.code]) for side in (a, b)]
     # texts with a word that does not come back are looked at whole, like those with more than single spaces
     count = [per_text(c, words.count) for _, c in got]
     odd = np.zeros(len(fast), bool)
@@ -258,31 +259,44 @@ def groups_text(a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray, pe
 
 
 # ------------------------------------------------------------------- Spark
-def _column(ids: np.ndarray, offs: np.ndarray, width: int) -> pa.Array:
-    data = ids.astype(f"<u{width}")
-    return pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer((offs * width).astype(np.int32)), pa.py_buffer(data)])
+def _blob(ids: np.ndarray, width: int) -> pa.Array:
+    return pa.array([pa.compress(ids.astype(f"<u{width}").tobytes(), codec="zstd", asbytes=True)], pa.binary())
+
+
+def _ids(blob: bytes, n: int, width: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, n * width, codec="zstd", asbytes=True), f"<u{width}").astype(np.int64)
+
+
+_PARTS = T.StructType([T.StructField(n, t()) for n, t in (
+    ("batch", T.LongType), ("pos", T.IntegerType), ("na", T.IntegerType), ("nb", T.IntegerType), ("a", T.BinaryType), ("b", T.BinaryType),
+    ("ida", T.IntegerType), ("idb", T.IntegerType), ("n", T.LongType), ("kind", T.IntegerType))])
+TEXT, PAIR, BLOB = 0, 1, 2
 
 
 def _tokens(make_a: Callable, make_b: Callable, keep: tuple[str, ...], width: int):
-    """kind 0: one row per text with the ids of both sides; kind 1: one row per
-    distinct linked id pair of a batch."""
-    names = [*keep, "batch", "a", "b", "ida", "idb", "n", "kind"]
+    """Per batch: a TEXT row for each text (its place, its tokens), a PAIR row
+    for each distinct linked id pair, a BLOB row with all ids of both sides."""
+    empty = {"batch": pa.int64(), "a": pa.binary(), "b": pa.binary(), "n": pa.int64()}
+
+    def rows(kind: int, batch: int, size: int, front: list, **cols) -> Iterator[pa.RecordBatch]:
+        cols |= {"batch": pa.array(np.full(size, batch)), "kind": pa.array(np.full(size, kind, np.int32))}
+        names = _PARTS.fieldNames()
+        yield from pa.table([*front, *(cols[c] if c in cols else pa.nulls(size, empty.get(c, pa.int32())) for c in names)],
+                            names=[*keep, *names]).to_batches(max_chunksize=1 << 14)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = make_a(), make_b()
         batch = TaskContext.get().partitionId() << 32
-        for t in (x for b in batches for x in text_steps(b, len(keep), BATCH)):
+        for t in (x for part in batches for x in text_steps(part, len(keep), BATCH)):
             ia, oa, ib, ob = checked(a, b, t.column(len(keep)))
-            n = t.num_rows
-            none = pa.nulls(n, pa.int32())
-            yield from pa.table([*t.columns[:len(keep)], pa.array(np.full(n, batch)), _column(ia, oa, width), _column(ib, ob, width),
-                                 none, none, pa.nulls(n, pa.int64()), pa.array(np.zeros(n, np.int32))], names=names).to_batches(max_chunksize=1 << 14)
-            keys, count = np.unique(links_of(ia, np.cumsum(a.size[ia]), ib, np.cumsum(b.size[ib]))[0], return_counts=True)
-            m = len(keys)
-            yield from pa.table([*[pa.nulls(m, t.schema.field(c).type) for c in keep], pa.array(np.full(m, batch)), pa.nulls(m, pa.binary()),
-                                 pa.nulls(m, pa.binary()), pa.array((keys >> SHIFT).astype(np.int32)),
-                                 pa.array((keys & ((1 << 32) - 1)).astype(np.int32)), pa.array(count.astype(np.int64)),
-                                 pa.array(np.ones(m, np.int32))], names=names).to_batches(max_chunksize=1 << 16)
+            count = [pa.array(np.diff(o).astype(np.int32)) for o in (oa, ob)]
+            yield from rows(TEXT, batch, t.num_rows, t.columns[:len(keep)], pos=pa.array(np.arange(t.num_rows, dtype=np.int32)), na=count[0], nb=count[1])
+            none = [pa.nulls(1, x.type) for x in t.columns[:len(keep)]]
+            yield from rows(BLOB, batch, 1, none, a=_blob(ia, width), b=_blob(ib, width))
+            keys, n = np.unique(links_of(ia, np.cumsum(a.size[ia]), ib, np.cumsum(b.size[ib]))[0], return_counts=True)
+            none = [pa.nulls(len(keys), x.type) for x in t.columns[:len(keep)]]
+            yield from rows(PAIR, batch, len(keys), none, ida=pa.array((keys >> SHIFT).astype(np.int32)),
+                            idb=pa.array((keys & ((1 << 32) - 1)).astype(np.int32)), n=pa.array(n.astype(np.int64)))
             batch += 1
     return run
 
@@ -295,16 +309,15 @@ def _align(size_a: np.ndarray, size_b: np.ndarray, keep: tuple[str, ...], width:
         digits = Digits(max(len(size_a), len(size_b)))
         for _, t in C.key_runs(batches, "batch"):
             t = t.combine_chunks()
-            is_doc = t["pairs"].is_null()
             flat = t["pairs"].combine_chunks().flatten()
             keys = flat.field("ida").to_numpy().astype(np.int64) << SHIFT | flat.field("idb").to_numpy().astype(np.int64)
             order = np.argsort(keys)
             keys, total = keys[order], flat.field("total").to_numpy()[order]
             best = flat.field("best").to_numpy(zero_copy_only=False)[order]
-            t = t.filter(is_doc).combine_chunks()
-            (ra, oa), (rb, ob) = C.utf8_view(t["a"]), C.utf8_view(t["b"])
-            ia, oa = ra.view(f"<u{width}").astype(np.int64), oa // width
-            ib, ob = rb.view(f"<u{width}").astype(np.int64), ob // width
+            blob = t.filter(pc.is_valid(t["a"]))
+            t = t.filter(pc.is_valid(t["pos"])).sort_by("pos").combine_chunks()
+            oa, ob = (np.concatenate([[0], np.cumsum(t[c].to_numpy().astype(np.int64))]) for c in ("na", "nb"))
+            ia, ib = _ids(blob["a"][0].as_py(), oa[-1], width), _ids(blob["b"][0].as_py(), ob[-1], width)
             ea, eb = np.cumsum(size_a[ia]), np.cumsum(size_b[ib])
             link, end = links_of(ia, ea, ib, eb)
             at = np.searchsorted(keys, link)
@@ -334,19 +347,16 @@ def align(docs: DataFrame, make_a: Callable[[], Side], make_b: Callable[[], Side
     width = 2 if vocabulary <= 1 << 16 else 4
     src = docs.select(*keep, "text")
     fields = src.schema.fields[:len(keep)]
-    wide = T.StructType([*fields, *T._parse_datatype_string("batch long, a binary, b binary, ida int, idb int, n long, kind int").fields])
+    wide = T.StructType([*fields, *_PARTS.fields])
     path = C.new_path(spark, "token-pairs")
     src.mapInArrow(C.tidy(_tokens(make_a, make_b, keep, width)), wide).write.partitionBy("kind").parquet(path)
     both = spark.read.schema(wide).parquet(path)
-    texts = both.where("kind = 0").select(*keep, "batch", "a", "b")
-    pairs = both.where("kind = 1").select("batch", "ida", "idb", "n")
+    pairs = both.where(F.col("kind") == PAIR).select("batch", "ida", "idb", "n")
     counts = C.materialize(pairs.groupBy("ida", "idb").agg(F.sum("n").alias("total")), "pair-counts")
     top = counts.groupBy("idb").agg(F.max("total").alias("top"))
     known = counts.join(top, "idb").select("ida", "idb", "total", (F.col("total") == F.col("top")).alias("best"))
     info = pairs.drop("n").join(known, ["ida", "idb"]) \
         .groupBy("batch").agg(F.collect_list(F.struct("ida", "idb", "total", "best")).alias("pairs"))
-    nothing = F.lit(None)
-    met = texts.withColumn("pairs", nothing.cast(info.schema["pairs"].dataType)).unionByName(
-        info.select(*[nothing.cast(f.dataType).alias(f.name) for f in fields], "batch", nothing.cast("binary").alias("a"),
-                    nothing.cast("binary").alias("b"), "pairs"))
+    texts = both.where(F.col("kind") != PAIR).select(*keep, "batch", "pos", "na", "nb", "a", "b")
+    met = texts.withColumn("pairs", F.lit(None).cast(info.schema["pairs"].dataType)).unionByName(info, allowMissingColumns=True)
     return C.by_key(met, "batch").mapInArrow(C.tidy(_align(make_a().size, make_b().size, keep, width)), T.StructType([*fields, *_ADDED.fields]))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from envspark.llm import common as C
-from envspark.llm.units import Remembered, flat_lists, per_text, text_steps, words_of_texts
+from envspark.llm.units import Remembered, flat_lists, joined, kept, per_text, text_steps, words_of_texts
 
 GROUP = 1 << 21              # tokens packed at once
 SPARE = 16                   # padding a closed window may have
@@ -256,7 +256,7 @@ def word_tokenizer(path: str) -> Callable[[], Callable]:
     Unicode composition leaves alone) without a special token are lower-cased
     and cut by the model's own pattern here; the library then merges each
     distinct piece once.  It gets all other words whole."""
-    def make():
+    def build():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark runs the tasks side by side
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
         whole, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -271,36 +271,37 @@ def word_tokenizer(path: str) -> Callable[[], Callable]:
             return lambda words: flat_lists([e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)])
         pieces = Remembered(by(bare))
 
-        def latin(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            # all words in one string; the spaces between them come out as pieces of their own
-            found = LATIN(" ".join(words).lower())
-            at = pieces.numbers(found)
+        def latin(words: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+            # the spaces between the words come out as pieces of their own
+            at, gap = pieces.coded(LATIN(words.lower()))
             ids, count = pieces.gather(at)
-            gap = at == pieces.words[" "] if len(words) > 1 else np.zeros(len(at), bool)
-            word = np.cumsum(gap)
             if gap.any():
                 ids, count = ids[~np.repeat(gap, count)], np.where(gap, 0, count)
-            return ids, np.bincount(word, count, len(words)).astype(np.int64)
-
-        def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            def plain(x: str) -> bool:
-                return (x.isascii() or max(x) <= "ÿ") and not any(t in x for t in special)
-            if plain(" ".join(words)):
-                return latin(words)
-            easy = np.fromiter(map(plain, words), bool, len(words))
-            out_ids, out_count = [None] * 2, np.zeros(len(words), np.int64)
-            for k, (how, who) in enumerate(((latin, easy), (by(whole), ~easy))):
-                out_ids[k], out_count[who] = how([w for w, x in zip(words, who.tolist(), strict=True) if x]) if who.any() else (np.zeros(0, np.int32), 0)
-            ids = np.zeros(int(out_count.sum()), np.int32)
-            first = np.cumsum(out_count) - out_count
-            for part, who in zip(out_ids, (easy, ~easy), strict=True):
-                ids[C.ragged(first[who], out_count[who])] = part
-            return ids, out_count
-        words = Remembered(encode_words)
+            return ids, np.bincount(np.cumsum(gap), count, n).astype(np.int64)
+
+        def plain(x: str) -> bool:
+            return (x.isascii() or max(x) <= "ÿ") and not any(t in x for t in special)
+
+        def of_words(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            """(ids of all words, ids of each)."""
+            whole_text = joined(words)
+            if not len(words) or plain(whole_text):
+                return latin(whole_text, len(words))
+            each = words.to_pylist()
+            easy = np.fromiter(map(plain, each), bool, len(each))
+            out, count = [], np.zeros(len(each), np.int64)
+            for how, who in ((lambda w: latin(" ".join(w), len(w)), easy), (by(whole), ~easy)):
+                part, count[who] = how([w for w, x in zip(each, who.tolist(), strict=True) if x]) if who.any() else (np.zeros(0, np.int32), 0)
+                out.append((part, who))
+            ids, first = np.zeros(int(count.sum()), np.int32), np.cumsum(count) - count
+            for part, who in out:
+                ids[C.ragged(first[who], count[who])] = part
+            return ids, count
 
         def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-            seen = words_of_texts(texts)
-            ids, count = words.gather(words.numbers(seen.distinct)[seen.code])
-            return ids, per_text(count, seen.count)
+            words = words_of_texts(texts)
+            ids, count = of_words(words.distinct)
+            first, n = (np.cumsum(count) - count)[words.code], count[words.code]
+            return ids[C.ragged(first, n)], per_text(n, words.count)
         return encode
-    return make
+    return lambda: kept((path, "words"), build)

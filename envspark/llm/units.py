@@ -22,7 +22,7 @@ CACHE = 400_000              # distinct words that a task remembers before it st
 
 
 class Words(NamedTuple):
-    distinct: list[str]
+    distinct: pa.Array
     code: np.ndarray         # of each word, into ``distinct``
     count: np.ndarray        # words of each text
 
@@ -32,10 +32,15 @@ def words_of_texts(texts: pa.Array) -> Words:
     null texts have none."""
     lists = pc.split_pattern(texts, " ")
     flat = lists.flatten().dictionary_encode()
-    return Words(flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64),
+    return Words(flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64),
                  pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
 
 
+def joined(words: pa.Array) -> str:
+    """All words in one string, a space between them."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+
+
 class _Numbers(dict):
     def __missing__(self, word):
         n = self[word] = len(self)
@@ -65,6 +70,13 @@ class Remembered:
             self.flat, self.count = np.concatenate([self.flat, ids.astype(np.int32)]), np.concatenate([self.count, count])
         return at
 
+    def coded(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of words that repeat much, and where they are a space."""
+        d = pa.array(found, pa.string()).dictionary_encode()
+        distinct, code = d.dictionary.to_pylist(), d.indices.to_numpy(zero_copy_only=False)
+        space = distinct.index(" ") if " " in distinct else -1
+        return self.numbers(distinct)[code], code == space
+
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the numbered words one after the other, ids of each)."""
         count = self.count[at]
@@ -92,3 +104,16 @@ def text_steps(b: pa.RecordBatch, column: int, step: int) -> Iterator[pa.RecordB
         hi = min(int(np.searchsorted(size, before + step)) + 1, b.num_rows)
         yield b.slice(lo, hi - lo)
         lo = hi
+
+
+_KEPT: dict = {}
+
+
+def kept(key: tuple, build: Callable):
+    """What ``build()`` makes, held by a Python worker between its tasks, so
+    that they share what is remembered.  The last two things made are kept."""
+    if key not in _KEPT:
+        for old in list(_KEPT)[:-1]:
+            del _KEPT[old]
+        _KEPT[key] = build()
+    return _KEPT[key]
