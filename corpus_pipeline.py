@@ -9,7 +9,7 @@ other, each written as Parquet and read again.
   out; documents of null text or without a letter go, a null ``lang`` is filled
   with the prediction.  Where nothing could be learned the others stay as they are.
 * simhash_near_dedup: of each group of documents within 4 bits, one stays.
-* suffix_array_dedup: bytes of repeated 400-byte strings go from the text (and
+* suffix_array_dedup: bytes of repeated ``PASSAGE_BYTES``-byte strings go from the text (and
   with them the rest of a character that a cut divides); ``n_chars`` follows.
 * decontamination: documents that hold a benchmark item go.
 * bpe: token ids, their number, and digests of the ids and the decoded text.
@@ -28,6 +28,11 @@ from envspark.llm.suffix_dedup import kept_text, suffix_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+#: Width of the suffix-array stage: a passage of 51 words is at least 203 bytes
+#: long where its words have three letters on average, so 200 bytes catch it.
+#: (op6 has its own width, 400 bytes, from its contract.)
+PASSAGE_BYTES = 200
+
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
@@ -42,7 +47,7 @@ def stage_simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def stage_suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = suffix_dedup(docs, width=400, keep=("doc_id", "lang", "source"))
+    out = suffix_dedup(docs, width=PASSAGE_BYTES, keep=("doc_id", "lang", "source"))
     return out.withColumn("text", kept_text("kept")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
