@@ -49,9 +49,10 @@ def test_stages_and_run(spark, frame, tmp_path):
     third = {r.doc_id: r for r in seen["suffix_array_dedup"]}
     assert set(third) == second
     raw = {d: by_id[d].encode() for d in second}
-    count = Counter(b[i:i + 400] for b in raw.values() for i in range(len(b) - 399))
+    w = P.PASSAGE_BYTES
+    count = Counter(b[i:i + w] for b in raw.values() for i in range(len(b) - w + 1))
     for d, b in raw.items():
-        gone = {k for i in range(len(b) - 399) if count[b[i:i + 400]] > 1 for k in range(i, i + 400)}
+        gone = {k for i in range(len(b) - w + 1) if count[b[i:i + w]] > 1 for k in range(i, i + w)}
         kept = bytes(x for i, x in enumerate(b) if i not in gone).decode("utf-8", "ignore")
         assert third[d].text == kept and third[d].n_chars == len(kept)
     assert "shared30" not in third[202].text and "shared30" not in third[203].text
@@ -66,6 +67,24 @@ def test_stages_and_run(spark, frame, tmp_path):
     assert whole == sorted(((r.doc_id is None, r.doc_id, r.ids_sha256, r.decoded_sha256) for r in seen["bpe"]), key=repr)
 
 
+def test_passages_of_short_words(spark, frame):
+    """Shared passages of 51 to 70 words go, however short the words; shorter ones and clean texts stay."""
+    rng = random.Random(8)
+
+    def words(n, size):
+        return " ".join("".join(rng.choices("abcdefgh", k=size)) for _ in range(n))
+    passages = [words(n, size) for n, size in ((51, 3), (53, 4), (60, 3), (70, 5))]
+    assert all(200 <= len(p) < 420 for p in passages)
+    small = words(40, 3)
+    rows = [(10 * k + j, f"{words(60, 5)} {p} {words(60, 5)}") for k, p in enumerate(passages) for j in range(2)]
+    rows += [(100 + j, f"{words(50, 5)} {small} {words(50, 5)}") for j in range(2)] + [(200 + j, words(150, 5)) for j in range(20)]
+    got = {r.doc_id: r.text for r in P.stage_suffix_array_dedup(spark, frame(rows), "").collect()}
+    for k, p in enumerate(passages):
+        for j in range(2):
+            assert p not in got[10 * k + j] and p.split()[25] not in got[10 * k + j].split() and len(got[10 * k + j]) >= 700
+    assert all(got[d] == t for d, t in rows if d >= 100)
+
+
 def test_keep_one_of_each_group(spark, frame):
     from envspark.llm.simhash import keep_one
     a, b = "one two three four five six", "seven eight nine ten eleven twelve"
