@@ -2,47 +2,75 @@
 
 ``cumulative_counts``: running totals of count columns over a sorted key
 within groups, without a single-partition window.  The sort key is cut into
-value ranges by approximate quantiles (per group); range totals get their
-offsets on the small (group, range) table; the in-range running sum is a
-window partitioned by (group, range).
+value ranges by approximate quantiles (per group, as many as the group's share
+of the rows asks for); range totals get their offsets on the small (group,
+range) table; the in-range running sum is a window partitioned by (group,
+range).
 
 ``exact_quantiles``: exact linear-interpolated quantiles (the same
 definition and arithmetic as Spark's ``percentile``) for one or many
-groups: approximate quantiles bracket each position, and only the values
-inside the bracket are put in order.  No aggregation buffer holds a group.
+groups.  Approximate quantiles bracket each position; brackets that still hold
+more distinct values than one task should put in order are narrowed by further
+passes; only the values inside are put in order.  No aggregation buffer holds
+a group and no task holds more than ``BRACKET_VALUES`` distinct values.
+
+Per-group parameters meet the rows by a broadcast whose size is checked
+(``BROADCAST_GROUPS`` rows; beyond it a shuffle join), so rows are not shuffled
+on a region or a column name.  A row of maps would do the same for few groups,
+but a map is searched from its start for every row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from envspark.functions.joins import join_keys
+from envspark.session import one_row
+
+# Groups whose parameters may be broadcast (a few hundred bytes each).
+BROADCAST_GROUPS = 50_000
+
+
+def _range_cuts(c: DataFrame, keys: list[str], ranges: int) -> DataFrame:
+    """Per group that holds at least two ``ranges``-ths of the rows: its key
+    values at which a new range starts, in proportion to its rows.  At most
+    ``ranges`` groups with at most 2 x ``ranges`` cuts over all of them."""
+    sizes = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    per = sizes.agg(F.greatest(F.ceil(F.sum("_n") / F.lit(ranges)), F.lit(1)).alias("_per"))
+    big = sizes.crossJoin(F.broadcast(per)).where(F.col("_n") >= 2 * F.col("_per")) \
+        .select(*keys, F.least(F.ceil(F.col("_n") / F.col("_per")), F.lit(ranges)).cast("int").alias("_k"))
+    probs = [i / ranges for i in range(1, ranges)]
+    fine = join_keys(c, F.broadcast(big), keys).groupBy(*keys, "_k").agg(F.percentile_approx("_o", probs, 1000).alias("_p"))
+    picked = F.transform(F.sequence(F.lit(1), F.col("_k") - 1), lambda j: F.element_at("_p", F.floor(j * F.lit(ranges) / F.col("_k")).cast("int")))
+    return fine.select(*keys, picked.alias("_cuts"))
 
 
 def cumulative_counts(counts: DataFrame, order: str, cols: Sequence[str], by: Sequence[str] = (),
                       descending: bool = False) -> DataFrame:
     """Adds ``_c<col>`` = sum of ``col`` over rows strictly before this one in
     ``order`` (ascending, or descending) within each ``by`` group.  ``order``
-    values must be distinct within a group (count them first).  There are
-    as many ranges as the shuffle has partitions."""
+    values must be distinct within a group (count them first).  Over all
+    groups there are about as many ranges as the shuffle has partitions; a
+    small group is one range."""
     keys = list(by)
     ranges = max(2, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sgn = F.lit(-1.0) if descending else F.lit(1.0)
     c = counts.withColumn("_o", F.col(order).cast("double") * sgn)
     probs = [i / ranges for i in range(1, ranges)]
-    cut_agg = F.percentile_approx("_o", probs, 1000).alias("_cuts")
     if keys:
-        c = join_keys(c, c.groupBy(*keys).agg(cut_agg), keys)
+        # bounded: see _range_cuts
+        c = join_keys(c, F.broadcast(_range_cuts(c, keys, ranges)), keys, "left")
     else:
-        c = c.crossJoin(F.broadcast(c.agg(cut_agg)))
-    c = c.withColumn("_b", F.size(F.filter(F.col("_cuts"), lambda x: x < F.col("_o")))).drop("_cuts")
+        c = c.crossJoin(F.broadcast(c.agg(F.percentile_approx("_o", probs, 1000).alias("_cuts"))))
+    c = c.withColumn("_b", F.greatest(F.size(F.filter(F.col("_cuts"), lambda x: x < F.col("_o"))), F.lit(0))).drop("_cuts")
     tot = c.groupBy(*keys, "_b").agg(*[F.sum(x).alias(f"_t{x}") for x in cols])
     wb = (Window.partitionBy(*keys) if keys else Window).orderBy("_b") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    # one row per (group, range): at most `ranges` rows per group
+    # one row per (group, range)
     off = tot.select(*keys, "_b", *[F.coalesce(F.sum(f"_t{x}").over(wb), F.lit(0)).alias(f"_off{x}")
                                     for x in cols])
     c = join_keys(c, off, [*keys, "_b"])
@@ -54,63 +82,152 @@ def cumulative_counts(counts: DataFrame, order: str, cols: Sequence[str], by: Se
 # Rank error of the approximate quantiles that bracket an exact one, as a
 # share of the rows.
 ACCURACY = 10_000
+# Distinct values of one bracket that one task may put in order (24 bytes each).
+BRACKET_VALUES = 1 << 20
+# A further pass narrows a bracket to about 5 / GRID of its rows.
+GRID = 1_000
+GRID_ACCURACY = 10_000
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    names: Sequence[str] | None = None) -> DataFrame:
-    """One row per group with one column per probability (default names
-    ``q0``, ``q1``...).  NULL values are ignored; an empty group gives NULL.
+class _Slots:
+    """Quantile positions of columns: slot s is column ``col[s]`` at ``prob[s]``."""
 
-    Two passes for every size.  Approximate quantiles (mergeable, with a
-    guaranteed rank error) bracket each position; then the rows below a
-    bracket are only counted, and the values inside, about 6 / ACCURACY of the
-    rows, are counted by value and put in order.  The position is looked up
-    in the exact counts, so the result is Spark's exact ``percentile``."""
-    keys = list(by)
-    names = list(names or [f"q{i}" for i in range(len(probs))])
-    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    def __init__(self, n_cols: int, probs: Sequence[float]) -> None:
+        self.col = [i for i in range(n_cols) for _ in probs]
+        self.prob = [float(p) for _ in range(n_cols) for p in probs]
+        self.all = range(len(self.col))
+
+    def value(self, s: int):
+        return F.col(f"_v{self.col[s]}")
+
+    def side(self, s: int):
+        """-1, 0, 1: below, inside, above the bracket (NULL for no value)."""
+        v = self.value(s)
+        return F.when(v < F.col("_e")[2 * s], -1).when(v > F.col("_e")[2 * s + 1], 1).when(v.isNotNull(), 0)
+
+    def position(self, s: int):
+        return (F.col("_n")[self.col[s]] - 1).cast("double") * F.lit(self.prob[s])
+
+    def inside(self, j: DataFrame, keys: list[str]) -> DataFrame:
+        """(keys, slot, value) of the values inside their brackets."""
+        items = F.array(*[F.struct(F.lit(s).alias("_s"), self.value(s).alias("_v"), (self.side(s) == 0).alias("_ok")) for s in self.all])
+        return j.select(*keys, F.explode(F.filter(items, lambda x: F.coalesce(x["_ok"], F.lit(False)))).alias("_x")) \
+            .select(*keys, "_x._s", "_x._v")
+
+
+def _narrow(v: DataFrame, b: DataFrame, keys: list[str], slots: _Slots, meet, group) -> tuple[DataFrame, int]:
+    """One pass: brackets with more than ``BRACKET_VALUES`` distinct values
+    narrowed around their positions, and the largest number found."""
+    j = meet(v, b)
+    below = group(j).agg(*[F.count_if(slots.side(s) < 0).alias(f"_b{s}") for s in slots.all]) \
+        .select(*keys, F.array(*[F.col(f"_b{s}") for s in slots.all]).alias("_below"))
+    grid = [i / GRID for i in range(GRID + 1)]
+    held = slots.inside(j, keys).groupBy(*keys, "_s").agg(
+        F.count(F.lit(1)).alias("_in"), F.approx_count_distinct("_v").alias("_kinds"), F.percentile_approx("_v", grid, GRID_ACCURACY).alias("_g"))
+    held = held.persist(StorageLevel.MEMORY_AND_DISK)            # one row per group and slot
+    most = held.agg(F.max("_kinds")).first()[0] or 0
+    if most <= BRACKET_VALUES:
+        return b, most
+    packed = held.where(F.col("_kinds") > BRACKET_VALUES).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("_s", F.struct("_in", "_g")))).alias("_m"))
+    known = meet(meet(b, below), packed, "left") if keys else b.crossJoin(below).crossJoin(packed)
+    edges = []
+    for s in slots.all:
+        x = F.try_element_at(F.col("_m"), F.lit(s))
+        first = (F.floor(slots.position(s)) - F.col("_below")[s]) / x["_in"]
+        last = (F.ceil(slots.position(s)) - F.col("_below")[s] + 1) / x["_in"]
+        lo, hi = (F.floor(first * GRID) - 2).cast("int"), (F.ceil(last * GRID) + 2).cast("int")
+        old = F.col("_e")[2 * s], F.col("_e")[2 * s + 1]
+        edges += [F.when((lo > 0) & (lo <= GRID), x["_g"][lo]).otherwise(old[0]), F.when((hi >= 0) & (hi < GRID), x["_g"][hi]).otherwise(old[1])]
+    return known.select(*keys, "_n", F.array(*edges).alias("_e")).persist(StorageLevel.MEMORY_AND_DISK), most
+
+
+def _quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: list[str]) -> DataFrame:
+    """One row per group: ``keys`` and ``_q0``, ``_q1`` ... in slot order."""
+    slots = _Slots(len(cols), probs)
+    v = df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    if len(cols) == 1:
+        v = v.where("_v0 IS NOT NULL")
+
+    def group(t: DataFrame):
+        return t.groupBy(*keys)
     edges = [min(max(p + s * 2 / ACCURACY, 0.0), 1.0) for p in probs for s in (-1, 1)]
-    brackets = F.percentile_approx("_v", edges, ACCURACY).alias("_e")
-    b = (v.groupBy(*keys) if keys else v).agg(brackets, F.count(F.lit(1)).alias("_tot"))
-    j = join_keys(v, b, keys) if keys else v.crossJoin(F.broadcast(b))
-    place = [F.struct(F.lit(i).alias("i"),
-                      F.when(F.col("_v") < F.col("_e")[2 * i], -1).when(F.col("_v") > F.col("_e")[2 * i + 1], 1).otherwise(0).alias("side"))
-             for i in range(len(probs))]
-    rows = j.select(*keys, "_tot", "_v", F.explode(F.array(*place)).alias("_p")).select(*keys, "_tot", "_v", "_p.i", "_p.side")
-    # one row below and one above the bracket (their largest and least value can hold the rank next to it)
-    cell = rows.groupBy(*keys, "i", "side", F.when(F.col("side") == 0, F.col("_v")).alias("_in")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.first("_tot").alias("_tot"))
-    w = Window.partitionBy(*keys, "i").orderBy("side", "_in")
-    cum = cell.withColumn("_c", F.sum("_n").over(w) - F.col("_n")).withColumn(
-        "_val", F.when(F.col("side") < 0, F.col("_max")).otherwise(F.col("_min")))
-    aggs = []
-    for i, p in enumerate(probs):
-        pos = (F.col("_tot") - 1).cast("double") * F.lit(float(p))
-        # the value holding 0-based rank r satisfies _c <= r < _c + _n
-        def has(r, i=i):
-            return (F.col("i") == i) & (F.col("_c") <= r) & (r < F.col("_c") + F.col("_n"))
-        aggs += [F.max(F.when(has(F.floor(pos)), F.col("_val"))).alias(f"_lo{i}"),
-                 F.max(F.when(has(F.ceil(pos)), F.col("_val"))).alias(f"_hi{i}"),
-                 F.max(pos).alias(f"_pos{i}")]
-    g = cum.groupBy(*keys).agg(*aggs) if keys else cum.agg(*aggs)
+    none = F.array_repeat(F.lit(None).cast("double"), len(edges))
+    b = group(v).agg(*[e for i in range(len(cols)) for e in (
+        F.count(f"_v{i}").alias(f"_n{i}"), F.percentile_approx(f"_v{i}", edges, ACCURACY).alias(f"_e{i}"))])
+    b = b.select(*keys, F.array(*[F.col(f"_n{i}") for i in range(len(cols))]).alias("_n"),
+                 F.flatten(F.array(*[F.coalesce(f"_e{i}", none) for i in range(len(cols))])).alias("_e"))
+    b = b.persist(StorageLevel.MEMORY_AND_DISK)                  # one row per group
+    n_groups, largest = b.agg(F.count(F.lit(1)), F.max(F.array_max("_n"))).first()
+
+    def meet(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+        if not keys:
+            return left.crossJoin(F.broadcast(one_row(right)))
+        return join_keys(left, F.broadcast(right) if n_groups <= BROADCAST_GROUPS else right, keys, how)
+    if (largest or 0) * 6 / ACCURACY > BRACKET_VALUES:
+        most = BRACKET_VALUES + 1
+        while most > BRACKET_VALUES:
+            b, most = _narrow(v, b, keys, slots, meet, group)
+    j = meet(v, b)
+    # the values next to the bracket can hold the rank beside it
+    stats = group(j).agg(F.first("_n").alias("_n"), *[e for s in slots.all for e in (
+        F.count_if(slots.side(s) < 0).alias(f"_b{s}"), F.max(F.when(slots.side(s) < 0, slots.value(s))).alias(f"_u{s}"),
+        F.min(F.when(slots.side(s) > 0, slots.value(s))).alias(f"_o{s}"))])
+    stats = stats.select(*keys, "_n", *[F.array(*[F.col(f"{x}{s}") for s in slots.all]).alias(name)
+                                        for x, name in (("_b", "_below"), ("_u", "_under"), ("_o", "_over"))])
+    w = Window.partitionBy(*keys, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    cells = slots.inside(j, keys).groupBy(*keys, "_s", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    placed = meet(cells.withColumn("_from", F.coalesce(F.sum("_c").over(w), F.lit(0))), stats)
+
+    def held(s: int, rank):
+        # the value with 0-based rank r has _from <= r - below < _from + _c
+        r = rank - F.col("_below")[s]
+        return F.max(F.when((F.col("_s") == s) & (F.col("_from") <= r) & (r < F.col("_from") + F.col("_c")), F.col("_v")))
+    picks = group(placed).agg(*[e for s in slots.all for e in (
+        held(s, F.floor(slots.position(s))).alias(f"_l{s}"), held(s, F.ceil(slots.position(s))).alias(f"_h{s}"))])
     out = []
-    for i, name in enumerate(names):
-        pos, lo_v, hi_v = F.col(f"_pos{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")
+    known = meet(stats, picks, "left")
+    for s in slots.all:
+        pos = slots.position(s)
         lo, hi = F.floor(pos), F.ceil(pos)
+
+        def at(rank, name, s=s):
+            return F.when(rank < F.col("_below")[s], F.col("_under")[s]).otherwise(F.coalesce(F.col(name), F.col("_over")[s]))
+        lo_v, hi_v = at(lo, f"_l{s}"), at(hi, f"_h{s}")
         interp = (hi - pos) * lo_v + (pos - lo) * hi_v
-        out.append(F.when((hi == lo) | (lo_v == hi_v), lo_v).otherwise(interp).alias(name))
-    return g.select(*keys, *out)
+        out.append(F.when(F.col("_n")[slots.col[s]] > 0, F.when((hi == lo) | (lo_v == hi_v), lo_v).otherwise(interp)).alias(f"_q{s}"))
+    return known.select(*keys, *out)
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
+                    names: Sequence[str] | None = None) -> DataFrame:
+    """One row per group with one column per probability (default names
+    ``q0``, ``q1``...).  NULL values are ignored; a group without values is
+    absent, and without groups the row is NULL.
+
+    Two passes, and one more for every factor of about GRID / 5 by which a
+    bracket is too wide.  Approximate quantiles (mergeable, with a guaranteed
+    rank error) bracket each position; then the rows below a bracket are only
+    counted, and the values inside, about 6 / ACCURACY of the rows, are counted
+    by value and put in order.  The position is looked up in the exact counts,
+    so the result is Spark's exact ``percentile``."""
+    names = list(names or [f"q{i}" for i in range(len(probs))])
+    q = _quantiles(df, [value], probs, list(by))
+    return q.select(*by, *[F.col(f"_q{i}").alias(n) for i, n in enumerate(names)])
 
 
 def exact_medians_wide(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
-    """One row with the exact median of each column: the columns are stacked
-    to (column, value) so ONE distributed quantile job, keyed by column,
-    serves all of them; the result is pivoted back with fixed column values."""
+    """One row with the exact median of each column.  All columns are
+    bracketed in one aggregate and judged in another; only the few values
+    inside a bracket become rows of their own."""
     if not cols:
         return df.sparkSession.range(1).select()
-    stack = "stack({n}, {items}) as (_col, _val)".format(
-        n=len(cols), items=", ".join(f"'{c}', cast(`{c}` as double)" for c in cols))
-    long = df.select(F.expr(stack))
-    q = exact_quantiles(long, "_val", [0.5], by=["_col"], names=["_med"])
-    wide = q.groupBy().pivot("_col", list(cols)).agg(F.first("_med"))
-    return wide.select(*[F.col(f"`{c}`").cast("double").alias(f"{c}{suffix}") for c in cols])
+    q = _quantiles(df, list(cols), [0.5], [])
+    return q.select(*[F.col(f"_q{i}").alias(f"{c}{suffix}") for i, c in enumerate(cols)])
+
+
+def kth_value(df: DataFrame, value: str, k: int, n: int) -> float | None:
+    """The ``k``-th smallest (from 1) of the ``n`` non-missing values of a numeric column."""
+    if not 1 <= k <= n:
+        return None
+    return _quantiles(df, [value], [(k - 1) / max(n - 1, 1)], []).first()[0]

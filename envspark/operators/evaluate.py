@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 from envspark import config as C
 from envspark.functions.joins import join_keys
 from envspark.functions.quantiles import cumulative_counts
-from envspark.functions.windows import halo_window_columns, last_k
-
+from envspark.functions.windows import halo_window_columns
 
 
 def scored_persistence(obs: DataFrame, target: str = "proxy_pm25", test_only: bool = True) -> DataFrame:
@@ -38,8 +37,8 @@ def scored_persistence(obs: DataFrame, target: str = "proxy_pm25", test_only: bo
     if cut is not None:
         # the test years, and of the earlier ones (in few columns) each city's last row
         cols = ["identifiant", "date", "ville", "region", "saison", "annee", target, "alerte_pollution"]
-        earlier = last_k(obs.where(F.col("annee") <= cut).select(*cols), ["ville"],
-                         [F.col("date").desc(), F.col("identifiant").desc()], 1, F.col("annee")).select(*cols)
+        latest = F.max_by(F.struct(*cols), F.struct("date", "identifiant"))
+        earlier = obs.where(F.col("annee") <= cut).groupBy(F.col("ville").alias("_v")).agg(latest.alias("_r")).select("_r.*")
         obs = obs.where(F.col("annee") > cut).select(*cols).unionByName(earlier)
     # per range of days with a one-row halo: a hot city is split
     d = halo_window_columns(obs, "ville", ["date", "identifiant"], [target, "alerte_pollution"], 1, build)
