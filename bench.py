@@ -65,7 +65,7 @@ def main() -> None:
             times[f"ml_{r.name}"] = round(r.seconds, 3)
         if os.environ.get("BENCH_ALL_ML", "0") != "0":
             t = time.time()
-            M.fit_early_stopped(td)[1].write.format("noop").mode("overwrite").save()
+            M.fit_early_stopped(td).predictions.write.format("noop").mode("overwrite").save()
             times["ml_early_stopped"] = round(time.time() - t, 3)
             cls = M.training_data(p.obs, "alerte_pollution")
             for r in M.train_candidates(cls, ["LogisticRegression", "MLP"]):

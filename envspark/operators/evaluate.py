@@ -173,14 +173,22 @@ def comparison_table(results: DataFrame, task: str) -> DataFrame:
     for thr, text in rules:
         cond = F.col(key) > F.lit(thr)
         verdict = F.when(cond, F.lit(text)) if verdict is None else verdict.when(cond, F.lit(text))
-    best = results.agg(F.max(F.col(key)).alias("_best"))          # one row
+    best = best_result(results, key).select(F.col("ordre").alias("_best"))          # one row
     return (results.crossJoin(F.broadcast(best))
             .withColumn("temps_secondes", F.round(F.col("temps_secondes"), 3))
-            .withColumn("meilleur", F.col(key) == F.col("_best")).drop("_best")
+            .withColumn("meilleur", F.coalesce(F.col("ordre") == F.col("_best"), F.lit(False))).drop("_best")
             .withColumn("verdict", verdict.otherwise(F.lit("")))
             .orderBy(F.col(key).desc_nulls_last(), F.col("ordre")))
 
 
+def best_result(results: DataFrame, key: str) -> DataFrame:
+    """One row (``ordre``, ``modele``, ``score``) of the candidate with the
+    largest key metric; the first in comparison order wins ties; a candidate
+    without the metric is never chosen (no row then: all NULL)."""
+    place = F.when(F.col(key).isNotNull(), F.struct(F.col(key), -F.col("ordre")))
+    return results.agg(F.max_by(F.struct("ordre", "modele", F.col(key).alias("score")), place).alias("_r")).select("_r.*")
+
+
 def residuals(df: DataFrame, y: str, p: str) -> DataFrame:
     """Actual, prediction and residual = actual - prediction."""
     return df.withColumn("residu", F.col(y).cast("double") - F.col(p).cast("double"))

@@ -21,8 +21,8 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression, Multil
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark import StorageLevel
@@ -58,13 +58,16 @@ class TrainingData:
 
 
 def training_data(obs: DataFrame, target: str = "proxy_pm25", task: str | None = None,
-                  exclude_components: bool = True) -> TrainingData:
+                  exclude_components: bool = True, only: list[str] | None = None) -> TrainingData:
     """A7 + C3 + A13 + K1-K3: rows with a target split by year, features
     imputed with training medians, categories coded, scaled copies for the
-    linear and neural models."""
+    linear and neural models.  ``only`` names the features to use."""
     d = cleaning.drop_missing(obs, [target])
     task = task or cleaning.task_type_of(d, target)
     num_cols, cat_cols = cleaning.select_features(d, target, exclude_components)
+    if only:
+        kinds = {f.name: isinstance(f.dataType, T.StringType) for f in d.schema.fields}
+        num_cols, cat_cols = [c for c in only if not kinds[c]], [c for c in only if kinds[c]]
     cut = slices.year_cutoff(d)
     side = F.lit(None).cast("string") if cut is None else F.when(F.col("annee") <= cut, "train").when(F.col("annee") > cut, "test")
     split = d.where(F.col("annee").isNotNull()).withColumn("split", side)
@@ -112,23 +115,77 @@ def candidates(task: str, n_features: int, n_train: int, label_std: float) -> li
     ]
 
 
-def early_stopped_booster(n_features: int, validation: bool = True) -> GBTRegressor:
-    """120 rounds, rate 0.06, 0.85 sampling, validation split column (C4)."""
-    kw = {"validationIndicatorCol": "is_validation"} if validation else {}
-    return GBTRegressor(maxIter=120, stepSize=0.06, maxDepth=6, subsamplingRate=0.85,
-                        featureSubsetStrategy="0.85", seed=SEED, **kw)
+PATIENCE = 20
 
 
-def fit_early_stopped(td: TrainingData, fraction: float = 0.85, min_validation: int = 20):
-    """K10 + C4: the booster stops on the positional validation split when
-    more than ``min_validation`` rows validate; otherwise it trains on all
-    training rows without early stopping.  Returns (model, scored test rows)."""
+def early_stopped_booster() -> GBTRegressor:
+    """120 rounds, rate 0.06, 0.85 sampling."""
+    return GBTRegressor(maxIter=120, stepSize=0.06, maxDepth=6, subsamplingRate=0.85, featureSubsetStrategy="0.85", seed=SEED)
+
+
+def stop_rule(curve: DataFrame, patience: int = PATIENCE) -> DataFrame:
+    """A validation curve (``tour``, ``perte``; one row per round) with the
+    best round so far (``meilleur_tour``, the first of equals), the rounds since
+    (``sans_gain``), whether training has stopped (``arrete``: ``patience``
+    rounds without a smaller loss) and whether the round's tree is kept
+    (``garde``: up to the best round before the stop)."""
+    upto = Window.orderBy("tour").rowsBetween(Window.unboundedPreceding, Window.currentRow)     # one row per round
+    before = Window.orderBy("tour").rowsBetween(Window.unboundedPreceding, -1)
+    c = curve.withColumn("_lead", F.coalesce(F.col("perte") < F.min("perte").over(before), F.lit(True)))
+    c = c.withColumn("meilleur_tour", F.max(F.when(F.col("_lead"), F.col("tour"))).over(upto))
+    c = c.withColumn("sans_gain", F.col("tour") - F.col("meilleur_tour"))
+    c = c.withColumn("arrete", F.max(F.col("sans_gain") >= patience).over(upto))
+    # the first round that stops shows the same best round as all rounds before it
+    kept = F.coalesce(F.min(F.when(F.col("arrete"), F.col("meilleur_tour"))).over(Window.partitionBy()), F.max("meilleur_tour").over(Window.partitionBy()))
+    return c.withColumn("garde", F.col("tour") <= kept).drop("_lead")
+
+
+def cut_booster(model: PipelineModel, rounds: int) -> PipelineModel:
+    """The model of the first ``rounds`` boosting rounds."""
+    gbt = model.stages[-1]
+    if rounds >= gbt.getNumTrees:
+        return model
+    java, gateway = gbt._java_obj, SparkSession.active().sparkContext._gateway
+    trees, weights = java.trees(), java.treeWeights()
+    first = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    share = gateway.new_array(gateway.jvm.double, rounds)
+    for i in range(rounds):
+        first[i], share[i] = trees[i], weights[i]
+    cut = gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), first, share, java.numFeatures())
+    return PipelineModel([*model.stages[:-1], GBTRegressionModel(cut)])
+
+
+@dataclass
+class EarlyStopped:
+    model: PipelineModel
+    curve: DataFrame          # rows of ``stop_rule``; empty where nothing validates
+    rounds: int               # trees kept
+    predictions: DataFrame
+
+
+def fit_early_stopped(td: TrainingData, fraction: float = 0.85, min_validation: int = 20, patience: int = PATIENCE) -> EarlyStopped:
+    """K10 + C4: the booster is trained on the fit rows of the positional
+    validation split, its loss on the validation rows is taken after every
+    round, and the model is cut to the best round before ``patience`` rounds
+    without gain.  Where no more than ``min_validation`` rows would validate, it
+    trains on all training rows without stopping."""
     tr = td.train.select("*", F.col("_m_ville").alias("ville"), F.col("_m_date").alias("date"),
                          F.col("_m_identifiant").alias("identifiant"))
-    val = materialize(slices.validation_split(tr, fraction, min_validation), "validation-split")
-    has_val = val.agg(F.count_if("is_validation").alias("n")).first()["n"] > 0
-    model = _pipeline(td.features, early_stopped_booster(len(td.features), has_val)).fit(val)
-    return model, score(model, td.test, td.task)
+    split = materialize(slices.validation_split(tr, fraction, min_validation), "validation-split")
+    spark = split.sparkSession
+    n = split.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_validation").alias("v")).first()
+    parts = training_partitions(n["n"] - n["v"], len(td.features), spark.sparkContext.defaultParallelism)
+    fit = split.where("NOT is_validation").repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    model = _pipeline(td.features, early_stopped_booster()).fit(fit)
+    fit.unpersist()
+    losses: list[float] = []
+    if n["v"]:
+        held = model.stages[0].transform(split.where("is_validation")).select("features", "label")
+        losses = model.stages[-1].evaluateEachIteration(held, "squared")
+    curve = stop_rule(spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses, 1)], "tour int, perte double"), patience)
+    rounds = curve.where("garde").count() if losses else model.stages[-1].getNumTrees
+    model = cut_booster(model, rounds)
+    return EarlyStopped(model, curve, rounds, score(model, td.test, td.task))
 
 
 @dataclass
@@ -167,14 +224,17 @@ def metrics_of(pred: DataFrame, task: str) -> dict:
     return {k: m[k] for k in ("R2", "RMSE", "MAE")}
 
 
-ROWS_PER_TRAINING_PARTITION = 5_000
+TRAINING_PARTITION_BYTES = 128 << 20
+FEWEST_ROWS = 5_000
 
 
-def training_partitions(n_rows: int) -> int:
-    """Iterative learners pay a scheduling cost per partition on every pass
-    (one per tree level per tree), so training data is sized by rows, not by
-    the shuffle width."""
-    return max(1, -(-n_rows // ROWS_PER_TRAINING_PARTITION))
+def training_partitions(n_rows: int, n_features: int, width: int) -> int:
+    """Iterative learners pay a scheduling cost per partition on every pass (one
+    per tree level per tree), so training data lies in partitions of about 128 MB
+    of feature vectors.  A table below that is spread over the cluster's cores
+    (``width``), but not into partitions of fewer than ``FEWEST_ROWS`` rows."""
+    size = n_rows * (8 * n_features + 64)
+    return max(1, -(-size // TRAINING_PARTITION_BYTES), min(width, n_rows // FEWEST_ROWS))
 
 
 def train_candidates(td: TrainingData, names: list[str] | None = None,
@@ -188,7 +248,7 @@ def train_candidates(td: TrainingData, names: list[str] | None = None,
     candidates save, so candidates are fitted one after the other by default."""
     spark = td.train.sparkSession
     st = td.train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("sd")).first()
-    parts = training_partitions(st["n"])
+    parts = training_partitions(st["n"], len(td.features), spark.sparkContext.defaultParallelism)
     train = td.train.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
     train_s = td.train_scaled.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
     train.count(), train_s.count()
@@ -238,13 +298,10 @@ def results_frame(spark: SparkSession, results: list[RunResult], task: str) -> D
 
 
 def select_best(results: list[RunResult], task: str) -> RunResult:
-    """Max key metric, the first candidate wins ties."""
-    k = key_metric(task)
-    best = results[0]
-    for r in results[1:]:
-        if (r.metrics.get(k) or float("-inf")) > (best.metrics.get(k) or float("-inf")):
-            best = r
-    return best
+    """Max key metric, the first candidate wins ties (``evaluate.best_result``)."""
+    spark = results[0].predictions.sparkSession
+    best = evaluate.best_result(results_frame(spark, results, task), key_metric(task)).first()
+    return results[best["ordre"] if best["ordre"] is not None else 0]
 
 
 def feature_importance(spark: SparkSession, result: RunResult, features: list[str], k: int | None = 20) -> DataFrame:
@@ -311,10 +368,22 @@ def save_artefact(path: str, result: RunResult, td: TrainingData, threshold: flo
     meta = {"model_name": result.name, "task_type": td.task, "target": td.target,
             "feature_cols": td.features, "num_cols": td.num_cols, "cat_cols": td.cat_cols,
             "scaler_required": result.scaled, "threshold_alert": threshold, "test_years": test_years}
-    spark = td.train.sparkSession
+    save_descriptor(td.train.sparkSession, path, meta)
+    return path
+
+
+DESCRIPTOR = ("model_name string, task_type string, target string, feature_cols array<string>, num_cols array<string>, "
+              "cat_cols array<string>, scaler_required boolean, threshold_alert double, test_years int")
+
+
+def save_descriptor(spark: SparkSession, path: str, meta: dict) -> None:
     spark.createDataFrame([(json.dumps(meta, ensure_ascii=False),)], "meta string") \
         .coalesce(1).write.mode("overwrite").text(os.path.join(path, "meta"))
-    return path
+
+
+def read_descriptor(spark: SparkSession, path: str) -> DataFrame:
+    """M3: the stored descriptor as a one-row parameter table."""
+    return one_row(spark.read.schema(DESCRIPTOR).json(os.path.join(path, "meta")))
 
 
 @dataclass
@@ -334,18 +403,28 @@ def load_artefact(spark: SparkSession, path: str) -> Artefact:
                     spark.read.parquet(os.path.join(path, "scaler")))
 
 
-def apply_artefact(obs: DataFrame, art: Artefact) -> DataFrame:
-    """M3 override: a loaded artefact's stored alert threshold replaces the
-    fitted one, and the flag and the level of its target follow."""
-    thr, target = art.meta.get("threshold_alert"), art.meta["target"]
+def apply_descriptor(obs: DataFrame, descriptor: DataFrame, target: str, task: str) -> DataFrame:
+    """M3 override: the stored alert threshold, joined in as a one-row table,
+    replaces the fitted one; the flag and the level of its target follow.  A
+    descriptor without a threshold leaves the flag as it is."""
     out = obs
-    if thr is not None and "proxy_pm25" in obs.columns:
-        out = out.withColumn("alerte_pollution", alert_flag(F.col("proxy_pm25"), F.lit(float(thr))))
+    if "proxy_pm25" in obs.columns:
+        stored = descriptor.select(F.col("threshold_alert").alias("_stored"))
+        flag = alert_flag(F.col("proxy_pm25"), F.col("_stored"))
+        if "alerte_pollution" in obs.columns:
+            flag = F.when(F.col("_stored").isNull(), F.col("alerte_pollution")).otherwise(flag)
+        out = obs.crossJoin(F.broadcast(stored)).withColumn("alerte_pollution", flag).drop("_stored")
     if target in out.columns:
-        out = out.withColumn("niveau_alerte", level_expr(F.col(target), C.target_config(target, art.meta["task_type"])))
+        out = out.withColumn("niveau_alerte", level_expr(F.col(target), C.target_config(target, task)))
     return out
 
 
+def apply_artefact(obs: DataFrame, art: Artefact) -> DataFrame:
+    """``apply_descriptor`` with a loaded artefact's own descriptor."""
+    one = obs.sparkSession.createDataFrame([(art.meta.get("threshold_alert"),)], "threshold_alert double")
+    return apply_descriptor(obs, one_row(one), art.meta["target"], art.meta["task_type"])
+
+
 # --- J5: model forecast ------------------------------------------------------------
 
 def forecast_model(future: DataFrame, art: Artefact, city: str = "ville") -> DataFrame:
@@ -372,3 +451,33 @@ def forecast_model(future: DataFrame, art: Artefact, city: str = "ville") -> Dat
     cols = [city, "date", "prediction", "niveau"] + (["score_prediction"] if task == "classification" else [])
     return out.select(*cols, F.lit(f"Artefact pipeline - {meta.get('model_name', 'modèle exporté')}")
                       .alias("source_prevision"))
+
+
+def linear_sql(result: RunResult, td: TrainingData) -> str:
+    """A linear candidate as one SQL expression over raw feature columns
+    (imputed, coded, scaled and weighted in place), which any SQL engine runs."""
+    medians, scale = td.medians.first(), td.scaler.first()
+    codes: dict[str, list] = {}
+    for r in td.dictionary.collect():                        # one entry per distinct category value
+        codes.setdefault(r["column"], []).append((r["value"], r["code"]))
+    m = result.model.stages[-1]
+    terms = [f"{m.intercept!r}"]
+    for name, w in zip(td.features, m.coefficients.toArray().tolist(), strict=True):
+        if name in td.cat_cols:
+            whens = " ".join("WHEN '" + v.replace("'", "''") + f"' THEN {c}" for v, c in codes.get(name, []))
+            x = f"(CASE {name} {whens} ELSE -1 END)" if whens else "-1"
+        else:
+            median = medians[name]
+            x = f"coalesce({name}, {0.0 if median is None else median!r})"
+        terms.append(f"{w!r} * (({x} - {scale[name + '__mean']!r}) / {scale[name + '__scale']!r})")
+    return " + ".join(f"cast({t} as double)" for t in terms)
+
+
+def forecast_linear(future: DataFrame, result: RunResult, td: TrainingData, city: str = "ville") -> DataFrame:
+    """J5 for a linear candidate without its artefact's pipeline: ``linear_sql``
+    on the future rows, clipped and banded like ``forecast_model``."""
+    out = future.withColumn("prediction", F.expr(linear_sql(result, td).replace("`", "")))
+    if td.target in ("proxy_pm25", "score_risque", "indice_stagnation"):
+        out = out.withColumn("prediction", clip(F.col("prediction"), 0, 100))
+    level = level_expr(F.col("prediction"), C.target_config(td.target)) if td.target == "proxy_pm25" else F.lit(None).cast("string")
+    return out.select(city, "date", "prediction", level.alias("niveau"))

@@ -42,6 +42,8 @@ def fit_categories(df: DataFrame, cat_cols: Sequence[str]) -> DataFrame:
     """K2 fit: per column, sorted distinct non-missing values of train and
     test (H3 union), code = rank - 1 (T16).  Returns (column, value, code).
     The window is partitioned by column over distinct values only."""
+    if not cat_cols:
+        return df.sparkSession.createDataFrame([], "column string, value string, code int")
     stack = "stack({n}, {items}) as (column, value)".format(
         n=len(cat_cols), items=", ".join(f"'{c}', cast(`{c}` as string)" for c in cat_cols))
     d = df.select(F.expr(stack)).where("value IS NOT NULL").distinct()
@@ -53,6 +55,8 @@ def encode(df: DataFrame, dictionary: DataFrame, cat_cols: Sequence[str]) -> Dat
     """K2 apply: value -> code, missing or unseen -> -1.  The dictionary (one
     entry per distinct category value) becomes one row of maps, and all columns
     are looked up in one projection: no row is shuffled on a category."""
+    if not cat_cols:
+        return df
     maps = dictionary.agg(*[F.map_from_entries(F.collect_list(F.when(F.col("column") == c, F.struct("value", "code")))).alias(f"__map_{c}")
                             for c in cat_cols])
     j = df.crossJoin(F.broadcast(maps))

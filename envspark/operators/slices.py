@@ -13,15 +13,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from envspark.session import one_row
+from envspark.functions.quantiles import kth_value
+from envspark.session import materialize, one_row
 
 
 def slice_observations(df: DataFrame, regions: Sequence[str] | DataFrame, year_from: int, year_to: int,
-                       cities: Sequence[str] | DataFrame | None = None) -> DataFrame:
+                       cities: Sequence[str] | DataFrame | None = None, years: DataFrame | None = None) -> DataFrame:
     """C1 + H2: region IN list AND year BETWEEN; the city filter applies only
     when the list is non-empty; an empty region list gives no rows.  A
-    DataFrame list is applied as a left-semi join (no driver-side list)."""
+    DataFrame list is applied as a left-semi join (no driver-side list); a
+    list of ``years`` prunes the partitions of a table written by year at run
+    time."""
     out = df.where(F.col("annee").between(year_from, year_to))
+    if years is not None:
+        out = out.join(years.select(F.col(years.columns[0]).alias("annee")), "annee", "left_semi")
     if isinstance(regions, DataFrame):
         out = out.join(regions.select(F.col(regions.columns[0]).alias("region")), "region", "left_semi")
     elif regions:
@@ -96,7 +101,24 @@ def validation_boundary(train: DataFrame, fraction: float = 0.85, min_validation
     by_date = Window.partitionBy("_city").orderBy(F.col("_date").asc_nulls_last())     # one row per date of one city
     days = dates.withColumn("_upto", F.sum("_n").over(by_date))
     return one_row(days.where((F.col("_upto") - F.col("_n") < F.col("_rest")) & (F.col("_rest") <= F.col("_upto")))
-                   .select("_city", "_date", (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("_in_cell"), "_use"))
+                   .select("_city", "_date", (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("_in_cell"), F.col("_n").alias("_cell_rows"), "_use"))
+
+
+def nth_place(rows: DataFrame, cols: Sequence[str], k: int) -> list:
+    """The values of the ``k``-th row (from 1) in the order of non-missing
+    numeric columns: column by column, the k-th smallest value by counts per
+    value range, then only the rows that share it.  Nothing is sorted or
+    numbered; columns after the one that decides are 0."""
+    out: list = []
+    for i, c in enumerate(cols):
+        n = rows.count()
+        v = kth_value(rows, c, k, n)
+        out.append(v)
+        k -= rows.where(F.col(c) < v).count()
+        rows = rows.where(F.col(c) == v)
+        if k >= rows.count():             # all that share it come first: later columns need not be looked at
+            return out + [float("inf")] * (len(cols) - i - 1)
+    return out
 
 
 def validation_split(train: DataFrame, fraction: float = 0.85, min_validation: int = 20,
@@ -104,22 +126,36 @@ def validation_split(train: DataFrame, fraction: float = 0.85, min_validation: i
     """C4: the first int(fraction * n) training rows in (city, date, key) order
     fit, the rest validate (only if more than ``min_validation`` rows would).
 
-    A row is compared with the one boundary row; only the rows of the boundary
-    (city, date) cell are numbered."""
+    A row is compared with the one boundary row.  Where the boundary lies inside
+    a (city, date) cell, its rows are written with a row number and compared
+    with the boundary's (key, row number); rows of equal or missing key are told
+    apart by that number alone."""
     edge = validation_boundary(train, fraction, min_validation, city, key)
+    e = edge.first()
+    if e is None or not e["_use"]:
+        return train.withColumn("is_validation", F.lit(False))
     j = train.crossJoin(F.broadcast(edge))
     own, day = F.col(city), F.col("date")
     same_city, same_day = own.eqNullSafe(F.col("_city")), day.eqNullSafe(F.col("_date"))
     # nulls are last
     later_city = F.col("_city").isNotNull() & (own.isNull() | (own > F.col("_city")))
     later_day = F.col("_date").isNotNull() & (day.isNull() | (day > F.col("_date")))
+    later = F.coalesce(later_city | (same_city & later_day), F.lit(False))
+    drop = ["_city", "_date", "_in_cell", "_cell_rows", "_use"]
+    if e["_in_cell"] == e["_cell_rows"]:
+        return j.withColumn("is_validation", later).drop(*drop)
     in_cell = same_city & same_day
-    cell = j.where(in_cell).withColumn("_rn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col(key).asc_nulls_last()))) \
-        .withColumn("is_validation", F.col("_use") & (F.col("_rn") > F.col("_in_cell"))).drop("_rn")
-    rest = j.where(~in_cell).withColumn(
-        "is_validation", F.coalesce(F.col("_use") & (later_city | (same_city & later_day)), F.lit(False)))
-    drop = ["_city", "_date", "_in_cell", "_use"]
-    return rest.drop(*drop).unionByName(cell.drop(*drop))
+    cell = materialize(j.where(in_cell).drop(*drop).withColumn("_row", F.monotonically_increasing_id()), "boundary-cell")
+    # a 64-bit key in two parts that a double holds exactly
+    k = F.coalesce(F.col(key).cast("long"), F.lit(0))
+    place = [F.col(key).isNull().cast("double"), F.shiftright(k, 32).cast("double"), k.bitwiseAND(0xFFFFFFFF).cast("double"),
+             F.shiftright("_row", 33).cast("double"), F.col("_row").bitwiseAND((1 << 33) - 1).cast("double")]
+    names = [f"_p{i}" for i in range(len(place))]
+    cell = cell.withColumns(dict(zip(names, place, strict=True)))
+    last = nth_place(cell.select(*names), names, e["_in_cell"])
+    flag = F.struct(*names) > F.struct(*[F.lit(x).alias(n) for n, x in zip(names, last, strict=True)])
+    rest = j.where(~in_cell).withColumn("is_validation", later).drop(*drop)
+    return rest.unionByName(cell.withColumn("is_validation", flag).drop("_row", *names))
 
 
 def sample_n(df: DataFrame, n: int = 2000, seed: int = 42, key: str = "identifiant") -> DataFrame:

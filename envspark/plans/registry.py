@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from envspark import config as C
 from envspark import sinks as SK
+from envspark.functions.exprs import np_round
+from envspark.functions.quantiles import exact_quantiles
 from envspark.operators import cleaning, rollups
 from envspark.operators import evaluate as L
 from envspark.operators import forecast as J
@@ -285,6 +287,22 @@ def q_slice(spark, sf_dir):
     return s.select("identifiant", "date", "ville", "region", "annee", PROXY)
 
 
+@register("slice_by_tables")
+def q_slice_by_tables(spark, sf_dir):
+    """C1 + H2 with lists that are tables: regions and cities as left-semi joins,
+    years as a run-time partition filter (years with at least as many orders as
+    the average year; the three least populated regions go)."""
+    orders = read_table(spark, sf_dir, "orders", ["o_orderdate"]).groupBy(F.year("o_orderdate").alias("annee")).agg(F.count(F.lit(1)).alias("n"))
+    years = materialize(orders, "orders-per-year")
+    mean = years.agg(F.avg("n").alias("m"))
+    years = years.crossJoin(F.broadcast(mean)).where(F.col("n") >= F.col("m")).select("annee")
+    customers = read_table(spark, sf_dir, "customer", ["c_nationkey", "c_acctbal"]).where("c_acctbal > 9000").select("c_nationkey").distinct()
+    cities = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"]).join(customers, F.col("n_nationkey") == F.col("c_nationkey"), "left_semi").select("n_name")
+    regions = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"]).where("r_regionkey <= 2").select("r_name")
+    s = S.slice_observations(obs(spark, sf_dir), regions, 1900, 2100, cities, years)
+    return s.select("identifiant", "date", "ville", "region", "annee", PROXY)
+
+
 @register("slice_city_risk")
 def q_slice_risk(spark, sf_dir):
     """I1 recomputed on a slice (statistics follow the slice, the index does not)."""
@@ -461,14 +479,53 @@ def q_groups_reg(spark, sf_dir):
     return L.evaluate_groups(persistence(spark, sf_dir), "regression", PROXY, "prediction")
 
 
-@register("comparison_of_fixed_results")
-def q_comparison_fixed(spark, sf_dir):
-    """K12 + L7 on results that SQL can compute too: the persistence metrics
-    of each region stand for the candidates."""
+def region_results(spark, sf_dir) -> DataFrame:
+    """Results that SQL can compute too: the persistence metrics of each region
+    stand for the candidates."""
     m = L.regression_metrics(persistence(spark, sf_dir).where("region IS NOT NULL"), PROXY, "prediction", ["region"])
     ordered = m.withColumn("ordre", F.row_number().over(Window.orderBy("region")))     # one row per region
-    results = ordered.select("ordre", F.col("region").alias("modele"), (F.col("ordre") * 0.5).alias("temps_secondes"), "R2", "RMSE", "MAE")
-    return L.comparison_table(results, "regression")
+    return ordered.select("ordre", F.col("region").alias("modele"), (F.col("ordre") * 0.5).alias("temps_secondes"), "R2", "RMSE", "MAE")
+
+
+@register("comparison_of_fixed_results")
+def q_comparison_fixed(spark, sf_dir):
+    """L7 on the region results."""
+    return L.comparison_table(region_results(spark, sf_dir), "regression")
+
+
+@register("best_candidate")
+def q_best_candidate(spark, sf_dir):
+    """K12 on the region results, each of them twice: the first of equals wins."""
+    r = region_results(spark, sf_dir)
+    again = r.withColumns({"ordre": F.col("ordre") + 100, "modele": F.concat("modele", F.lit(" bis"))})
+    return L.best_result(again.unionByName(r), "R2")
+
+
+@register("run_summary")
+def q_run_summary(spark, sf_dir):
+    """M2: the nested run summary of the region results, written as JSON, read
+    back by its schema and unfolded."""
+    o = obs(spark, sf_dir)
+    nums, cats = feature_lists(o)
+    _, tr, te = model_frame(spark, sf_dir)
+    results = region_results(spark, sf_dir)
+    best = L.best_result(results, "R2").first()
+    found = results.where(F.col("ordre") == best["ordre"]).first()
+    path = _os.path.join(ensure_checkpoint_dir(spark), f"run-summary-{_uuid.uuid4().hex}")
+    written = SK.run_summary(spark, PROXY, "regression", tr.count(), te.count(), len(nums) + len(cats), best["modele"], best["score"],
+                             {k: found[k] for k in ("R2", "RMSE", "MAE")}, L.comparison_table(results, "regression"),
+                             {"comparaison_modeles": "comparaison_modeles", "predictions_test": "predictions_test"}, path)
+    return SK.summary_rows(spark.read.schema(written.schema).json(path))
+
+
+@register("stop_rule")
+def q_stop_rule(spark, sf_dir):
+    """K10's stop rule on a curve that SQL can compute too: the persistence
+    loss of each test day, in order of days, stands for the rounds."""
+    d = persistence(spark, sf_dir).where("date IS NOT NULL")
+    loss = d.groupBy("date").agg(F.avg((F.col(PROXY) - F.col("prediction")) * (F.col(PROXY) - F.col("prediction"))).alias("perte"))
+    days = loss.withColumn("tour", F.row_number().over(Window.orderBy("date")))          # one row per day
+    return M.stop_rule(days.select("tour", F.round("perte", 6).alias("perte")), M.PATIENCE)
 
 
 @register("group_metrics_classification")
@@ -641,12 +698,54 @@ def q_model_forecast(spark, sf_dir):
     return B.model_forecast(p, path, HORIZON)
 
 
+_BOOSTERS: dict = {}
+
+
+def booster(spark, sf_dir):
+    key = (*session_key(spark), sf_dir.rstrip("/"))
+    if key not in _BOOSTERS:
+        _BOOSTERS[key] = M.fit_early_stopped(_run(spark, sf_dir, PROXY, ["Ridge"]).td)
+    return _BOOSTERS[key]
+
+
 @register("early_stopped_booster")
 def q_early_stopped(spark, sf_dir):
     """K10 with the C4 validation split: test metrics of the booster."""
-    run = _run(spark, sf_dir, PROXY, ["Ridge"])
-    _, pred = M.fit_early_stopped(run.td)
-    return L.regression_metrics(pred, "label", "prediction")
+    return L.regression_metrics(booster(spark, sf_dir).predictions, "label", "prediction")
+
+
+@register("booster_curve")
+def q_booster_curve(spark, sf_dir):
+    """The validation curve of the booster, its stop and the rounds kept."""
+    return booster(spark, sf_dir).curve
+
+
+LINEAR_FEATURES = ["temp_max", "humidite_moy"]
+
+
+@register("linear_forecast")
+def q_linear_forecast(spark, sf_dir):
+    """J4 + J5: a ridge model of two features as one SQL expression on the future
+    rows (three decimals: the solver and SQL differ beyond the ninth)."""
+    p = prepared(spark, sf_dir)
+    td = M.training_data(p.obs, PROXY, "regression", only=LINEAR_FEATURES)
+    ridge = M.train_candidates(td, ["Ridge"])[0]
+    out = M.forecast_linear(J.future_features(p.obs, HORIZON), ridge, td)
+    return out.withColumn("prediction", np_round(F.col("prediction"), 3))
+
+
+@register("artefact_override")
+def q_artefact_override(spark, sf_dir):
+    """M3: a stored descriptor whose threshold (the training median) is not the
+    fitted one; flags and levels follow it."""
+    p = prepared(spark, sf_dir)
+    _, tr, _ = model_frame(spark, sf_dir)
+    path = _os.path.join(ensure_checkpoint_dir(spark), f"descriptor-{_uuid.uuid4().hex}")
+    stored = exact_quantiles(tr, PROXY, [0.5], names=["m"]).first()["m"]
+    M.save_descriptor(spark, path, {"model_name": "GBT", "task_type": "classification", "target": "alerte_pollution", "feature_cols": [], "num_cols": [],
+                                    "cat_cols": [], "scaler_required": False, "threshold_alert": stored, "test_years": 1})
+    out = M.apply_descriptor(p.obs, M.read_descriptor(spark, path), "alerte_pollution", "classification")
+    return out.select("identifiant", "date", "ville", PROXY, "alerte_pollution", "niveau_alerte")
 
 
 

@@ -51,6 +51,17 @@ def run_summary(spark: SparkSession, target: str, task: str, n_train: int, n_tes
     return out
 
 
+def summary_rows(summary: DataFrame) -> DataFrame:
+    """M2 unfolded: one row per candidate of a run summary, with the run's
+    scalars, the best candidate's metrics and the files beside it."""
+    head = ["target", "task_type", "metric_cle", "train_rows", "test_rows", "n_features"]
+    best, files = F.col("meilleur_modele"), F.map_keys("fichiers_generes")
+    return summary.select(*head, best["nom"].alias("nom"), best["score"].alias("score"),
+                          F.array_join(F.array_sort(F.map_keys(best["metriques"])), ",").alias("metriques"),
+                          F.array_join(F.array_sort(files), ",").alias("fichiers"),
+                          F.explode("resultats_modeles").alias("_r")).select("*", "_r.*").drop("_r")
+
+
 def payload_rows(df: DataFrame, forecast: DataFrame, threshold: DataFrame, target: str = "proxy_pm25",
                  cfg: C.TargetConfig | None = None) -> DataFrame:
     """M4 as rows: the payload KPIs (Python ``round(x, 2)``) repeated on each forecast

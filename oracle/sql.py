@@ -588,7 +588,7 @@ def _groups_cls() -> str:
 SQL["comparison_of_fixed_results"] = PREP + PERS + ",\n" + _reg_metrics("pers", "region") + f""",
 res AS (SELECT row_number() OVER (ORDER BY region) AS ordre, region AS modele, {R2} AS r2, sqrt(sse / n) AS rmse, mae FROM agg WHERE region IS NOT NULL)
 SELECT {i64('ordre')} AS ordre, modele, {r6('ordre * 0.5')} AS temps_secondes, {r6('r2')} AS R2, {r6('rmse')} AS RMSE, {r6('mae')} AS MAE,
-       r2 = max(r2) OVER () AS meilleur,
+       (r2 IS NOT NULL AND ordre = first_value(ordre) OVER (ORDER BY r2 DESC NULLS LAST, ordre)) AS meilleur,
        CASE WHEN r2 > 0.99 THEN 'possible_leak' WHEN r2 > 0.8 THEN 'very_good' WHEN r2 > 0.65 THEN 'good' ELSE '' END AS verdict
 FROM res"""
 
@@ -829,3 +829,60 @@ WHERE alerte_pollution IS NOT NULL AND alerte_pred IS NOT NULL
 UNION ALL
 SELECT 'wrong', {i64("count(*) FILTER (WHERE alerte_pollution <> alerte_pred)")} FROM pers
 WHERE alerte_pollution IS NOT NULL AND alerte_pred IS NOT NULL"""
+
+_REGION_RES = PREP + PERS + ",\n" + _reg_metrics("pers", "region") + f""",
+res AS (SELECT row_number() OVER (ORDER BY region) AS ordre, region AS modele, {R2} AS r2, sqrt(sse / n) AS rmse, mae FROM agg WHERE region IS NOT NULL)"""
+
+SQL["best_candidate"] = _REGION_RES + f""",
+twice AS (SELECT ordre, modele, r2 FROM res UNION ALL SELECT ordre + 100, modele || ' bis', r2 FROM res)
+SELECT {i64('ordre')} AS ordre, modele, {r6('r2')} AS score FROM twice ORDER BY r2 DESC NULLS LAST, ordre LIMIT 1"""
+
+SQL["run_summary"] = _REGION_RES + MODEL_FRAME + f""",
+best AS (SELECT modele, r2 FROM res ORDER BY r2 DESC NULLS LAST, ordre LIMIT 1),
+sides AS (SELECT count(*) FILTER (WHERE split = 'train') AS tr, count(*) FILTER (WHERE split = 'test') AS te FROM mf)
+SELECT 'proxy_pm25' AS target, 'regression' AS task_type, 'R2' AS metric_cle, {i64('sides.tr')} AS train_rows, {i64('sides.te')} AS test_rows,
+       {i64(str(len(NUMS) + len(CATS)))} AS n_features, best.modele AS nom, {r6('best.r2')} AS score, 'MAE,R2,RMSE' AS metriques,
+       'comparaison_modeles,predictions_test' AS fichiers, {i64('ordre')} AS ordre, res.modele AS modele, {r6('ordre * 0.5')} AS temps_secondes,
+       {r6('res.r2')} AS R2, {r6('rmse')} AS RMSE, {r6('mae')} AS MAE,
+       (res.r2 IS NOT NULL AND ordre = first_value(ordre) OVER (ORDER BY res.r2 DESC NULLS LAST, ordre)) AS meilleur,
+       CASE WHEN res.r2 > 0.99 THEN 'possible_leak' WHEN res.r2 > 0.8 THEN 'very_good' WHEN res.r2 > 0.65 THEN 'good' ELSE '' END AS verdict
+FROM res CROSS JOIN best CROSS JOIN sides"""
+
+SQL["stop_rule"] = PREP.replace("WITH ", "WITH RECURSIVE ", 1) + PERS + f""",
+loss AS (SELECT row_number() OVER (ORDER BY date) AS tour, {r6('avg((proxy_pm25 - prediction) * (proxy_pm25 - prediction))')} AS perte
+         FROM pers WHERE date IS NOT NULL GROUP BY date),
+walk AS (
+  SELECT tour, perte, perte AS low, tour AS lead, false AS stopped FROM loss WHERE tour = 1
+  UNION ALL
+  SELECT l.tour, l.perte, least(w.low, l.perte), CASE WHEN l.perte < w.low THEN l.tour ELSE w.lead END,
+         w.stopped OR l.tour - (CASE WHEN l.perte < w.low THEN l.tour ELSE w.lead END) >= 20
+  FROM walk w JOIN loss l ON l.tour = w.tour + 1),
+kept AS (SELECT coalesce((SELECT lead FROM walk WHERE stopped ORDER BY tour LIMIT 1), (SELECT max(lead) FROM walk)) AS k)
+SELECT {i64('tour')} AS tour, {r6('perte')} AS perte, {i64('lead')} AS meilleur_tour, {i64('tour - lead')} AS sans_gain, stopped AS arrete, tour <= k AS garde
+FROM walk CROSS JOIN kept"""
+
+SQL["artefact_override"] = PREP + MODEL_FRAME + f""",
+stored AS (SELECT median(proxy_pm25) AS t FROM mf WHERE split = 'train'),
+flag AS (SELECT o.*, coalesce(CAST(o.proxy_pm25 >= t AS INTEGER), 0) AS own FROM obs o CROSS JOIN stored)
+SELECT {i64('identifiant')} AS identifiant, date, ville, {r6('proxy_pm25')} AS proxy_pm25, {i64('own')} AS alerte_pollution,
+       CASE own WHEN 0 THEN 'Pas d''alerte' WHEN 1 THEN 'Alerte' END AS niveau_alerte FROM flag"""
+
+SQL["slice_by_tables"] = PREP + f""",
+per AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1),
+ys AS (SELECT y FROM per WHERE n >= (SELECT avg(n) FROM per)),
+cs AS (SELECT n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)),
+rs AS (SELECT r_name FROM region WHERE r_regionkey <= 2)
+SELECT {i64('identifiant')} AS identifiant, date, ville, region, {i64('annee')} AS annee, {r6('proxy_pm25')} AS proxy_pm25
+FROM obs WHERE annee IN (SELECT y FROM ys) AND ville IN (SELECT n_name FROM cs) AND region IN (SELECT r_name FROM rs)"""
+
+SQL["linear_forecast"] = _future_sql() + MODEL_FRAME + f""",
+lm AS (SELECT median(temp_max) AS m1, median(humidite_moy) AS m2 FROM mf WHERE split = 'train'),
+lx AS (SELECT coalesce(temp_max, m1) AS x1, coalesce(humidite_moy, m2) AS x2, proxy_pm25 AS y FROM mf CROSS JOIN lm WHERE split = 'train'),
+ls AS (SELECT avg(x1) AS a1, avg(x2) AS a2, CASE WHEN stddev_pop(x1) = 0 THEN 1.0 ELSE stddev_pop(x1) END AS s1,
+              CASE WHEN stddev_pop(x2) = 0 THEN 1.0 ELSE stddev_pop(x2) END AS s2, avg(y) AS ym FROM lx),
+lz AS (SELECT (x1 - a1) / s1 AS z1, (x2 - a2) / s2 AS z2, y - ym AS yc FROM lx CROSS JOIN ls),
+le AS (SELECT sum(z1 * z1) + 1 AS p, sum(z1 * z2) AS q, sum(z2 * z2) + 1 AS r, sum(z1 * yc) AS b1, sum(z2 * yc) AS b2 FROM lz),
+lw AS (SELECT (b1 * r - b2 * q) / (p * r - q * q) AS w1, (p * b2 - q * b1) / (p * r - q * q) AS w2 FROM le),
+lp AS (SELECT f.ville, f.date, {clip('ym + w1 * ((coalesce(f.temp_max, m1) - a1) / s1) + w2 * ((coalesce(f.humidite_moy, m2) - a2) / s2)', 0.0, 100.0)} AS v
+       FROM fut f CROSS JOIN lm CROSS JOIN ls CROSS JOIN lw)
+SELECT ville, date, {rnd('v', 3)} AS prediction, {bands('v', PROXY_LABELS)} AS niveau FROM lp"""
