@@ -90,37 +90,40 @@ GRID_ACCURACY = 10_000
 
 
 class _Slots:
-    """Quantile positions of columns: slot s is column ``col[s]`` at ``prob[s]``."""
+    """Quantile positions of columns: slot s is column ``col[s]`` at ``prob[s]``.
+    Expressions are SQL text: there are many of them, and each is one call."""
 
     def __init__(self, n_cols: int, probs: Sequence[float]) -> None:
         self.col = [i for i in range(n_cols) for _ in probs]
         self.prob = [float(p) for _ in range(n_cols) for p in probs]
         self.all = range(len(self.col))
+        self.each = f"sequence(0, {len(self.col) - 1})"
 
-    def value(self, s: int):
-        return F.col(f"_v{self.col[s]}")
+    def below(self, s: int) -> str:
+        return f"_v{self.col[s]} < _e[{2 * s}]"
 
-    def side(self, s: int):
-        """-1, 0, 1: below, inside, above the bracket (NULL for no value)."""
-        v = self.value(s)
-        return F.when(v < F.col("_e")[2 * s], -1).when(v > F.col("_e")[2 * s + 1], 1).when(v.isNotNull(), 0)
+    def above(self, s: int) -> str:
+        return f"_v{self.col[s]} > _e[{2 * s + 1}]"
 
-    def position(self, s: int):
-        return (F.col("_n")[self.col[s]] - 1).cast("double") * F.lit(self.prob[s])
+    def positions(self) -> str:
+        cols, probs = ", ".join(map(str, self.col)), ", ".join(f"{p!r}D" for p in self.prob)
+        return f"transform({self.each}, s -> cast(_n[array({cols})[s]] - 1 as double) * array({probs})[s])"
 
     def inside(self, j: DataFrame, keys: list[str]) -> DataFrame:
         """(keys, slot, value) of the values inside their brackets."""
-        items = F.array(*[F.struct(F.lit(s).alias("_s"), self.value(s).alias("_v"), (self.side(s) == 0).alias("_ok")) for s in self.all])
-        return j.select(*keys, F.explode(F.filter(items, lambda x: F.coalesce(x["_ok"], F.lit(False)))).alias("_x")) \
-            .select(*keys, "_x._s", "_x._v")
+        items = ", ".join(f"struct({s} as _s, _v{self.col[s]} as _v, (_v{self.col[s]} >= _e[{2 * s}] and not {self.above(s)}) as _ok)" for s in self.all)
+        return j.select(*keys, F.expr(f"explode(filter(array({items}), x -> coalesce(x._ok, false)))").alias("_x")).select(*keys, "_x._s", "_x._v")
+
+    def arrays(self, **per_slot) -> list:
+        return [F.expr("array(" + ", ".join(f"{prefix}{s}" for s in self.all) + ")").alias(name) for name, prefix in per_slot.items()]
 
 
 def _narrow(v: DataFrame, b: DataFrame, keys: list[str], slots: _Slots, meet, group) -> tuple[DataFrame, int]:
     """One pass: brackets with more than ``BRACKET_VALUES`` distinct values
     narrowed around their positions, and the largest number found."""
+    b = b if keys else one_row(b)
     j = meet(v, b)
-    below = group(j).agg(*[F.count_if(slots.side(s) < 0).alias(f"_b{s}") for s in slots.all]) \
-        .select(*keys, F.array(*[F.col(f"_b{s}") for s in slots.all]).alias("_below"))
+    below = group(j).agg(*[F.expr(f"count_if({slots.below(s)}) as _b{s}") for s in slots.all]).select(*keys, *slots.arrays(_below="_b"))
     grid = [i / GRID for i in range(GRID + 1)]
     held = slots.inside(j, keys).groupBy(*keys, "_s").agg(
         F.count(F.lit(1)).alias("_in"), F.approx_count_distinct("_v").alias("_kinds"), F.percentile_approx("_v", grid, GRID_ACCURACY).alias("_g"))
@@ -131,19 +134,16 @@ def _narrow(v: DataFrame, b: DataFrame, keys: list[str], slots: _Slots, meet, gr
     packed = held.where(F.col("_kinds") > BRACKET_VALUES).groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("_s", F.struct("_in", "_g")))).alias("_m"))
     known = meet(meet(b, below), packed, "left") if keys else b.crossJoin(below).crossJoin(packed)
-    edges = []
-    for s in slots.all:
-        x = F.try_element_at(F.col("_m"), F.lit(s))
-        first = (F.floor(slots.position(s)) - F.col("_below")[s]) / x["_in"]
-        last = (F.ceil(slots.position(s)) - F.col("_below")[s] + 1) / x["_in"]
-        lo, hi = (F.floor(first * GRID) - 2).cast("int"), (F.ceil(last * GRID) + 2).cast("int")
-        old = F.col("_e")[2 * s], F.col("_e")[2 * s + 1]
-        edges += [F.when((lo > 0) & (lo <= GRID), x["_g"][lo]).otherwise(old[0]), F.when((hi >= 0) & (hi < GRID), x["_g"][hi]).otherwise(old[1])]
-    return known.select(*keys, "_n", F.array(*edges).alias("_e")).persist(StorageLevel.MEMORY_AND_DISK), most
+    # grid points around the position's share of the bracket; the old edge where there is none
+    first, last = (f"((floor(_pos[s]) - _below[s]) / x._in)", "((ceil(_pos[s]) - _below[s] + 1) / x._in)")
+    lo, hi = f"cast(floor({first} * {GRID}) - 2 as int)", f"cast(ceil({last} * {GRID}) + 2 as int)"
+    edge = (f"transform(array(try_element_at(_m, s)), x -> array("
+            f"if({lo} > 0 and {lo} <= {GRID}, x._g[{lo}], _e[2 * s]), if({hi} >= 0 and {hi} < {GRID}, x._g[{hi}], _e[2 * s + 1])))[0]")
+    return known.select(*keys, "_n", "_pos", F.expr(f"flatten(transform({slots.each}, s -> {edge}))").alias("_e")).persist(StorageLevel.MEMORY_AND_DISK), most
 
 
 def _quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys: list[str]) -> DataFrame:
-    """One row per group: ``keys`` and ``_q0``, ``_q1`` ... in slot order."""
+    """One row per group: ``keys`` and ``_q``, the quantiles in slot order."""
     slots = _Slots(len(cols), probs)
     v = df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
     if len(cols) == 1:
@@ -152,51 +152,46 @@ def _quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], keys:
     def group(t: DataFrame):
         return t.groupBy(*keys)
     edges = [min(max(p + s * 2 / ACCURACY, 0.0), 1.0) for p in probs for s in (-1, 1)]
-    none = F.array_repeat(F.lit(None).cast("double"), len(edges))
-    b = group(v).agg(*[e for i in range(len(cols)) for e in (
-        F.count(f"_v{i}").alias(f"_n{i}"), F.percentile_approx(f"_v{i}", edges, ACCURACY).alias(f"_e{i}"))])
-    b = b.select(*keys, F.array(*[F.col(f"_n{i}") for i in range(len(cols))]).alias("_n"),
-                 F.flatten(F.array(*[F.coalesce(f"_e{i}", none) for i in range(len(cols))])).alias("_e"))
-    b = b.persist(StorageLevel.MEMORY_AND_DISK)                  # one row per group
+    points, none = ", ".join(f"{e!r}D" for e in edges), f"array_repeat(cast(null as double), {len(edges)})"
+    n = range(len(cols))
+    b = group(v).agg(*[F.expr(e) for i in n for e in (
+        f"count(_v{i}) as _n{i}", f"percentile_approx(_v{i}, array({points}), {ACCURACY}) as _e{i}")])
+    b = b.select(*keys, F.expr("array(" + ", ".join(f"_n{i}" for i in n) + ")").alias("_n"),
+                 F.expr("flatten(array(" + ", ".join(f"coalesce(_e{i}, {none})" for i in n) + "))").alias("_e"))
+    b = b.withColumn("_pos", F.expr(slots.positions())).persist(StorageLevel.MEMORY_AND_DISK)      # one row per group
     n_groups, largest = b.agg(F.count(F.lit(1)), F.max(F.array_max("_n"))).first()
 
     def meet(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
         if not keys:
-            return left.crossJoin(F.broadcast(one_row(right)))
+            return left.crossJoin(F.broadcast(right))
         return join_keys(left, F.broadcast(right) if n_groups <= BROADCAST_GROUPS else right, keys, how)
     if (largest or 0) * 6 / ACCURACY > BRACKET_VALUES:
         most = BRACKET_VALUES + 1
         while most > BRACKET_VALUES:
             b, most = _narrow(v, b, keys, slots, meet, group)
-    j = meet(v, b)
+    j = meet(v, b if keys else one_row(b))
     # the values next to the bracket can hold the rank beside it
-    stats = group(j).agg(F.first("_n").alias("_n"), *[e for s in slots.all for e in (
-        F.count_if(slots.side(s) < 0).alias(f"_b{s}"), F.max(F.when(slots.side(s) < 0, slots.value(s))).alias(f"_u{s}"),
-        F.min(F.when(slots.side(s) > 0, slots.value(s))).alias(f"_o{s}"))])
-    stats = stats.select(*keys, "_n", *[F.array(*[F.col(f"{x}{s}") for s in slots.all]).alias(name)
-                                        for x, name in (("_b", "_below"), ("_u", "_under"), ("_o", "_over"))])
+    stats = group(j).agg(F.first("_n").alias("_n"), F.first("_pos").alias("_pos"), *[F.expr(e) for s in slots.all for e in (
+        f"count_if({slots.below(s)}) as _b{s}", f"max(if({slots.below(s)}, _v{slots.col[s]}, null)) as _u{s}",
+        f"min(if({slots.above(s)}, _v{slots.col[s]}, null)) as _o{s}")])
+    stats = stats.select(*keys, "_n", "_pos", *slots.arrays(_below="_b", _under="_u", _over="_o"))
     w = Window.partitionBy(*keys, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     cells = slots.inside(j, keys).groupBy(*keys, "_s", "_v").agg(F.count(F.lit(1)).alias("_c"))
     placed = meet(cells.withColumn("_from", F.coalesce(F.sum("_c").over(w), F.lit(0))), stats)
 
-    def held(s: int, rank):
+    def held(rank: str) -> str:
         # the value with 0-based rank r has _from <= r - below < _from + _c
-        r = rank - F.col("_below")[s]
-        return F.max(F.when((F.col("_s") == s) & (F.col("_from") <= r) & (r < F.col("_from") + F.col("_c")), F.col("_v")))
-    picks = group(placed).agg(*[e for s in slots.all for e in (
-        held(s, F.floor(slots.position(s))).alias(f"_l{s}"), held(s, F.ceil(slots.position(s))).alias(f"_h{s}"))])
-    out = []
-    known = meet(stats, picks, "left")
-    for s in slots.all:
-        pos = slots.position(s)
-        lo, hi = F.floor(pos), F.ceil(pos)
-
-        def at(rank, name, s=s):
-            return F.when(rank < F.col("_below")[s], F.col("_under")[s]).otherwise(F.coalesce(F.col(name), F.col("_over")[s]))
-        lo_v, hi_v = at(lo, f"_l{s}"), at(hi, f"_h{s}")
-        interp = (hi - pos) * lo_v + (pos - lo) * hi_v
-        out.append(F.when(F.col("_n")[slots.col[s]] > 0, F.when((hi == lo) | (lo_v == hi_v), lo_v).otherwise(interp)).alias(f"_q{s}"))
-    return known.select(*keys, *out)
+        r = f"({rank}(_pos[_s]) - _below[_s])"
+        return f"max(if(_from <= {r} and {r} < _from + _c, _v, null))"
+    picks = placed.groupBy(*keys, "_s").agg(F.expr(held("floor") + " as lo"), F.expr(held("ceil") + " as hi"))
+    picks = group(picks).agg(F.map_from_entries(F.collect_list(F.struct("_s", F.struct("lo", "hi")))).alias("_m"))
+
+    def value(rank: str, side: str) -> str:
+        return f"if({rank}(_pos[s]) < _below[s], _under[s], coalesce(try_element_at(_m, s).{side}, _over[s]))"
+    found = f"transform({slots.each}, s -> struct(_pos[s] as p, {value('floor', 'lo')} as lo, {value('ceil', 'hi')} as hi))"
+    result = ("transform(_f, y -> if(y.p < 0, null, if(ceil(y.p) = floor(y.p) or y.lo = y.hi, y.lo, "
+              "(ceil(y.p) - y.p) * y.lo + (y.p - floor(y.p)) * y.hi)))")
+    return meet(stats, picks, "left").withColumn("_f", F.expr(found)).select(*keys, F.expr(result).alias("_q"))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
@@ -213,7 +208,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     so the result is Spark's exact ``percentile``."""
     names = list(names or [f"q{i}" for i in range(len(probs))])
     q = _quantiles(df, [value], probs, list(by))
-    return q.select(*by, *[F.col(f"_q{i}").alias(n) for i, n in enumerate(names)])
+    return q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
 
 def exact_medians_wide(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
@@ -223,11 +218,11 @@ def exact_medians_wide(df: DataFrame, cols: Sequence[str], suffix: str = "") ->
     if not cols:
         return df.sparkSession.range(1).select()
     q = _quantiles(df, list(cols), [0.5], [])
-    return q.select(*[F.col(f"_q{i}").alias(f"{c}{suffix}") for i, c in enumerate(cols)])
+    return q.select(*[F.col("_q")[i].alias(f"{c}{suffix}") for i, c in enumerate(cols)])
 
 
 def kth_value(df: DataFrame, value: str, k: int, n: int) -> float | None:
     """The ``k``-th smallest (from 1) of the ``n`` non-missing values of a numeric column."""
     if not 1 <= k <= n:
         return None
-    return _quantiles(df, [value], [(k - 1) / max(n - 1, 1)], []).first()[0]
+    return _quantiles(df, [value], [(k - 1) / max(n - 1, 1)], []).first()[0][0]
