@@ -12,13 +12,17 @@ an interval without such an end becomes a leaf group.  All intervals of a batch
 of texts are searched at once (``shared_groups``), so the recursion is a few
 dozen rounds of numpy.
 
+Where no token of either side crosses a space, this is done once per distinct
+word of a batch, and a text is the concatenation of its words' groups.
+
 *Links* are the pairs of an A and a B token whose bytes overlap.  How often an
 id pair is linked in the whole corpus is counted from one row per distinct pair
 of a batch (a batch holds ``BATCH`` bytes of text), combined before the shuffle.
 The counts go back the same way: one row per distinct pair of a batch, gathered
-to one row per batch, which meets the batch's token ids (two bytes each for
-vocabularies below 65,536, compressed).  Neither links nor texts are shuffled,
-nothing is collected, and a frequent pair is one row per batch.
+to one row per batch, which meets the batch's words (the ids of both sides, two
+bytes each for vocabularies below 65,536, and the words of each text, compressed
+together).  Neither links nor texts are shuffled, nothing is collected, and a
+frequent pair is one row per batch.
 
 Defined results: null and empty texts, and texts whose joined token bytes of A
 or of B differ from a space and the text (control characters that B lacks, a
@@ -30,6 +34,7 @@ are kept; columns beyond ``keep`` are ignored; empty in, empty out.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +46,7 @@ from pyspark.sql import types as T
 
 from envspark.llm import bpe
 from envspark.llm import common as C
-from envspark.llm.units import Remembered, flat_lists, kept, per_text, text_steps, words_of_texts
+from envspark.llm.units import Remembered, flat_lists, forget, kept, per_text, text_steps, words_of_texts
 
 BATCH = 2 << 20              # bytes of text whose pairs are combined
 SHIFT = np.int64(32)
@@ -129,17 +134,18 @@ def piece_side(path: str) -> Callable[[], Side]:
     return lambda: kept((path, "pieces"), build)
 
 
-def _put(n: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Ids in the order of the texts, from (texts, their ids) parts."""
-    ids = np.zeros(int(n.sum()), np.int64)
-    first = np.cumsum(n) - n
-    for at, values in parts:
-        ids[C.ragged(first[at], n[at])] = values
-    return ids
+class Units(NamedTuple):
+    """Distinct words (or, where a text is not made of them, whole texts) of a
+    batch with their ids on both sides, and the units of each text."""
+    a: np.ndarray
+    count_a: np.ndarray      # ids of each unit
+    b: np.ndarray
+    count_b: np.ndarray
+    code: np.ndarray         # unit of each occurrence
+    count: np.ndarray        # units of each text; none where a side does not reproduce it
 
 
-def checked(a: Side, b: Side, texts: pa.Array) -> list[np.ndarray]:
-    """Ids and offsets of both sides; texts that either does not reproduce have none."""
+def units_of(a: Side, b: Side, texts: pa.Array) -> Units:
     some = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
     simple = pc.invert(pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " "))))
     easy = pc.fill_null(pc.and_(some, simple), False).to_numpy(zero_copy_only=False) & a.by_word & b.by_word
@@ -147,12 +153,12 @@ def checked(a: Side, b: Side, texts: pa.Array) -> list[np.ndarray]:
     fast = np.flatnonzero(easy)
     words = words_of_texts(texts.take(pa.array(fast)))
     distinct = words.distinct.to_pylist()
-    got = [side.words.gather(side.words.numbers(distinct)[words.code]) for side in (a, b)]
+    got = [side.words.gather(side.words.numbers(distinct)) for side in (a, b)]
     # texts with a word that does not come back are looked at whole, like those with more than single spaces
-    count = [per_text(c, words.count) for _, c in got]
-    odd = np.zeros(len(fast), bool)
-    for (ids, _), c in zip(got, count, strict=True):
-        odd |= per_text((ids < 0).astype(np.int64), c) > 0
+    odd_word = np.zeros(len(distinct), bool)
+    for ids, c in got:
+        odd_word |= per_text((ids < 0).astype(np.int64), c) > 0
+    odd = per_text(odd_word[words.code].astype(np.int64), words.count) > 0
     slow = np.flatnonzero(some & ~easy)
     if odd.any():
         slow = np.union1d(slow, fast[odd])
@@ -163,14 +169,17 @@ def checked(a: Side, b: Side, texts: pa.Array) -> list[np.ndarray]:
     good = np.ones(len(whole), bool)
     for side, (ids, c) in zip((a, b), late, strict=True):
         good &= side.faithful(np.frombuffer(b"".join(raw), np.uint8), size, ids, c)
-    result = []
-    for (ids, _), c, (ids_late, c_late) in zip(got, count, late, strict=True):
-        n = np.zeros(len(texts), np.int64)
-        n[fast[~odd]] = c[~odd]
-        n[slow[good]] = c_late[good]
-        result += [_put(n, [(fast[~odd], ids[np.repeat(~odd, c)]), (slow[good], ids_late[np.repeat(good, c_late)])]),
-                   np.concatenate([[0], np.cumsum(n)])]
-    return result
+    both = []
+    for (ids, c), (ids_late, c_late) in zip(got, late, strict=True):
+        both += [np.concatenate([ids[np.repeat(~odd_word, c)], ids_late[np.repeat(good, c_late)]]).astype(np.int64),
+                 np.concatenate([np.where(odd_word, 0, c), c_late[good]])]
+    count = np.zeros(len(texts), np.int64)
+    count[fast[~odd]] = words.count[~odd]
+    count[slow[good]] = 1
+    code, first = np.zeros(int(count.sum()), np.int64), np.cumsum(count) - count
+    code[C.ragged(first[fast[~odd]], words.count[~odd])] = words.code[np.repeat(~odd, words.count)]
+    code[first[slow[good]]] = len(distinct) + np.arange(int(good.sum()))
+    return Units(*both, code, count)
 
 
 # --------------------------------------------------------------- alignment
@@ -240,63 +249,73 @@ class Digits:
         self.table = np.frombuffer(b"".join(words), np.uint8)
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray, per_text: np.ndarray, digits: Digits) -> list[str]:
-    """``a1,a2|b1;a3|b2,b3`` of each text (``per_text`` groups each)."""
+def groups_text(a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray, digits: Digits) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of ``a1,a2|b1;`` of all groups, their ends)."""
     na, nb = np.diff(np.concatenate([[0], ga])), np.diff(np.concatenate([[0], gb]))
     total = np.cumsum(na + nb)
     ids = np.empty(len(a) + len(b), np.int64)
-    at_a = C.ragged(total - na - nb, na)
-    at_b = C.ragged(total - nb, nb)
-    ids[at_a], ids[at_b] = a, b
+    ids[C.ragged(total - na - nb, na)], ids[C.ragged(total - nb, nb)] = a, b
     size = digits.size[ids]
     data = digits.table[C.ragged(digits.offs[ids], size)]
     ends = np.concatenate([[0], np.cumsum(size)])
     data[ends[total - nb] - 1] = ord("|")
     data[ends[total] - 1] = ord(";")
-    cuts = ends[np.concatenate([[0], total])][np.concatenate([[0], np.cumsum(per_text)])]
-    raw = data.tobytes()
-    return [raw[s:max(s, e - 1)].decode() for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return data, ends[total]
 
 
 # ------------------------------------------------------------------- Spark
-def _blob(ids: np.ndarray, width: int) -> pa.Array:
-    return pa.array([pa.compress(ids.astype(f"<u{width}").tobytes(), codec="zstd", asbytes=True)], pa.binary())
+def _packed(u: Units, width: int) -> tuple[bytes, int]:
+    """All arrays of a batch but the texts' own, compressed, and their size."""
+    parts = [u.a.astype(f"<u{width}"), u.b.astype(f"<u{width}"), *(x.astype("<u4") for x in (u.count_a, u.count_b, u.code))]
+    raw = b"".join([np.array([len(x) for x in parts], "<i8").tobytes(), *(x.tobytes() for x in parts)])
+    return pa.compress(raw, codec="zstd", asbytes=True), len(raw)
 
 
-def _ids(blob: bytes, n: int, width: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(blob, n * width, codec="zstd", asbytes=True), f"<u{width}").astype(np.int64)
+def _unpacked(blob: bytes, size: int, width: int, count: np.ndarray) -> Units:
+    raw = pa.decompress(blob, size, codec="zstd", asbytes=True)
+    n, at, parts = np.frombuffer(raw, "<i8", 5).tolist(), 40, []
+    for k, w in zip(n, (width, width, 4, 4, 4), strict=True):
+        parts.append(np.frombuffer(raw, f"<u{w}", k, at).astype(np.int64))
+        at += k * w
+    a, b, count_a, count_b, code = parts
+    return Units(a, count_a, b, count_b, code, count)
 
 
 _PARTS = T.StructType([T.StructField(n, t()) for n, t in (
-    ("batch", T.LongType), ("pos", T.IntegerType), ("na", T.IntegerType), ("nb", T.IntegerType), ("a", T.BinaryType), ("b", T.BinaryType),
+    ("batch", T.LongType), ("pos", T.IntegerType), ("units", T.LongType), ("blob", T.BinaryType), ("raw", T.LongType),
     ("ida", T.IntegerType), ("idb", T.IntegerType), ("n", T.LongType), ("kind", T.IntegerType))])
 TEXT, PAIR, BLOB = 0, 1, 2
 
 
 def _tokens(make_a: Callable, make_b: Callable, keep: tuple[str, ...], width: int):
-    """Per batch: a TEXT row for each text (its place, its tokens), a PAIR row
-    for each distinct linked id pair, a BLOB row with all ids of both sides."""
-    empty = {"batch": pa.int64(), "a": pa.binary(), "b": pa.binary(), "n": pa.int64()}
+    """Per batch: a TEXT row for each text (its place and number of units), a
+    PAIR row for each distinct linked id pair, a BLOB row with all units."""
+    types = {"batch": pa.int64(), "units": pa.int64(), "blob": pa.binary(), "raw": pa.int64(), "n": pa.int64()}
 
     def rows(kind: int, batch: int, size: int, front: list, **cols) -> Iterator[pa.RecordBatch]:
-        cols |= {"batch": pa.array(np.full(size, batch)), "kind": pa.array(np.full(size, kind, np.int32))}
+        cols |= {"batch": np.full(size, batch), "kind": np.full(size, kind)}
         names = _PARTS.fieldNames()
-        yield from pa.table([*front, *(cols[c] if c in cols else pa.nulls(size, empty.get(c, pa.int32())) for c in names)],
+        yield from pa.table([*front, *(pa.array(cols[c], types.get(c, pa.int32())) if c in cols else pa.nulls(size, types.get(c, pa.int32())) for c in names)],
                             names=[*keep, *names]).to_batches(max_chunksize=1 << 14)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = make_a(), make_b()
         batch = TaskContext.get().partitionId() << 32
         for t in (x for part in batches for x in text_steps(part, len(keep), BATCH)):
-            ia, oa, ib, ob = checked(a, b, t.column(len(keep)))
-            count = [pa.array(np.diff(o).astype(np.int32)) for o in (oa, ob)]
-            yield from rows(TEXT, batch, t.num_rows, t.columns[:len(keep)], pos=pa.array(np.arange(t.num_rows, dtype=np.int32)), na=count[0], nb=count[1])
-            none = [pa.nulls(1, x.type) for x in t.columns[:len(keep)]]
-            yield from rows(BLOB, batch, 1, none, a=_blob(ia, width), b=_blob(ib, width))
-            keys, n = np.unique(links_of(ia, np.cumsum(a.size[ia]), ib, np.cumsum(b.size[ib]))[0], return_counts=True)
-            none = [pa.nulls(len(keys), x.type) for x in t.columns[:len(keep)]]
-            yield from rows(PAIR, batch, len(keys), none, ida=pa.array((keys >> SHIFT).astype(np.int32)),
-                            idb=pa.array((keys & ((1 << 32) - 1)).astype(np.int32)), n=pa.array(n.astype(np.int64)))
+            u = units_of(a, b, t.column(len(keep)))
+            front = t.columns[:len(keep)]
+            yield from rows(TEXT, batch, t.num_rows, front, pos=np.arange(t.num_rows), units=u.count)
+            blob, size = _packed(u, width)
+            yield from rows(BLOB, batch, 1, [pa.nulls(1, x.type) for x in front], blob=[blob], raw=[size])
+            # links of each unit once, as often as the unit occurs
+            ends = np.cumsum(a.size[u.a])
+            link, end = links_of(u.a, ends, u.b, np.cumsum(b.size[u.b]))
+            often = np.bincount(u.code, minlength=len(u.count_a))
+            unit_end = np.concatenate([[0], ends])[np.cumsum(u.count_a)]
+            keys, which = np.unique(link, return_inverse=True)
+            n = np.bincount(which, often[np.searchsorted(unit_end, end)], len(keys)).astype(np.int64)
+            keys, n = keys[n > 0], n[n > 0]
+            yield from rows(PAIR, batch, len(keys), [pa.nulls(len(keys), x.type) for x in front], ida=keys >> SHIFT, idb=keys & ((1 << 32) - 1), n=n)
             batch += 1
     return run
 
@@ -306,6 +325,7 @@ def _align(size_a: np.ndarray, size_b: np.ndarray, keep: tuple[str, ...], width:
     names = [*keep, *_ADDED.fieldNames()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         digits = Digits(max(len(size_a), len(size_b)))
         for _, t in C.key_runs(batches, "batch"):
             t = t.combine_chunks()
@@ -313,22 +333,29 @@ def _align(size_a: np.ndarray, size_b: np.ndarray, keep: tuple[str, ...], width:
             keys = flat.field("ida").to_numpy().astype(np.int64) << SHIFT | flat.field("idb").to_numpy().astype(np.int64)
             order = np.argsort(keys)
             keys, total = keys[order], flat.field("total").to_numpy()[order]
-            best = flat.field("best").to_numpy(zero_copy_only=False)[order]
-            blob = t.filter(pc.is_valid(t["a"]))
+            best = flat.field("best").to_numpy(zero_copy_only=False)[order].astype(np.int64)
+            blob = t.filter(pc.is_valid(t["blob"]))
             t = t.filter(pc.is_valid(t["pos"])).sort_by("pos").combine_chunks()
-            oa, ob = (np.concatenate([[0], np.cumsum(t[c].to_numpy().astype(np.int64))]) for c in ("na", "nb"))
-            ia, ib = _ids(blob["a"][0].as_py(), oa[-1], width), _ids(blob["b"][0].as_py(), ob[-1], width)
-            ea, eb = np.cumsum(size_a[ia]), np.cumsum(size_b[ib])
-            link, end = links_of(ia, ea, ib, eb)
-            at = np.searchsorted(keys, link)
-            text_end = np.concatenate([[0], ea])[oa[1:]]
-            n_links = np.diff(np.concatenate([[0], np.searchsorted(end, text_end, side="right")]))
-            ga, gb = shared_groups(ea, eb, oa, ob)
-            n_groups = np.diff(np.concatenate([[0], np.searchsorted(ga, oa[1:], side="right")]))
-            text = groups_text(ia, ib, ga, gb, n_groups, digits)
-            yield from pa.table([*t.select(list(keep)).columns, *map(pa.array, (
-                np.diff(oa), np.diff(ob), n_groups, n_links, per_text(best[at].astype(np.int64), n_links), per_text(total[at], n_links))),
-                pa.array(text, pa.string())], names=names).to_batches(max_chunksize=1 << 12)
+            u = _unpacked(blob["blob"][0].as_py(), blob["raw"][0].as_py(), width, t["units"].to_numpy())
+            # everything once per unit, then gathered by text
+            ends_a, ends_b = np.cumsum(size_a[u.a]), np.cumsum(size_b[u.b])
+            offs_a, offs_b = (np.concatenate([[0], np.cumsum(c)]) for c in (u.count_a, u.count_b))
+            link, end = links_of(u.a, ends_a, u.b, ends_b)
+            n_links = np.diff(np.searchsorted(end, np.concatenate([[0], ends_a])[offs_a], side="right"))
+            # a unit that no text uses may have pairs without a count
+            at = np.minimum(np.searchsorted(keys, link), max(len(keys) - 1, 0))
+            sums = [per_text(x[at], n_links) if len(keys) else np.zeros(len(n_links), np.int64) for x in (best, total)]
+            ga, gb = shared_groups(ends_a, ends_b, offs_a, offs_b)
+            n_groups = np.diff(np.searchsorted(ga, offs_a, side="right"))
+            data, ends = groups_text(u.a, u.b, ga, gb, digits)
+            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_groups)])]
+            size = np.diff(cuts)[u.code]
+            raw = data[C.ragged(cuts[:-1][u.code], size)].tobytes()
+            stop = np.cumsum(per_text(size, u.count)).tolist()
+            text = [raw[i:max(i, j - 1)].decode() for i, j in zip([0, *stop], stop, strict=False)]
+            yield from pa.table([*t.select(list(keep)).columns,
+                                 *(pa.array(per_text(x[u.code], u.count)) for x in (u.count_a, u.count_b, n_groups, n_links, *sums)),
+                                 pa.array(text, pa.string())], names=names).to_batches(max_chunksize=1 << 12)
     return run
 
 
@@ -357,6 +384,6 @@ def align(docs: DataFrame, make_a: Callable[[], Side], make_b: Callable[[], Side
     known = counts.join(top, "idb").select("ida", "idb", "total", (F.col("total") == F.col("top")).alias("best"))
     info = pairs.drop("n").join(known, ["ida", "idb"]) \
         .groupBy("batch").agg(F.collect_list(F.struct("ida", "idb", "total", "best")).alias("pairs"))
-    texts = both.where(F.col("kind") != PAIR).select(*keep, "batch", "pos", "na", "nb", "a", "b")
+    texts = both.where(F.col("kind") != PAIR).select(*keep, "batch", "pos", "units", "blob", "raw")
     met = texts.withColumn("pairs", F.lit(None).cast(info.schema["pairs"].dataType)).unionByName(info, allowMissingColumns=True)
     return C.by_key(met, "batch").mapInArrow(C.tidy(_align(make_a().size, make_b().size, keep, width)), T.StructType([*fields, *_ADDED.fields]))
