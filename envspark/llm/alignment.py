@@ -49,6 +49,7 @@ from envspark.llm import common as C
 from envspark.llm.units import Remembered, flat_lists, forget, kept, per_text, text_steps, words_of_texts
 
 BATCH = 2 << 20              # bytes of text whose pairs are combined
+WORDS = 150_000              # distinct words a side remembers
 SHIFT = np.int64(32)
 
 
@@ -63,7 +64,7 @@ class Side:
         self.size = np.array([len(p) for p in pieces], np.int64)
         self.offs = np.cumsum(self.size) - self.size
         self.table = np.frombuffer(b"".join(pieces), np.uint8)
-        self.words = Remembered(self._words)
+        self.words = Remembered(self._words, WORDS)
 
     def faithful(self, raw: np.ndarray, size: np.ndarray, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Whether the joined bytes of each text's ids are its ``size`` bytes of ``raw``."""
@@ -101,7 +102,7 @@ def byte_level_side(path: str) -> Callable[[], Side]:
         def merge(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
             parts = [bpe.merge_words([w.encode() for w in pieces[i:i + (1 << 17)]], tables) for i in range(0, len(pieces), 1 << 17)]
             return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-        pieces = Remembered(merge)
+        pieces = Remembered(merge, WORDS)
 
         def encode(texts: list[str], words: bool) -> tuple[np.ndarray, np.ndarray]:
             if not words:

@@ -50,8 +50,8 @@ class _Numbers(dict):
 class Remembered:
     """``encode`` gives (ids of all words of a list, number of ids of each)."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = CACHE) -> None:
+        self.encode, self.most = encode, most
         self._clear()
 
     def _clear(self) -> None:
@@ -60,7 +60,7 @@ class Remembered:
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """Numbers of the words, valid until the next call."""
-        if len(self.words) > CACHE:
+        if len(self.words) > self.most:
             self._clear()
         known = len(self.words)
         at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
