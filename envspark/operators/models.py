@@ -341,17 +341,18 @@ def model_checks(result: RunResult, td: TrainingData) -> DataFrame:
                 F.lit(None if total is None else round(total, 6)).cast("double").alias("importance_sum"))
 
 
-def ridge_residuals(result: RunResult, td: TrainingData) -> DataFrame:
-    """K5: the normal equation of each feature, sum x (y' - y) + w, as a share
-    of sum |x y| (zero for the exact ridge solution)."""
+def gradient_residuals(result: RunResult, td: TrainingData) -> DataFrame:
+    """K5, K6: the equation that the optimum of a penalised linear or logistic
+    model meets for each feature, sum x (y' - y) + w = 0 with y' the prediction
+    or the positive probability, as a share of sum |x y|."""
     weights = result.model.stages[-1].coefficients.toArray().tolist()
     scored = result.model.transform(td.train_scaled)
-    gap = F.col("prediction") - F.col("label")
+    guess = vector_to_array("probability")[1] if td.task == "classification" else F.col("prediction")
+    gap = guess - F.col("label")
     sums = scored.agg(*[e for f in td.features for e in (
         F.sum(F.col(f) * gap).alias(f"{f}__g"), F.sum(F.abs(F.col(f) * F.col("label"))).alias(f"{f}__s"))])
     rows = ", ".join(f"'{f}', (`{f}__g` + {w!r}D) / greatest(`{f}__s`, 1D)" for f, w in zip(td.features, weights, strict=True))
-    return sums.selectExpr(f"stack({len(weights)}, {rows}) as (feature, residual)") \
-        .select("feature", F.round("residual", 5).alias("residual"))
+    return sums.selectExpr(f"stack({len(weights)}, {rows}) as (feature, residual)")
 
 
 # --- M3: artefact --------------------------------------------------------------

@@ -672,7 +672,15 @@ def q_model_checks_cls(spark, sf_dir):
 def q_ridge_equations(spark, sf_dir):
     """K5: the normal equation of every feature on the encoded training rows."""
     run = _run(spark, sf_dir, PROXY, ["Ridge"])
-    return M.ridge_residuals(run.best, run.td)
+    return M.gradient_residuals(run.best, run.td).select("feature", F.round("residual", 5).alias("residual"))
+
+
+@register("logistic_normal_equations")
+def q_logistic_equations(spark, sf_dir):
+    """K6: the same for the logistic model on the alert flag (its iterations end
+    at a tolerance, so three decimals)."""
+    run = _run(spark, sf_dir, "alerte_pollution", ["LogisticRegression"])
+    return M.gradient_residuals(run.best, run.td).select("feature", (F.round("residual", 3) + 0.0).alias("residual"))
 
 
 @register("feature_importance")

@@ -76,12 +76,12 @@ def payload_rows(df: DataFrame, forecast: DataFrame, threshold: DataFrame, targe
         F.count_distinct("ville").alias("cities"),
         F.count_distinct("region").alias("regions"),
         (py_round(F.avg(target), 2) if target in df.columns else F.lit(None).cast("double")).alias("target_mean"),
-    ).crossJoin(threshold.select(py_round(F.col("seuil"), 2).alias("threshold_alert")))
+    ).crossJoin(F.broadcast(threshold.select(py_round(F.col("seuil"), 2).alias("threshold_alert"))))       # one row
     src = "source_prevision" if "source_prevision" in forecast.columns else None
     city = ["ville"] if "ville" in forecast.columns else []
     fc = forecast.select(*city, F.date_format("date", "yyyy-MM-dd").alias("date"), "prediction", "niveau",
                          (F.col(src) if src else F.lit(C.TREND_SOURCE)).alias("forecast_source"))
-    return k.crossJoin(fc).withColumns({
+    return fc.crossJoin(F.broadcast(k)).select(*k.columns, *fc.columns).withColumns({
         "target_name": F.lit(target), "target_label": F.lit(cfg.label), "task_type": F.lit(cfg.task_type)})
 
 
