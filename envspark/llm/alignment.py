@@ -46,10 +46,11 @@ from pyspark.sql import types as T
 
 from envspark.llm import bpe
 from envspark.llm import common as C
-from envspark.llm.units import Remembered, flat_lists, forget, kept, per_text, text_steps, words_of_texts
+from envspark.llm.units import Remembered, flat_lists, per_text, text_steps, words_of_texts
 
 BATCH = 2 << 20              # bytes of text whose pairs are combined
 WORDS = 150_000              # distinct words a side remembers
+STEP = 1 << 19               # bytes gathered at once
 SHIFT = np.int64(32)
 
 
@@ -114,7 +115,7 @@ def byte_level_side(path: str) -> Callable[[], Side]:
             word = np.cumsum(np.fromiter((p[0] == " " for p in found), bool, len(found))) - 1
             return ids, np.bincount(word, count, len(texts)).astype(np.int64)
         return Side(encode, [raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], True)
-    return lambda: kept((path, "bytes"), build)
+    return build
 
 
 def piece_side(path: str) -> Callable[[], Side]:
@@ -132,7 +133,7 @@ def piece_side(path: str) -> Callable[[], Side]:
         by_word = not any(a != "▁" == b for p in names for a, b in zip(p, p[1:], strict=False)) and all(
             "".join(names[i] for i in sp.encode(x)) == "▁" + x.replace(" ", "▁") for x in ("a  b ", " a", "a"))
         return Side(lambda texts, _: flat_lists(sp.encode(texts, num_threads=1)), pieces, by_word)
-    return lambda: kept((path, "pieces"), build)
+    return build
 
 
 class Units(NamedTuple):
@@ -264,6 +265,17 @@ def groups_text(a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray, di
     return data, ends[total]
 
 
+def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
+    """Concatenation of data[start:start + size) of every item, put together in
+    steps of ``STEP`` bytes: an index is eight times as large as its bytes."""
+    ends, out, lo = np.cumsum(size), [], 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP, side="right")))
+        out.append(data[C.ragged(start[lo:hi], size[lo:hi])].tobytes())
+        lo = hi
+    return b"".join(out)
+
+
 # ------------------------------------------------------------------- Spark
 def _packed(u: Units, width: int) -> tuple[bytes, int]:
     """All arrays of a batch but the texts' own, compressed, and their size."""
@@ -326,7 +338,6 @@ def _align(size_a: np.ndarray, size_b: np.ndarray, keep: tuple[str, ...], width:
     names = [*keep, *_ADDED.fieldNames()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         digits = Digits(max(len(size_a), len(size_b)))
         for _, t in C.key_runs(batches, "batch"):
             t = t.combine_chunks()
@@ -351,7 +362,7 @@ def _align(size_a: np.ndarray, size_b: np.ndarray, keep: tuple[str, ...], width:
             data, ends = groups_text(u.a, u.b, ga, gb, digits)
             cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_groups)])]
             size = np.diff(cuts)[u.code]
-            raw = data[C.ragged(cuts[:-1][u.code], size)].tobytes()
+            raw = gathered(data, cuts[:-1][u.code], size)
             stop = np.cumsum(per_text(size, u.count)).tolist()
             text = [raw[i:max(i, j - 1)].decode() for i, j in zip([0, *stop], stop, strict=False)]
             yield from pa.table([*t.select(list(keep)).columns,

@@ -117,8 +117,3 @@ def kept(key: tuple, build: Callable):
             del _KEPT[old]
         _KEPT[key] = build()
     return _KEPT[key]
-
-
-def forget() -> None:
-    """Let go of what ``kept`` holds (a step that does not encode needs the memory)."""
-    _KEPT.clear()
