@@ -44,6 +44,7 @@ from envspark.llm.units import Remembered, flat_lists, joined, kept, per_text, t
 GROUP = 1 << 21              # tokens packed at once
 SPARE = 16                   # padding a closed window may have
 TEXT_STEP = 4 << 20          # bytes of text encoded at once
+PIECES = 800_000             # distinct word pieces that a worker remembers (about 150 bytes each)
 SECOND = 1 << 62             # sequence ids of the second step start here
 
 
@@ -269,7 +270,7 @@ def word_tokenizer(path: str) -> Callable[[], Callable]:
 
         def by(tok) -> Callable:
             return lambda words: flat_lists([e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)])
-        pieces = Remembered(by(bare))
+        pieces = Remembered(by(bare), PIECES)
 
         def latin(words: str, n: int) -> tuple[np.ndarray, np.ndarray]:
             # the spaces between the words come out as pieces of their own
