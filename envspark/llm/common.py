@@ -200,16 +200,20 @@ def words_of(data: np.ndarray, offs: np.ndarray, space: np.ndarray | None = None
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
+BASE = 0xD6E8FEB86659FD93
+OTHER_BASE = 0xA0761D6478BD642F      # of a second, independent window hash
+OTHER = 0xE7037ED1A0B428DB           # xor-ed into the values that it reads
+
+
+def window_hashes(values: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
     """Rabin-Karp hash of every ``width`` consecutive values (over all texts;
     the caller drops windows that cross a border)."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     acc = values[:n].copy()
-    base = np.uint64(0xD6E8FEB86659FD93)
     for j in range(1, width):
-        acc *= base
+        acc *= np.uint64(base)
         acc += values[j:j + n]
     return mix64(acc)
 

@@ -1,12 +1,13 @@
 """Substring dedup on word windows (operator 10).
 
 Every window of ``width`` consecutive words of one document gets a Rabin-Karp
-hash (rolling polynomial over 64-bit word hashes).  Spark deals the hashes out
-by hash bucket; a window whose hash also starts in a document with a smaller
+hash of 96 bits: a rolling polynomial over 64-bit word hashes, and 32 bits of a
+second one with another base over the same words mixed anew.  Spark deals the
+hashes out by hash bucket; a window whose hash also starts in a document with a smaller
 ``doc_id`` is marked, marked windows merge into maximal word intervals, and
 the words of these intervals are removed.
 
-Plan: one shuffle of (8-byte hash, 2-byte step) per window, one of the marks,
+Plan: one shuffle of (12-byte hash, 2-byte step) per window, one of the marks,
 one join of the texts with their intervals.
 
 * Each map batch sends a window only for the smallest doc_id that holds it in
@@ -14,13 +15,17 @@ one join of the texts with their intervals.
   of all documents share so costs one entry per batch, not one per document.
 * Hashes are packed into binary columns per (batch, bucket), so no Spark row
   exists per window.
+* A task unpacks one bucket at a time.  The number of buckets follows the bytes
+  of the texts, so that a bucket holds about ``BUCKET_BYTES`` packed however
+  large the corpus is.
 
 Defined results: null text has no words; a null ``doc_id`` is no smaller
 document and loses nothing; rows with equal doc_id do not affect each other;
 repeated rows each come back; a document shorter than the window is kept;
 empty tables give empty results; extra columns of the input are ignored.
-Two windows are taken as equal when their 64-bit hashes are.  The input should
-come from storage: map batches follow its row order, which a recomputed task
+Two windows are taken as equal when their 96-bit hashes are: among 10^12
+different windows, one false pair is expected in about 10^5 such corpora.
+The input should come from storage: map batches follow its row order, which a recomputed task
 has to meet again.
 """
 
@@ -36,24 +41,42 @@ from pyspark.sql import functions as F
 from envspark.llm import common as C
 
 BATCH_TEXT = 4 << 20
+BUCKET_BYTES = 256 << 20     # packed windows of one bucket, about
+PACKED_PER_BYTE = 3          # packed bytes a byte of text, about (a window a word)
 LOCAL = -1
 
-_PACK = "bucket int, ids binary, keys binary, counts binary, steps binary, wide binary, hashes binary"
-_NAMES = ["bucket", "ids", "keys", "counts", "steps", "wide", "hashes"]
+_PACK = "bucket int, ids binary, keys binary, counts binary, steps binary, wide binary, hashes binary, tags binary"
+_NAMES = ["bucket", "ids", "keys", "counts", "steps", "wide", "hashes", "tags"]
 _SCHEMA = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in _NAMES[1:]]])
 
 
-def _hash_batch(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document ordinal, start word in the document) of every window."""
+def _hash_batch(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, tag, document ordinal, start word in the document) of every window."""
     starts, ends, first = C.words_of(data, offs)
     at = C.inside(first, width)
-    hashes = C.window_hashes(C.span_hashes(data, starts, ends), width)[at] if len(at) else np.zeros(0, np.uint64)
+    hashes, tags = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    if len(at):
+        words = C.span_hashes(data, starts, ends)
+        hashes = C.window_hashes(words, width)[at]
+        tags = (C.window_hashes(C.mix64(words ^ np.uint64(C.OTHER)), width, C.OTHER_BASE) >> np.uint64(32)).astype(np.uint32)[at]
     counts = np.maximum(np.diff(first) - width + 1, 0)
     doc = np.repeat(np.arange(len(counts)), counts)
-    return hashes, doc, at - first[:-1][doc]
+    return hashes, tags, doc, at - first[:-1][doc]
 
 
-def _pack(bucket: int, ids, keys, doc, pos, hashes=None) -> tuple:
+def _grouped(h: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that puts equal windows together, whether each equals the one before it)."""
+    order = np.argsort(h, kind="stable")
+    sh, st = h[order], tag[order]
+    close, same = sh[1:] == sh[:-1], st[1:] == st[:-1]
+    if (close & ~same).any():                 # different windows of one 64-bit hash
+        order = np.lexsort((tag, h))
+        sh, st = h[order], tag[order]
+        close, same = sh[1:] == sh[:-1], st[1:] == st[:-1]
+    return order, np.concatenate([np.zeros(min(len(h), 1), bool), close & same])
+
+
+def _pack(bucket: int, ids, keys, doc, pos, hashes=None, tags=None) -> tuple:
     """One row for windows in order of (document, position): ids and keys once
     per document, positions as steps of two bytes (wider ones apart)."""
     lead = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1])
@@ -63,7 +86,7 @@ def _pack(bucket: int, ids, keys, doc, pos, hashes=None) -> tuple:
     small = step.astype(np.uint16)
     small[wide] = 65535
     return (bucket, ids[doc[lead]].tobytes(), keys[doc[lead]].tobytes(), np.diff(np.append(lead, len(doc))).astype(np.uint32).tobytes(),
-            small.tobytes(), step[wide].astype(np.uint32).tobytes(), b"" if hashes is None else hashes.tobytes())
+            small.tobytes(), step[wide].astype(np.uint32).tobytes(), b"" if hashes is None else hashes.tobytes(), b"" if tags is None else tags.tobytes())
 
 
 def _unpack(t: pa.Table):
@@ -99,22 +122,21 @@ def _windows(width: int, buckets: int):
         for t in C.text_batches(batches, BATCH_TEXT):
             ids = t["_id"].to_numpy()
             keys = t["_key"].to_numpy()
-            h, doc, pos = _hash_batch(*C.utf8_view(t["text"]), width)
+            h, tag, doc, pos = _hash_batch(*C.utf8_view(t["text"]), width)
             if not len(h):
                 continue
-            order = np.argsort(h, kind="stable")
-            sh = h[order]
-            head = np.flatnonzero(np.concatenate([[True], sh[1:] != sh[:-1]]))
+            order, again = _grouped(h, tag)
+            head = np.flatnonzero(~again)
             owner = ids[doc[order]]
-            least = np.repeat(np.minimum.reduceat(owner, head), np.diff(np.append(head, len(sh))))
+            least = np.repeat(np.minimum.reduceat(owner, head), np.diff(np.append(head, len(order))))
             sent = np.empty(len(h), bool)
             sent[order] = owner == least
-            del order, sh, owner, least
+            del order, again, owner, least
             local, out = np.flatnonzero(~sent), np.flatnonzero(sent)
             rows = [_pack(LOCAL, ids, keys, doc[local], pos[local])] if len(local) else []
             for b, idx in _by((h[out] % np.uint64(buckets)).astype(np.int32), buckets):
                 idx = out[idx]
-                rows.append(_pack(b, ids, keys, doc[idx], pos[idx], h[idx]))
+                rows.append(_pack(b, ids, keys, doc[idx], pos[idx], h[idx], tag[idx]))
             yield from _rows(rows)
     return run
 
@@ -128,13 +150,12 @@ def _judged(buckets: Iterator[pa.Table]) -> Iterator[tuple]:
             yield ids, keys, doc, pos
             continue
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()])
-        order = np.argsort(h)
-        sh = h[order]
-        again = np.concatenate([[False], sh[1:] == sh[:-1]])
+        tag = np.concatenate([np.frombuffer(x, np.uint32) for x in t["tags"].to_pylist()])
+        order, again = _grouped(h, tag)
         both = again.copy()
         both[:-1] |= again[1:]
         order, again = order[both], again[both]
-        del sh, h, both
+        del h, tag, both
         if not len(order):
             continue
         head = np.flatnonzero(~again)
@@ -193,8 +214,10 @@ def removal_runs(docs: DataFrame, width: int = 13) -> DataFrame:
     n = C.n_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), C.row_key("doc_id", "text").alias("_key"), "text") \
         .where("_id IS NOT NULL AND text IS NOT NULL")
-    part = F.when(F.col("bucket") == LOCAL, F.pmod(F.xxhash64("keys"), F.lit(n))).otherwise(F.col("bucket")).cast("int")
-    marks = rows.mapInArrow(C.tidy(_windows(width, n)), _PACK).repartitionById(n, part).sortWithinPartitions("bucket") \
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(n, -(-size * PACKED_PER_BYTE // BUCKET_BYTES))
+    part = F.when(F.col("bucket") == LOCAL, F.pmod(F.xxhash64("keys"), F.lit(buckets))).otherwise(F.col("bucket")).cast("int")
+    marks = rows.mapInArrow(C.tidy(_windows(width, buckets)), _PACK).repartitionById(buckets, part).sortWithinPartitions("bucket") \
         .mapInArrow(C.tidy(_judge(n)), _PACK)
     return marks.repartitionById(n, F.col("bucket")).mapInArrow(C.tidy(_runs), "id long, key long, runs binary")
 

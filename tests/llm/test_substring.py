@@ -39,6 +39,48 @@ def test_against_brute_force(spark, frame, monkeypatch, batch):
     assert got == brute(rows, 5)
 
 
+def test_windows_of_one_hash_are_told_apart(spark, frame, monkeypatch):
+    """With 64-bit hashes cut to three bits, the tags alone decide."""
+    whole = M._hash_batch
+
+    def weak(data, offs, width):
+        h, *rest = whole(data, offs, width)
+        return h & M.np.uint64(7), *rest
+    monkeypatch.setattr(M, "_hash_batch", weak)
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["a", "b", "c"], k=rng.randrange(0, 40)))) for i in range(60)]
+    n = 4
+
+    def marks(batch_rows):
+        import numpy as np
+        import pyarrow as pa
+        batches = [pa.RecordBatch.from_pydict({"_id": pa.array([d for d, _ in part], pa.int64()), "_key": pa.array([d for d, _ in part], pa.int64()),
+                                               "text": pa.array([t for _, t in part], pa.string())})
+                   for part in (rows[i:i + batch_rows] for i in range(0, len(rows), batch_rows))]
+        monkeypatch.setattr(M, "BATCH_TEXT", 1)
+        packed = pa.Table.from_batches(list(M._windows(5, n)(iter(batches))), schema=M._SCHEMA).sort_by("bucket")
+        got = set()
+        for ids, _, doc, pos in (M._unpack(pa.Table.from_batches([b])) for b in M._judge(n)(iter(packed.to_batches())) if b.num_rows):
+            got |= set(zip(np.asarray(ids)[doc].tolist(), pos.tolist(), strict=True))
+        return got
+    first, want = {}, set()
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 4):
+            if first.setdefault(tuple(w[i:i + 5]), d) < d:
+                want.add((d, i))
+    assert want and marks(7) == want == marks(60)
+
+
+def test_buckets_follow_the_bytes(spark, frame, monkeypatch):
+    """More buckets than shuffle partitions give the same rows."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["a", "b", "é"], k=rng.randrange(0, 60)))) for i in range(80)]
+    monkeypatch.setattr(M, "BUCKET_BYTES", 500)
+    out = M.substring_dedup(frame(rows), width=6)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out.collect()), key=repr) == brute(rows, 6)
+
+
 def test_spans_are_maximal(spark, frame):
     base = " ".join(f"w{i}" for i in range(40))
     rows = [(1, base), (2, "x " + base + " y"), (3, base.replace("w20", "v"))]
