@@ -55,8 +55,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS))
     out = resharding.reshard(documents(spark, sf_dir), common.new_path(spark, "shards"), SHARDS, old)
-    return out.select("doc_id", "size", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
-                      F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,23 +138,26 @@ def reshard(docs: DataFrame, path: str, shards: int, old_shard,
             cost: Callable[[int, int], int] = _moves_cost) -> DataFrame:
     """Write ``docs`` (doc_id, text) under ``path`` in folders ``shard=N`` of
     near equal size; ``old_shard`` is the column of their present shard
-    (0, 1, ...).  Returns doc_id, text, size, old, shard, slot as written,
-    slots gapless from 0 in every shard."""
+    (0, 1, ...).  Returns doc_id, text, size, text_crc32 (unsigned, of the
+    UTF-8 text), old, shard, slot as written, slots gapless from 0 in every
+    shard.  Size and checksum lie in the files beside the text, so that a
+    reader that takes only them joins slots without moving texts again."""
     spark = docs.sparkSession
     rows = _sized(docs, old_shard)
     count, most = rows.agg(F.count(F.lit(1)), F.max("old")).first()
     rows = _blocked(rows, max(1, count // (BLOCK_ROWS * ((most or 0) + 1))))
     blocks = _blocks(rows)
     _placed(rows, blocks, plan_transfers(blocks, shards, cost)) \
-        .select("doc_id", "text", "size", "old", "place", "rn", "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+        .select("doc_id", "text", "size", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
+                "old", "place", "rn", "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
     C.release(spark)
-    files = spark.read.schema("doc_id long, text string, size long, old int, place int, rn int, shard int").parquet(path)
+    files = spark.read.schema("doc_id long, text string, size long, text_crc32 long, old int, place int, rn int, shard int").parquet(path)
     # slots: blocks follow each other within a shard, rows within their block
     mine = files.groupBy("shard", "old", "place").agg(F.count(F.lit(1)).alias("n"), F.min("rn").alias("first"))
     order = Window.partitionBy("shard").orderBy("old", "place")
     offset = mine.withColumn("base", F.sum("n").over(order) - F.col("n")).drop("n")
     return files.join(offset, ["shard", "old", "place"]) \
-        .select("doc_id", "text", "size", "old", "shard", (F.col("base") + F.col("rn") - F.col("first")).cast("long").alias("slot"))
+        .select("doc_id", "text", "size", "text_crc32", "old", "shard", (F.col("base") + F.col("rn") - F.col("first")).cast("long").alias("slot"))
 
 
 def rewrite(spark: SparkSession, source: str, target: str, shards: int,

@@ -1,5 +1,6 @@
 import itertools
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def test_every_row_once_near_equal_and_gapless(spark, frame, tmp_path, monkeypat
     assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted(rows, key=repr)
     by = {}
     for r in out:
-        assert r.size == len((r.text or "").encode()) + 1
+        assert r.size == len((r.text or "").encode()) + 1 and r.text_crc32 == zlib.crc32((r.text or "").encode())
         by.setdefault(r.shard, []).append(r)
     sizes = {s: sum(r.size for r in rs) for s, rs in by.items()}
     assert set(by) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 9000
@@ -69,6 +70,14 @@ def test_rewrite_touches_only_affected_shards(spark, frame, tmp_path, monkeypatc
     assert {d for s, d, _ in rows if s == 1} <= parts[1]
 
 
+def test_digest_reader_leaves_texts_in_the_files(spark, frame, tmp_path):
+    """Without its text column, the result's plan reads and moves no text."""
+    _, df = docs_of(frame, n=50)
+    out = M.reshard(df, str(tmp_path / "shards"), 3, F.pmod(F.xxhash64("doc_id"), F.lit(2))).drop("text")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "size#" in plan and "text#" not in plan
+
+
 def test_empty_and_extra_columns(spark, tmp_path):
     schema = "doc_id long, text string, shard string, size int, old int"
     old = F.pmod(F.xxhash64("doc_id"), F.lit(3))
