@@ -12,8 +12,14 @@ record.  ``assemble`` brings the records of a capture together by the
 identifier that they are concurrent to, in one grouped shuffle instead of two
 joins: one nested row per capture.
 
-Payloads are deduplicated by SHA-1 before any page moves: only digests that
-occur more than once take part in the join that finds the first page.
+Payloads are deduplicated by SHA-1 on slim rows (id, digest, size): only digests
+that occur more than once take part in the join that finds the first page.
+
+A reader holds a whole archive, so files are cut by bytes: their number comes
+from the summed sizes, and pages move once, by (digest, id), into one file
+each task.  A file so holds about ``FILE_BYTES`` of pages, and a page longer
+than that mostly a file to itself.  Pages of one payload have ids of their own
+and spread over all files.
 
 Defined results: null html is the empty payload; null and repeated ids are
 kept, each row is its own capture; a null page_id is never the first page
@@ -43,6 +49,7 @@ DATE = "1970-01-01T00:00:00Z"                # pages carry no fetch time
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE = 6000
 FILE_BYTES = 32 << 20
+RECORD_HEADS = 1000                          # what the records of a capture hold beside the payload, about
 READ_STEP = 1 << 20
 
 
@@ -91,6 +98,11 @@ def _to_records(run_id: str):
     return run
 
 
+def file_count(total: int, cores: int) -> int:
+    """Files for ``total`` bytes: one for each ``FILE_BYTES``, at least one per core."""
+    return max(1, cores, -(-total // FILE_BYTES))
+
+
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write ``pages`` (page_id, url, html) as gzipped WARC files under
     ``path``, each of about ``FILE_BYTES`` before compression."""
@@ -98,15 +110,19 @@ def write_archives(pages: DataFrame, path: str) -> None:
     C.small_batches(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1("html")))
-    shared = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = rows.join(shared.select("digest", "first"), "digest", "left") \
-        .select("page_id", "url", "html", "first",
-                (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("again"))
-    # however finely the join is dealt out, a file (and its compressor) per FILE_BYTES and two per core are enough
-    total = rows.agg(F.sum(F.octet_length("html") + 1000)).first()[0] or 0
-    files = max(2 * spark.sparkContext.defaultParallelism, -(-total // FILE_BYTES))
-    marked.coalesce(files).mapInArrow(C.tidy(_to_records(str(uuid.uuid4()))), "value string").write.mode("overwrite") \
+    # a null id as a key of its own
+    rows = rows.withColumn("digest", F.unhex(F.sha1("html"))) \
+        .withColumn("at", F.coalesce("page_id", F.lit(0))).withColumn("none", F.col("page_id").isNull())
+    slim = C.materialize(rows.select("digest", "at", "none", "page_id", (F.octet_length("html") + RECORD_HEADS).cast("long").alias("bytes")), "payloads")
+    shared = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    revisits = slim.join(shared.select("digest", "first"), "digest") \
+        .where(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))) \
+        .groupBy("digest", "at", "none").agg(F.first("first").alias("first"))
+    files = file_count(slim.agg(F.sum("bytes")).first()[0] or 0, spark.sparkContext.defaultParallelism)
+    key = ["digest", "at", "none"]
+    marked = rows.repartition(files, *key).join(revisits.repartition(files, *key), key, "left") \
+        .select("page_id", "url", "html", "first", F.col("first").isNotNull().alias("again"))
+    marked.mapInArrow(C.tidy(_to_records(str(uuid.uuid4()))), "value string").write.mode("overwrite") \
         .option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 

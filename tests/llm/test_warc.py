@@ -36,6 +36,25 @@ def test_round_trip(spark, tmp_path):
     assert raw.count(b"WARC-Type: ") == 3 * len(rows) and raw.endswith(b"\r\n\r\n")
 
 
+def test_files_follow_the_bytes(spark, tmp_path, monkeypatch):
+    """Long pages get as many files as their bytes fill, whatever their number;
+    a page longer than a file comes back whole; copies of one payload spread."""
+    monkeypatch.setattr(M, "FILE_BYTES", 1 << 20)
+    pages = [(i, f"http://l{i}/", chr(97 + i % 26) * (100_000 + i)) for i in range(100)]
+    pages += [(1000, "http://huge/", "é" * 3_000_000)] + [(2000 + i, "http://c/", "copy " * 20_000) for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(1)
+    path = str(tmp_path / "w")
+    out = {r.metadata.page_id: r.response for r in M.warc_roundtrip(df, path).collect()}
+    for p, _, h in pages:
+        assert out[p].payload_bytes == len(h.encode()) and out[p].payload_digest == digest(h)
+        assert (out[p].type, out[p].refers_to) == (("revisit", 2000) if p > 2000 else ("response", None))
+    assert bytes(out[1000].payload).decode() == pages[100][2]
+    held = [[r for r in M.parse_records(open(f, "rb").read()) if r["payload"]] for f in glob.glob(path + "/*.gz")]
+    small = [sum(r["length"] for r in recs if r["length"] < 1 << 20) for recs in held]
+    assert len(held) > 15 and max(small) < 3 << 20
+    assert M.file_count(0, 4) == 4 and M.file_count(10 << 20, 4) == 10
+
+
 def test_parser_reads_plain_and_record_wise_gzip():
     recs = [M._record("response", "1", "HTTP/1.1 200 OK\r\n\r\nbody", "application/http", WARC_Payload_Digest=f"sha1:{digest('body')}"),
             M._record("metadata", "2", "page-id: 4\r\n", "application/warc-fields", WARC_Concurrent_To="<urn:uuid:1>")]
