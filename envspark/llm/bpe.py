@@ -240,8 +240,8 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
     spark = docs.sparkSession
     C.small_batches(spark)
     shared = spark.sparkContext.broadcast(load_tables(path))
-    src = docs.select(*keep, "text")
-    schema = src.drop("text").schema.add("ids", T.ArrayType(T.IntegerType()))
+    src = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
+    schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(shared.value)

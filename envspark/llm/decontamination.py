@@ -8,7 +8,9 @@ seed are extended to maximal matches.  Greedy tiling then takes the longest
 match first and marks its tokens in both texts; what later matches share with
 marked tokens is cut off, and tiles below ``min_match`` are dropped.  Tiles may
 come in any order, so reordered passages count as well.  A document is
-contaminated if the tiles cover at least ``threshold`` of an item's tokens.
+contaminated if the tiles cover at least ``threshold`` of an item's tokens or,
+where ``min_tile`` is given, if one tile has that many tokens: a long item is
+then caught by a verbatim part that is a small share of it.
 
 The benchmark is taken in blocks of about ``BLOCK_BYTES`` (by hash; the number
 follows from its measured size).  Each block is broadcast in its turn and every
@@ -157,12 +159,13 @@ def tile(matches: list[tuple[int, int, int]], n_item: int, min_match: int) -> in
     return int(mine.sum())
 
 
-def coverages(texts: list[str], s: Seeds, min_match: int) -> list[list[tuple[int, float]]]:
-    """Per text: (item number, share of the item's tokens covered by tiles)."""
-    out: list[list[tuple[int, float]]] = [[] for _ in texts]
+def coverages(texts: list[str], s: Seeds, min_match: int) -> list[list[tuple[int, float, int]]]:
+    """Per text: (item number, share of the item's tokens covered by tiles,
+    tokens of the longest tile)."""
+    out: list[list[tuple[int, float, int]]] = [[] for _ in texts]
     tokens, first = tokens_of(texts)
     for d in np.flatnonzero(np.diff(first) < min_match).tolist() if s.short else ():
-        out[d] += [(i, 1.0) for i in s.short.get(tokens[first[d]:first[d + 1]].tobytes(), ())]
+        out[d] += [(i, 1.0, int(first[d + 1] - first[d])) for i in s.short.get(tokens[first[d]:first[d + 1]].tobytes(), ())]
     h = C.window_hashes(tokens, min_match)
     if not len(h) or not len(s.hashes):
         return out
@@ -182,7 +185,8 @@ def coverages(texts: list[str], s: Seeds, min_match: int) -> list[list[tuple[int
             i = int(item[part[0]])
             size = int(s.first[i + 1] - s.first[i])
             found = _maximal(p[part] - int(s.first[i]), q[part], min_match)
-            out[d].append((i, tile(found, size, min_match) / size))
+            # the longest match is marked first, so it is the longest tile
+            out[d].append((i, tile(found, size, min_match) / size, max(n for n, _, _ in found)))
     return out
 
 
@@ -195,9 +199,10 @@ def benchmark_blocks(benchmark: DataFrame) -> list[DataFrame]:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.5,
-                  keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+                  keep: tuple[str, ...] = ("doc_id",), min_tile: int | None = None) -> DataFrame:
     """Columns ``keep``, ``coverage`` (of the best covered item), ``items``
-    (ids of the items covered to ``threshold``) and ``contaminated``."""
+    (ids of the items covered to ``threshold`` or by a tile of ``min_tile``
+    tokens) and ``contaminated``."""
     spark = docs.sparkSession
     C.small_batches(spark)
     ids = benchmark.schema["item_id"].dataType
@@ -217,8 +222,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, thr
                     size += len(x)
                     if size >= TEXT_STEP or i == len(texts) - 1:
                         for d, found in enumerate(coverages(texts[lo:i + 1], s, min_match), lo):
-                            best[d] = max([best[d], *(c for _, c in found)])
-                            hits[d] = hits[d] + [s.ids[k] for k, c in found if c >= threshold]
+                            best[d] = max([best[d], *(c for _, c, _ in found)])
+                            hits[d] = hits[d] + [s.ids[k] for k, c, n_tile in found
+                                                 if c >= threshold or min_tile is not None and n_tile >= min_tile]
                         lo, size = i + 1, 0
                 yield pa.RecordBatch.from_arrays([*b.columns[:n + 1], pa.array(best, pa.float64()), pa.array(hits, b.column(n + 2).type)],
                                                  names=b.schema.names)

@@ -22,6 +22,8 @@ VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
 OLD_SHARDS, SHARDS = 12, 16
+#: A verbatim run of this many tokens of a benchmark item contaminates, whatever share of the item it is.
+TILE_TOKENS = 13
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
              ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -49,7 +51,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_tile=TILE_TOKENS)
 
 
 def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:

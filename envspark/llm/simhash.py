@@ -190,6 +190,7 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     least = simhash_dedup(docs, shingle, max_bits).groupBy("root") \
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
     stay = C.materialize(least.select(F.col("least.doc_id").alias("_stay"), F.col("least.key").alias("_stay_key")), "kept-documents")
-    rows = docs.select("*", C.row_key("doc_id", "text").alias("_key"))
-    return rows.join(stay, (rows["_key"] == stay["_stay_key"]) & rows["doc_id"].eqNullSafe(stay["_stay"]), "left_semi") \
-        .dropDuplicates(["_key", "doc_id"]).select(*docs.columns)
+    # the row as one struct: no column of the input can clash with ours
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), C.row_key("doc_id", "text").alias("key"))
+    return rows.join(stay, (rows["key"] == stay["_stay_key"]) & rows["id"].eqNullSafe(stay["_stay"]), "left_semi") \
+        .dropDuplicates(["key", "id"]).select("row.*")

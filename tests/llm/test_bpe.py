@@ -70,3 +70,10 @@ def test_empty_table_and_extra_columns(spark):
     assert bpe.decode(bpe.encode(df, PATH), PATH).count() == 0
     df = spark.createDataFrame([(1, "hi there", "x", "y"), (1, "hi there", "x", "y")], "doc_id long, text string, ids string, decoded string")
     assert [r.decoded for r in bpe.decode(bpe.encode(df, PATH), PATH).collect()] == ["hi there"] * 2
+
+
+def test_text_and_ids_may_be_kept(spark):
+    df = spark.createDataFrame([(1, "a text", 5), (2, None, 6)], "doc_id long, text string, _text int")
+    out = bpe.encode(df, public_tokenizers.path("byte_bpe_50k.json"), keep=("text", "doc_id", "_text"))
+    assert out.columns == ["text", "doc_id", "_text", "ids"]
+    assert sorted(((r.doc_id, r.text, r["_text"], len(r.ids)) for r in out.collect())) == [(1, "a text", 5, 2), (2, None, 6, 0)]

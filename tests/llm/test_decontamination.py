@@ -68,6 +68,18 @@ def test_reordered_passage_and_clean_document(spark, frame):
     assert got == {1: (True, [7]), 2: (False, []), 3: (False, [])}
 
 
+def test_parts_of_long_items(spark, frame):
+    """A verbatim part of a long item counts by its own length, on both sides of the bound."""
+    item = [f"t{i}" for i in range(200)]
+    docs = [(1, "x " + " ".join(item[40:53]) + " y"), (2, "x " + " ".join(item[40:52]) + " y"),
+            (3, " ".join(item[10:22] + ["gap"] + item[60:72] + ["gap"] + item[100:112])), (4, " ".join(item[:110])), (5, "clean text")]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "short item of six tokens only")], "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in M.decontaminate(frame(docs), bench, min_tile=13).collect()}
+    assert got == {1: [7], 2: [], 3: [], 4: [7], 5: []}
+    plain = {r.doc_id: r["items"] for r in M.decontaminate(frame(docs), bench).collect()}
+    assert plain == {1: [], 2: [], 3: [], 4: [7], 5: []}
+
+
 def test_empty_tables_and_kept_columns(spark, frame):
     bench = spark.createDataFrame([], "item_id long, text string")
     out = M.decontaminate(frame([(1, "a b c")]), bench, keep=("doc_id", "text", "lang"))

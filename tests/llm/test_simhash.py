@@ -3,7 +3,7 @@ import random
 import pytest
 import xxhash
 
-from envspark.llm.simhash import fingerprints, links, simhash_dedup
+from envspark.llm.simhash import fingerprints, keep_one, links, simhash_dedup
 from envspark.llm.components import components
 
 
@@ -99,3 +99,9 @@ def test_empty_and_extra_columns(spark):
     assert simhash_dedup(empty).count() == 0
     one = spark.createDataFrame([(1, "a b c d e", "z", 4)], "doc_id long, text string, fp string, least int")
     assert fingerprints(one).count() == 1 and simhash_dedup(one).first().component_id == 1
+
+
+def test_keep_one_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 5, "p", 7, "r"), (2, "a b c d e f", 6, "q", 8, "s"), (3, "z y x w v u", 7, "t", 9, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key long, key string, id long, row string")
+    assert sorted(tuple(r) for r in keep_one(df).collect()) == [rows[0], rows[2]]
