@@ -110,3 +110,15 @@ def test_documents_stay_where_no_language_was_learned(spark, frame):
     assert sorted(((r.doc_id, r.text, r.lang) for r in got), key=repr) == sorted(held[:-1], key=repr)
     named = [(i, f"some words {i}", "und") for i in range(20)]
     assert P.stage_language_id(spark, frame(named), "").count() == 20
+
+
+def test_clear_disagreement_relabels(spark, frame, tmp_path):
+    """A wrong label gives way to a sure prediction; right labels and texts stay."""
+    folder = str(tmp_path)
+    rows, _ = corpus(spark, frame, folder)
+    rng = random.Random(3)
+    wrong = [(500 + i, " ".join(f"é{rng.choice('bcdf')}{rng.choice('aeiou')}x" for _ in range(80)), "en", "s", 1) for i in range(3)]
+    docs = frame(rows + wrong)
+    got = {r.doc_id: (r.lang, r.text) for r in P.stage_language_id(spark, docs, folder).collect()}
+    assert all(got[d] == ("fr", t) for d, t, *_ in wrong)
+    assert all(got[d] == (lang, t) for d, t, lang, *_ in rows if 3 <= (d or 0) < 120 and lang)
