@@ -51,6 +51,7 @@ from envspark.llm.units import Remembered, flat_lists, per_text, text_steps, wor
 BATCH = 2 << 20              # bytes of text whose pairs are combined
 WORDS = 150_000              # distinct words a side remembers
 STEP = 1 << 19               # bytes gathered at once
+OUT = 1 << 21                # bytes of groups that leave a task at once
 SHIFT = np.int64(32)
 
 
@@ -268,12 +269,16 @@ def groups_text(a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray, di
 def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
     """Concatenation of data[start:start + size) of every item, put together in
     steps of ``STEP`` bytes: an index is eight times as large as its bytes."""
-    ends, out, lo = np.cumsum(size), [], 0
+    return b"".join(data[C.ragged(start[lo:hi], size[lo:hi])].tobytes() for lo, hi in stretches(size, STEP))
+
+
+def stretches(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items that hold at most ``most`` bytes, or one item that holds more."""
+    ends, lo = np.cumsum(size), 0
     while lo < len(size):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP, side="right")))
-        out.append(data[C.ragged(start[lo:hi], size[lo:hi])].tobytes())
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
         lo = hi
-    return b"".join(out)
 
 
 # ------------------------------------------------------------------- Spark
@@ -361,13 +366,18 @@ def _align(size_a: np.ndarray, size_b: np.ndarray, keep: tuple[str, ...], width:
             n_groups = np.diff(np.searchsorted(ga, offs_a, side="right"))
             data, ends = groups_text(u.a, u.b, ga, gb, digits)
             cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_groups)])]
-            size = np.diff(cuts)[u.code]
-            raw = gathered(data, cuts[:-1][u.code], size)
-            stop = np.cumsum(per_text(size, u.count)).tolist()
-            text = [raw[i:max(i, j - 1)].decode() for i, j in zip([0, *stop], stop, strict=False)]
-            yield from pa.table([*t.select(list(keep)).columns,
-                                 *(pa.array(per_text(x[u.code], u.count)) for x in (u.count_a, u.count_b, n_groups, n_links, *sums)),
-                                 pa.array(text, pa.string())], names=names).to_batches(max_chunksize=1 << 12)
+            counts = [per_text(x[u.code], u.count) for x in (u.count_a, u.count_b, n_groups, n_links, *sums)]
+            del flat, keys, total, best, order, blob, link, end, at, sums, ga, gb
+            # the groups of a batch are several times its text, so they leave in parts
+            unit, first = np.diff(cuts), np.concatenate([[0], np.cumsum(u.count)])
+            size = per_text(unit[u.code], u.count)
+            for lo, hi in stretches(size, OUT):
+                code = u.code[first[lo]:first[hi]]
+                raw = gathered(data, cuts[:-1][code], unit[code])
+                stop = np.cumsum(size[lo:hi]).tolist()
+                text = [raw[i:max(i, j - 1)].decode() for i, j in zip([0, *stop], stop, strict=False)]
+                yield from pa.table([*t.slice(lo, hi - lo).select(list(keep)).columns, *(pa.array(x[lo:hi]) for x in counts),
+                                     pa.array(text, pa.string())], names=names).to_batches(max_chunksize=1 << 12)
     return run
 
 

@@ -105,3 +105,34 @@ def test_empty(spark, frame):
     out = M.align(frame([]), M.byte_level_side(A), M.piece_side(B))
     assert out.count() == 0
     assert M.align(frame([(1, None), (2, "")]), M.byte_level_side(A), M.piece_side(B)).where("n_a = 0 AND groups = ''").count() == 2
+
+
+def test_groups_leave_a_task_in_parts(monkeypatch):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    class Task:
+        @staticmethod
+        def get():
+            return Task
+
+        @staticmethod
+        def partitionId():
+            return 0
+    monkeypatch.setattr(M, "TaskContext", Task)
+    monkeypatch.setattr(M, "OUT", 300)
+    data = rows(5, 60)
+    a, b = M.byte_level_side(A), M.piece_side(B)
+    keep = ("doc_id",)
+    src = pa.record_batch([pa.array([d for d, _ in data], pa.int64()), pa.array([x for _, x in data], pa.string())], names=["doc_id", "text"])
+    made = pa.Table.from_batches(M._tokens(a, b, keep, 2)([src]))
+    pairs = [{"ida": r["ida"], "idb": r["idb"], "total": r["n"], "best": True} for r in made.filter(pc.equal(made["kind"], M.PAIR)).to_pylist()]
+    kind = pa.list_(pa.struct([("ida", pa.int32()), ("idb", pa.int32()), ("total", pa.int64()), ("best", pa.bool_())]))
+    others = made.filter(pc.not_equal(made["kind"], M.PAIR)).select(["doc_id", "batch", "pos", "units", "blob", "raw"])
+    others = others.append_column("pairs", pa.array([None] * others.num_rows, kind))
+    info = pa.table({**{c: pa.nulls(1, others.schema.field(c).type) for c in others.column_names}, "batch": pa.array([0], pa.int64()), "pairs": pa.array([pairs], kind)})
+    out = list(M._align(a().size, b().size, keep, 2)(pa.concat_tables([others, info]).to_batches()))
+    held = [[len(x.encode()) + 1 for x in p.column("groups").to_pylist()] for p in out]
+    assert len(out) > 5 and all(len(h) == 1 or sum(h) <= 300 + len(h) for h in held)
+    got = sorted((tuple(r.values()) for p in out for r in p.to_pylist()), key=repr)
+    assert [(*r[:5], *r[6:]) for r in got] == [(*r[:5], *r[6:]) for r in literal(data)]
