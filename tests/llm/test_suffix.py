@@ -110,3 +110,20 @@ def test_pieces_of_a_shared_passage_do_not_gather(spark, frame, monkeypatch):
     got = {r.doc_id: ([tuple(s) for s in r.spans], bytes(r.kept)) for r in M.suffix_dedup(frame(list(enumerate(texts))), width=40).collect()}
     assert got == {i: (spans_of(g), bytes(b for k, b in enumerate(r) if k not in g)) for i, (r, g) in enumerate(zip(raw, gone, strict=True))}
     assert any(gone) and max(largest) <= 30, largest
+
+
+@pytest.mark.parametrize("bits", [21, 0])
+def test_suffix_array_and_common_prefixes(monkeypatch, bits):
+    # 21: two ranks and the place are sorted as one value; 0: as in texts too long for that
+    monkeypatch.setattr(M, "RANK_BITS", bits)
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 3, 5, 9, 40, 300):
+        for kinds in (1, 2, 200):
+            s = rng.integers(0, kinds, n).astype(np.int16)
+            sa = M.suffix_array(s)
+            assert sa.tolist() == sorted(range(n), key=lambda i, s=s: s[i:].tolist())
+            a, b = rng.integers(0, n, 30), rng.integers(0, n, 30)
+
+            def common(i, j, s=s):
+                return next((c for c in range(len(s) - max(i, j)) if s[i + c] != s[j + c]), len(s) - max(i, j))
+            assert M.RunIndex._common(s, a, b).tolist() == [common(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
